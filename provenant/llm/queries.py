@@ -6,7 +6,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import quality
+from .decontamination import find_contamination
 from .exact_dedup import DigestIndex
+from .mixing import mix
 from .token_counts import count_tokens
 from .token_files import encode_and_read_back
 
@@ -21,10 +24,23 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contamination(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_read_back(_documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return quality.score(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
     return index.add(_documents(spark, sf_dir))
@@ -35,7 +51,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_mixing": op2_mixing,
+    "op3_decontamination": op3_decontamination,
     "op4_token_files": op4_token_files,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_token_counts": op7_token_counts,
 }
