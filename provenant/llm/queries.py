@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import pii, quality
 from .decontamination import find_contamination
 from .exact_dedup import DigestIndex
 from .mixing import mix
@@ -50,6 +50,11 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"))
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return pii.find_personal_data(docs, pii.train(docs))
+
+
 QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_decontamination": op3_decontamination,
@@ -57,6 +62,7 @@ QUERIES = {
     "op5_quality_classifier": op5_quality_classifier,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_token_counts": op7_token_counts,
+    "op8_personal_data": op8_personal_data,
 }
 
 ORACLE_SQL = {
