@@ -10,6 +10,7 @@ from . import pii, quality
 from .decontamination import find_contamination
 from .exact_dedup import DigestIndex
 from .mixing import mix
+from .simhash import near_duplicates
 from .token_counts import count_tokens
 from .token_files import encode_and_read_back
 
@@ -55,6 +56,10 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(docs, pii.train(docs))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_documents(spark, sf_dir), shingle=4, distance=4)
+
+
 QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_decontamination": op3_decontamination,
@@ -63,6 +68,7 @@ QUERIES = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_token_counts": op7_token_counts,
     "op8_personal_data": op8_personal_data,
+    "op9_simhash": op9_simhash,
 }
 
 ORACLE_SQL = {
