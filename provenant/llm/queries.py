@@ -11,6 +11,7 @@ from .decontamination import find_contamination
 from .exact_dedup import DigestIndex
 from .mixing import mix
 from .simhash import near_duplicates
+from .substring_dedup import remove_repeats
 from .token_counts import count_tokens
 from .token_files import encode_and_read_back
 
@@ -60,6 +61,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir), shingle=4, distance=4)
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_documents(spark, sf_dir), window=35).drop("kept_text")
+
+
 QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_decontamination": op3_decontamination,
@@ -69,6 +74,7 @@ QUERIES = {
     "op7_token_counts": op7_token_counts,
     "op8_personal_data": op8_personal_data,
     "op9_simhash": op9_simhash,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLE_SQL = {
