@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii, quality
+from . import pii, quality, secrets
 from .decontamination import find_contamination
 from .exact_dedup import DigestIndex
 from .mixing import mix
@@ -26,6 +26,10 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_documents(spark, sf_dir))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -66,6 +70,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
     "op2_mixing": op2_mixing,
     "op3_decontamination": op3_decontamination,
     "op4_token_files": op4_token_files,
@@ -77,7 +82,34 @@ QUERIES = {
     "op10_substring_dedup": op10_substring_dedup,
 }
 
+
+def _op1_sql() -> str:
+    """Spans by splitting: what lies between matches and the matches themselves add up to their places."""
+    parts = []
+    for i, r in enumerate(secrets.RULES):
+        pattern = r.pattern.replace("'", "''")
+        parts.append(f"""
+            SELECT row_id, {i} AS k, '{r.kind}' AS kind, unnest(list_transform(range(1, len(m) + 1), lambda n: {{
+                'start': list_sum(list_transform(between[1:n], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:n - 1], lambda x: length(x))), 0),
+                'len': length(m[n]), 'counted': length(g[n]) }})) AS s
+            FROM (SELECT row_id, regexp_extract_all(t, '{pattern}') AS m, regexp_extract_all(t, '{pattern}', {r.group}) AS g,
+                         regexp_split_to_array(t, '{pattern}') AS between FROM d)""")
+    least = " ".join(f"WHEN {i} THEN {r.least}" for i, r in enumerate(secrets.RULES))
+    base = [i for i, r in enumerate(secrets.RULES) if r.base]
+    counts = ", ".join(f"count(*) FILTER (WHERE k = {i}) AS n_{secrets.RULES[i].kind}" for i in base)
+    return f"""
+        WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS t FROM documents),
+        found AS ({" UNION ALL ".join(parts)}),
+        kept AS (SELECT row_id, k, s.start AS a, kind || ':' || s.start::BIGINT || ':' || (s.start + s.len)::BIGINT AS span FROM found WHERE s.counted >= CASE k {least} END)
+        SELECT any_value(doc_id) AS doc_id, {counts},
+               sha256(coalesce(string_agg(span, ',' ORDER BY a, k) FILTER (WHERE k <= {max(base)}), '')) AS base_sha256,
+               coalesce(string_agg(span, ',' ORDER BY a, k), '') AS spans
+        FROM d LEFT JOIN kept USING (row_id) GROUP BY row_id
+    """
+
+
 ORACLE_SQL = {
+    "op1_secret_scan": _op1_sql(),
     "op6_exact_dedup": """
         SELECT doc_id,
                max(doc_id) OVER same AS keep_id,
