@@ -27,7 +27,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import attach_by_key, bounded_batches, text_or_empty, written
@@ -59,16 +59,16 @@ def fingerprint(text: str, shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """doc_id, fp (the unsigned bits as a signed long) for each row of `docs`."""
+    """doc_id, tie (the text's hash), fp (the unsigned bits as a signed long) for each row of `docs`."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t, shingle) for t in batch.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), pa.array(found.view(np.int64))], ["doc_id", "tie", "fp"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("tie"), text_or_empty().alias("text"))
+    return rows.mapInArrow(run, "doc_id long, tie long, fp long")
 
 
 def bands_for(n: int, distance: int) -> int:
@@ -186,16 +186,32 @@ def links_between(classes: DataFrame, distance: int, n: int) -> DataFrame:
     return units.mapInArrow(link_units(distance), "a long, b long").distinct()
 
 
+def _grouped(docs: DataFrame, shingle: int, distance: int) -> tuple[DataFrame, DataFrame]:
+    """Each row's (doc_id, tie, fp), and by fp the number of its rows and the first row of its class: the one with
+    the smallest doc_id, then hash of text; a null doc_id comes last."""
+    marked = written(fingerprints(docs, shingle), "fingerprints")
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tie")
+    classes = written(marked.groupBy("fp").agg(F.min(row).alias("first"), F.count("*").alias("n_docs")), "fingerprint-classes")
+    roots = components(links_between(classes.select("fp"), distance, classes.count()))
+    rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", "n_docs", F.coalesce("root", "fp").alias("root"))
+    firsts = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    return marked, written(rooted.select("fp", "n_docs", "root").join(firsts, "root").select("fp", "n_docs", "first"), "fingerprint-components")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
     """One row per row of `docs`: doc_id, fingerprint (16 lowercase hex digits), component_id (smallest doc_id that
     links lead to, its own included)."""
-    marked = written(fingerprints(docs, shingle), "fingerprints")
-    classes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_docs")), "fingerprint-classes")
-    n = classes.count()
-    roots = components(links_between(classes.select("fp"), distance, n))
-    rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", "n_docs", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = written(rooted.join(ids, "root").select("fp", "n_docs", "component_id"), "fingerprint-components")
+    marked, named = _grouped(docs, shingle, distance)
     n_docs = named.agg(F.sum("n_docs")).first()[0] or 0
     out = attach_by_key(marked, named, ["fp"], "n_docs", n_docs)
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
+
+
+def keep_one_of_each(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
+    """The rows of `docs`, with all its columns, that are the first of their class; of repeated rows one."""
+    _, named = _grouped(docs, shingle, distance)
+    firsts = named.select(F.col("first.doc_id").alias("_id"), F.col("first.tie").alias("_tie")).distinct()
+    keyed = docs.withColumn("_text_hash", F.xxhash64(text_or_empty()))
+    kept = keyed.join(firsts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_tie")))
+    same = Window.partitionBy("_id", "_tie").orderBy("_tie")
+    return kept.withColumn("_n", F.row_number().over(same)).where("_n = 1").select(*docs.columns)
