@@ -149,9 +149,9 @@ def fts_prefix_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_CONCEPTS}, top AS (SELECT query_id, id FROM placed WHERE rank <= 3),
-    places AS (SELECT query_id, id, min(CASE WHEN instr(lower(text), root) > 0 THEN instr(lower(text), root) END) AS at, any_value(text) AS text
+    places AS (SELECT query_id, id, min(CASE WHEN instr(lower(text), root) > 0 THEN instr(lower(text), root) END) AS place, any_value(text) AS text
                FROM top JOIN concepts USING (query_id) JOIN documents ON doc_id = id WHERE length(root) >= 4 GROUP BY ALL)
-    SELECT query_id, id, substring(text, greatest(coalesce(at, 1) - 60, 1), 200) AS snippet FROM places""")
+    SELECT query_id, id, substring(text, greatest(coalesce(place, 1) - 60, 1), 200) AS snippet FROM places""")
 def snippet_first_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
     concepts, top = _concepts(spark, sf_dir)
     roots = concepts.groupBy("query_id").agg(F.collect_list("root").alias("roots"))  # at most four
