@@ -50,10 +50,10 @@ class Features:
         if not words:
             return np.zeros(0, np.int64)
         shapes = self.shapes
-        new = set(words) - shapes.keys()
+        new = [w for w in set(words) if w not in shapes]
         if len(shapes) + len(new) > self.remember:
             shapes.clear()
-            new = set(words)
+            new = list(set(words))
         shapes.update((w, shape_code(w)) for w in new)
         same = [False, *(a == b for a, b in zip(words, words[1:], strict=False))]
         gram = np.array([shapes[w] for w in words], np.uint64) * np.uint64(2) + np.array(same, np.uint64)
