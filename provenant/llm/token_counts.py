@@ -17,7 +17,7 @@ from .common import bounded_batches, text_or_empty
 from .tokens import PieceMemo, by_bytes, read_tokenizer, words_of
 
 
-def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048, part_bytes: int = 1 << 20) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048, part_bytes: int = 1 << 18) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) for each row of `docs`, by a tokenizer that drops
     white space."""
     spark = docs.sparkSession
@@ -25,7 +25,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048, part_b
     tokenizer = spark.sparkContext.broadcast(read_tokenizer(tokenizer_path))
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = PieceMemo(tokenizer.value, len)
+        memo = PieceMemo(tokenizer.value)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             counts = [0] * len(texts)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, shared_dir, text_or_empty
-from .tokens import PieceMemo, by_bytes, read_tokenizer, spaced_pieces
+from .tokens import IdMemo, by_bytes, read_tokenizer, spaced_pieces
 
 MANIFEST = "shard int, n_docs long, n_null long, n_ids long, base long, base_docs long, width int, path string"
 
@@ -36,11 +36,11 @@ def _file_system(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
 
 
-def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 0, shards: int | None = None, part_bytes: int = 1 << 20) -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 0, shards: int | None = None, part_bytes: int = 1 << 18) -> DataFrame:
     """Encode `docs` (doc_id, text), append end_id to each, write shards in ascending doc_id order into `folder`,
     which all executors share, and return the manifest."""
     spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, 4)
     text = read_tokenizer(tokenizer_path)
     vocabulary = json.loads(text)
     largest = max([end_id, *vocabulary["model"]["vocab"].values(), *(t["id"] for t in vocabulary.get("added_tokens") or ())])
@@ -54,7 +54,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
         shard = TaskContext.get().partitionId()
         fs, root = _file_system(folder)
         kind = np.dtype("<u2" if width == 2 else "<u4")
-        memo = PieceMemo(tokenizer.value, lambda e: np.array(e.ids, kind).tobytes())
+        memo = IdMemo(tokenizer.value, kind)
         end = np.array([end_id], kind).tobytes()
         mark = f"{TaskContext.get().taskAttemptId()}.part"
         names = [f"{root}/shard-{shard:06d}.{x}" for x in ("ids", "off", "doc")]

@@ -13,16 +13,19 @@ Why the cuts are safe:
 
 from __future__ import annotations
 
+import json
 import os
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
+
+import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share the cores already
 
 _SPACED = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+_LONE_STOP = re.compile(r"[.,](?<![^\W_][.,])")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 _SAFE_CUT = re.compile(r"(?<=\S)(?=[ \n])")
-_HAS_WHITE = re.compile(rb"[\x20\x09-\x0d]")
 
 
 def words_of(text: str) -> list[bytes]:
@@ -31,7 +34,12 @@ def words_of(text: str) -> list[bytes]:
 
 
 def spaced_pieces(text: str) -> list[str]:
-    """Pieces that begin with the white space before them; joined they are the text."""
+    """Pieces that begin with the white space before them, stops and commas apart; joined they are the text."""
+    if text.split() == text.replace("\n", " ").split(" ") and "\0" not in text:  # single spaces and line feeds only
+        cut = text.replace(" ", "\0 ").replace("\n", "\0\n")
+        if not _LONE_STOP.search(text):
+            cut = cut.replace(".", "\0.").replace(",", "\0,")
+        return cut.split("\0")
     return _SAFE_CUT.split(text) if _OTHER_SPACE.search(text) else _SPACED.findall(text)
 
 
@@ -60,17 +68,17 @@ def by_bytes(texts: Iterable[str], most: int) -> Iterator[list[tuple[int, str]]]
 
 
 class PieceMemo(dict):
-    """piece -> what `value` makes of its encoding, for pieces seen lately."""
+    """piece -> number of its tokens, for pieces seen lately."""
 
-    def __init__(self, tokenizer_json: str, value: Callable, remember: int = 400_000, call_bytes: int = 1 << 20):
+    def __init__(self, tokenizer_json: str, remember: int = 300_000, call_size: int = 1 << 17):
         super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.value, self.remember, self.call_bytes = value, remember, call_bytes
+        self.remember, self.call_size = remember, call_size
 
     def learn(self, pieces: set) -> None:
-        """Encode those pieces that aren't known, in calls of about call_bytes."""
+        """Encode those pieces that aren't known, in calls of about call_size."""
         new = [p for p in pieces if p not in self]
         if len(self) + len(new) > self.remember:
             self.clear()
@@ -78,14 +86,46 @@ class PieceMemo(dict):
         at = 0
         while at < len(new):
             size, end = 0, at
-            while end < len(new) and size < self.call_bytes:
+            while end < len(new) and size < self.call_size:
                 size += len(new[end])
                 end += 1
-            part = new[at:end]
-            strings = [p.decode() if isinstance(p, bytes) else p for p in part]
-            self.update(zip(part, map(self.value, self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)), strict=True))
+            self.encode(new[at:end])
             at = end
 
+    def encode(self, pieces: list[bytes]) -> None:
+        found = self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)
+        self.update(zip(pieces, map(len, found), strict=True))
+
+
+class IdMemo(PieceMemo):
+    """piece -> its ids as bytes of the given width, for byte-level tokenizers: of those each id stands for a known
+    number of bytes, so pieces can be encoded joined, as the text that they would be, and be told apart after."""
+
+    def __init__(self, tokenizer_json: str, kind: np.dtype, **sizes: int):
+        super().__init__(tokenizer_json, **sizes)
+        self.kind = kind
+        vocabulary = json.loads(tokenizer_json)
+        lengths = {i: len(t) for t, i in vocabulary["model"]["vocab"].items()}  # one character for each byte
+        lengths |= {t["id"]: len(t["content"].encode()) for t in vocabulary.get("added_tokens") or ()}
+        self.lengths = np.zeros(max(lengths) + 1, np.int64)
+        self.lengths[list(lengths)] = list(lengths.values())
+
+    def encode(self, pieces: list[str]) -> None:
+        joined = [p for p in pieces if p and p[0] in " \n" and not p[-1].isspace()]
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(joined)], add_special_tokens=False)[0].ids, np.int64)
+        ends = np.cumsum(np.fromiter((len(p.encode()) for p in joined), np.int64, len(joined)))
+        reached = np.cumsum(self.lengths[ids])
+        cuts = np.searchsorted(reached, ends) + 1
+        if len(joined) and (reached[-1] != ends[-1] or (reached[cuts - 1] != ends).any()):  # a tokenizer that changes texts
+            joined = []
+        else:
+            flat, width = ids.astype(self.kind).tobytes(), self.kind.itemsize
+            edges = [0, *(cuts * width).tolist()]
+            self.update(zip(joined, (flat[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)), strict=True))
+        others = [p for p in pieces if p not in self]
+        for p, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
+            self[p] = np.array(e.ids, self.kind).tobytes()
+
 
 def read_tokenizer(path: str) -> str:
     """The JSON of a tokenizer file, to be broadcast: a vocabulary's size bounds it."""
