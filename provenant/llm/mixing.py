@@ -4,9 +4,9 @@ Each source gets a target number of words; a document of a source is then to be
 average: a whole number of times, and once more with a probability below one. The flight phase of the cube method
 moves these probabilities along the null space of two constraints, the totals of words and of documents, three
 documents at a time, until each is 0 or 1. It streams through blocks of each source, so neither memory nor a task
-grows with a source; of each block at most two documents stay undecided. These are blocked and moved again, until
-one block per source is left. The landing phase decides what stays undecided there together with that block's last
-few documents, so that the totals come out as near as a choice among them can make them.
+grows with a source; of each block two documents and a few that are kept back stay undecided. These are blocked and
+moved again, until one block per source is left. The landing phase decides what is undecided there, so that the
+totals come out as near as a choice among them can make them.
 
 Defined results: a null text has size 0; the null source comes last in order of code points; repeated rows are
 units of their own; a source without words has target 0 and its documents are taken 0 times; other columns are
@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import attach_by_key, bounded_batches, text_or_empty, word_count, written
 
-#: Documents of a source that one block's flight goes through, and of a source's last block those kept for landing.
+#: Documents of a source that one block's flight goes through, and those of them that are kept back for landing.
+#: A block must be at least twice what stays of it, LANDING + 2.
 BLOCK, LANDING = 5000, 12
 
 
@@ -136,7 +137,7 @@ def _fly(seed: int, level: int):
                     group, rng, last_block = key, random.Random(f"{seed}:{level}:{key}"), n_blocks[i] == 1
                 if 0 < probabilities[i] < 1:
                     reserve.append(_Unit(float(sizes[i]), probabilities[i], i))
-                    if last_block and len(reserve) <= LANDING:
+                    if len(reserve) <= LANDING:
                         continue
                     active.append(reserve.popleft())
                     if len(active) == 3:
@@ -189,8 +190,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most_repeats: i
         flown = written(flown, f"flight-{level}")
         done.append(flown.where("p = 0 or p = 1"))
         level += 1
-        blocks = -(-2 * blocks // BLOCK)
-        again = flown.where("p > 0 and p < 1").withColumn("blocks", F.ceil(F.col("blocks") * 2 / BLOCK))
+        blocks = -(-(LANDING + 2) * blocks // BLOCK)
+        again = flown.where("p > 0 and p < 1").withColumn("blocks", F.ceil(F.col("blocks") * (LANDING + 2) / BLOCK))
         flown = level_of(again.withColumn("block", F.pmod(F.xxhash64("doc_id", "tie", F.lit(seed + level)), F.col("blocks"))), level)
     for part in done:
         flown = flown.unionByName(part)

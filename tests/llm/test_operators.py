@@ -1,0 +1,413 @@
+"""Each operator against brute force on small tables that hold nulls, empty and long texts, ties, repeated rows, extra
+columns, and nothing at all."""
+
+import collections
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+
+from provenant.llm import decontamination, exact_dedup, mixing, pii, quality, secrets, simhash, substring_dedup, token_counts, token_files, tokens  # noqa: E402
+from provenant.llm.components import components  # noqa: E402
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, tie string, fp string, h long"
+
+
+def words(n, seed, size=400):
+    r = random.Random(seed)
+    return " ".join(f"w{r.randrange(size)}" for _ in range(n))
+
+
+def odd_rows():
+    base = words(60, 1)
+    rows = [(1, base), (2, base), (2, base), (3, None), (4, ""), (None, base + " tail"), (5, "  \t\n "), (6, words(3000, 2, 5000)), (7, words(40, 3) + " " + base), (8, "é" * 50 + " ñ"), (None, None), (9, words(34, 4)), (10, words(36, 5)), (11, "A  B c"), (12, "a b C")]
+    return [(i, t, "en", None if i == 3 else f"s{(i or 0) % 3}", 0, "x", "y", 1) for i, t in rows]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(odd_rows(), SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def texts():
+    return [(r[0], r[1] or "") for r in odd_rows()]
+
+
+# --- 6 exact dedup
+
+
+def test_exact_dedup(spark, odd, none):
+    index = exact_dedup.DigestIndex(spark, "index_a", 4)
+    got = index.add(odd).collect()
+    groups = collections.defaultdict(list)
+    for i, t in texts():
+        groups[hashlib.sha256(t.encode()).hexdigest()].append(i)
+    assert len(got) == len(texts())
+    for r in got:
+        ids = groups[r.text_sha256]
+        assert r.group_size == len(ids) and r.keep_id == max((i for i in ids if i is not None), default=None)
+    assert sum(r.kept for r in got) == len(groups)
+    assert all(r.doc_id == r.keep_id for r in got if r.kept)
+    again = index.add(odd).collect()
+    assert not any(r.kept for r in again) and {r.text_sha256: r.keep_id for r in again} == {r.text_sha256: r.keep_id for r in got}
+    assert all(r.group_size == 2 * len(groups[r.text_sha256]) for r in again)
+    fresh = index.add(spark.createDataFrame([(99, "quite new"), (98, "A  B c")], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.kept for r in fresh} == {99: True, 98: False}
+    assert index.add(none).count() == 0
+
+
+# --- 7, 4 tokens
+
+
+def test_token_counts(odd, none):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    expected = sorted((str(i), len(t.encode()), n := len(tokenizer.encode(t, add_special_tokens=False).ids), n > 100) for i, t in texts())
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.count_tokens(odd, path, limit=100, part_bytes=500).collect())
+    assert got == expected
+    assert token_counts.count_tokens(none, path).count() == 0
+
+
+def test_pieces_encode_as_whole_texts():
+    from tokenizers import Tokenizer
+
+    text = tokens.read_tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    whole, memo = Tokenizer.from_str(text), tokens.IdMemo(text, np.dtype("<u2"), remember=50, call_size=20)
+    r = random.Random(3)
+    parts = ["a", "The", "é", "23", ".", ",", "'s", "!", " ", "  ", "\n", "\n\n", "\t", "\xa0", "\x1c", "<|endoftext|>", "_", "²", "\0"]
+    for _ in range(1500):
+        t = "".join(r.choice(parts) for _ in range(r.randint(0, 14)))
+        pieces = [p for batch in tokens.by_bytes([t], 5) for _, part in batch for p in tokens.spaced_pieces(part)]
+        memo.learn(set(pieces))
+        assert np.frombuffer(b"".join(memo[p] for p in pieces), "<u2").tolist() == whole.encode(t, add_special_tokens=False).ids, t
+
+
+def test_token_files_round_trip(spark, odd, none, tmp_path):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    manifest = token_files.write_token_files(odd, path, f"file://{tmp_path}/out", shards=3, part_bytes=300)
+    got = token_files.read_token_files(manifest, rows_per_batch=2, with_ids=True).orderBy("start").collect()
+    assert [r.doc_id for r in got] == sorted((i for i, _ in texts()), key=lambda i: (i is not None, i))
+    at = 0
+    left = collections.Counter((i, tuple(tokenizer.encode(t, add_special_tokens=False).ids + [0])) for i, t in texts())
+    for r in got:
+        assert r.start == at and r.n_tokens == len(r.ids)
+        assert r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
+        left[r.doc_id, tuple(r.ids)] -= 1
+        at += r.n_tokens
+    assert not any(left.values())
+    assert token_files.encode_and_read_back(none, path).count() == 0
+
+
+# --- 2 mixing
+
+
+def water_fill(sizes, weights, most):
+    targets, open_, total = {}, set(sizes), sum(sizes.values())
+    while True:
+        share = (total - sum(targets.values())) / (sum(weights[s] for s in open_) or 1)
+        above = {s for s in open_ if weights[s] * share > most * sizes[s]}
+        if not above:
+            return targets | {s: weights[s] * share for s in open_}
+        targets |= {s: most * sizes[s] for s in above}
+        open_ -= above
+
+
+def test_mixing(spark, odd, none):
+    r = random.Random(5)
+    rows = [(i, words(r.randint(0, 60), i), s) for i, s in enumerate(["big"] * 700 + ["b"] * 40 + ["c"] * 3 + [None] * 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs).collect()
+    assert len(got) == len(rows)
+    sizes = collections.Counter()
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    weights = dict(zip(sorted(sizes, key=lambda s: (s is None, s)), (1, 2, 3, 1), strict=True))
+    targets = water_fill(dict(sizes), weights, 3)
+    of = {i: s for i, _, s in rows}
+    taken = collections.Counter()
+    for g in got:
+        s = of[g.doc_id]
+        assert g.source_size == sizes[s] and abs(g.target - targets[s]) < 1e-6 and g.taken == g.size * g.copies and 0 <= g.copies <= 3
+        taken[s] += g.taken
+    for s in sizes:
+        assert abs(taken[s] - targets[s]) <= 15
+    assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mix(docs.repartition(7)).collect()))
+    assert mixing.mix(odd).count() == len(texts()) and mixing.mix(none).count() == 0
+
+
+def test_flight_in_blocks_keeps_totals(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 60)
+    docs = spark.createDataFrame([(i, "x " * (1 + i % 37), "a" if i % 3 else "b") for i in range(900)], "doc_id long, text string, source string")
+    got = mixing.mix(docs, weights=(1, 4)).collect()
+    assert len(got) == 900 and len({g.doc_id for g in got}) == 900
+    by = collections.defaultdict(lambda: [0, 0])
+    for g in got:
+        by[g.source_size][0] += g.taken
+        by[g.source_size][1] = g.target
+    assert all(abs(a - b) <= 3 for a, b in by.values())
+
+
+# --- 3 decontamination
+
+
+def edit_distance_within(pattern, text):
+    row = [0] * (len(text) + 1)
+    for i, p in enumerate(pattern, 1):
+        new = [i]
+        for j, t in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (p != t)))
+        row = new
+    return min(row)
+
+
+def test_myers_distance_and_pigeonhole():
+    r = random.Random(11)
+    for _ in range(300):
+        item = [f"w{r.randrange(30)}" for _ in range(r.randint(5, 70))]
+        text = [f"w{r.randrange(30)}" for _ in range(r.randint(0, 40))]
+        if r.random() < 0.7:
+            copy = list(item)
+            for _ in range(r.randint(0, 8)):
+                k = r.randrange(len(copy) + 1)
+                copy[k : k + r.randint(0, 1)] = ["z"] * r.randint(0, 1)
+            text = text + copy + text[:5]
+        masks = collections.defaultdict(int)
+        for i, w in enumerate(item):
+            masks[w] |= 1 << i
+        d = edit_distance_within(item, text)
+        assert decontamination.best_distance(masks, len(item), text) == d
+        budget = int(0.2 * len(item))
+        found = decontamination.Matcher([(1, " ".join(item))], 0.2, 5).find(" ".join(text))
+        assert (0 in found) == (d <= budget) and (0 not in found or found[0] >= d)
+
+
+def test_decontamination(spark, odd, none):
+    item = words(30, 77)
+    bench = spark.createDataFrame([(5, item), (None, words(12, 78)), (6, None), (7, "short one")], "item_id long, text string")
+    changed = item.split()
+    changed[3], changed[20] = "other", "words"
+    rows = [(1, words(50, 1) + " " + item.upper() + "!"), (2, " ".join(changed)), (3, words(80, 9)), (4, None), (5, words(12, 78)), (6, "short one")]
+    docs = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, items string")
+    got = {r.doc_id: r for r in decontamination.find_contamination(docs, bench, block_bytes=50, carry=("items",)).collect()}
+    assert {i for i, r in got.items() if r.contaminated} == {1, 2, 5}
+    assert got[1].min_distance == 0 and got[2].min_distance == 2 and got[2].item_ids == "5" and got[5].item_ids == "" and got[3]["items"] == "k"
+    assert decontamination.find_contamination(odd, bench).where("contaminated").count() == 0
+    assert decontamination.find_contamination(odd, bench.limit(0)).where("kept").count() == len(texts())
+    assert decontamination.find_contamination(none, bench).count() == 0
+
+
+# --- 5 quality
+
+
+def test_dual_coordinate_descent_separates():
+    r = random.Random(2)
+    good = [words(40, i) for i in range(60)]
+    bad = [" ".join(r.choice(["AA!!", "BB!!", "x"]) for _ in range(40)) for _ in range(30)]
+    f = quality.Features()
+    rows, y = [f(t) for t in good + bad], np.array([1.0] * 60 + [0.0] * 30)
+    model = quality.fit(rows, y)
+    assert all((model.score(x) > 0.5) == (t > 0) for x, t in zip(rows, y, strict=True))
+
+
+def test_quality_on_held_out_rows(spark, odd, none):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    scored = quality.score(docs, quality.train(docs, labels)).join(labels, "doc_id").where("held_out")
+    right, n = scored.agg(F.count_if(F.col("predicted") == F.col("quality")), F.count("*")).first()
+    assert right / n > 0.95
+    lone = quality.train(odd, spark.createDataFrame([(1, 1, 0), (None, 0, 0)], "doc_id long, quality int, toxic int"))
+    rows = quality.score(odd, lone).collect()
+    assert len(rows) == len(texts()) and all(0 <= r.score <= 1 and r.held_out is not None for r in rows)
+    assert quality.score(none, lone).count() == 0
+
+
+# --- 8 personal data
+
+
+def test_base_spans():
+    text = "a.b@c.example.com, 10.0.0.255 or 10.0.0.256; 4539 1488 0343 6467 and +44 (20) 7946-0958."
+    assert pii.listed(pii.base_spans(text)) == "email:0:17,ip:19:29,card:45:64,phone:69:87"
+    assert pii.base_spans("") == [] and pii.base_spans("year 2024, 1 2 3") == []
+
+
+def test_skip_chain_labels_repeats(spark):
+    rows = [(i, f"call +1 (415) 555-{i:04d} now or 555-{i:04d} later, item {i}") for i in range(1000, 1040)] + [(i, f"+1 (415) 555-{i} and +1 (415) 555-{i} on day {i}") for i in range(2000, 2040)] + [(1, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.find_personal_data(docs, pii.train(docs)).collect()}
+    for i in range(1000, 1040):
+        assert got[i].n_phone == 1 and got[i].n_added == 1 and got[i].spans.startswith(f"phone:5:22,phone:{rows[0][1].index(' or ') + 4}:")
+        assert got[i].base_sha256 == hashlib.sha256(b"phone:5:22").hexdigest()
+    assert got[1].spans == "" and got[None].spans == ""
+
+
+def test_loopy_messages_match_enumeration_on_a_chain():
+    text = "a1 b2@c.example.org d3 44444"
+    field = pii.Field(text, pii.base_spans(text))
+    rng = np.random.default_rng(1)
+    model = pii.Potentials(rng.normal(size=(pii.FEATURES, 5)), rng.normal(size=(5, 5)), np.zeros((5, 5)))
+    model.chain = (model.chain + model.chain.T) / 2
+    n = len(field.places)
+    own = model.unary[field.features].sum(1)
+    own[1] = -50
+    own[1, 0] = 0
+    total = np.zeros((n, 5))
+    for labels in np.ndindex(*[5] * n):
+        p = np.exp(sum(own[i, x] for i, x in enumerate(labels)) + sum(model.chain[labels[a], labels[b]] for a, b in field.chain))
+        for i, x in enumerate(labels):
+            total[i, x] += p
+    assert np.allclose(pii.marginals(field, model, rounds=60), total / total.sum(1, keepdims=True), atol=1e-3)
+
+
+# --- 9 SimHash
+
+
+def brute_components(fps, distance):
+    parent = {f: f for f in fps}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    fps = sorted(fps)
+    for i, a in enumerate(fps):
+        for b in fps[:i]:
+            if (a ^ b).bit_count() <= distance:
+                parent[find(a)] = find(b)
+    return {f: find(f) for f in fps}
+
+
+def test_fingerprints_and_components(odd, none):
+    got = simhash.near_duplicates(odd).collect()
+    fps = {}
+    for i, t in texts():
+        w = t.encode().lower().split()
+        h = [xxhash.xxh64_intdigest(b" ".join(w[k : k + 4]), 42) for k in range(max(1, len(w) - 3))] if w else []
+        fps[i, t] = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    assert sorted(r.fingerprint for r in got) == sorted(format(fps[k], "016x") for k in texts())
+    root = brute_components(set(fps.values()), 4)
+    least = {}
+    for (i, t), f in fps.items():
+        if i is not None:
+            least[root[f]] = min(i, least.get(root[f], i))
+    for r in got:
+        assert r.component_id == least.get(root[int(r.fingerprint, 16)])
+    assert simhash.near_duplicates(none).count() == 0
+    kept = simhash.keep_one_of_each(odd).collect()
+    assert len(kept) == len(set(root.values())) and kept[0].__fields__ == odd.columns
+
+
+@pytest.mark.parametrize("tile", [2048, 8])
+def test_links_lose_nothing(spark, monkeypatch, tile):
+    monkeypatch.setattr(simhash, "TILE", tile)
+    r = random.Random(4)
+    fps = set()
+    for _ in range(40):
+        f = r.getrandbits(64)
+        for _ in range(r.choice([1, 2, 3, 30])):
+            fps.add(f)
+            f ^= sum(1 << b for b in r.sample(range(64), r.randint(1, 5)))
+    signed = spark.createDataFrame([(simhash._signed(f),) for f in fps], "fp long")
+    for n in (10, 10**6, 10**9):  # as if there were so many: other numbers of bands
+        got = components(simhash.links_between(signed, 4, n)).collect()
+        to = {f: f for f in fps} | {x.node % (1 << 64): x.root % (1 << 64) for x in got}
+        want = brute_components(fps, 4)
+        assert len(set(to.values())) == len(set(want.values()))
+        pairs = {(want[f], to[f]) for f in fps}
+        assert len(pairs) == len(set(want.values()))
+
+
+# --- 10 substring dedup
+
+
+def test_covers():
+    for period, cover in substring_dedup.COVERS.items():
+        assert {(a - b) % period for a in cover for b in cover} == set(range(period))
+
+
+@pytest.mark.parametrize("window", [3, 10, 35])
+def test_substring_dedup(spark, odd, none, window):
+    shared = words(90, 50)
+    rows = texts() + [(100 + i, words(20 + i, 60 + i) + " " + shared[i * 3 :].partition(" ")[2] + " " + words(7, 80 + i)) for i in range(12)] + [(200, "x " * 90)]
+    docs = spark.createDataFrame([(i, t or None) for i, t in rows], "doc_id long, text string")
+    w = [(i, t.encode().split()) for i, t in rows]
+    count = collections.Counter(tuple(x[k : k + window]) for _, x in w for k in range(len(x) - window + 1))
+    want = []
+    for i, x in w:
+        gone = {k + d for k in range(len(x) - window + 1) if count[tuple(x[k : k + window])] > 1 for d in range(window)}
+        want.append((str(i), len(x), len(gone), hashlib.sha256(b" ".join(v for k, v in enumerate(x) if k not in gone)).hexdigest()))
+    got = substring_dedup.remove_repeats(docs, window).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got) == sorted(want)
+    assert substring_dedup.remove_repeats(none, window).count() == 0
+
+
+# --- 1 secrets
+
+
+def test_trigram_queries_hold_for_matches():
+    q = secrets.trigram_query
+    assert q("[0-9a-f]{24,}") is None and q("ab|cde") is None and q("(abc)?x") is None
+    assert q("abcd") == [frozenset({"abc", "bcd"})]
+    assert sorted(map(sorted, q("x(foo|bar)+"))) == [["bar", "xba"], ["foo", "xfo"]]
+    assert q("a.?bcd") == [frozenset({"bcd"})]
+
+
+def test_secret_scan(spark, none):
+    import re
+
+    rows = [(1, 'é token = "abcdef123" Secret:abcde password:\'xyzxyz\''), (2, "AKIA" + "A" * 20 + " " + "0af" * 9), (3, None), (4, ""), (None, "secret=token:abcdefgh"), (5, "API_KEY=zzzzzz,apikey : yyyyyy"), (5, "API_KEY=zzzzzz,apikey : yyyyyy"), (6, "-----BEGIN RSA PRIVATE KEY-----")]
+    got = secrets.scan(spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, rules int")).collect()
+    want = []
+    for i, t in rows:
+        t = t or ""
+        spans = [(m.start(), k, m.end()) for k, r in enumerate(secrets.RULES) for m in re.finditer(r.pattern, t) if len(m[r.group]) >= r.least]
+        name = [r.kind for r in secrets.RULES]
+        text = [",".join(f"{name[k]}:{a}:{b}" for a, k, b in sorted(s)) for s in (spans, [s for s in spans if s[1] < 3])]
+        want.append((str(i), *(sum(k == n for _, k, _ in spans) for n in range(3)), hashlib.sha256(text[1].encode()).hexdigest(), text[0]))
+    assert sorted((str(r.doc_id), r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans) for r in got) == sorted(want)
+    assert secrets.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+# --- the pipeline
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    before, kinds = docs, []
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, before, sf)
+        kinds.append(name)
+        if i < 4:
+            assert out.columns == docs.columns
+            path = corpus_pipeline.written(out, f"test-{i}")
+            if i < 3:
+                assert path.count() <= before.count() and path.join(before, "doc_id", "left_anti").count() == 0
+            if i == 1:
+                from provenant.llm.simhash import near_duplicates
+
+                assert near_duplicates(path).select("component_id").distinct().count() == path.count()
+            if i == 2:
+                bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+                assert decontamination.find_contamination(path, bench).where("contaminated").count() == 0
+            before = path
+        else:
+            assert out.count() == before.count()
+    assert len(kinds) == 5
