@@ -8,7 +8,8 @@ their labels on, and a word that isn't in a base span but is joined by skip edge
 its own if its label's marginal is high enough. Base spans always stay.
 
 The potentials are fitted by pseudo-likelihood to a bounded sample of documents (`most_documents`, those whose ids
-have the smallest hashes) in which the base spans stand for labels; so nothing but the patterns and the documents
+have the smallest hashes) in which the base spans stand for labels, and words that are joined to them without being in one are
+left open; so nothing but the patterns and the documents
 is needed. Inference reads every whole text, a document at a time, without shuffles.
 
 Defined results: a null text is empty and has no spans; repeated rows are tagged each; other columns are ignored;
@@ -123,6 +124,12 @@ class Field:
                 if end > a:
                     self.labels[i] = kind
                     break
+        group = list(range(len(keys)))
+        for a, b in self.skip:  # each b has one earlier node, so groups settle in one pass
+            group[b] = group[a]
+        marked = {group[i] for i in np.flatnonzero(self.labels != OUTSIDE)}
+        #: outside all base spans, but joined by skip edges to a node within one: what is to be found out
+        self.open = np.array([x == OUTSIDE and g in marked for x, g in zip(self.labels, group, strict=True)], bool)
 
 
 class Potentials:
@@ -132,11 +139,12 @@ class Potentials:
         self.unary, self.chain, self.skip = unary, chain, skip
 
 
-def _neighbour_counts(n: int, edges: list[tuple[int, int]], labels: np.ndarray) -> np.ndarray:
-    counts = np.zeros((n, OUTSIDE + 1))
+def _neighbour_counts(field: Field, edges: list[tuple[int, int]]) -> np.ndarray:
+    counts = np.zeros((len(field.places), OUTSIDE + 1))
     for a, b in edges:
-        counts[a, labels[b]] += 1
-        counts[b, labels[a]] += 1
+        for x, y in ((a, b), (b, a)):
+            if not field.open[y]:
+                counts[x, field.labels[y]] += 1
     return counts
 
 
@@ -150,8 +158,11 @@ def fit_potentials(fields: list[Field], rounds: int = 60, rate: float = 0.5, rid
         return Potentials(*weights)
     x = np.concatenate([f.features for f in fields])
     y = np.concatenate([f.labels for f in fields])
-    chain = np.concatenate([_neighbour_counts(len(f.places), f.chain, f.labels) for f in fields])
-    skip = np.concatenate([_neighbour_counts(len(f.places), f.skip, f.labels) for f in fields])
+    chain = np.concatenate([_neighbour_counts(f, f.chain) for f in fields])
+    skip = np.concatenate([_neighbour_counts(f, f.skip) for f in fields])
+    # an open node's label isn't known: it tells nothing, neither itself nor to its neighbours
+    known = ~np.concatenate([f.open for f in fields])
+    x, y, chain, skip = x[known], y[known], chain[known], skip[known]
     truth = np.eye(k)[y]
     squares = [np.full_like(w, 1e-8) for w in weights]
     for _ in range(rounds):
@@ -203,16 +214,11 @@ def added_spans(text: str, spans: list[tuple[int, int, int]], model: Potentials,
     if not spans:
         return []
     field = Field(text, spans)
-    group = list(range(len(field.places)))
-    for a, b in field.skip:  # each b has one earlier node, so groups settle in one pass
-        group[b] = group[a]
-    marked = {group[i] for i in np.flatnonzero(field.labels != OUTSIDE)}
-    linked = {i for i in np.flatnonzero(field.labels == OUTSIDE) if group[i] in marked}
-    if not linked:
+    if not field.open.any():
         return []
     p = marginals(field, model)
     added = []
-    for i in sorted(linked):
+    for i in np.flatnonzero(field.open):
         kind = int(p[i].argmax())
         if kind != OUTSIDE and p[i, kind] >= least:
             added.append((field.places[i][0], kind, field.places[i][1]))
