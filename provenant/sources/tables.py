@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -18,10 +18,11 @@ def read_snapshots(spark: SparkSession, pattern: str) -> DataFrame:
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """One row per line that holds an object; blank lines are dropped, broken ones come with their text."""
+    """One row per line that holds an object; blank lines are dropped; of lines that can't be parsed only `broken`,
+    their text, is set."""
+    full = f"{schema}, broken string" if isinstance(schema, str) else StructType([*schema.fields, StructField("broken", StringType())])
     lines = spark.read.text(path).where(F.trim("value") != "")
-    parsed = lines.select("value", F.from_json("value", schema).alias("r"))
-    return parsed.select("r.*", F.when(F.col("r").isNull(), F.col("value")).alias("broken"))
+    return lines.select(F.from_json("value", full, {"columnNameOfCorruptRecord": "broken"}).alias("r")).select("r.*")
 
 
 def append_jsonl(df: DataFrame, path: str) -> None:
