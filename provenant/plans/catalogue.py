@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import evaluate, graph, html, incremental, postings, rank, relational, segment, vector, verify
+from ..operators import context, evaluate, graph, html, incremental, postings, rank, relational, segment, vector, verify
 from ..sources.tables import table
 from ..streaming.gate import gate_batch
 
@@ -599,3 +599,44 @@ def canonical_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT regexp_extract(c_name, '(\\d)$', 1) AS suffix, count(*) AS n, min(c_name) AS first_name FROM customer GROUP BY 1")
 def suffix_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").groupBy(F.regexp_extract("c_name", "(\\d)$", 1).alias("suffix")).agg(F.count("*").alias("n"), F.min("c_name").alias("first_name"))
+
+
+@query("""WITH m AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations), r AS (SELECT * FROM m WHERE back <= 8)
+    SELECT conv_id, arg_max(text, turn) FILTER (WHERE role = 'user') AS query, string_agg(role || ': ' || coalesce(text, ''), chr(10) ORDER BY turn) AS history FROM r GROUP BY 1 HAVING count(*) FILTER (WHERE role = 'user') > 0""")
+def contextualised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context.contextualised(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text").drop("facts")
+
+
+@query("""WITH s AS (SELECT count(*) AS n_texts, sum(ceil(strlen(text) / 4)::BIGINT)::BIGINT AS n_tokens, sum(length(text)) AS c, count(*) FILTER (WHERE ceil(strlen(text) / 4) > 2048) AS n_over, max(ceil(strlen(text) / 4))::INTEGER AS largest FROM documents)
+    SELECT name, n_texts, n_tokens, round(c / n_tokens, 6) AS chars_per_token, n_over, largest, round(n_tokens * per_million / 1e6, 9) AS price FROM s CROSS JOIN (VALUES ('large-3072', 0.13::DOUBLE), ('small-1024', 0.02::DOUBLE)) p(name, per_million)""")
+def cost_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prices = spark.createDataFrame([("large-3072", 0.13), ("small-1024", 0.02)], "name string, per_million double")
+    out = context.cost_estimate(table(spark, sf_dir, "documents"), segment.estimated_tokens(F.col("text")), prices, F.length("text"), 2048)
+    return out.drop("per_million")
+
+
+@query("""SELECT role, count(*) AS n, round(avg(turn), 6) AS avg_seconds, round(avg(length(text)), 6) AS avg_chars, sum((length(text) - length(replace(text, '"', ''))))::BIGINT AS bad_quotes, count(*) FILTER (WHERE regexp_matches(text, '[éèêçàäöüßñíó]')) AS n_wrong_language FROM conversations GROUP BY 1""")
+def generator_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = F.length("text") - F.length(F.replace("text", F.lit('"'), F.lit("")))
+    return context.compare_generators(table(spark, sf_dir, "conversations"), "role", F.col("turn"), F.col("text"), marks, F.regexp_like("text", F.lit("[éèêçàäöüßñíó]")))
+
+
+@query(f"""WITH {_LEXICAL}, w AS (SELECT query_id, id, rank, score FROM lexical WHERE rank <= 50),
+    src AS (SELECT source AS s, min(doc_id) AS to_id FROM documents GROUP BY 1), e AS (SELECT doc_id AS from_id, to_id FROM documents JOIN src ON s = source WHERE to_id <> doc_id),
+    c AS (SELECT query_id, to_id AS id, min(rank) AS seed_rank FROM w JOIN e ON from_id = id WHERE rank <= 8 GROUP BY ALL),
+    f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY seed_rank, id) AS place FROM c WHERE (query_id, id) NOT IN (SELECT query_id, id FROM w)),
+    a AS (SELECT query_id, id, rank FROM w UNION ALL SELECT query_id, id, n + place FROM f JOIN (SELECT query_id, max(rank) AS n FROM w GROUP BY 1) USING (query_id) WHERE place <= 40),
+    x AS (SELECT a.query_id, a.id, a.rank AS came, {_list_terms_sql('b.text')} AS qt, {_list_terms_sql('substring(d.text, 1, 1800)')} AS dt FROM a JOIN documents d ON doc_id = a.id JOIN benchmark b ON item_id = a.query_id),
+    y AS (SELECT query_id, id, came, round(len(list_intersect(list_distinct(qt), list_distinct(dt))) / greatest(len(list_distinct(qt)), 1), 9) AS relevance FROM x)
+    SELECT query_id, id, came::INTEGER AS came, relevance, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, came) AS rank FROM y) WHERE rank <= 8""")
+def retrieve_expand_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole path: a pool of 50, what its first eight cite, reranked to eight. Texts join after ranks are known."""
+    docs = table(spark, sf_dir, "documents")
+    pool = _lexical(spark, sf_dir, 50).select("query_id", "id", "rank", "score")
+    first = docs.groupBy("source").agg(F.min("doc_id").alias("to_id"))
+    cited = docs.join(first, "source").where("to_id <> doc_id").select(F.col("doc_id").alias("from_id"), "to_id")
+    found = rank.expand_one_hop(pool, cited, docs.select(F.col("doc_id").alias("id")))
+    texts = docs.select(F.col("doc_id").alias("id"), rank.rerank_document(F.col("text"), F.lit(None).cast("string"), "prefix").alias("document"))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    rows = found.join(texts, "id").join(asked, "query_id")
+    return rank.rerank(rows, rank.term_overlap(T.search_terms("question"), T.search_terms("document")), 8).select("query_id", "id", "came", "relevance", "rank")
