@@ -202,6 +202,23 @@ def page_links(pages: DataFrame, id_column: str, html_column: str) -> DataFrame:
     return rows.mapInArrow(links, "id long, n long, href string, text string")
 
 
+def posts(pages: DataFrame, id_column: str, html_column: str, least_body: int = 40) -> DataFrame:
+    """(id, title, date, body, n_comments) of pages that are posts: the first heading, or else the page's title; the
+    first dd/mm/yyyy; the text without scripts, styles and tags. Bodies shorter than least_body are left out."""
+    raw = F.col(html_column)
+    bare = F.regexp_replace(F.regexp_replace(raw, "(?is)<!--.*?-->|<(script|style)\\b.*?</\\1>", " "), "(?s)<[^>]*>", " ")
+    heading = F.trim(F.regexp_replace(F.regexp_extract(raw, "(?is)<h1\\b[^>]*>(.*?)</h1>", 1), "<[^>]*>", ""))
+    title = F.trim(F.regexp_extract(raw, "(?is)<title\\b[^>]*>(.*?)</title>", 1))
+    out = pages.select(
+        F.col(id_column).alias("id"),
+        F.when(heading != "", heading).otherwise(title).alias("title"),
+        F.nullif(F.regexp_extract(raw, "(\\d{2}/\\d{2}/\\d{4})", 1), F.lit("")).alias("date"),
+        normalise_space(bare).alias("body"),
+        F.regexp_count(raw, F.lit("(?i)class=\"[^\"]*comment")).cast("long").alias("n_comments"),
+    )
+    return out.where(F.length("body") >= least_body)
+
+
 def page_metadata(blocks: DataFrame) -> DataFrame:
     """One row per page: length of its text, counts of its structures, and what structure it has."""
     point = (F.col("kind") == "text") & F.col("text").rlike("^\\d{1,3}(\\.\\d{1,2})?\\s*\\.\\s+")

@@ -454,6 +454,13 @@ def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.classified(html.raw_blocks(table(spark, sf_dir, "pages"), "page_id", "html"))
 
 
+@query("""SELECT id, title, body_sha256, n_comments FROM (SELECT page_id AS id, trim(regexp_replace(regexp_extract(html, '(?is)<h1\\b[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g')) AS title,
+    sha256(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<script\\b.*?</script>|<style\\b.*?</style>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))) AS body_sha256,
+    len(regexp_extract_all(html, '(?i)class="[^"]*comment'))::BIGINT AS n_comments FROM pages)""")
+def page_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.posts(table(spark, sf_dir, "pages"), "page_id", "html").select("id", "title", F.sha2("body", 256).alias("body_sha256"), "n_comments")
+
+
 @query()
 def page_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.page_metadata(html_blocks(spark, sf_dir))

@@ -8,8 +8,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from provenant.functions import text as T
-from provenant.operators import evaluate, graph, html, incremental, postings, rank, relational, segment, vector, verify
-from provenant.sources import tables
+from provenant.operators import context, evaluate, graph, html, incremental, postings, rank, relational, segment, vector, verify
+from provenant.sources import model, tables
 from provenant.streaming import gate as G
 
 
@@ -359,3 +359,37 @@ def test_status_and_silence(spark):
     diff = spark.createDataFrame([(1, "same"), (1, "added"), (2, "same"), (3, "removed")], "d long, change string")
     got = {r.d: r.status for r in incremental.document_status(diff, "d", spark.createDataFrame([(2,), (9,)], "d long")).collect()}
     assert got == {1: "changed", 2: "error", 3: "error", 9: "error"}
+
+
+# --- context and model
+
+
+def test_context(spark):
+    said = spark.createDataFrame([(1, n, "user" if n % 2 == 0 else "assistant", f"m{n}") for n in range(11)] + [(2, 0, "assistant", "x")], "s long, n long, role string, text string")
+    rows = context.contextualised(said, "s", "n", "role", "text").collect()
+    assert len(rows) == 1 and rows[0].query == "m10" and rows[0].history.startswith("assistant: m3") and rows[0].facts is None
+    changed = context.contextualised(said, "s", "n", "role", "text", rewrite=lambda m, h: F.when(F.lit(False), m)).first()
+    assert changed.query == "m10"
+    parts = spark.createDataFrame([(1, 2, True, "b", "two"), (1, 1, False, "a", "one")], "s long, place int, is_carried boolean, ref string, text string")
+    assert context.prompts(parts, ["s"], F.lit("ru"), F.lit(None).cast("string")).first().prompt == 'Answer in: ru\n\n<fresh ref="a">\none\n</fragment>\n\n<carried ref="b">\ntwo\n</fragment>'
+    assert context.smallest_input_limit(context.models(spark)).first()[0] == 512
+
+
+def test_audits(spark):
+    pages = spark.createDataFrame([(1, 3, "articles", "5", "hy", 10), (2, 0, "unknown", None, "hy", 10), (3, 1, "articles", "6", "ru", 10)], "id long, n_article long, structure string, number string, body_script string, n_chars long")
+    expected = spark.createDataFrame([(1, "5", "hy", False), (2, None, "hy", False), (3, "6", "hy", False), (4, "1", "hy", True)], "id long, number string, script string, is_control boolean")
+    assert {r.id: r.verdict for r in context.audit_rows(pages, expected).collect()} == {1: "ok", 2: "failed", 3: "partial", 4: "failed"}
+    versions = spark.createDataFrame([(1, "hy", "2021-01-01"), (1, "ru", "2020-01-01"), (1, "en", "2021-01-01")], "id long, lang string, at string")
+    assert [r.lang for r in context.stale_translations(versions, "id", "lang", "at", "hy").collect()] == ["ru"]
+
+
+def test_model(spark):
+    for name in model.TABLES:
+        assert model.schema_differences(model.empty(spark, name), name) == []
+    assert model.schema_differences(spark.range(1), "article_refs") == ["missing from_id", "missing to_id", "surplus id"]
+    refs = spark.createDataFrame([(1, 1), (1, 2)], "from_id long, to_id long")
+    assert model.broken_rules(refs, "article_refs").first().n == 1
+    names = spark.createDataFrame([("002",), ("001",), ("003",)], "name string")
+    assert [r.name for r in model.pending(names, names.where("name = '002'")).collect()] == ["001", "003"]
+    docs = model.empty(spark, "documents")
+    assert tables.retrievable(model.empty(spark, "articles"), docs).count() == 0 and model.orphan_counts(model.empty(spark, "articles"), docs).first()[0] == 0
