@@ -197,8 +197,9 @@ def table_header(body: Column) -> Column:
 
 
 def cut_oversize(units: Column, budget: int, size=estimated_tokens) -> Column:
-    """Units of the budget or more are cut after sentence ends, and what is still too large every 4 * budget // 2 characters."""
-    hard = max(1, budget * 2)
+    """Units of the budget or more are cut after sentence ends, and what is still too large every `budget` characters,
+    which no counter that has a token for each four bytes puts above it."""
+    hard = max(1, budget)
 
     def pieces(x: Column) -> Column:
         sentences = F.split(x, "(?<=[։.;])\\s+")
@@ -224,10 +225,13 @@ def greedy_pack(units: Column, budget: Column | int, size=estimated_tokens) -> C
 
 
 def slices(chunk: DataFrame, id_column: str, header: str, body: str, most: int = 7000, cap: int = 8000, size=estimated_tokens) -> DataFrame:
-    """(parent_id, slice_id, slice_index, n_slices, text): one slice if the chunk is within `most`, else packed units,
-    each under the header, and the table's header again on slices after the first that hold a row. None is over cap."""
-    head, text = F.col(header), F.col(body)
-    rows = chunk.select(F.col(id_column).alias("parent_id"), head.alias("head"), text.alias("body"), table_header(text).alias("columns"))
+    """(parent_id, slice_id, slice_index, n_slices, text): one slice if the chunk is within `most`, else packed units, each
+    under the header, and the table's header again on slices after the first that hold a row. None is over cap: headers
+    that leave no room for a unit are dropped."""
+    text = F.coalesce(F.col(body), F.lit(""))
+    heads = F.coalesce(F.col(header), F.lit(""))
+    fits = size(heads) + F.coalesce(size(table_header(text)), F.lit(0)) <= cap - 320
+    rows = chunk.select(F.col(id_column).alias("parent_id"), F.when(fits, heads).otherwise("").alias("head"), text.alias("body"), F.when(fits, table_header(text)).alias("columns"))
     room = F.greatest(F.lit(256), F.lit(most) - size(F.col("head")) - F.coalesce(size(F.col("columns")), F.lit(0)) - 16)
     packed = greedy_pack(cut_oversize(atomic_units(F.col("body")), 256, size), room, size)
     whole = size(F.concat_ws("\n", "head", "body")) <= most

@@ -223,6 +223,13 @@ def test_slices_hold_all_words_and_the_cap(spark, bodies):
             assert sorted(said.replace(" ", "").replace("\n", "")) == sorted(b.replace(" ", "").replace("\n", ""))
 
 
+def test_slices_of_odd_chunks_stay_within_the_cap(spark):
+    rows = spark.createDataFrame([(1, "h" * 9000, "word " * 3000), (2, None, None), (3, "h", "😀" * 5000), (4, "", "| a |\n|---|\n" + "| 1 |\n" * 900)], "id long, head string, body string")
+    out = segment.slices(rows, "id", "head", "body", most=700, cap=800).collect()
+    assert all(-(-len(r.text.encode()) // 4) <= 800 for r in out) and {r.parent_id for r in out} == {1, 2, 3, 4}
+    assert all(r.text.startswith("| a |\n|---|") for r in out if r.parent_id == 4)
+
+
 def test_greedy_pack_against_a_loop(spark):
     r = random.Random(6)
     units = ["x" * r.randint(1, 60) for _ in range(50)]
