@@ -13,6 +13,11 @@ the same, such as groups of thousands of near copies, are cut into tiles and eac
 A unit emits a link from each fingerprint to the smallest it is connected with, so links grow with the rows, never
 with their pairs.
 
+`keep_one_of_each` is meant for a similarity of texts, 0.8 of five-word shingles: fingerprints within a wider distance
+are candidates, and three more words of bits, 256 in all, decide: they tell a similarity of 0.8 from one of 0.6, and never link unrelated texts, so
+classes don't grow by chance however many documents there are. At such distances pivots rule out next to nothing;
+bits are compared directly.
+
 Defined results: null and empty texts have fingerprint zero and are linked like others; equal fingerprints are one
 class; repeated rows are members each; null doc_ids are never a class's id unless all are null; other columns are
 ignored.
@@ -34,41 +39,55 @@ from .common import attach_by_key, bounded_batches, text_or_empty, written
 from .components import components
 
 #: Reference fingerprints, and fingerprints in a tile.
-N_PIVOTS, TILE = 8, 2048
+N_PIVOTS, TILE = 8, 8192
+#: Beyond this distance the pivot table isn't asked.
+PIVOTS_UP_TO = 8
+#: Multipliers that make further hashes of a shingle's hash, for fingerprints of more than 64 bits.
+_MORE = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
 def pivots() -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(f"pivot {i}".encode(), 0) for i in range(N_PIVOTS)], np.uint64)
 
 
-def fingerprint(text: str, shingle: int) -> int:
-    """Unsigned 64 bits: a bit is set if more than half of the shingles' XXH64 with seed 42 have it."""
+def _majority(hashes: np.ndarray) -> int:
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 14):
+        counts += np.unpackbits(hashes[at : at + (1 << 14)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str, shingle: int, more: int = 0) -> list[int]:
+    """Unsigned words of 64 bits: a bit of the first is set if more than half of the shingles' XXH64 with seed 42 have
+    it; `more` words are made alike of hashes of these hashes."""
     words = text.encode().lower().split()  # bytes: only A-Z change, and only ASCII white space separates
     if not words:
-        return 0
+        return [0] * (1 + more)
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths) + np.arange(len(words))
     starts, ends = (ends - lengths).tolist(), ends[min(shingle, len(words)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(joined[a:b], 42) for a, b in zip(starts, ends, strict=False)], np.uint64)
-    counts = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 14):
-        counts += np.unpackbits(hashes[at : at + (1 << 14)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
+    out = [_majority(hashes)]
+    for m in _MORE[:more]:
+        other = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(m)
+        out.append(_majority(other ^ (other >> np.uint64(29))))
+    return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """doc_id, tie (the text's hash), fp (the unsigned bits as a signed long) for each row of `docs`."""
+def fingerprints(docs: DataFrame, shingle: int = 4, more: int = 0) -> DataFrame:
+    """doc_id, tie (the text's hash), fp (the unsigned bits as a signed long), w1, ... for each row of `docs`."""
     bounded_batches(docs.sparkSession)
+    names = ["fp", *(f"w{i + 1}" for i in range(more))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t, shingle) for t in batch.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), pa.array(found.view(np.int64))], ["doc_id", "tie", "fp"])
+            found = np.array([fingerprint(t, shingle, more) for t in batch.column("text").to_pylist()], np.uint64).reshape(-1, 1 + more).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), *(pa.array(found[:, i].copy()) for i in range(1 + more))], ["doc_id", "tie", *names])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("tie"), text_or_empty().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, tie long, fp long")
+    return rows.mapInArrow(run, "doc_id long, tie long, " + ", ".join(f"{n} long" for n in names))
 
 
 def bands_for(n: int, distance: int) -> int:
@@ -76,7 +95,7 @@ def bands_for(n: int, distance: int) -> int:
 
     def work(bands: int) -> float:
         equal_bits = 64 * (bands - distance) / bands
-        return comb(bands, distance) * (n + n * n / 2 ** (equal_bits + 1) / 20)  # a pair takes a twentieth of a row's time
+        return comb(bands, distance) * (n + n * n / 2 ** (equal_bits + 1) / 500)  # a row takes a pair's time some 500 times
 
     return min(range(distance + 1, distance + 8), key=work)
 
@@ -92,26 +111,40 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _close(fps: np.ndarray, table: np.ndarray, a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
+def _apart(words: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits in which rows a and b differ, over all their words."""
+    return sum(np.bitwise_count(w[a] ^ w[b]).astype(np.int64) for w in words.T)
+
+
+def _close(words: np.ndarray, table: np.ndarray, a: np.ndarray, b: np.ndarray, distance: int, wide: int) -> np.ndarray:
     """Of pairs a, b of rows: which are within the distance; the pivot table first, the bits for what it leaves."""
-    near = np.abs(table[a] - table[b]).max(1) <= distance
-    near[near] = np.bitwise_count(fps[a[near]] ^ fps[b[near]]) <= distance
+    near = np.ones(len(a), bool) if distance > PIVOTS_UP_TO else np.abs(table[a] - table[b]).max(1) <= distance
+    near[near] = np.bitwise_count(words[a[near], 0] ^ words[b[near], 0]) <= distance
+    if words.shape[1] > 1:
+        near[near] = _apart(words, a[near], b[near]) <= wide
     return near
 
 
-def linked_to(fps: np.ndarray, table: np.ndarray, distance: int) -> np.ndarray:
-    """For each of a unit's fingerprints, in ascending order, the place of the smallest that it is connected with."""
-    n = len(fps)
+def linked_to(words: np.ndarray, table: np.ndarray, distance: int, wide: int) -> np.ndarray:
+    """For each of a unit's fingerprints, in order, the place of the first that it is connected with."""
+    n, fps = len(words), np.ascontiguousarray(words[:, 0])
     label = np.arange(n)
     for at in range(0, n, 256):
         rows = slice(at, at + 256)
-        near = np.ones((min(256, n - at), n), bool)
-        for c in range(table.shape[1]):
-            near &= np.abs(table[rows, None, c] - table[None, :, c]) <= distance
-        a, b = np.nonzero(near)
-        good = np.bitwise_count(fps[at + a] ^ fps[b]) <= distance
-        near[a[~good], b[~good]] = False
-        for i in range(len(near)):
+        if distance > PIVOTS_UP_TO:
+            near = np.bitwise_count(fps[rows, None] ^ fps[None, :]) <= distance
+        else:
+            near = np.ones((min(256, n - at), n), bool)
+            for c in range(table.shape[1]):
+                near &= np.abs(table[rows, None, c] - table[None, :, c]) <= distance
+            a, b = np.nonzero(near)
+            bad = np.bitwise_count(fps[at + a] ^ fps[b]) > distance
+            near[a[bad], b[bad]] = False
+        if words.shape[1] > 1:
+            a, b = np.nonzero(near)
+            bad = _apart(words, at + a, b) > wide
+            near[a[bad], b[bad]] = False
+        for i in np.flatnonzero(near.sum(1) > 1):
             met = label[near[i]]
             least = met.min()
             if (met != least).any():
@@ -119,45 +152,44 @@ def linked_to(fps: np.ndarray, table: np.ndarray, distance: int) -> np.ndarray:
     return label
 
 
-def link_units(distance: int):
-    """Over rows (unit columns, fp) sorted by unit: a link (a, b) from fingerprints to smaller ones."""
-    columns = ("t", "key", "lo", "hi")
+def link_units(distance: int, more: int, wide: int):
+    """Over rows (t, key, lo, hi, node, fp, w1, ...) sorted by the unit t, key, lo, hi: links (a, b) of nodes."""
+    columns = ("t", "key", "lo", "hi", "node", "fp", *(f"w{i + 1}" for i in range(more)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         refs, held = pivots(), None
 
         def links(rows: list[np.ndarray]) -> pa.RecordBatch:
-            *unit, signed = rows
-            fps = signed.view(np.uint64)
-            table = np.bitwise_count(fps[:, None] ^ refs).astype(np.int8)
-            changed = np.zeros(len(fps), bool)
+            unit, node = rows[:4], rows[4]
+            words = np.stack([r.view(np.uint64) for r in rows[5:]], 1)
+            table = np.bitwise_count(words[:, :1] ^ refs).astype(np.int8)
+            changed = np.zeros(len(node), bool)
             changed[0] = True
             for c in unit:
                 changed[1:] |= c[1:] != c[:-1]
             starts = np.flatnonzero(changed)
-            sizes = np.diff(np.append(starts, len(fps)))
+            sizes = np.diff(np.append(starts, len(node)))
             # units of two and three: all pairs at once
-            small = starts[sizes == 2]
-            three = starts[sizes == 3]
-            a = np.concatenate([small, three, three, three + 1])
-            b = np.concatenate([small + 1, three + 1, three + 2, three + 2])
-            near = _close(fps, table, a, b, distance)
-            found = [(np.maximum(signed[a[near]], signed[b[near]]), np.minimum(signed[a[near]], signed[b[near]]))]
+            two, three = starts[sizes == 2], starts[sizes == 3]
+            a = np.concatenate([two, three, three, three + 1])
+            b = np.concatenate([two + 1, three + 1, three + 2, three + 2])
+            near = _close(words, table, a, b, distance, wide)
+            found = [(node[a[near]], node[b[near]])]
             for start, size in zip(starts[sizes > 3], sizes[sizes > 3], strict=True):
-                order = start + np.argsort(signed[start : start + size])
-                to = linked_to(fps[order], table[order], distance)
+                of = slice(start, start + size)
+                to = linked_to(words[of], table[of], distance, wide)
                 moved = to != np.arange(size)
-                found.append((signed[order][moved], signed[order][to[moved]]))
+                found.append((node[of][moved], node[of][to[moved]]))
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[i] for f in found])) for i in range(2)], ["a", "b"])
 
         for batch in batches:
-            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in (*columns, "fp")]
+            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
             if held is not None:
                 now = [np.concatenate(x) for x in zip(held, now, strict=True)]
             if not len(now[0]):
                 continue
             last = np.ones(len(now[0]), bool)
-            for c in now[:-1]:
+            for c in now[:4]:
                 last &= c == c[-1]
             cut = len(last) - int(np.argmin(last[::-1])) if not last.all() else 0  # the last unit may go on
             held = [x[cut:] for x in now]
@@ -169,33 +201,39 @@ def link_units(distance: int):
     return run
 
 
-def links_between(classes: DataFrame, distance: int, n: int) -> DataFrame:
-    """Links (a, b) that connect all distinct fp in `classes` (fp) that differ in at most `distance` bits."""
+def links_between(classes: DataFrame, distance: int, n: int, more: int = 0, wide: int = 0) -> DataFrame:
+    """Links (a, b) of nodes that connect all classes (node, fp, w1, ...) whose fp differ in at most `distance` bits
+    and, with more words than fp, whose words differ in at most `wide` bits in all."""
     spark = classes.sparkSession
     masks = masks_for(bands_for(n, distance), distance)
     keyed = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("t", "key")
-    rows = classes.select("fp", keyed)
+    bits = ["node", "fp", *(f"w{i + 1}" for i in range(more))]
+    rows = classes.select(*bits, keyed)
     blocks = rows.groupBy("t", "key").agg(F.count("*").alias("m")).where("m > 1")
     met = rows.join(blocks, ["t", "key"])
     tiles = F.ceil(F.col("m") / TILE)
     met = met.withColumns({"tiles": tiles, "own": F.pmod(F.xxhash64("fp"), tiles)})
-    met = met.select("t", "key", "fp", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other"))
-    units = met.select("t", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "fp")
+    met = met.select("t", "key", *bits, "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other"))
+    units = met.select("t", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), *bits)
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    units = units.repartition(n_parts, "t", "key", "lo", "hi").sortWithinPartitions("t", "key", "lo", "hi")
-    return units.mapInArrow(link_units(distance), "a long, b long").distinct()
+    units = units.repartition(n_parts, "t", "key", "lo", "hi").sortWithinPartitions("t", "key", "lo", "hi", "fp")
+    return units.mapInArrow(link_units(distance, more, wide), "a long, b long").distinct()
 
 
-def _grouped(docs: DataFrame, shingle: int, distance: int) -> tuple[DataFrame, DataFrame]:
-    """Each row's (doc_id, tie, fp), and by fp the number of its rows and the first row of its class: the one with
-    the smallest doc_id, then hash of text; a null doc_id comes last."""
-    marked = written(fingerprints(docs, shingle), "fingerprints")
+def _grouped(docs: DataFrame, shingle: int, distance: int, more: int = 0, wide: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Each row's (doc_id, tie, node, fp, ...), and by node the number of its rows and the first row of its class: the
+    one with the smallest doc_id, then hash of text; a null doc_id comes last."""
+    bits = ["fp", *(f"w{i + 1}" for i in range(more))]
+    node = F.xxhash64(*bits) if more else F.col("fp")
+    marked = written(fingerprints(docs, shingle, more).withColumn("node", node), "fingerprints")
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tie")
-    classes = written(marked.groupBy("fp").agg(F.min(row).alias("first"), F.count("*").alias("n_docs")), "fingerprint-classes")
-    roots = components(links_between(classes.select("fp"), distance, classes.count()))
-    rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", "n_docs", F.coalesce("root", "fp").alias("root"))
+    classes = marked.groupBy("node").agg(F.min(row).alias("first"), F.count("*").alias("n_docs"), *[F.first(c).alias(c) for c in bits])
+    classes = written(classes, "fingerprint-classes")
+    roots = components(links_between(classes.select("node", *bits), distance, classes.count(), more, wide))
+    roots = roots.withColumnRenamed("node", "linked")
+    rooted = classes.join(roots, F.col("node") == F.col("linked"), "left").select("node", "first", "n_docs", F.coalesce("root", "node").alias("root"))
     firsts = rooted.groupBy("root").agg(F.min("first").alias("first"))
-    return marked, written(rooted.select("fp", "n_docs", "root").join(firsts, "root").select("fp", "n_docs", "first"), "fingerprint-components")
+    return marked, written(rooted.select("node", "n_docs", "root").join(firsts, "root").select("node", "n_docs", "first"), "fingerprint-components")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
@@ -203,13 +241,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> Dat
     links lead to, its own included)."""
     marked, named = _grouped(docs, shingle, distance)
     n_docs = named.agg(F.sum("n_docs")).first()[0] or 0
-    out = attach_by_key(marked, named, ["fp"], "n_docs", n_docs)
+    out = attach_by_key(marked, named, ["node"], "n_docs", n_docs)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
-def keep_one_of_each(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
-    """The rows of `docs`, with all its columns, that are the first of their class; of repeated rows one."""
-    _, named = _grouped(docs, shingle, distance)
+def keep_one_of_each(docs: DataFrame, shingle: int = 5, distance: int = 12, wide: int = 44) -> DataFrame:
+    """The rows of `docs`, with all its columns, that are the first of their class; of repeated rows one.
+
+    Two documents are linked if their fingerprints of five-word shingles differ in at most `distance` of the first 64
+    bits and `wide` of 256. At a share of 0.8 of shingles in common, about 10 and 39 bits are to be expected."""
+    _, named = _grouped(docs, shingle, distance, more=3, wide=wide)
     firsts = named.select(F.col("first.doc_id").alias("_id"), F.col("first.tie").alias("_tie")).distinct()
     keyed = docs.withColumn("_text_hash", F.xxhash64(text_or_empty()))
     kept = keyed.join(firsts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_tie")))

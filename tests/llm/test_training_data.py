@@ -309,7 +309,25 @@ def test_fingerprints_and_components(odd, none):
         assert r.component_id == least.get(root[int(r.fingerprint, 16)])
     assert simhash.near_duplicates(none).count() == 0
     kept = simhash.keep_one_of_each(odd).collect()
-    assert len(kept) == len(set(root.values())) and kept[0].__fields__ == odd.columns
+    assert kept[0].__fields__ == odd.columns
+    assert {r.doc_id for r in kept} == {1, 3, 6, 7, 8, 9, 10, 11} and len(kept) == 8  # 1 stands for its copies and the one with a tail
+
+
+def test_near_copies_by_similarity(spark):
+    r = random.Random(8)
+    rows, group = [], {}
+    for g in range(60):
+        base = [f"w{r.randrange(10**6)}" for _ in range(r.randint(150, 400))]
+        for c in range(r.choice([1, 2, 4])):
+            copy = list(base)
+            for _ in range(len(base) // 100 if c else 0):  # a word in a hundred: some 0.9 of shingles stay
+                copy[r.randrange(len(copy))] = f"x{r.randrange(10**6)}"
+            group[len(rows)] = g
+            rows.append((len(rows), " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [x.doc_id for x in simhash.keep_one_of_each(docs).collect()]
+    assert {group[i] for i in kept} == set(group.values())  # each group keeps one
+    assert len(kept) <= 60 + 0.1 * (len(rows) - 60)
 
 
 @pytest.mark.parametrize("tile", [2048, 8])
@@ -322,7 +340,7 @@ def test_links_lose_nothing(spark, monkeypatch, tile):
         for _ in range(r.choice([1, 2, 3, 30])):
             fps.add(f)
             f ^= sum(1 << b for b in r.sample(range(64), r.randint(1, 5)))
-    signed = spark.createDataFrame([(simhash._signed(f),) for f in fps], "fp long")
+    signed = spark.createDataFrame([(simhash._signed(f), simhash._signed(f)) for f in fps], "node long, fp long")
     for n in (10, 10**6, 10**9):  # as if there were so many: other numbers of bands
         got = components(simhash.links_between(signed, 4, n)).collect()
         to = {f: f for f in fps} | {x.node % (1 << 64): x.root % (1 << 64) for x in got}
@@ -401,9 +419,7 @@ def test_pipeline_stages(spark):
             if i < 3:
                 assert path.count() <= before.count() and path.join(before, "doc_id", "left_anti").count() == 0
             if i == 1:
-                from provenant.llm.simhash import near_duplicates
-
-                assert near_duplicates(path).select("component_id").distinct().count() == path.count()
+                assert simhash.keep_one_of_each(path).count() == path.count()  # nothing is left to take out
             if i == 2:
                 bench = spark.read.parquet(f"{sf}/benchmark.parquet")
                 assert decontamination.find_contamination(path, bench).where("contaminated").count() == 0
