@@ -245,7 +245,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> Dat
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
-def keep_one_of_each(docs: DataFrame, shingle: int = 5, distance: int = 12, wide: int = 44) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, shingle: int = 5, distance: int = 14, wide: int = 46) -> DataFrame:
     """The rows of `docs`, with all its columns, that are the first of their class; of repeated rows one.
 
     Two documents are linked if their fingerprints of five-word shingles differ in at most `distance` of the first 64
