@@ -110,6 +110,17 @@ def _op1_sql() -> str:
 
 ORACLE_SQL = {
     "op1_secret_scan": _op1_sql(),
+    "op10_substring_dedup": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        places AS (SELECT r, unnest(range(1, len(w) - 33)) AS p FROM d WHERE len(w) >= 35),
+        keyed AS (SELECT r, p, sha256(array_to_string(w[p:p + 34], ' ')) AS k FROM places JOIN d USING (r)),
+        again AS (SELECT r, p FROM (SELECT r, p, count(*) OVER (PARTITION BY k) AS n FROM keyed) WHERE n > 1),
+        gone AS (SELECT DISTINCT r, unnest(range(p, p + 35)) AS i, true AS is_gone FROM again),
+        word AS (SELECT r, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS x FROM d)
+        SELECT any_value(doc_id) AS doc_id, count(x) AS n_words, count(is_gone) AS n_removed,
+               sha256(coalesce(string_agg(x, ' ' ORDER BY i) FILTER (WHERE is_gone IS NULL), '')) AS kept_sha256
+        FROM d LEFT JOIN word USING (r) LEFT JOIN gone USING (r, i) GROUP BY r
+    """,
     "op6_exact_dedup": """
         SELECT doc_id,
                max(doc_id) OVER same AS keep_id,
