@@ -21,7 +21,7 @@ def _star(pairs: DataFrame, keep: str) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root), root the smallest node of node's component, for all nodes of `edges` (a, b) but the roots themselves."""
-    now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+    now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
     mark = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -229,11 +229,14 @@ def _grouped(docs: DataFrame, shingle: int, distance: int, more: int = 0, wide:
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tie")
     classes = marked.groupBy("node").agg(F.min(row).alias("first"), F.count("*").alias("n_docs"), *[F.first(c).alias(c) for c in bits])
     classes = written(classes, "fingerprint-classes")
-    roots = components(links_between(classes.select("node", *bits), distance, classes.count(), more, wide))
+    n = classes.count()
+    roots = components(links_between(classes.select("node", *bits), distance, n, more, wide))
     roots = roots.withColumnRenamed("node", "linked")
     rooted = classes.join(roots, F.col("node") == F.col("linked"), "left").select("node", "first", "n_docs", F.coalesce("root", "node").alias("root"))
-    firsts = rooted.groupBy("root").agg(F.min("first").alias("first"))
-    return marked, written(rooted.select("node", "n_docs", "root").join(firsts, "root").select("node", "n_docs", "first"), "fingerprint-components")
+    rooted = written(rooted, "fingerprint-roots")
+    firsts = written(rooted.groupBy("root").agg(F.min("first").alias("first"), F.count("*").alias("n_nodes")), "fingerprint-firsts")
+    named = attach_by_key(rooted.select("node", "n_docs", "root"), firsts, ["root"], "n_nodes", n)
+    return marked, written(named.select("node", "n_docs", "first"), "fingerprint-components")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
