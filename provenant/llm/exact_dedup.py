@@ -36,7 +36,8 @@ class DigestIndex:
         digests = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.unhex(F.sha2(text_or_empty(text_column), 256)).alias("digest"))
         # rows of one text that share a doc_id become one row with a count
         staged = written(digests.groupBy("digest", "doc_id").agg(F.count("*").alias("copies")), "digests")
-        groups = staged.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("n_rows"), F.count("*").alias("n_staged"))
+        # written, or the optimizer would push the anti-join below the aggregation and shuffle all rows of a digest
+        groups = written(staged.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("n_rows"), F.count("*").alias("n_staged")), "digest-groups")
 
         before = self.spark.table(self.table)
         batch = (before.agg(F.max("batch")).first()[0] or 0) + 1
