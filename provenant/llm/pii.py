@@ -7,6 +7,11 @@ and edges grow with the text, not with its square. Words within base spans are o
 their labels on, and a word that isn't in a base span but is joined by skip edges to one that is becomes a span of
 its own if its label's marginal is high enough. Base spans always stay.
 
+Numbers of several words are nodes too: each base span but e-mail addresses, and each maximal run of digit groups
+between them that have only white space and the signs of numbers between (cut where a part of it is a number of the
+document). Their key is all their digits; skip edges join keys of seven or more digits of which one ends with the
+other, by tables of the endings that occur in the document. A run that becomes a span takes the place of its words.
+
 The potentials are fitted by pseudo-likelihood to a bounded sample of documents (`most_documents`, those whose ids
 have the smallest hashes) in which the base spans stand for labels, and words that are joined to them without being in one are
 left open; so nothing but the patterns and the documents
@@ -21,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,6 +52,11 @@ _DIGIT = re.compile(r"[0-9]")
 _NODE = re.compile(r"[^\x20\x09-\x0D]+")
 _KEY = re.compile(r"[^0-9A-Za-z]+")
 _NODE_SIGN = re.compile(r"[0-9@]")
+#: A run's digit groups stand free of letters and at signs; what may be between two of them.
+_GROUP = re.compile(r"(?<![^\W_])(?<!@)[0-9]+(?![^\W_])(?!@)")
+_BETWEEN = re.compile(r"[\s().\-/\u2010-\u2015]+")
+LEAST_ENDING = 7
+SAME_NUMBER = 3.0
 _EDGE_SIGNS = "()[]{}<>.,;:!?\"'*#$%&"
 
 
@@ -88,11 +99,62 @@ def _shape(word: str) -> str:
     return re.sub(r"(.)\1{3,}", r"\1\1\1", re.sub(r"[A-Za-z]", "a", re.sub(r"[0-9]", "9", word)))[:24]
 
 
+def number_runs(text: str, spans: list[tuple[int, int, int]], keys: set[str]) -> list[tuple[int, int, str]]:
+    """(start, end, digits) of the runs of digit groups outside `spans`, in order. Where groups of a run end with one of `keys`, or are an
+    ending of one, they are a run of their own: the longest ending, or else the fewest groups that hold a key."""
+    endings = {k[i:] for k in keys for i in range(len(k) - LEAST_ENDING + 1)}
+    lengths = sorted({len(k) for k in keys})
+    runs: list[list[tuple[int, int]]] = []
+    at = last = 0
+    for m in _GROUP.finditer(text):
+        a, b = m.span()
+        while at < len(spans) and spans[at][2] <= a:
+            last, at = max(last, spans[at][2]), at + 1
+        if any(start < b and end > a for start, _, end in spans[at : at + len(KINDS)]):
+            continue
+        if runs and runs[-1][-1][1] >= last and _BETWEEN.fullmatch(text, runs[-1][-1][1], a):
+            runs[-1].append((a, b))
+        else:
+            runs.append([(a, b)])
+    out = []
+
+    def add(groups: list[tuple[int, int]]) -> None:
+        digits = "".join(text[a:b] for a, b in groups)
+        if len(digits) >= LEAST_ENDING:
+            a, b = groups[0][0], groups[-1][1]
+            if text[a - 1 : a] == "(" and ")" in text[a:b]:
+                a -= 1
+            out.append((a - (text[a - 1 : a] == "+"), b, digits))
+
+    for groups in runs:
+        j = rest = len(groups)
+        while j and lengths:
+            digits, ending, holds, i = "", None, None, j
+            while i and len(digits) < lengths[-1]:
+                i -= 1
+                digits = text[slice(*groups[i])] + digits
+                if digits in endings:
+                    ending = i
+                elif holds is None and any(digits[-n:] in keys for n in lengths if n <= len(digits)):
+                    holds = i
+            first = ending if ending is not None else holds
+            if first is None:
+                j -= 1
+                continue
+            if j < rest:
+                add(groups[j:rest])
+            add(groups[first:j])
+            j = rest = first
+        if rest:
+            add(groups[:rest])
+    return sorted(out)
+
+
 class Field:
     """One document's nodes, edges and observed labels."""
 
     def __init__(self, text: str, spans: list[tuple[int, int, int]]):
-        self.places, keys, feats, self.chain, self.skip = [], [], [], [], []
+        self.places, keys, feats, self.chain, self.skip, self.repeat = [], [], [], [], [], []
         last_seen: dict[str, int] = {}
         before, n_before = "", -2
         for n, m in enumerate(_NODE.finditer(text)):
@@ -112,7 +174,8 @@ class Field:
                     last_seen[key] = i
                 n_before = n
             before = word
-        self.features = np.array(feats, np.int64).reshape(len(keys), 5)
+        #: from here on nodes are numbers of several words
+        self.n_words = len(keys)
         self.labels = np.full(len(keys), OUTSIDE)
         at = 0
         for i, (a, b) in enumerate(self.places):
@@ -124,19 +187,65 @@ class Field:
                 if end > a:
                     self.labels[i] = kind
                     break
-        group = list(range(len(keys)))
-        for a, b in self.skip:  # each b has one earlier node, so groups settle in one pass
-            group[b] = group[a]
-        marked = {group[i] for i in np.flatnonzero(self.labels != OUTSIDE)}
+        self._add_numbers(text, spans, feats)
+        self.features = np.array(feats, np.int64).reshape(len(self.places), 5)
+        group = list(range(len(self.places)))
+
+        def top(i: int) -> int:
+            while group[i] != i:
+                group[i] = i = group[group[i]]
+            return i
+
+        for a, b in self.skip + self.repeat:
+            group[top(b)] = top(a)
+        group = [top(i) for i in group]
+        marked: dict[int, set[int]] = {}
+        for i in np.flatnonzero(self.labels != OUTSIDE):
+            marked.setdefault(group[i], set()).add(int(self.labels[i]))
         #: outside all base spans, but joined by skip edges to a node within one: what is to be found out
         self.open = np.array([x == OUTSIDE and g in marked for x, g in zip(self.labels, group, strict=True)], bool)
+        #: labels that a node can't have: an open one repeats a number or word of the kinds it is joined to, or is outside
+        self.barred = np.zeros((len(self.places), OUTSIDE + 1), bool)
+        for i in np.flatnonzero(self.open):
+            self.barred[i, [k for k in range(OUTSIDE) if k not in marked[group[i]]]] = True
+
+
+    def _add_numbers(self, text: str, spans: list[tuple[int, int, int]], feats: list[list[int]]) -> None:
+        numbers, end_before = [], 0
+        for a, kind, b in spans:
+            if KINDS[kind] != "email" and a >= end_before and len(digits := _digits(text[a:b])) >= LEAST_ENDING:
+                numbers.append((a, b, digits, kind))
+                end_before = b
+        numbers += [(a, b, digits, OUTSIDE) for a, b, digits in number_runs(text, spans, {n[2] for n in numbers})]
+        lengths = sorted({len(n[2]) for n in numbers})
+        same: dict[str, int] = {}  # the last node with just these digits
+        ends: dict[tuple[str, bool], int] = {}  # the last longer one that ends with them, in base spans and outside
+        labels = []
+        for a, b, digits, kind in sorted(numbers):
+            i = len(self.places)
+            endings = [digits[-n:] for n in lengths if n <= len(digits)]
+            met = {same[e] for e in endings if e in same} | {ends[e] for base in (True, False) if (e := (digits, base)) in ends}
+            self.repeat += [(m, i) for m in sorted(met)]
+            same[digits] = i
+            for e in endings[:-1]:
+                ends[e, kind != OUTSIDE] = i
+            before = text[max(0, a - 40) : a].split()
+            self.places.append((a, b))
+            labels.append(kind)
+            feats.append([zlib.crc32(f.encode()) % FEATURES for f in ("number", f"s{_shape(text[a:b])}", f"n{min(len(digits), 20)}", f"b{_shape(before[-1])[:8] if before else ''}", "no")])
+        self.labels = np.concatenate([self.labels, np.array(labels, np.int64)])
 
 
 class Potentials:
-    """Log potentials: of features by label, of neighbouring labels, of labels joined by skip edges."""
+    """Log potentials: of features by label, of neighbouring labels, of labels joined by skip edges, and by those of
+    numbers. The last are fitted from a start that holds for equal endings anyway: seven digits don't agree by chance."""
 
-    def __init__(self, unary: np.ndarray, chain: np.ndarray, skip: np.ndarray):
+    def __init__(self, unary: np.ndarray, chain: np.ndarray, skip: np.ndarray, repeat: np.ndarray | None = None):
         self.unary, self.chain, self.skip = unary, chain, skip
+        self.repeat = SAME_NUMBER * (2 * np.eye(OUTSIDE + 1) - 1) if repeat is None else repeat
+
+    def all(self) -> tuple[np.ndarray, ...]:
+        return self.unary, self.chain, self.skip, self.repeat
 
 
 def _neighbour_counts(field: Field, edges: list[tuple[int, int]]) -> np.ndarray:
@@ -152,7 +261,7 @@ def fit_potentials(fields: list[Field], rounds: int = 60, rate: float = 0.5, rid
     """Maximise the pseudo-likelihood, each label given its node's features and its neighbours' labels, by
     full-batch gradient steps of per-weight size."""
     k = OUTSIDE + 1
-    weights = [np.zeros((FEATURES, k)), np.zeros((k, k)), np.zeros((k, k))]
+    weights = list(Potentials(np.zeros((FEATURES, k)), np.zeros((k, k)), np.zeros((k, k))).all())
     fields = [f for f in fields if len(f.places)]
     if not fields:
         return Potentials(*weights)
@@ -160,23 +269,25 @@ def fit_potentials(fields: list[Field], rounds: int = 60, rate: float = 0.5, rid
     y = np.concatenate([f.labels for f in fields])
     chain = np.concatenate([_neighbour_counts(f, f.chain) for f in fields])
     skip = np.concatenate([_neighbour_counts(f, f.skip) for f in fields])
+    repeat = np.concatenate([_neighbour_counts(f, f.repeat) for f in fields])
     # an open node's label isn't known: it tells nothing, neither itself nor to its neighbours
     known = ~np.concatenate([f.open for f in fields])
-    x, y, chain, skip = x[known], y[known], chain[known], skip[known]
+    x, y, chain, skip, repeat = x[known], y[known], chain[known], skip[known], repeat[known]
     truth = np.eye(k)[y]
+    starts = [w.copy() for w in weights]
     squares = [np.full_like(w, 1e-8) for w in weights]
     for _ in range(rounds):
-        logits = weights[0][x].sum(1) + chain @ weights[1] + skip @ weights[2]
+        logits = weights[0][x].sum(1) + chain @ weights[1] + skip @ weights[2] + repeat @ weights[3]
         p = np.exp(logits - logits.max(1, keepdims=True))
         error = (p / p.sum(1, keepdims=True) - truth) / len(y)
         unary = np.zeros_like(weights[0])
         for column in range(x.shape[1]):
             np.add.at(unary, x[:, column], error)
-        for w, s, g in zip(weights, squares, (unary, chain.T @ error, skip.T @ error), strict=True):
-            g = g + ridge * w
+        for w, start, s, g in zip(weights, starts, squares, (unary, chain.T @ error, skip.T @ error, repeat.T @ error), strict=True):
+            g = g + ridge * (w - start)
             s += g * g
             w -= rate * g / np.sqrt(s)
-    return Potentials(weights[0], (weights[1] + weights[1].T) / 2, (weights[2] + weights[2].T) / 2)
+    return Potentials(weights[0], *((w + w.T) / 2 for w in weights[1:]))
 
 
 def marginals(field: Field, model: Potentials, rounds: int = 12, damping: float = 0.3) -> np.ndarray:
@@ -186,7 +297,8 @@ def marginals(field: Field, model: Potentials, rounds: int = 12, damping: float
     seen = field.labels != OUTSIDE
     own[seen] = -50.0
     own[seen, field.labels[seen]] = 0.0
-    edges = [(a, b, model.chain) for a, b in field.chain] + [(a, b, model.skip) for a, b in field.skip]
+    own[field.barred] = -50.0
+    edges = [(a, b, model.chain) for a, b in field.chain] + [(a, b, model.skip) for a, b in field.skip] + [(a, b, model.repeat) for a, b in field.repeat]
     if not edges:
         p = np.exp(own - own.max(1, keepdims=True))
         return p / p.sum(1, keepdims=True)
@@ -217,11 +329,17 @@ def added_spans(text: str, spans: list[tuple[int, int, int]], model: Potentials,
     if not field.open.any():
         return []
     p = marginals(field, model)
-    added = []
-    for i in np.flatnonzero(field.open):
-        kind = int(p[i].argmax())
-        if kind != OUTSIDE and p[i, kind] >= least:
-            added.append((field.places[i][0], kind, field.places[i][1]))
+    added: list[tuple[int, int, int]] = []
+    found = np.flatnonzero(field.open & (p.argmax(1) != OUTSIDE) & (p.max(1) >= least))
+    numbers = [i for i in found if i >= field.n_words]
+    starts = [field.places[i][0] for i in numbers]
+    for i in found:
+        a, b = field.places[i]
+        if i < field.n_words:
+            n = bisect_right(starts, a) - 1
+            if n >= 0 and b <= field.places[numbers[n]][1]:
+                continue  # a word of a number that is added whole
+        added.append((a, int(p[i].argmax()), b))
     return added
 
 
@@ -247,7 +365,7 @@ def find_personal_data(docs: DataFrame, model: Potentials) -> DataFrame:
     """One row per row of `docs`: doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans, n_added."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    shared = spark.sparkContext.broadcast((model.unary, model.chain, model.skip))
+    shared = spark.sparkContext.broadcast(model.all())
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Potentials(*shared.value)

@@ -255,6 +255,23 @@ def test_skip_chain_labels_repeats(spark):
     assert got[1].spans == "" and got[None].spans == ""
 
 
+def test_numbers_of_several_words_are_labelled_whole():
+    phone, card = "+1 (017) 555-%04d", "4539 1488 0343 6467"
+    learned = [f"call {phone % i} or {phone % i} again, {card} and {card} paid" for i in range(1000, 1030)]
+    learned += [f"lot {10**9 + i} of {phone % i} on 12 05 {10**6 + i}" for i in range(1000, 1030)]
+    model = pii.fit_potentials([pii.Field(t, pii.base_spans(t)) for t in learned])
+    for text, want in [
+        ("at +1 (017) 555-7713 or (017) 555-7713, ask", [("phone", "(017) 555-7713")]),
+        ("at 017 555 7713 before +1 (017) 555-7713 came", [("phone", "017 555 7713")]),
+        ("in 2024 (017) 555-7713 was +1 (017) 555-7713 still", [("phone", "(017) 555-7713")]),
+        ("paid by 4539 1488 0343 6467 and 4539.1488.0343.6467, not 4539 1488 0343 6468", [("card", "4539.1488.0343.6467")]),
+        ("paid by 4539 1488 0343 6467, ends with 1488 0343 6467.", [("card", "1488 0343 6467")]),
+        ("at +1 (017) 555-7713 or (018) 444-1234, ask", []),
+    ]:
+        spans = pii.added_spans(text, pii.base_spans(text), model)
+        assert [(pii.KINDS[k], text[a:b]) for a, k, b in spans] == want, text
+
+
 def test_loopy_messages_match_enumeration_on_a_chain():
     text = "a1 b2@c.example.org d3 44444"
     field = pii.Field(text, pii.base_spans(text))
