@@ -212,6 +212,22 @@ def test_decontamination(spark, odd, none):
     assert decontamination.find_contamination(none, bench).count() == 0
 
 
+def test_decontamination_of_short_items_and_unspaced_scripts(spark, tmp_path):
+    import corpus_pipeline
+    from provenant.llm import queries
+
+    han, thai = "今天我们在城市的图书馆里读了三本关于海洋历史的书", "วันนี้เราอ่านหนังสือในห้องสมุด"
+    spark.createDataFrame([(1, "short one"), (2, han), (3, "Single"), (4, thai), (5, "!?")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(1, "a SHORT one!", "1"), (2, "x" + han + "y", "2"), (3, han.replace("图", "画"), "2"), (4, "a single, here", "3"), (5, "กก " + thai, "4")]
+    rows += [(6, "short of one", ""), (7, "singles", ""), (8, han[::-1], ""), (9, thai[:12], ""), (10, None, ""), (11, "!?", "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t, _ in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op3_decontamination(spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.item_ids for r in got} == {i: items for i, _, items in rows}
+    assert {r.min_distance for r in got if r.doc_id in (1, 2, 4, 5)} == {0} and [r.min_distance for r in got if r.doc_id == 3] == [1]
+    assert {r.doc_id for r in corpus_pipeline.decontaminate(spark, docs, str(tmp_path)).collect()} == {i for i, _, items in rows if not items}
+
+
 # --- 5 quality
 
 
