@@ -58,9 +58,23 @@ def match(quote: str, source: str) -> bool:
     return True
 
 
-def contained_quotes(quotes: DataFrame, sources: DataFrame) -> DataFrame:
+def _blocks(rows: DataFrame, text_column: str, block_bytes: int) -> Iterator[DataFrame]:
+    """`rows` as small tables of bounded bytes."""
+    block, size = [], 0
+    for row in rows.toLocalIterator():
+        block.append(row)
+        size += 100 + len(row[text_column].encode())
+        if size >= block_bytes:
+            yield rows.sparkSession.createDataFrame(block, rows.schema)
+            block, size = [], 0
+    if block:
+        yield rows.sparkSession.createDataFrame(block, rows.schema)
+
+
+def contained_quotes(quotes: DataFrame, sources: DataFrame, block_bytes: int = 4 << 20) -> DataFrame:
     """(quote_id, id) of sources that hold the quote, both normalised. A quote's longest inner word is the join key, so
-    only sources with that word are searched; quotes of fewer than three words have none and match nothing.
+    only sources with that word are searched. Quotes of fewer than three words, as all are in scripts without spaces, have none: they
+are a stated query set, broadcast in blocks of bounded bytes, and all sources are searched for each block in one pass.
     quotes (quote_id, text), sources (id, text)."""
     q = quotes.select("quote_id", meaning_normalise("text").alias("q")).where("q <> ''")
     # the first and last words of a quote may be parts of longer words in a source; only inner words are whole
@@ -70,7 +84,10 @@ def contained_quotes(quotes: DataFrame, sources: DataFrame) -> DataFrame:
     s = sources.select("id", meaning_normalise("text").alias("s"))
     words = s.select("id", F.explode(F.array_distinct(F.split("s", " "))).alias("word"))
     candidates = words.join(q.where("word <> ''"), "word").select("quote_id", "id", "q")
-    return candidates.join(s, "id").where(F.contains("s", F.col("q"))).select("quote_id", "id").distinct()
+    found = candidates.join(s, "id").where(F.contains("s", F.col("q"))).select("quote_id", "id")
+    for block in _blocks(q.where("word = ''").select("quote_id", "q"), "q", block_bytes):
+        found = found.unionByName(s.join(F.broadcast(block), F.contains("s", F.col("q"))).select("quote_id", "id"))
+    return found.distinct()
 
 
 def sanitised(answers: DataFrame, sources: DataFrame) -> DataFrame:

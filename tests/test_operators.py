@@ -284,6 +284,17 @@ def test_quotes(quote, holds):
     assert verify.match(quote, verify.normalised(SOURCE)) is holds
 
 
+@pytest.mark.parametrize("block_bytes", [1, 4 << 20])
+def test_contained_quotes_of_any_length_against_a_loop(spark, block_bytes):
+    han = "今天我们在城市的图书馆里读了三本书"
+    quotes = [(1, "rate"), (2, "ate of"), (3, "the  rate of"), (4, han[3:12]), (5, "no such"), (6, ""), (7, None), (8, "tax‑free"), (9, "rate"), (None, "free")]
+    sources = [(1, "the rate\nof tax-free goods"), (2, "x" + han), (3, None), (4, "crated off"), (5, "rat e of"), (5, "rate")]
+    q, s = spark.createDataFrame(quotes, "quote_id long, text string"), spark.createDataFrame(sources, "id long, text string")
+    want = {(i, j) for i, a in quotes for j, b in sources if a and b and verify.normalised(a) in verify.normalised(b)}
+    got = [tuple(r) for r in verify.contained_quotes(q, s, block_bytes).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and {i for i, _ in want} == {1, 2, 3, 4, 8, 9, None}
+
+
 def test_sanitise_and_highlight(spark):
     good, bad = "Հարկի դրույքաչափը քսան տոկոս է շրջանառությունից", "Հարկի դրույքաչափը տասը տոկոս է շրջանառությունից"
     text, n, rejected, found = verify.sanitise(f"Ա «{good}» և «{bad}» «կարճ»", ["x", good])
