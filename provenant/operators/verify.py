@@ -90,15 +90,16 @@ are a stated query set, broadcast in blocks of bounded bytes, and all sources ar
     return found.distinct()
 
 
-def sanitised(answers: DataFrame, sources: DataFrame) -> DataFrame:
+def sanitised(answers: DataFrame, sources: DataFrame, letters: re.Pattern | None = _LETTERS) -> DataFrame:
     """answers (id, text) with sources (id, texts): text with quotes that no source holds replaced by a notice,
-    n_quotes, n_rejected, and the places of the sources that hold the others."""
+    n_quotes, n_rejected, and the places of the sources that hold the others. Only quotes with `letters` are
+    checked, Armenian ones by default; None checks all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for key, text, texts in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "texts")), strict=True):
-                out.append((key, *sanitise(text or "", texts or [])))
+                out.append((key, *sanitise(text or "", texts or [], letters)))
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], ["id", "clean", "n_quotes", "n_rejected", "found_in"])
 

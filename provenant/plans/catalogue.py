@@ -489,7 +489,7 @@ def quote_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
     rows = said.withColumn("before", before).where("role = 'assistant'").withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
     answers = rows.select("id", F.concat(F.lit("«"), "text", F.lit("»")).alias("text"))
-    return verify.sanitised(answers, rows.select("id", F.array("before").alias("texts"))).select("id", F.sha2("clean", 256).alias("clean_sha256"), "n_quotes", "n_rejected")
+    return verify.sanitised(answers, rows.select("id", F.array("before").alias("texts")), letters=None).select("id", F.sha2("clean", 256).alias("clean_sha256"), "n_quotes", "n_rejected")
 
 
 @query("""SELECT role, coverage, count(*) AS n, sum(length(body))::BIGINT AS n_chars FROM (SELECT role, CASE WHEN h THEN (CASE turn % 3 WHEN 0 THEN 'full' WHEN 1 THEN 'partial' ELSE 'none' END) END AS coverage,
@@ -503,9 +503,10 @@ def coverage_header(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def stream_quote_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as sessions of deltas, verified against what the user said; the stream twin gives the same."""
+    """Conversations as sessions of deltas, the assistant's turns as quotes, verified against what the user said; the
+    stream twin gives the same."""
     said = table(spark, sf_dir, "conversations")
-    deltas = said.select(F.col("conv_id").alias("session"), F.col("turn").alias("seq"), F.col("text").alias("delta"))
+    deltas = said.select(F.col("conv_id").alias("session"), F.col("turn").alias("seq"), F.when(F.col("role") == "assistant", F.concat(F.lit("«"), "text", F.lit("»"))).otherwise(F.col("text")).alias("delta"))
     sources = said.where("role = 'user'").groupBy(F.col("conv_id").alias("session")).agg(F.collect_list("text").alias("texts"))
     return gate_batch(deltas, sources)
 

@@ -1,5 +1,7 @@
 """Operators and functions on small cases whose results are worked out by hand or by a plain loop."""
 
+import hashlib
+import json
 import random
 
 import pytest
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from provenant.functions import text as T
 from provenant.operators import context, evaluate, graph, html, incremental, postings, rank, relational, segment, vector, verify
+from provenant.plans import catalogue
 from provenant.sources import model, tables
 from provenant.streaming import gate as G
 
@@ -307,6 +310,61 @@ def test_sanitise_and_highlight(spark):
     assert [tuple(r) for r in c] == [("partial", "\nbody"), (None, "no header\nhere")] or [r.coverage for r in c] == ["partial", None]
 
 
+SAID = "the rate of the tax is 20 percent of the turnover, and small firms don't pay it unless they ask"
+TURNS = [
+    (1, 1, "user", SAID),
+    (1, 2, "assistant", "The rate of the tax is 25 percent of the turnover"),
+    (1, 3, "user", "so " + SAID),
+    (1, 4, "assistant", SAID[:50]),
+    (2, 1, "user", SAID),
+    (2, 2, "assistant", SAID[:40] + " … " + SAID[55:80]),
+    (2, 3, "user", None),
+    (2, 4, "assistant", "too short"),
+    (2, 5, "user", "something else than that was asked here"),
+    (2, 6, "assistant", SAID[20:70]),
+]
+
+
+def held(quote, source):
+    """Whether the source holds the quote, by trying all ways to go on from each of its parts."""
+    parts = [p.strip() for p in quote.split("…")]
+    ends = {0}
+    for p in parts:
+        ends = {i + len(p) for e in ends for i in range(e, len(source)) if source[i : i + len(p)] == p}
+    return bool(ends)
+
+
+@pytest.fixture
+def talks(spark, tmp_path):
+    spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    return str(tmp_path)
+
+
+def test_quote_sanitise_checks_quotes_of_any_script(spark, talks):
+    before = {(c, t + 1): x or "" for c, t, _, x in TURNS}
+    want = {}
+    for c, t, role, x in TURNS:
+        if role == "assistant":
+            checked = len(x) >= verify.LEAST_QUOTE
+            bad = checked and not held(x, before[c, t])
+            want[c * 1000 + t] = (hashlib.sha256(f"«{verify.NOTICES['ru'] if bad else x}»".encode()).hexdigest(), int(checked), int(bad))
+    got = catalogue.quote_sanitise(spark, talks).collect()
+    assert {r.id: (r.clean_sha256, r.n_quotes, r.n_rejected) for r in got} == want
+    assert sorted(w[1:] for w in want.values()) == [(0, 0), (1, 0), (1, 0), (1, 1), (1, 1)]
+
+
+def test_stream_quote_gate_opens_and_checks(spark, talks):
+    rows = catalogue.stream_quote_gate(spark, talks).collect()
+    for c in (1, 2):
+        sources = [x or "" for conv, _, role, x in TURNS if conv == c and role == "user"]
+        quotes = [x for conv, _, role, x in TURNS if conv == c and role == "assistant" and len(x) >= verify.LEAST_QUOTE]
+        good = [q for q in quotes if any(held(q, s) for s in sources)]
+        done = json.loads(next(r.payload for r in rows if r.session == c and r.type == "done"))
+        assert (done["accepted"], done["rejected"]) == (len(good), len(quotes) - len(good))
+        shown = "".join(r.payload for r in sorted((r for r in rows if r.session == c and r.type == "delta"), key=lambda r: r.seq))
+        assert all((f"«{q}»" in shown) == (q in good) for q in quotes) and good
+
+
 ANSWER = f"COVERAGE: full\n\nSee «{SOURCE[3:52]}», and “{SOURCE[3:30]} 99 {SOURCE[30:50]}”; «an unclosed quote of some length"
 
 
