@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,9 +21,12 @@ _own_dirs: dict[str, str] = {}
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder for `name` under the cluster's shared folder, spark.checkpoint.dir.
 
-    Only where that setting is absent, as in local tests, a temporary folder takes its place.
+    Where that setting is absent, a temporary folder takes its place if all runs in this process (master local[...]); on a cluster
+    it has to be set.
     """
     base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
+    if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not base:
         app = spark.sparkContext.applicationId
         base = _own_dirs.get(app) or _own_dirs.setdefault(app, tempfile.mkdtemp(prefix="provenant-"))
@@ -63,6 +67,22 @@ def attach_by_key(left: DataFrame, right: DataFrame, keys: list[str], weight: st
     return warm.unionByName(cold)
 
 
+def likely_among(rows: DataFrame, keys: DataFrame, columns: list[str], n: int) -> DataFrame:
+    """`rows` with a column `likely`, false only for rows whose values of `columns` no row of `keys` has.
+
+    The `n` keys' hashes are set in a bitmap of 16 bits a key, but at most 2 ** 26, which is broadcast in parts: 8 MB
+    whatever the input. So only rows that are probably asked for have to be shuffled to what is known of them. Beyond some four million keys
+    more and more others pass too; nothing asked for is ever lost.
+    """
+    slots = 1 << min(26, max(15, (16 * n).bit_length()))
+    slot = F.pmod(F.xxhash64(*columns), F.lit(slots)) + 1  # the functions count from 1
+    bits = keys.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("_part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("_bits"))
+    placed = rows.withColumn("_slot", slot).join(F.broadcast(bits), F.bitmap_bucket_number("_slot") == F.col("_part"), "left")
+    at = F.bitmap_bit_position("_slot")
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return placed.withColumn("likely", F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))).drop("_slot", "_part", "_bits")
+
+
 def bounded_batches(spark: SparkSession, mb: int = 8) -> None:
     """Batches that Python workers get are held to a size in bytes, however long single texts are."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))

@@ -23,7 +23,7 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import attach_by_key, likely_among, text_or_empty, written
 
 
 @dataclass(frozen=True)
@@ -53,6 +53,9 @@ RULES = (
 #: More alternatives than these are not followed; their texts' trigrams are then not demanded.
 MOST_CHOICES = 64
 
+#: Matches whose places are summed together.
+FOLD = 64
+
 
 def trigram_query(pattern: str) -> list[frozenset[str]] | None:
     """Clauses of which a matching text, lower-cased, holds at least one's trigrams; None if a text may match that
@@ -108,32 +111,42 @@ def build_index(rows: DataFrame, trigrams: list[str]) -> DataFrame:
 
 
 def candidates(postings: DataFrame, queries: dict[int, list[frozenset[str]]]) -> DataFrame:
-    """(doc_id, tie, rules): the numbers of the rules of which the document meets a clause."""
+    """(doc_id, tie, rules, weight): the numbers of the rules of which the document meets a clause; weight is at least
+    the number of rows that share the document's id and text."""
     clauses = [(rule, n, t, 1 << i, (1 << len(clause)) - 1) for rule, query in queries.items() for n, clause in enumerate(query) for i, t in enumerate(sorted(clause))]
     table = postings.sparkSession.createDataFrame(clauses, "rule int, clause int, trigram string, bit long, full long")
-    met = postings.join(F.broadcast(table), "trigram").groupBy("doc_id", "tie", "rule", "clause", "full").agg(F.bit_or("bit").alias("bits"))
-    return met.where("bits = full").groupBy("doc_id", "tie").agg(F.collect_set("rule").alias("rules"))
+    met = postings.join(F.broadcast(table), "trigram").groupBy("doc_id", "tie", "rule", "clause", "full").agg(F.bit_or("bit").alias("bits"), F.count("*").alias("hits"))
+    return met.where("bits = full").groupBy("doc_id", "tie").agg(F.collect_set("rule").alias("rules"), F.max("hits").alias("weight"))
 
 
 def rule_spans(text: Column, number: int, rule: Rule) -> Column:
     """array<struct<start, kind, end>> of a rule's matches in a text: places are sums of the lengths of what lies
-    between matches and of the matches."""
+    between matches and of the matches. The sums run over blocks of FOLD matches and, within each, over its matches, so that no
+    long array is copied for each match."""
     pattern = F.lit(rule.pattern)
     matches = F.regexp_extract_all(text, pattern, F.lit(0))
     counted = matches if rule.group == 0 else F.regexp_extract_all(text, pattern, F.lit(rule.group))
     between = F.split(text, rule.pattern, -1)
-    span = "array<struct<start:bigint,kind:int,end:bigint>>"
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.expr(f"cast(array() as {span})").alias("out"))
+    nothing = F.expr("cast(array() as array<struct<start:bigint,kind:int,end:bigint>>)")
+    pieces = F.transform(
+        F.slice(F.arrays_zip(between.alias("gap"), matches.alias("match"), counted.alias("counted")), F.lit(1), F.size(matches)),
+        lambda p: F.struct(F.length(p["gap"]).cast("long").alias("gap"), F.length(p["match"]).cast("long").alias("match"), (F.length(p["counted"]) >= rule.least).alias("holds")),
+    )
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / FOLD).cast("int")), lambda b: F.slice(pieces, b * FOLD + 1, FOLD))
+    sums = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0).cast("long"), lambda at, p: at + p["gap"] + p["match"]))
+    starts = F.aggregate(sums, F.array(F.lit(0).cast("long")), lambda at, n: F.concat(at, F.array(F.element_at(at, -1) + n)))
 
-    def add(state: Column, piece: Column) -> Column:
-        a = state["at"] + F.length(piece["gap"])
-        b = a + F.length(piece["match"])
+    def add(state: Column, p: Column) -> Column:
+        a = state["at"] + p["gap"]
+        b = a + p["match"]
         found = F.array(F.struct(a.alias("start"), F.lit(number).alias("kind"), b.alias("end")))
-        return F.struct(b.alias("at"), F.when(F.length(piece["counted"]) >= rule.least, F.concat(state["out"], found)).otherwise(state["out"]).alias("out"))
+        return F.struct(b.alias("at"), F.when(p["holds"], F.concat(state["out"], found)).otherwise(state["out"]).alias("out"))
+
+    def spans(block: Column, at: Column) -> Column:
+        return F.aggregate(block, F.struct(at.alias("at"), nothing.alias("out")), add, lambda s: s["out"])
 
-    pieces = F.arrays_zip(between.alias("gap"), matches.alias("match"), counted.alias("counted"))
-    pieces = F.slice(pieces, F.lit(1), F.size(matches))
-    return F.when(F.size(matches) > 0, F.aggregate(pieces, start, add, lambda s: s["out"])).otherwise(F.expr(f"cast(array() as {span})"))
+    folded = F.flatten(F.zip_with(blocks, F.slice(starts, F.lit(1), F.size(blocks)), spans))
+    return F.when(F.size(matches) > 0, folded).otherwise(nothing)
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -141,8 +154,12 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("tie"), text_or_empty().alias("text"))
     queries = {i: q for i, r in enumerate(rules) if (q := trigram_query(r.pattern)) is not None}
     trigrams = sorted({t for q in queries.values() for clause in q for t in clause})
-    marked = candidates(build_index(rows, trigrams), queries).select(F.col("doc_id").alias("c_id"), F.col("tie").alias("c_tie"), "rules")
-    joined = rows.join(marked, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("tie") == F.col("c_tie")), "left")
+    marked = written(candidates(build_index(rows, trigrams), queries), "secret-candidates")
+    n, weight = marked.agg(F.count("*"), F.sum("weight")).first()
+    # only texts that are probably candidates are shuffled to what is known of them
+    seen = likely_among(rows, marked, ["doc_id", "tie"], n)
+    asked = attach_by_key(seen.where("likely"), marked, ["doc_id", "tie"], "weight", weight or 0).select("doc_id", "text", "rules")
+    joined = asked.unionByName(seen.where("not likely").select("doc_id", "text", F.lit(None).cast("array<int>").alias("rules")))
     nothing = F.expr("cast(array() as array<struct<start:bigint,kind:int,end:bigint>>)")
     found = [F.when(F.array_contains("rules", i), rule_spans(F.col("text"), i, r)).otherwise(nothing) if i in queries else rule_spans(F.col("text"), i, r) for i, r in enumerate(rules)]
     spans = joined.select("doc_id", F.array_sort(F.concat(*found)).alias("found"))
