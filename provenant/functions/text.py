@@ -59,8 +59,7 @@ def notice_language(c: Column | str) -> Column:
 
 def search_terms(c: Column | str) -> Column:
     """Terms of a text, in order: lower case, letters, digits and . _ - within, at least two characters."""
-    parts = F.transform(F.split(F.lower(_c(c)), "[^\\p{L}\\p{N}._-]+"), lambda t: F.regexp_replace(t, "^[._-]+|[._-]+$", ""))
-    return F.filter(parts, lambda t: F.length(t) >= 2)
+    return F.regexp_extract_all(F.lower(_c(c)), F.lit("[\\p{L}\\p{N}](?:[\\p{L}\\p{N}._-]*[\\p{L}\\p{N}])"), F.lit(0))
 
 
 def meaning_normalise(c: Column | str) -> Column:
@@ -134,6 +133,11 @@ def act_number(c: Column | str) -> Column:
     return F.when(law != "", made("law", law, LAW_NUMBER)).when(decision != "", made("decision", decision, DECISION_NUMBER))
 
 
+def act_numbers(c: Column | str) -> Column:
+    """array of such structs: all act numbers of a text, of either series, in the order in which they stand."""
+    return F.transform(F.regexp_extract_all(_c(c), F.lit(f"(?:{LAW_NUMBER})|(?:{DECISION_NUMBER})"), F.lit(0)), act_number)
+
+
 def own_act_number(c: Column | str, head: int = 600, tail: int = 400) -> Column:
     """A page's own number by its place: a decision's in the head, else the last law's in the tail, else the head's first."""
     text = _c(c)

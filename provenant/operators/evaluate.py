@@ -44,6 +44,14 @@ def fair_universe(indexed: DataFrame, model: str, item: str) -> DataFrame:
     return indexed.groupBy(item).agg(F.count_distinct(model).alias("n")).join(n, F.col("n") == F.col("n_models")).select(item)
 
 
+def restricted(ranked: DataFrame, gold: DataFrame, universe: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lists and gold within a shared universe (id): lists close their gaps, and questions without gold there drop out."""
+    ids = universe.select("id").distinct()
+    kept = ranked.join(ids, "id", "left_semi")
+    kept = kept.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
+    return kept, gold.join(ids, "id", "left_semi")
+
+
 def calibration_rows(ranked: DataFrame, gold: DataFrame, within: int = 5) -> DataFrame:
     """(query_id, top1, top3, covered): the first score, the mean of the first three, and whether gold is within."""
     g = gold.select("query_id", "id", F.lit(True).alias("is_gold")).distinct()

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .relational import top_per_group
+
 #: A cited article, "number(s) + article", its inflections, and the stem that names the code.
 _NUMBER = r"\d+(?:\.\d+)?(?:\s*[-‐-―]\s*\d+(?:\.\d+)?)?(?:-?(?:րդ|ին))?"
 CITATION = rf"({_NUMBER}(?:\s*(?:,|և|եւ|կամ)\s*{_NUMBER})*)\s+հոդված\w*"
@@ -56,9 +58,11 @@ def cited_numbers(token: Column) -> Column:
 
 
 def references(found: DataFrame) -> DataFrame:
-    """(id, number, in_code), each once, from `citations`."""
-    numbers = found.select("id", "position", "in_code", F.explode(number_tokens(F.col("group"))).alias("token"))
-    return numbers.select("id", "in_code", F.explode(cited_numbers(F.col("token"))).alias("number")).distinct()
+    """(id, in_code, number, place), each once, from `citations`; place numbers them as they first occur in the text."""
+    numbers = found.select("id", "position", "in_code", F.posexplode(number_tokens(F.col("group"))).alias("m", "token"))
+    cited = numbers.select("id", "position", "in_code", "m", F.posexplode(cited_numbers(F.col("token"))).alias("n", "number"))
+    first = cited.groupBy("id", "in_code", "number").agg(F.min(F.struct("position", "m", "n")).alias("at"))
+    return first.select("id", "in_code", "number", F.row_number().over(Window.partitionBy("id").orderBy("at", "in_code", "number")).alias("place"))
 
 
 def resolve(refs: DataFrame, targets: DataFrame, code_act: int) -> DataFrame:
@@ -89,5 +93,12 @@ def diagnostics(resolved: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
+def related(edge: DataFrame, targets: DataFrame, order: str, k: int = 12) -> DataFrame:
+    """(from_id, to_id, place, ...): what each node cites, of targets (to_id, `order`, ...) that are in force, the
+    first k in their order."""
+    cited = edge.select("from_id", "to_id").distinct().join(targets, "to_id")
+    return top_per_group(cited, ["from_id"], [F.asc(order), F.asc("to_id")], k, "place")
+
+
 def in_degree(edge: DataFrame, k: int = 10) -> DataFrame:
     return edge.groupBy("to_id").agg(F.count("*").alias("in_degree")).orderBy(F.desc("in_degree"), "to_id").limit(k)

@@ -178,7 +178,7 @@ def raw_blocks(pages: DataFrame, id_column: str, html_column: str) -> DataFrame:
 
 def classified(blocks: DataFrame) -> DataFrame:
     """Text blocks that are parts, sections, chapters or annexes become such, with their labels."""
-    tight = F.upper(squash("text"))
+    tight = F.upper(squash(fold_dots("text")))
 
     def numbered(word: str):
         return F.regexp_extract(tight, f"^{word}([0-9]+(?:\\.[0-9]+)?)", 1)
@@ -187,7 +187,7 @@ def classified(blocks: DataFrame) -> DataFrame:
     text = F.col("kind") == "text"
     kind = F.when(text & (numbered(PART) != ""), "part").when(text & (numbered(SECTION) != ""), "section").when(text & (numbered(CHAPTER) != ""), "chapter").when(text & annex, "annex").otherwise(F.col("kind"))
     label = F.when(text & (kind != "text"), F.substring(normalise_space("text"), 1, 80)).otherwise(F.col("label"))
-    return blocks.select("id", "pos", kind.alias("kind"), label.alias("label"), "title", fold_dots("text").alias("folded"), "text", "markdown").drop("folded")
+    return blocks.select("id", "pos", kind.alias("kind"), label.alias("label"), "title", "text", "markdown")
 
 
 def page_links(pages: DataFrame, id_column: str, html_column: str) -> DataFrame:

@@ -33,8 +33,44 @@ def upsert_greatest(old: DataFrame, new: DataFrame, keys: Sequence[str], score:
 
 
 def insert_do_nothing(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """`old` and those rows of `new` whose key it lacks; of several such rows with one key any one."""
-    return old.unionByName(new.join(old.select(*keys), list(keys), "left_anti").dropDuplicates(list(keys)))
+    """`old` and those rows of `new` whose key it lacks; of several such rows with one key the smallest, column by column."""
+    values = [c for c in old.columns if c not in keys]
+    fresh = new.join(old.select(*keys), list(keys), "left_anti").groupBy(*keys).agg(F.min(F.struct(*values)).alias("_row"))
+    return old.unionByName(fresh.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in values]))
+
+
+def update_by_key(old: DataFrame, new: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """`old` with `columns` as `new` has them, null included, where it has the key, which is unique there; and rows for keys that are only
+    in `new`, their other columns null."""
+    marked = new.select(*keys, *[F.col(c).alias(f"_{c}") for c in columns], F.lit(True).alias("_set"))
+    rows = old.join(marked, list(keys), "full")
+    return rows.select(*[F.when(F.col("_set"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in old.columns])
+
+
+def without(rows: DataFrame, column: str, value: object) -> DataFrame:
+    """What is left when all rows of one value, such as a model's, are deleted; rows without a value stay."""
+    return rows.where(~F.col(column).eqNullSafe(F.lit(value)))
+
+
+def key_map(rows: DataFrame, targets: DataFrame, keys: Sequence[str], id_column: str) -> DataFrame:
+    """rows with the id of the target that has their natural key, null for those without: a bulk load's look-up. Of
+    several targets with one key the smallest id counts."""
+    ids = targets.groupBy(*keys).agg(F.min(id_column).alias(id_column))
+    return rows.join(ids, list(keys), "left")
+
+
+def coverage(children: DataFrame, parents: DataFrame, by: str, parent_column: str, parent_id: str) -> DataFrame:
+    """(by, n, n_parents, n_all, percent) per value of `by`, such as a model: children, parents that have any, all parents."""
+    total = parents.agg(F.count_distinct(parent_id).alias("n_all"))  # one row
+    known = children.join(parents.select(F.col(parent_id).alias(parent_column)).distinct(), parent_column, "left_semi")
+    rows = known.groupBy(by).agg(F.count("*").alias("n"), F.count_distinct(parent_column).alias("n_parents"))
+    return rows.crossJoin(total).withColumn("percent", F.round(100 * F.col("n_parents") / F.col("n_all"), 6))
+
+
+def eligible_and_missing(parents: DataFrame, children: DataFrame, parent_id: str, child_key: str, by: str) -> DataFrame:
+    """(by, n_eligible, n_missing): parents, and those among them without any child yet."""
+    done = children.select(F.col(child_key).alias(parent_id), F.lit(True).alias("_has")).distinct()
+    return parents.join(done, parent_id, "left").groupBy(by).agg(F.count("*").alias("n_eligible"), F.count_if(F.col("_has").isNull()).alias("n_missing"))
 
 
 def replace_by_key(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -89,8 +125,8 @@ def last_turns(messages: DataFrame, session: str, seq: str, k: int = 8) -> DataF
 
 def round_robin(rows: DataFrame, session: str, turn: str, item: str, score: str, k: int = 5, most: int | None = None) -> DataFrame:
     """k items per session, one from each turn in turn, each turn's best first: rank by depth within the turn, then
-    turn. `most` applies a cut by score before that, which can starve turns; by default there is none."""
+    turn. `most` applies a cut by score, then later turns first, before that, which can starve turns; by default there is none."""
     if most is not None:
-        rows = top_per_group(rows, [session], [F.desc(score), F.asc(item)], most, "_cut").drop("_cut")
+        rows = top_per_group(rows, [session], [F.desc(score), F.desc(turn), F.asc(item)], most, "_cut").drop("_cut")
     depth = F.row_number().over(Window.partitionBy(session, turn).orderBy(F.desc(score), F.asc(item)))
     return top_per_group(rows.withColumn("depth", depth), [session], [F.asc("depth"), F.asc(turn)], k)

@@ -176,19 +176,14 @@ def estimated_tokens(c: Column) -> Column:
 
 
 def atomic_units(body: Column) -> Column:
-    """array<string>: paragraphs, and each table row by itself; blank lines only separate."""
-    start = F.struct(F.expr("cast(array() as array<string>)").alias("out"), F.lit("").alias("open"))
-
-    def closed(s: Column) -> Column:
-        return F.when(s["open"] == "", s["out"]).otherwise(F.concat(s["out"], F.array(s["open"])))
-
-    def add(s: Column, x: Column) -> Column:
-        row = F.struct(F.concat(closed(s), F.array(x)).alias("out"), F.lit("").alias("open"))
-        blank = F.struct(closed(s).alias("out"), F.lit("").alias("open"))
-        other = F.struct(s["out"].alias("out"), F.when(s["open"] == "", x).otherwise(F.concat(s["open"], F.lit("\n"), x)).alias("open"))
-        return F.when(F.trim(x) == "", blank).when(x.startswith("|"), row).otherwise(other)
-
-    return F.aggregate(F.split(body, "\n"), start, add, closed)
+    """array<string>: paragraphs, and each table row by itself; blank lines only separate. Where a unit begins and ends
+    shows from a line and its neighbours, so nothing is folded."""
+    text = F.split(body, "\n")
+    kinds = F.transform(text, lambda x: F.when(F.trim(x) == "", 0).when(x.startswith("|"), 2).otherwise(1))  # blank, of a paragraph, row
+    numbered = F.transform(kinds, lambda k, i: F.struct(i.alias("i"), k.alias("k"), F.coalesce(F.get(kinds, i - 1), F.lit(0)).alias("before"), F.coalesce(F.get(kinds, i + 1), F.lit(0)).alias("after")))
+    starts = F.filter(numbered, lambda x: (x["k"] == 2) | ((x["k"] == 1) & (x["before"] != 1)))
+    ends = F.filter(numbered, lambda x: (x["k"] == 2) | ((x["k"] == 1) & (x["after"] != 1)))
+    return F.zip_with(starts, ends, lambda a, b: F.array_join(F.slice(text, a["i"] + 1, b["i"] - a["i"] + 1), "\n"))
 
 
 def table_header(body: Column) -> Column:
@@ -210,18 +205,18 @@ def cut_oversize(units: Column, budget: int, size=estimated_tokens) -> Column:
 
 
 def greedy_pack(units: Column, budget: Column | int, size=estimated_tokens) -> Column:
-    """array<array<string>>: units in order, each group as long as its sizes stay within the budget."""
+    """array<array<string>>: units in order, each group as long as its sizes stay within the budget. The fold goes over
+    sizes and keeps where groups begin; texts are only cut up after it."""
     limit = F.lit(budget) if isinstance(budget, int) else budget
-    start = F.struct(F.expr("cast(array() as array<array<string>>)").alias("out"), F.expr("cast(array() as array<string>)").alias("open"), F.lit(0).alias("used"))
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("used"), F.expr("cast(array() as array<int>)").alias("begins"))
 
-    def add(s: Column, x: Column) -> Column:
-        t = size(x)
-        fits = (F.size(s["open"]) == 0) | (s["used"] + t <= limit)
-        grown = F.struct(s["out"].alias("out"), F.concat(s["open"], F.array(x)).alias("open"), (s["used"] + t).alias("used"))
-        fresh = F.struct(F.concat(s["out"], F.array(s["open"])).alias("out"), F.array(x).alias("open"), t.alias("used"))
-        return F.when(fits, grown).otherwise(fresh)
+    def add(s: Column, t: Column) -> Column:
+        opens = (s["i"] == 0) | (s["used"] + t > limit)
+        return F.struct((s["i"] + 1).alias("i"), F.when(opens, t).otherwise(s["used"] + t).alias("used"), F.when(opens, F.concat(s["begins"], F.array(s["i"]))).otherwise(s["begins"]).alias("begins"))
 
-    return F.aggregate(units, start, add, lambda s: F.when(F.size(s["open"]) > 0, F.concat(s["out"], F.array(s["open"]))).otherwise(s["out"]))
+    begins = F.aggregate(F.transform(units, size), start, add, lambda s: s["begins"])
+    ends = F.concat(F.slice(begins, F.lit(2), F.greatest(F.size(begins) - 1, F.lit(0))), F.array(F.size(units)))
+    return F.filter(F.zip_with(begins, ends, lambda a, b: F.slice(units, a + 1, b - a)), lambda g: g.isNotNull())
 
 
 def slices(chunk: DataFrame, id_column: str, header: str, body: str, most: int = 7000, cap: int = 8000, size=estimated_tokens) -> DataFrame:
@@ -233,9 +228,10 @@ def slices(chunk: DataFrame, id_column: str, header: str, body: str, most: int =
     fits = size(heads) + F.coalesce(size(table_header(text)), F.lit(0)) <= cap - 320
     rows = chunk.select(F.col(id_column).alias("parent_id"), F.when(fits, heads).otherwise("").alias("head"), text.alias("body"), F.when(fits, table_header(text)).alias("columns"))
     room = F.greatest(F.lit(256), F.lit(most) - size(F.col("head")) - F.coalesce(size(F.col("columns")), F.lit(0)) - 16)
-    packed = greedy_pack(cut_oversize(atomic_units(F.col("body")), 256, size), room, size)
+    # each step a column of its own, or the plan would work it out again wherever the next one names it
+    rows = rows.withColumn("atoms", atomic_units(F.col("body"))).withColumn("pieces", cut_oversize(F.col("atoms"), 256, size)).withColumn("packed", greedy_pack(F.col("pieces"), room, size))
     whole = size(F.concat_ws("\n", "head", "body")) <= most
-    groups = F.when(whole, F.array(F.array("body"))).otherwise(packed)
+    groups = F.when(whole, F.array(F.array("body"))).otherwise(F.col("packed"))
     cut = rows.select("parent_id", "head", "columns", F.posexplode(groups).alias("slice_index", "units"), F.size(groups).alias("n_slices"))
     again = (F.col("slice_index") > 0) & F.exists("units", lambda u: u.startswith("|")) & F.col("columns").isNotNull()
     text = F.concat_ws("\n", F.nullif(F.col("head"), F.lit("")), F.when(again, F.col("columns")), F.array_join("units", "\n"))

@@ -1,8 +1,13 @@
-"""Exact vector search for a stated set of queries, with several vectors per parent.
+"""Vector search for a stated set of queries, with several vectors per parent: exact, and by an index of cells.
 
-Queries are broadcast in blocks of bounded size and go over all vectors once each: scores are matrix products in
-double precision within tasks, which keep each query's best k parents of a batch; only those are shuffled. A parent
-among a query's best k is among the best k of the batch that holds its best vector, so nothing is lost.
+Exact search compares each query with all vectors, in blocks: scores are matrix products in double precision within
+tasks, which keep each query's best k parents of a block; only those are shuffled. A parent among a query's best k is
+among the best k of the block that holds its best vector, so nothing is lost. Up to `block` queries are broadcast and
+go over the vectors where they lie; more are dealt out in tiles, and each tile of queries meets each tile of vectors
+in a group of bounded size, in one job however many there are.
+
+The index puts each vector in the cell of its nearest centre; centres are a bounded set of vectors. A query looks in its
+nearest cells only. Large cells are tiles too, and queries that find fewer than k parents are searched exactly.
 """
 
 from __future__ import annotations
@@ -10,12 +15,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .relational import top_per_group
 
+FOUND = "query_id long, parent_id long, slice_index long, score double"
+#: Vectors in a tile.
+TILE = 50_000
+
 
 def check_dimensions(vectors: DataFrame, column: str, dim: int) -> DataFrame:
     """The rows, failing at run time if a vector has another length."""
@@ -23,18 +33,42 @@ def check_dimensions(vectors: DataFrame, column: str, dim: int) -> DataFrame:
     return vectors.where(right.isNull())
 
 
-def _blocks(queries: DataFrame, rows: int) -> Iterator[list]:
-    block = []
-    for r in queries.toLocalIterator():
-        block.append(r)
-        if len(block) == rows:
-            yield block
-            block = []
-    if block:
-        yield block
+def _best(parent: np.ndarray, piece: np.ndarray, scores: np.ndarray, ids: list, k: int, own: np.ndarray | None, classes: list | None) -> list[tuple]:
+    """(query, parent, slice, score) of each query's best k parents; scores (vectors, queries)."""
+    found = []
+    for q in range(len(ids)):
+        s = scores[:, q]
+        rows = np.arange(len(s)) if own is None else np.flatnonzero(own == classes[q])
+        if not len(rows):
+            continue
+        if len(rows) > 8 * k:  # whatever ties with the last of the best 8k vectors stays; parents may have many
+            rows = _enough(rows, s, parent, k)
+        order = rows[np.lexsort((piece[rows], parent[rows], -s[rows]))]
+        _, first = np.unique(parent[order], return_index=True)
+        best = order[np.sort(first)[:k]]
+        found += [(ids[q], int(parent[i]), int(piece[i]), float(s[i])) for i in best]
+    return found
+
+
+def _tiled_search(vectors: DataFrame, queries: DataFrame, by: list[str], k: int, within: str | None, decimals: int) -> DataFrame:
+    """Scores of vectors and queries that share the tile columns `by`; a tile's queries meet its vectors in one group."""
 
+    def search(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        if not len(v) or not len(q):
+            return pd.DataFrame(columns=["query_id", "parent_id", "slice_index", "score"])
+        scores = np.round(np.stack(v["vec"]).astype(np.float64) @ np.stack(q["vec"]).astype(np.float64).T, decimals)
+        found = _best(v["parent_id"].to_numpy(), v["slice_index"].to_numpy(), scores, q["query_id"].tolist(), k, v[within].to_numpy() if within else None, q[within].tolist() if within else None)
+        return pd.DataFrame(found, columns=["query_id", "parent_id", "slice_index", "score"])
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int, within: str | None = None, block: int = 1024, decimals: int = 6) -> DataFrame:
+    return vectors.groupBy(*by).cogroup(queries.groupBy(*by)).applyInPandas(search, FOUND)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    best = found.groupBy("query_id", "parent_id").agg(F.max("score").alias("score"), F.min_by("slice_index", F.struct(-F.col("score"), "slice_index")).alias("slice_index"))
+    return top_per_group(best, ["query_id"], [F.desc("score"), F.asc("parent_id")], k)
+
+
+def knn(vectors: DataFrame, queries: DataFrame, k: int, within: str | None = None, block: int = 1024, tile: int = 16_384, decimals: int = 6) -> DataFrame:
     """(query_id, parent_id, slice_index, score, rank): the k parents whose best vector has the greatest dot product.
 
     vectors (parent_id, slice_index, vec), queries (query_id, vec); with `within`, a column of both, only vectors
@@ -43,42 +77,77 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, within: str | None = Non
     """
     spark = vectors.sparkSession
     columns = ["parent_id", "slice_index", "vec", *([within] if within else [])]
-    parts = []
-    for rows in _blocks(queries.select("query_id", "vec", *([within] if within else [])), block):
-        ids, matrix = [r["query_id"] for r in rows], np.array([r["vec"] for r in rows], np.float64)
-        shared = spark.sparkContext.broadcast((ids, matrix, [r[within] for r in rows] if within else None))
-
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, matrix, classes = shared.value
+    queries = queries.select("query_id", "vec", *([within] if within else []))
+    few = queries.limit(block + 1).collect()
+    if len(few) > block:
+        n, n_queries = vectors.count(), queries.count()
+        tiles, query_tiles = -(-n // TILE), -(-n_queries // tile)
+        v = vectors.select(*columns, F.pmod(F.xxhash64("parent_id", "slice_index"), F.lit(tiles)).alias("_v"), F.explode(F.sequence(F.lit(0), F.lit(query_tiles - 1))).alias("_q"))
+        q = queries.withColumns({"_q": F.pmod(F.xxhash64("query_id"), F.lit(query_tiles)).cast("int"), "_v": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long")))})
+        return _ranked(_tiled_search(v, q, ["_v", "_q"], k, within, decimals), k)
+    if not few:
+        return spark.createDataFrame([], FOUND + ", rank int")
+    shared = spark.sparkContext.broadcast(([r["query_id"] for r in few], np.array([r["vec"] for r in few], np.float64), [r[within] for r in few] if within else None))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, matrix, classes = shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            parent, piece = batch.column("parent_id").to_numpy(zero_copy_only=False), batch.column("slice_index").to_numpy(zero_copy_only=False)
+            flat = batch.column("vec").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            scores = np.round(flat.reshape(len(parent), -1) @ matrix.T, decimals)
+            found = _best(parent, piece, scores, ids, k, batch.column(within).to_numpy(zero_copy_only=False) if within else None, classes)
+            yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.float64()))], ["query_id", "parent_id", "slice_index", "score"])
+
+    return _ranked(vectors.select(*columns).mapInArrow(search, FOUND), k)
+
+
+def sampled_centres(vectors: DataFrame, most: int = 4096) -> DataFrame:
+    """(centre_id, vec): a bounded sample of the vectors, those whose ids have the smallest hashes, numbered in that order."""
+    key = F.xxhash64("parent_id", "slice_index")
+    sample = vectors.select(key.alias("h"), "parent_id", "slice_index", "vec").orderBy("h", "parent_id", "slice_index").limit(most)
+    return sample.selectExpr("row_number() over (order by h, parent_id, slice_index) as centre_id", "vec")  # `most` rows
+
+
+class CellIndex:
+    """Vectors by the cell of their nearest centre. `centres` (centre_id, vec) are collected, so they are to be few; the
+    index itself is a table, (parent_id, slice_index, vec, ..., cell), to be kept where the caller wants it."""
+
+    def __init__(self, centres: DataFrame, decimals: int = 6):
+        rows = sorted((r["centre_id"], r["vec"]) for r in centres.select("centre_id", "vec").collect())
+        self.ids, self.matrix, self.decimals = np.array([i for i, _ in rows], np.int64), np.array([v for _, v in rows], np.float64), decimals
+
+    def cells(self, rows: DataFrame, n: int) -> DataFrame:
+        """`rows` with the column cells, the n nearest centres, ties to the smaller id."""
+        shared = rows.sparkSession.sparkContext.broadcast((self.ids, self.matrix))
+        decimals = self.decimals
+
+        def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, matrix = shared.value
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                parent, piece = batch.column("parent_id").to_numpy(zero_copy_only=False), batch.column("slice_index").to_numpy(zero_copy_only=False)
                 flat = batch.column("vec").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                scores = np.round(flat.reshape(len(parent), -1) @ matrix.T, decimals)
-                own = batch.column(within).to_numpy(zero_copy_only=False) if within else None
-                found = []
-                for q in range(len(ids)):
-                    s = scores[:, q]
-                    rows = np.arange(len(s)) if own is None else np.flatnonzero(own == classes[q])
-                    if not len(rows):
-                        continue
-                    if len(rows) > 8 * k:  # whatever ties with the last of the best 8k vectors stays; parents may have many
-                        rows = _enough(rows, s, parent, k)
-                    order = rows[np.lexsort((piece[rows], parent[rows], -s[rows]))]
-                    _, first = np.unique(parent[order], return_index=True)
-                    best = order[np.sort(first)[:k]]
-                    found += [(ids[q], int(parent[i]), int(piece[i]), float(s[i])) for i in best]
-                yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.float64()))], ["query_id", "parent_id", "slice_index", "score"])
-
-        parts.append(vectors.select(*columns).mapInArrow(search, "query_id long, parent_id long, slice_index long, score double"))
-    if not parts:
-        return spark.createDataFrame([], "query_id long, parent_id long, slice_index long, score double, rank int")
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    best = found.groupBy("query_id", "parent_id").agg(F.max("score").alias("score"), F.min_by("slice_index", F.struct(-F.col("score"), "slice_index")).alias("slice_index"))
-    return top_per_group(best, ["query_id"], [F.desc("score"), F.asc("parent_id")], k)
+                scores = np.round(flat.reshape(batch.num_rows, -1) @ matrix.T, decimals) if batch.num_rows else np.zeros((0, len(ids)))
+                order = np.argsort(-scores, axis=1, kind="stable")[:, :n]
+                edges = np.arange(batch.num_rows + 1, dtype=np.int32) * order.shape[1]
+                yield batch.append_column("cells", pa.ListArray.from_arrays(pa.array(edges), pa.array(ids[order].ravel())))
+
+        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+        return rows.mapInArrow(nearest, kinds + ", cells array<long>")
+
+    def build(self, vectors: DataFrame) -> DataFrame:
+        return self.cells(vectors, 1).withColumn("cell", F.element_at("cells", 1)).drop("cells")
+
+    def search(self, index: DataFrame, queries: DataFrame, k: int, probes: int) -> DataFrame:
+        """As `knn`, from the `probes` nearest cells of each query; exactly for queries that find fewer than k parents there."""
+        sizes = index.groupBy("cell").agg(F.ceil(F.count("*") / TILE).alias("tiles"))  # as many rows as centres
+        v = index.join(sizes, "cell").withColumn("tile", F.pmod(F.xxhash64("parent_id", "slice_index"), F.col("tiles")))
+        q = self.cells(queries.select("query_id", "vec"), probes).select("query_id", "vec", F.explode("cells").alias("cell"))
+        q = q.join(sizes, "cell").withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+        found = _ranked(_tiled_search(v.select("cell", "tile", "parent_id", "slice_index", "vec"), q.select("cell", "tile", "query_id", "vec"), ["cell", "tile"], k, None, self.decimals), k)
+        full = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("query_id")
+        rest = knn(index, queries.join(full, "query_id", "left_anti"), k, decimals=self.decimals)
+        return found.join(full, "query_id", "left_semi").unionByName(rest)
 
 
 def _enough(rows: np.ndarray, s: np.ndarray, parent: np.ndarray, k: int) -> np.ndarray:

@@ -15,13 +15,13 @@ from pyspark.sql import functions as F
 from ..functions.text import meaning_normalise
 
 #: Pairs of quotation marks, in the order in which they are looked for; elisions; the header's values.
-PAIRS = (("«", "»"), ("“", "”"), ("„", "“"))
+PAIRS = (("«", "»"), ('"', '"'), ("“", "”"))
 ELISION = r"\s*(?:\[\s*(?:\.{3}|…)\s*\]|\(\s*(?:\.{3}|…)\s*\)|\.{3,}|…)\s*"
 COVERAGE = r"^\s*COVERAGE\s*:\s*(full|partial|none)\s*$"
 NOTICES = {"hy": "[չհաստատված մեջբերում]", "ru": "[цитата не подтверждена]"}
 LEAST_QUOTE, LEAST_SEGMENT = 25, 15
 _ENUMERATOR = re.compile(r"^\s*(?:\d{1,3}(?:\.\d{1,2})?\s*[.)]|[^\W\d_]\s*\))\s*")
-_LETTERS = re.compile("[Ա-Ֆա-և]")
+LETTERS, _CYRILLIC = re.compile("[Ա-Ֆա-և]"), re.compile("[Ѐ-ԯ]")
 
 
 def normalised(text: str) -> str:
@@ -90,16 +90,16 @@ are a stated query set, broadcast in blocks of bounded bytes, and all sources ar
     return found.distinct()
 
 
-def sanitised(answers: DataFrame, sources: DataFrame, letters: re.Pattern | None = _LETTERS) -> DataFrame:
+def sanitised(answers: DataFrame, sources: DataFrame, letters: re.Pattern | None = LETTERS, language: str | None = None) -> DataFrame:
     """answers (id, text) with sources (id, texts): text with quotes that no source holds replaced by a notice,
     n_quotes, n_rejected, and the places of the sources that hold the others. Only quotes with `letters` are
-    checked, Armenian ones by default; None checks all."""
+    checked, Armenian ones by default; None checks all. The notice is in the language given, or in the answer's own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for key, text, texts in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "texts")), strict=True):
-                out.append((key, *sanitise(text or "", texts or [], letters)))
+                out.append((key, *sanitise(text or "", texts or [], letters, language)))
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], ["id", "clean", "n_quotes", "n_rejected", "found_in"])
 
@@ -107,37 +107,56 @@ def sanitised(answers: DataFrame, sources: DataFrame, letters: re.Pattern | None
     return rows.mapInArrow(run, "id long, clean string, n_quotes long, n_rejected long, found_in array<long>")
 
 
-def quotes_in(text: str, least: int = LEAST_QUOTE, letters: re.Pattern | None = _LETTERS) -> list[str]:
-    """Quotes pair by pair, not nested: those with letters of the script and of at least `least` characters."""
+def checkable(quote: str, letters: re.Pattern | None = LETTERS, least: int = LEAST_QUOTE) -> bool:
+    """Whether a quote must stand in a source: it has letters of the script, and at least `least` characters. What
+    isn't is the writer's own words or a term. Batches and streams ask this alike."""
+    return (letters is None or letters.search(quote) is not None) and len(normalised(quote)) >= least
+
+
+def quote_places(text: str, letters: re.Pattern | None = LETTERS) -> list[tuple[int, int]]:
+    """(start, end) of the quotes to be checked, with their marks; pair by pair, not nested."""
     found = []
     for opening, closing in PAIRS:
         at = 0
         while (a := text.find(opening, at)) >= 0 and (b := text.find(closing, a + 1)) >= 0:
-            quote = text[a + 1 : b]
-            if (letters is None or letters.search(quote)) and len(normalised(quote)) >= least:
-                found.append(quote)
+            if checkable(text[a + 1 : b], letters):
+                found.append((a, b + 1))
             at = b + 1
     return found
 
 
-def notice_for(text: str) -> str:
-    """In the script that prevails; Cyrillic where neither does."""
-    hy, ru = len(_LETTERS.findall(text)), len(re.findall("[Ѐ-ԯ]", text))
+def script_counts(text: str) -> tuple[int, int]:
+    """Armenian and Cyrillic letters."""
+    return len(LETTERS.findall(text)), len(_CYRILLIC.findall(text))
+
+
+def notice_in(hy: int, ru: int) -> str:
+    """The notice in the script that prevails; Cyrillic where neither does."""
     return NOTICES["hy" if hy > ru else "ru"]
 
 
-def sanitise(text: str, sources: list[str], letters: re.Pattern | None = _LETTERS) -> tuple[str, int, int, list[int]]:
+def sanitise(text: str, sources: list[str], letters: re.Pattern | None = LETTERS, language: str | None = None) -> tuple[str, int, int, list[int]]:
+    """The text with each quote that no source holds, marks included, replaced by a notice: just there, not where its
+    words stand without marks. Of quotes that overlap, the one found first is replaced."""
     hays = [normalised(s or "") for s in sources]
-    quotes = quotes_in(text, letters=letters)
-    found, rejected = [], 0
-    for q in quotes:
-        at = next((i for i, h in enumerate(hays) if match(q, h)), None)
+    places = quote_places(text, letters)
+    found, rejected = [], []
+    for a, b in places:
+        at = next((i for i, h in enumerate(hays) if match(text[a + 1 : b - 1], h)), None)
         if at is None:
-            rejected += 1
-            text = text.replace(q, notice_for(text))
+            rejected.append((a, b))
         else:
             found.append(at)
-    return text, len(quotes), rejected, found
+    gone: list[tuple[int, int]] = []
+    for a, b in rejected:
+        if all(b <= x or a >= y for x, y in gone):
+            gone.append((a, b))
+    notice = NOTICES[language] if language else notice_in(*script_counts(text))
+    clean, end = [], 0
+    for a, b in sorted(gone):
+        clean += [text[end:a], notice]
+        end = b
+    return "".join(clean) + text[end:], len(places), len(rejected), found
 
 
 def highlight(text: str, quotes: list[str], least: int = 20) -> list[tuple[str, bool]]:

@@ -7,15 +7,17 @@ Searches take as queries every row whose id is divisible by 100, against all row
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import context, evaluate, graph, html, incremental, postings, rank, relational, segment, vector, verify
 from ..sources.tables import table
-from ..streaming.gate import gate_batch
+from ..streaming.gate import CLOSING, gate_batch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -59,13 +61,37 @@ def knn_filtered_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector.knn(*_vectors(spark, sf_dir), k=8, within="label")
 
 
-@query(f"""WITH {_KNN.format(on='true')} SELECT count(*) AS n_queries, 1.0::DOUBLE AS same_first, 1.0::DOUBLE AS overlap
-           FROM (SELECT DISTINCT query_id FROM ranked)""")
-def index_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks of queries against one block: the search must not depend on how queries are cut."""
+_PROBED = f"""{_KNN.format(on='true')},
+    centres AS (SELECT vec_id AS centre_id, embedding::DOUBLE[] AS cv FROM embeddings WHERE vec_id % 41 = 0),
+    celled AS (SELECT s.*, arg_min(centre_id, (-round(list_dot_product(vec, cv), 6), centre_id)) AS cell FROM s, centres GROUP BY ALL),
+    probed AS (SELECT query_id, qv, centre_id AS cell FROM (SELECT query_id, qv, centre_id, row_number() OVER (PARTITION BY query_id ORDER BY round(list_dot_product(qv, cv), 6) DESC, centre_id) AS n FROM q, centres) WHERE n <= (SELECT ceil(0.75 * count(*)) FROM centres)),
+    near AS (SELECT query_id, parent_id, max(round(list_dot_product(qv, vec), 6)) AS score FROM probed JOIN celled USING (cell) GROUP BY ALL),
+    near_ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, parent_id) AS rank, count(*) OVER (PARTITION BY query_id) AS n FROM near),
+    indexed AS (SELECT query_id, parent_id, score, rank FROM near_ranked WHERE n >= 8 AND rank <= 8 UNION ALL SELECT query_id, parent_id, score, rank FROM ranked WHERE rank <= 8 AND query_id NOT IN (SELECT query_id FROM near_ranked WHERE n >= 8))"""
+
+
+def _indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search by cells around every forty-first vector, three in four of them a query: the given vectors are hardly
+    clustered, and fewer find less than 0.9 of what the exact search does."""
     slices, queries = _vectors(spark, sf_dir)
-    whole, cut = vector.knn(slices, queries, 8), vector.knn(slices, queries, 8, block=100)
-    return vector.agreement(whole, cut).crossJoin(whole.agg(F.count_distinct("query_id").alias("n_queries")))
+    centres = table(spark, sf_dir, "embeddings").where("vec_id % 41 = 0").select(F.col("vec_id").alias("centre_id"), F.col("embedding").alias("vec"))
+    cells = vector.CellIndex(centres)
+    return cells.search(cells.build(slices.select("parent_id", "slice_index", "vec")), queries, 8, math.ceil(0.75 * len(cells.ids)))
+
+
+@query(f"WITH {_PROBED} SELECT query_id, parent_id, score, rank::INTEGER AS rank FROM indexed")
+def knn_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _indexed(spark, sf_dir).select("query_id", "parent_id", "score", "rank")
+
+
+@query(f"""WITH {_PROBED}, pairs AS (SELECT e.query_id, e.rank AS exact_rank, i.rank AS index_rank FROM ranked e LEFT JOIN indexed i USING (query_id, parent_id) WHERE e.rank <= 8),
+    per AS (SELECT query_id, max((exact_rank = 1 AND coalesce(index_rank, 0) = 1)::INTEGER) AS same_first, count(index_rank) / count(*) AS overlap FROM pairs GROUP BY 1)
+    SELECT count(*) AS n_queries, round(avg(same_first), 9) AS same_first, round(avg(overlap), 9) AS overlap FROM per""")
+def index_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the search by cells gives what the exact one does."""
+    exact = vector.knn(*_vectors(spark, sf_dir), 8)
+    out = vector.agreement(exact, _indexed(spark, sf_dir)).crossJoin(exact.agg(F.count_distinct("query_id").alias("n_queries")))  # a row each
+    return out.select("n_queries", F.round("same_first", 9).alias("same_first"), F.round("overlap", 9).alias("overlap"))
 
 
 # --- lexical search ----------------------------------------------------------------------------------------------
@@ -125,18 +151,30 @@ def fts_cover_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return postings.cover_density(_posted(spark, sf_dir), asked, 2).withColumn("score", F.round("score", 9))
 
 
-_CONCEPTS = f"""{_query_terms_sql(4)},
-    concepts AS (SELECT query_id, n AS concept, substring(term, 1, 5) AS root, n = 1 AS is_primary FROM asked),
-    stems AS (SELECT DISTINCT id, substring(term, 1, 5) AS root, lower(split_part(text, chr(10), 1)) AS title FROM {_terms_sql('documents', 'doc_id')} p JOIN documents ON doc_id = id),
-    met AS (SELECT query_id, id, count(DISTINCT concept) AS n_concepts, count(*) FILTER (WHERE is_primary) AS n_primary,
-                   sum(CASE WHEN contains(title, root) THEN 12 ELSE 1 END * CASE WHEN is_primary THEN 2 ELSE 1 END)::BIGINT AS score FROM stems JOIN concepts USING (root) GROUP BY ALL),
+# A query's two concepts: the beginnings of its longest two terms together, and of the third alone; roots have 3 to 6 letters.
+_CONCEPTS = f"""{_POSTED}, {_LENGTHS}, {_query_terms_sql(3)},
+    concepts AS (SELECT query_id, CASE WHEN n < 3 THEN 1 ELSE 2 END AS concept, substring(term, 1, (3 + length(term) % 4)::INTEGER) AS root, CASE WHEN n < 3 THEN n ELSE 1 END AS n, CASE WHEN n < 3 THEN least(n_terms, 2) ELSE 1 END AS n_roots, n < 3 AS is_primary FROM asked WHERE length(term) > 2),
+    full_concepts AS (SELECT *, query_id || '.' || concept AS c FROM concepts WHERE (query_id, concept) IN (SELECT query_id, concept FROM concepts GROUP BY ALL HAVING count(*) = max(n_roots) AND count(DISTINCT root) = max(n_roots))),
+    latest AS (SELECT c, id, pos, n_roots, max(CASE WHEN n = 1 THEN pos END) OVER w AS p1, CASE WHEN n_roots = 1 THEN pos ELSE max(CASE WHEN n = 2 THEN pos END) OVER w END AS p2
+               FROM posted JOIN full_concepts ON starts_with(term, root) WINDOW w AS (PARTITION BY c, id ORDER BY pos RANGE UNBOUNDED PRECEDING)),
+    covers AS (SELECT c, id, n_roots, least(p1, p2) AS a, min(pos) AS b FROM latest WHERE p1 IS NOT NULL AND p2 IS NOT NULL GROUP BY ALL),
+    density AS (SELECT c, id, sum(0.1::DOUBLE / (1 + greatest(b - a - n_roots + 1, 0))) / any_value(length) AS score FROM covers JOIN lengths USING (id) GROUP BY ALL),
+    titles AS (SELECT id, term FROM {_terms_sql("(SELECT doc_id, substring(split_part(text, chr(10), 1), 1, 80) AS text FROM documents)", "doc_id")}),
+    titled AS (SELECT c, id FROM titles JOIN full_concepts ON starts_with(term, root) GROUP BY ALL HAVING count(DISTINCT root) = max(n_roots)),
+    met AS (SELECT query_id, d.id AS id, count(*) AS n_concepts, count(*) FILTER (WHERE is_primary) AS n_primary, round(sum(score * CASE WHEN t.c IS NULL THEN 1 ELSE 12 END * CASE WHEN is_primary THEN 2 ELSE 1 END), 9) AS score
+            FROM density d JOIN (SELECT DISTINCT c, query_id, is_primary FROM full_concepts) USING (c) LEFT JOIN titled t ON t.c = d.c AND t.id = d.id GROUP BY ALL),
     placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n_concepts DESC, score DESC, id) AS rank FROM met)"""
 
 
 def _concepts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    asked = postings.longest_terms(table(spark, sf_dir, "benchmark"), "item_id", "text", 4)
-    concepts = asked.select("query_id", F.col("n").alias("concept"), F.substring("term", 1, 5).alias("root"), (F.col("n") == 1).alias("is_primary"))
-    met = postings.prefix_concepts(table(spark, sf_dir, "documents"), "doc_id", F.element_at(F.split("text", "\n"), 1), "text", concepts)
+    asked = postings.longest_terms(table(spark, sf_dir, "benchmark"), "item_id", "text", 3).where(F.length("term") > 2)
+    first = F.col("n") < 3
+    root = F.substring("term", F.lit(1), 3 + F.length("term") % 4)
+    concepts = asked.select("query_id", F.when(first, 1).otherwise(2).alias("concept"), root.alias("root"), F.when(first, F.col("n")).otherwise(1).alias("n"), F.when(first, F.least("n_terms", F.lit(2))).otherwise(1).alias("n_roots"), first.alias("is_primary"))
+    whole = concepts.groupBy("query_id", "concept").agg(F.count("*").alias("m"), F.count_distinct("root").alias("d"), F.max("n_roots").alias("of")).where("m = of and d = of")
+    concepts = concepts.join(whole.select("query_id", "concept"), ["query_id", "concept"])
+    title = F.substring(F.element_at(F.split("text", "\n"), 1), 1, 80)
+    met = postings.prefix_concepts(table(spark, sf_dir, "documents"), "doc_id", title, "text", concepts)
     return concepts, relational.top_per_group(met, ["query_id"], [F.desc("n_concepts"), F.desc("score"), F.asc("id")], 3)
 
 
@@ -150,11 +188,11 @@ def fts_prefix_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_CONCEPTS}, top AS (SELECT query_id, id FROM placed WHERE rank <= 3),
     places AS (SELECT query_id, id, min(CASE WHEN instr(lower(text), root) > 0 THEN instr(lower(text), root) END) AS place, any_value(text) AS text
-               FROM top JOIN concepts USING (query_id) JOIN documents ON doc_id = id WHERE length(root) >= 4 GROUP BY ALL)
+               FROM top JOIN full_concepts USING (query_id) JOIN documents ON doc_id = id WHERE length(root) >= 4 GROUP BY ALL)
     SELECT query_id, id, substring(text, greatest(coalesce(place, 1) - 60, 1), 200) AS snippet FROM places""")
 def snippet_first_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
     concepts, top = _concepts(spark, sf_dir)
-    roots = concepts.groupBy("query_id").agg(F.collect_list("root").alias("roots"))  # at most four
+    roots = concepts.groupBy("query_id").agg(F.collect_list("root").alias("roots"))  # at most three
     rows = top.select("query_id", "id").join(roots, "query_id").join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
     return rows.where(F.exists("roots", lambda r: F.length(r) >= 4)).select("query_id", "id", postings.snippet(F.col("text"), F.col("roots")).alias("snippet"))
 
@@ -362,6 +400,83 @@ def alias_collision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.alias_collisions(*_aliases(spark, sf_dir), "s_suppkey", "alias_id", "document_id")
 
 
+@query(f"""WITH {_EDGES} SELECT from_id, to_id, s_name, n_name, place::INTEGER AS place FROM (
+    SELECT from_id, to_id, s_name, n_name, row_number() OVER (PARTITION BY from_id ORDER BY s_name, to_id) AS place FROM edges JOIN supplier ON s_suppkey = to_id JOIN nation ON n_nationkey = s_nationkey WHERE s_acctbal > 0) WHERE place <= 3""")
+def related_provisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each part's lines cite, in force, with where it belongs, the first three by name."""
+    targets = table(spark, sf_dir, "supplier").where("s_acctbal > 0").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return graph.related(_part_edges(spark, sf_dir), targets.select(F.col("s_suppkey").alias("to_id"), "s_name", "n_name"), "s_name", 3)
+
+
+@query("""WITH s AS (SELECT DISTINCT conv_id, 'fact ' || conv_id AS fact_summary, 0 AS started FROM conversations WHERE turn = 0 AND conv_id % 3 > 0),
+    n AS (SELECT conv_id, nullif(left(arg_max(text, turn), 30 * (conv_id % 2)::INTEGER), '') AS fact_summary FROM conversations WHERE role = 'user' GROUP BY 1)
+    SELECT conv_id, CASE WHEN n.conv_id IS NULL THEN s.fact_summary ELSE n.fact_summary END AS fact_summary, coalesce(started, -1) AS started FROM s FULL JOIN n USING (conv_id)""")
+def session_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of sessions updated from the last thing their users said, null where that gives none; new sessions are created."""
+    said = table(spark, sf_dir, "conversations")
+    old = said.where("turn = 0 and conv_id % 3 > 0").select("conv_id", F.concat(F.lit("fact "), F.col("conv_id").cast("string")).alias("fact_summary"), F.lit(0).alias("started")).distinct()
+    last = said.where("role = 'user'").groupBy("conv_id").agg(F.max_by("text", "turn").alias("text"))
+    new = last.select("conv_id", F.nullif(F.left("text", (30 * (F.col("conv_id") % 2)).cast("int")), F.lit("")).alias("fact_summary"))
+    return relational.update_by_key(old, new, ["conv_id"], ["fact_summary"]).fillna(-1, ["started"])
+
+
+@query("""WITH c AS (SELECT user_id, event_id, value, event_type AS turn, p_partkey, s_name FROM events JOIN part ON p_partkey = event_id % 199 + 1 JOIN supplier ON s_suppkey = p_partkey % 9 + 1 WHERE event_id % 5 > 0),
+    m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, turn DESC, event_id) AS cut FROM c) WHERE cut <= 20),
+    d AS (SELECT *, row_number() OVER (PARTITION BY user_id, turn ORDER BY value DESC, event_id) AS depth FROM m)
+    SELECT user_id, turn, event_id, value, p_partkey, s_name, depth::INTEGER AS depth, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY depth, turn) AS rank FROM d) WHERE rank <= 5""")
+def carried_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Session chunks with their articles and documents, the best twenty of a session, then five of them in turn."""
+    part, supplier = table(spark, sf_dir, "part").select("p_partkey"), table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    rows = table(spark, sf_dir, "events").where("event_id % 5 > 0").withColumn("p_partkey", F.col("event_id") % 199 + 1).join(part, "p_partkey")
+    rows = rows.withColumn("s_suppkey", F.col("p_partkey") % 9 + 1).join(supplier, "s_suppkey").select("user_id", F.col("event_type").alias("turn"), "event_id", "value", "p_partkey", "s_name")
+    return relational.round_robin(rows, "user_id", "turn", "event_id", "value", most=20)
+
+
+@query("""WITH k AS (SELECT lang, source, min(doc_id) AS article_id FROM documents WHERE doc_id % 4 > 0 GROUP BY ALL),
+    v AS (SELECT vec_id, ['en', 'fr', 'de', 'xx'][(label % 4 + 1)::INTEGER] AS lang, (SELECT min(source) FROM documents) AS source FROM embeddings)
+    SELECT vec_id, lang, article_id FROM v LEFT JOIN k USING (lang, source)""")
+def embedding_key_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors under natural keys get the ids of what has the keys; orphans get none."""
+    docs = table(spark, sf_dir, "documents")
+    source = docs.agg(F.min("source").alias("source"))  # one row
+    lang = F.element_at(F.array(*map(F.lit, ("en", "fr", "de", "xx"))), (F.col("label") % 4 + 1).cast("int"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", lang.alias("lang")).crossJoin(source)
+    targets = docs.where("doc_id % 4 > 0").withColumnRenamed("doc_id", "article_id")
+    return relational.key_map(rows, targets, ["lang", "source"], "article_id").select("vec_id", "lang", "article_id")
+
+
+@query("""WITH e AS (SELECT vec_id // 4 AS parent, label FROM embeddings WHERE label IS DISTINCT FROM 2)
+    SELECT label, count(*) AS n, count(DISTINCT parent) AS n_parents, (SELECT count(DISTINCT doc_id) FROM documents) AS n_all, round(100 * count(DISTINCT parent) / (SELECT count(DISTINCT doc_id) FROM documents)::DOUBLE, 6) AS percent
+    FROM e WHERE parent IN (SELECT doc_id FROM documents) GROUP BY 1""")
+def embedding_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One model's vectors deleted, then what the others cover; labels stand for models."""
+    rows = relational.without(table(spark, sf_dir, "embeddings"), "label", 2).select(F.floor(F.col("vec_id") / 4).alias("parent"), "label")
+    return relational.coverage(rows, table(spark, sf_dir, "documents"), "label", "parent", "doc_id")
+
+
+@query("""SELECT lang, count(*) AS n_eligible, count(*) FILTER (WHERE doc_id NOT IN (SELECT vec_id // 4 FROM embeddings)) AS n_missing
+    FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND coalesce(text, '') <> '' GROUP BY 1""")
+def missing_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "documents").where("coalesce(text, '') <> ''").join(table(spark, sf_dir, "labels").where("quality = 1"), "doc_id")
+    done = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 4).alias("parent"))
+    return relational.eligible_and_missing(good, done, "doc_id", "parent", "lang")
+
+
+@query("""SELECT doc_id, source, quality, sha256(text) AS text_sha256 FROM documents JOIN labels USING (doc_id)
+    WHERE (source, quality) IN (SELECT source, min(quality) FROM documents JOIN labels USING (doc_id) GROUP BY 1)""")
+def judge_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts by keys that a journal names: of each source the documents of its worst verdict."""
+    judged = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "source", "quality", "text")
+    keys = judged.groupBy("source").agg(F.min("quality").alias("quality"))
+    return judged.join(keys, ["source", "quality"], "left_semi").select("doc_id", "source", "quality", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("""SELECT lower(trim(regexp_replace(split_part(text, chr(10), 1), '\\s+', ' ', 'g'))) AS title, count(*) AS n, min(doc_id) AS first_id FROM documents WHERE text IS NOT NULL GROUP BY 1""")
+def title_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    title = F.lower(T.normalise_space(F.element_at(F.split("text", "\n"), 1)))
+    return table(spark, sf_dir, "documents").where("text is not null").groupBy(title.alias("title")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
+
+
 # --- segments, slices, headers -----------------------------------------------------------------------------------
 
 _LINES = "l AS (SELECT doc_id AS id, unnest(range(len(x))) AS pos, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents))"
@@ -427,26 +542,57 @@ def header_build_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"""WITH {_LINES} SELECT id, length(any_value(text))::INTEGER AS n_chars, count(*) FILTER (WHERE regexp_matches(line, '^\\d{{1,3}}\\.\\s+\\S') OR regexp_matches(line, '^\\d{{1,3}}(\\.\\d{{1,2}})?\\s*[.)]\\s*\\S') OR regexp_matches(line, '^\\|\\s*\\d{{1,3}}\\s*\\)')) >= 4 AND length(any_value(text)) >= 2500 AS is_enumeration
-    FROM l JOIN documents ON doc_id = id GROUP BY id""")
+@query("""WITH b AS (SELECT doc_id AS id, list_aggregate(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN i % 2 = 1 THEN i || CASE WHEN i % 3 = 0 THEN '. ' ELSE ') ' END || x ELSE x END), 'string_agg', chr(10)) AS body FROM documents),
+    l AS (SELECT id, body, unnest(string_split(body, chr(10))) AS line FROM b)
+    SELECT id, length(any_value(body))::INTEGER AS n_chars, count(*) FILTER (WHERE regexp_matches(line, '^\\d{1,3}\\.\\s+\\S') OR regexp_matches(line, '^\\d{1,3}(\\.\\d{1,2})?\\s*[.)]\\s*\\S')) >= 4 AND length(any_value(body)) >= 2500 AS is_enumeration FROM l GROUP BY id""")
 def enumeration_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.length("text").alias("n_chars"), segment.is_enumeration(F.col("text")).alias("is_enumeration"))
-
-
-@query()
+    """Documents whose every second line is numbered."""
+    marked = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 2 == 0, F.concat((i + 1).cast("string"), F.when(i % 3 == 2, ". ").otherwise(") "), x)).otherwise(x))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.array_join(marked, "\n").alias("body"))
+    return rows.select("id", F.length("body").alias("n_chars"), segment.is_enumeration(F.col("body")).alias("is_enumeration"))
+
+
+# Documents as chunks with a table's header before them and every third line made a row of it.
+_TABLED = """b AS (SELECT doc_id AS id, '[Source] ' || source || chr(10) || '---' AS head, '| a | b |' || chr(10) || '| --- | --- |' || chr(10) || list_aggregate(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN i % 3 = 0 THEN '| ' || x ELSE x END), 'string_agg', chr(10)) AS body FROM documents)"""
+
+
+def _tabled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 3 == 2, F.concat(F.lit("| "), x)).otherwise(x))
+    body = F.concat(F.lit("| a | b |\n| --- | --- |\n"), F.array_join(marked, "\n"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("[Source] "), F.col("source"), F.lit("\n---")).alias("head"), body.alias("body"))
+
+
+@query(f"""WITH {_TABLED}, l AS (SELECT id, unnest(range(len(x))) AS pos, unnest(x) AS line FROM (SELECT id, string_split(body, chr(10)) AS x FROM b)),
+    k AS (SELECT *, CASE WHEN trim(line, ' ') = '' THEN 0 WHEN starts_with(line, '|') THEN 2 ELSE 1 END AS kind FROM l),
+    o AS (SELECT *, CASE WHEN kind = 2 OR (kind = 1 AND coalesce(lag(kind) OVER (PARTITION BY id ORDER BY pos), 0) <> 1) THEN 1 ELSE 0 END AS opens FROM k),
+    u AS (SELECT id, unit, string_agg(line, chr(10) ORDER BY pos) AS text FROM (SELECT *, sum(opens) OVER (PARTITION BY id ORDER BY pos) AS unit FROM o) WHERE kind > 0 GROUP BY ALL),
+    s AS (SELECT id, unit, unnest(range(len(x))) AS n, unnest(x) AS text FROM (SELECT id, unit, CASE WHEN ceil(strlen(text) / 4) < 256 THEN [text] ELSE string_split(regexp_replace(text, '([։.;])\\s+', '\\1' || chr(1), 'g'), chr(1)) END AS x FROM u)),
+    p AS (SELECT id, unit, n, unnest(range(len(x))) AS m, unnest(x) AS text FROM (SELECT id, unit, n, CASE WHEN ceil(strlen(text) / 4) < 256 THEN [text] ELSE regexp_extract_all(text, '(?s).{{1,256}}') END AS x FROM s)),
+    a AS (SELECT id, list(text ORDER BY unit, n, m) AS texts, list(ceil(strlen(text) / 4)::INTEGER ORDER BY unit, n, m) AS sizes FROM p GROUP BY 1),
+    g AS (SELECT b.id, head, body, texts, list_reduce(list_transform(sizes, lambda t: {{'i': 1, 'used': t, 'begins': [0]}}), lambda x, y: {{'i': x.i + 1, 'used': CASE WHEN x.used + y.used > greatest(256, 512 - ceil(strlen(head) / 4) - 6 - 16) THEN y.used ELSE x.used + y.used END,
+        'begins': CASE WHEN x.used + y.used > greatest(256, 512 - ceil(strlen(head) / 4) - 6 - 16) THEN list_append(x.begins, x.i) ELSE x.begins END}}).begins AS begins FROM b JOIN a USING (id)),
+    c AS (SELECT id, head, CASE WHEN ceil(strlen(head || chr(10) || body) / 4) <= 512 THEN [[body]] ELSE list_transform(begins, lambda x, i: texts[x + 1:coalesce(begins[i + 1], len(texts))]) END AS groups FROM g),
+    e AS (SELECT id, head, len(groups) AS n_slices, unnest(range(len(groups))) AS i, unnest(groups) AS units FROM c)
+    SELECT id AS parent_id, id || '::' || i AS slice_id, i::INTEGER AS slice_index, n_slices::INTEGER AS n_slices,
+           sha256(head || chr(10) || CASE WHEN i > 0 AND len(list_filter(units, lambda x: starts_with(x, '|'))) > 0 THEN '| a | b |' || chr(10) || '| --- | --- |' || chr(10) ELSE '' END || list_aggregate(units, 'string_agg', chr(10))) AS text_sha256 FROM e""")
 def greedy_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slices of documents at 512 estimated tokens; a fold, which SQL lacks; tested against a plain loop."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("[Source] "), F.col("source"), F.lit("\n---")).alias("head"), "text")
-    return segment.slices(docs, "doc_id", "head", "text", most=512, cap=1024).select("parent_id", "slice_id", "slice_index", "n_slices", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+    """Slices of documents at 512 estimated tokens."""
+    return segment.slices(_tabled(spark, sf_dir), "doc_id", "head", "body", most=512, cap=1024).select("parent_id", "slice_id", "slice_index", "n_slices", F.sha2("text", 256).alias("text_sha256"))
 
 
 # --- scripts, pages, numbers -------------------------------------------------------------------------------------
 
 
-@query("""SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z]')) AS n_latin, len(regexp_extract_all(text, '[\\x{0400}-\\x{052F}]')) AS n_cyrillic, CASE WHEN len(regexp_extract_all(text, '[A-Za-z]')) > 200 THEN 'en' END AS script,
-    'hy' AS answer_language FROM documents""")
+@query("""WITH t AS (SELECT doc_id, CASE lang WHEN 'de' THEN translate(text, 'abcdefghijklmnopqrstuvwxyz', 'абвгдежзийклмнопрстуфхцчшщ') WHEN 'fr' THEN translate(text, 'aeimnorstu', 'աեիմնորստու') ELSE text END AS text FROM documents),
+    c AS (SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z]')) AS n_latin, len(regexp_extract_all(text, '[\\x{0400}-\\x{052F}]')) AS n_cyrillic, len(regexp_extract_all(text, '[\\x{0531}-\\x{0556}\\x{0561}-\\x{0587}]')) AS n_armenian FROM t)
+    SELECT *, CASE WHEN greatest(n_latin, n_cyrillic, n_armenian) <= 200 THEN NULL WHEN n_armenian >= greatest(n_latin, n_cyrillic) THEN 'hy' WHEN n_cyrillic >= n_latin THEN 'ru' ELSE 'en' END AS script,
+           CASE WHEN n_cyrillic > n_armenian THEN 'ru' ELSE 'hy' END AS answer_language FROM c""")
 def script_census(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", T.script_count("text", "en").alias("n_latin"), T.script_count("text", "ru").alias("n_cyrillic"), T.dominant_script("text").alias("script"), T.answer_language("text").alias("answer_language"))
+    """Documents in three scripts: German ones in Cyrillic letters, French ones partly in Armenian."""
+    text = F.when(F.col("lang") == "de", F.translate("text", "abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщ")).when(F.col("lang") == "fr", F.translate("text", "aeimnorstu", "աեիմնորստու")).otherwise(F.col("text"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+    counts = [T.script_count("text", s).alias(f"n_{n}") for s, n in (("en", "latin"), ("ru", "cyrillic"), ("hy", "armenian"))]
+    return rows.select("doc_id", *counts, T.dominant_script("text").alias("script"), T.answer_language("text").alias("answer_language"))
 
 
 @query()
@@ -461,9 +607,108 @@ def page_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.posts(table(spark, sf_dir, "pages"), "page_id", "html").select("id", "title", F.sha2("body", 256).alias("body_sha256"), "n_comments")
 
 
-@query()
+# Parts as acts: by turns with articles, with points and an annex, and with tables only. What their pages hold is known
+# from what they are made of.
+_P = "p_partkey AS id, p_name AS name, p_type AS type, p_brand AS brand, p_size AS size"
+_TABLE = "brand || chr(10) || type || ' ' || size || chr(10) || id", "'| ' || brand || ' | ' || brand || ' |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || type || ' | ' || size || ' |' || chr(10) || '| ' || type || ' | ' || id || ' |'"
+
+
+def _block_sql(act: int, pos: int, kind: str, text: str, label: str = "NULL", title: str = "NULL", markdown: str = "NULL") -> str:
+    return f"SELECT id, {pos}::BIGINT AS pos, '{kind}' AS kind, {label} AS label, {title} AS title, {text} AS text, {markdown} AS markdown FROM p WHERE id % 3 = {act}"
+
+
+_ACT_BLOCKS = " UNION ALL ".join([
+    _block_sql(0, 0, "chapter", "'Գ Լ Ո Ւ Խ ' || size", "'Գ Լ Ո Ւ Խ ' || size"),
+    _block_sql(0, 1, "article", "'Հոդված ' || size || '.1 ' || name", "size || '.1'", "name"),
+    _block_sql(0, 2, "text", "type || ' & ' || brand"),
+    _block_sql(0, 3, "table", _TABLE[0], markdown=_TABLE[1]),
+    _block_sql(0, 4, "article", "'Հոդված ' || (size + 1)", "(size + 1)::VARCHAR", "''"),
+    _block_sql(0, 5, "text", "'second of ' || name"),
+    _block_sql(1, 0, "text", "size || '. first of ' || name"),
+    _block_sql(1, 1, "text", "'goes on ' || type"),
+    _block_sql(1, 2, "text", "(size + 1) || '.1. second'"),
+    _block_sql(1, 3, "annex", "'ՀԱՎԵԼՎԱԾ N ' || size", "'ՀԱՎԵԼՎԱԾ N ' || size"),
+    _block_sql(1, 4, "text", "'annex of ' || brand"),
+    _block_sql(1, 5, "table", _TABLE[0], markdown=_TABLE[1]),
+    _block_sql(2, 0, "text", "'preamble ' || name"),
+    _block_sql(2, 1, "table", _TABLE[0], markdown=_TABLE[1]),
+    _block_sql(2, 2, "text", "'after ' || type"),
+])
+_ACTS = f"p AS (SELECT {_P} FROM part), blocks AS ({_ACT_BLOCKS})"
+
+
+def _acts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def page(pieces: str) -> Column:
+        """Pieces with the columns' names in braces."""
+        parts = re.split("[{}]", pieces)
+        return F.concat(*[F.col(x).cast("string") if i % 2 else F.lit(x) for i, x in enumerate(parts)])
+
+    data = "<table class=x><tr><th colspan='2'>{brand}</th></tr><tr><td rowspan=2>{type}</td><td> {size}</td></tr><tr><td>{id}</td></tr></table>"
+    articles = "<html><head><title>{id}</title><style>p {}</style></head><body><p>Գ Լ Ո Ւ Խ {size}</p><table><tr><td>Հոդված {size}․1.</td><td>{name}</td></tr></table><p>{type} &amp;\n <b>{brand}</b></p><p> </p>"
+    articles = articles.replace("p {}", "p") + data + "<table><tr><td>Հոդված {next}.</td></tr></table><script>var x = '<p>no</p>';</script><p>second of {name}</p></body></html>"
+    points = "<div><p>{size}. first of {name}</p><p>goes<br>on {type}<p>{next}.1. second</p><table><tr><td>ՀԱՎԵԼՎԱԾ</td><td>N {size}</td></tr></table><p>annex of {brand}</p>" + data + "</div>"
+    tables = "<p>preamble {name}</p>" + data + "<p>after {type}</p>"
+    act = F.col("id") % 3
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("type"), F.col("p_brand").alias("brand"), F.col("p_size").alias("size"), (F.col("p_size") + 1).alias("next"))
+    return rows.select("id", F.when(act == 0, page(articles)).when(act == 1, page(points)).otherwise(page(tables)).alias("html"))
+
+
+def _act_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.classified(html.raw_blocks(_acts(spark, sf_dir), "id", "html"))
+
+
+@query(f"WITH {_ACTS} SELECT * FROM blocks")
+def act_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings, tables with spans, annexes, text in order from pages of acts."""
+    return _act_blocks(spark, sf_dir)
+
+
+@query(f"""WITH {_ACTS} SELECT id, sum(length(text))::BIGINT AS n_chars, {", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in ("article", "table", "part", "section", "chapter", "annex"))},
+    CASE WHEN id % 3 = 1 THEN 2::BIGINT ELSE 0::BIGINT END AS n_points, ['articles', 'points', 'tabular'][(id % 3 + 1)::INTEGER] AS structure FROM blocks GROUP BY id""")
 def page_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.page_metadata(html_blocks(spark, sf_dir))
+    return html.page_metadata(_act_blocks(spark, sf_dir))
+
+
+@query(f"""WITH {_ACTS}, t AS (SELECT *, {_TABLE[1]} AS data FROM p)
+    SELECT id, size || '.1' AS ref, 2::BIGINT AS first_pos, type || ' & ' || brand || chr(10) || chr(10) || data AS text FROM t WHERE id % 3 = 0 UNION ALL SELECT id, (size + 1)::VARCHAR, 5, 'second of ' || name FROM t WHERE id % 3 = 0
+    UNION ALL SELECT id, size::VARCHAR, 0, size || '. first of ' || name || chr(10) || chr(10) || 'goes on ' || type FROM t WHERE id % 3 = 1 UNION ALL SELECT id, (size + 1) || '.1', 2, (size + 1) || '.1. second' FROM t WHERE id % 3 = 1
+    UNION ALL SELECT id, 'annex 1 part 1', 4, 'annex of ' || brand FROM t WHERE id % 3 = 1 UNION ALL SELECT id, 'annex 1 table 1', 5, data FROM t WHERE id % 3 = 1
+    UNION ALL SELECT id, 'preamble 1', 0, 'preamble ' || name FROM t WHERE id % 3 = 2 UNION ALL SELECT id, 'table 1', 1, data FROM t WHERE id % 3 = 2 UNION ALL SELECT id, 'preamble 2', 2, 'after ' || type FROM t WHERE id % 3 = 2""")
+def act_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Acts cut by what structure they have."""
+    return segment.chunks(_act_blocks(spark, sf_dir))
+
+
+@query("""WITH p AS (SELECT p_partkey AS id, p_size AS a, p_partkey % 5 AS n, p_partkey % 90 + 1 AS d FROM part),
+    x AS (SELECT id, unnest([a::VARCHAR] || list_transform(range(a + 2, a + 3 + n), lambda i: i::VARCHAR)) AS number, false AS in_code, unnest(range(1, n + 3)) AS place FROM p)
+    SELECT id, number, in_code, place::INTEGER AS place FROM x UNION ALL SELECT id, d::VARCHAR, true, (n + 3)::INTEGER FROM p""")
+def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles that a text cites: a number and a range of them in its own act, and one of the code."""
+    a, n = F.col("p_size"), F.col("p_partkey") % 5
+    text = F.concat(F.lit("Ըստ "), a.cast("string"), F.lit(" և "), (a + 2).cast("string"), F.lit("-"), (a + 2 + n).cast("string"), F.lit("-րդ հոդվածների կարգով սահմանված պայմանների դեպքում կիրառվում է նաև հարկային օրենսգրքի "), (F.col("p_partkey") % 90 + 1).cast("string"), F.lit(" հոդվածը։"))
+    found = graph.citations(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), text.alias("text")), "id", "text")
+    return graph.references(found)
+
+
+@query("""SELECT p_partkey AS id, 'law:' || p_partkey || ':' || CASE WHEN p_partkey % 2 = 0 THEN 'Ն' ELSE 'Ա' END || ' decision:' || p_size || ':Լ law:' || (p_size + 7) || ':' AS numbers,
+    CASE WHEN p_partkey % 4 = 0 THEN 'decision:' || p_size ELSE 'law:' || (p_size + 7) END AS own, p_partkey % 2 = 0 AS normative FROM part""")
+def act_number_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All act numbers of a text in order, and a page's own by place: a decision's in the head, or the last law's in the tail."""
+    key, size = F.col("p_partkey").cast("string"), F.col("p_size")
+    all_of = F.concat(F.lit("ըստ ՀՕ-"), key, F.when(F.col("p_partkey") % 2 == 0, "-Ն").otherwise("-Ա"), F.lit(" և N "), size.cast("string"), F.lit("-Լ, HO "), (size + 7).cast("string"), F.lit("."))
+    page = F.concat(F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("ՈՐՈՇՈՒՄ № "), size.cast("string"), F.lit(" - Ն"))).otherwise(F.lit("ՕՐԵՆՔ")), F.repeat(F.lit(" բառ"), 300), F.lit(" ՀՕ-3-Ն, ՀՕ-"), (size + 7).cast("string"), F.lit("-Ն"))
+    numbers = F.array_join(F.transform(T.act_numbers(all_of), lambda x: F.concat_ws(":", x["series"], x["number"].cast("string"), F.coalesce(x["suffix"], F.lit("")))), " ")
+    own = T.own_act_number(page)
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), numbers.alias("numbers"), F.concat_ws(":", own["series"], own["number"].cast("string")).alias("own"), T.is_normative(T.act_number(all_of)).alias("normative"))
+
+
+@query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS found, strftime(o_orderdate, '%Y-%m-%d') AS dotted FROM orders""")
+def long_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates written with inflected month names, in two orders, and with dots."""
+    d = F.col("o_orderdate")
+    name = F.element_at(F.array(*map(F.lit, T.MONTHS)), F.month(d))
+    text = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("ընդունված "), F.dayofmonth(d).cast("string"), F.lit(" "), name, F.lit("ի "), F.year(d).cast("string"), F.lit(" թ."))).otherwise(F.concat(F.year(d).cast("string"), F.lit(" թ. "), name, F.lit("ի "), F.dayofmonth(d).cast("string"), F.lit("-ին")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", T.long_date(text).cast("string").alias("found"), T.dotted_date(F.concat(F.lit("ամսաթիվ "), F.date_format(d, "dd.MM.yyyy"))).cast("string").alias("dotted"))
 
 
 @query("""SELECT doc_id, len(list_filter(list_distinct(regexp_extract_all(text, '[0-9]+')), lambda x: NOT list_contains(regexp_extract_all(regexp_replace(text, '\\$[^ ]*', '', 'g'), '[0-9]+'), x))) AS n_lost FROM documents""")
@@ -482,14 +727,32 @@ def quote_verbatim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.contained_quotes(quotes, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
-@query()
+_QUOTED = f"""m AS (SELECT conv_id, turn, role, trim(regexp_replace(coalesce(text, ''), '[^A-Za-z]+', ' ', 'g')) AS t FROM conversations),
+    l AS (SELECT *, coalesce(lag(t) OVER (PARTITION BY conv_id ORDER BY turn), '') AS b FROM m),
+    q AS (SELECT conv_id, turn, trim('Հոդված ' || substring(b, 1, 40)) AS q1, trim('Հոդված ' || substring(t, 1, 40)) AS q2, b FROM l WHERE role = 'assistant'),
+    src AS (SELECT conv_id, string_agg('Հոդված ' || t, chr(10)) AS texts FROM m WHERE role = 'user' GROUP BY 1),
+    kept AS (SELECT q.*, length(q1) >= 25 AS c1, length(q2) >= 25 AS c2, {{hold}} FROM q LEFT JOIN src USING (conv_id)),
+    said AS (SELECT *, CASE WHEN c1 AND NOT h1 THEN '{verify.NOTICES["hy"]}' ELSE '«' || q1 || '»' END || ' և ' || CASE WHEN c2 AND NOT h2 THEN '{verify.NOTICES["hy"]}' ELSE '"' || q2 || '"' END || ' և ' || q2 AS clean FROM kept)"""
+
+
+def _quoted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The letters of messages as provisions: each assistant's turn quotes the turn before it and, as if it stood there too,
+    itself, in two kinds of marks, and repeats the second without any. Sources are the user's turns."""
+    letters = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]+", " "))
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", letters.alias("t"))
+    said = said.withColumn("b", F.coalesce(F.lag("t").over(Window.partitionBy("conv_id").orderBy("turn")), F.lit("")))
+    one, two = (F.trim(F.concat(F.lit("Հոդված "), F.substring(c, 1, 40))) for c in ("b", "t"))
+    answers = said.where("role = 'assistant'").select("conv_id", "turn", "b", F.concat(F.lit("«"), one, F.lit("» և \""), two, F.lit("\" և "), two).alias("text"))
+    return answers, said.where("role = 'user'").select("conv_id", F.concat(F.lit("Հոդված "), "t").alias("source"))
+
+
+@query(f"""WITH {_QUOTED.format(hold="contains('Հոդված ' || b, q1) AS h1, contains('Հոդված ' || b, q2) AS h2")}
+    SELECT conv_id * 1000 + turn AS id, sha256(clean) AS clean_sha256, c1::BIGINT + c2::BIGINT AS n_quotes, (c1 AND NOT h1)::BIGINT + (c2 AND NOT h2)::BIGINT AS n_rejected FROM said""")
 def quote_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each assistant's turn as an answer whose source is the user's turn before it."""
-    said = table(spark, sf_dir, "conversations")
-    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    rows = said.withColumn("before", before).where("role = 'assistant'").withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
-    answers = rows.select("id", F.concat(F.lit("«"), "text", F.lit("»")).alias("text"))
-    return verify.sanitised(answers, rows.select("id", F.array("before").alias("texts")), letters=None).select("id", F.sha2("clean", 256).alias("clean_sha256"), "n_quotes", "n_rejected")
+    """Each assistant's turn as an answer whose source is the turn before it."""
+    answers, _ = _quoted(spark, sf_dir)
+    rows = answers.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text", F.array(F.concat(F.lit("Հոդված "), "b")).alias("texts"))
+    return verify.sanitised(rows.select("id", "text"), rows.select("id", "texts")).select("id", F.sha2("clean", 256).alias("clean_sha256"), "n_quotes", "n_rejected")
 
 
 @query("""SELECT role, coverage, count(*) AS n, sum(length(body))::BIGINT AS n_chars FROM (SELECT role, CASE WHEN h THEN (CASE turn % 3 WHEN 0 THEN 'full' WHEN 1 THEN 'partial' ELSE 'none' END) END AS coverage,
@@ -501,14 +764,34 @@ def coverage_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("role", "coverage").agg(F.count("*").alias("n"), F.sum(F.length(F.when(F.col("coverage").isNotNull(), F.col("trimmed")).otherwise(F.col("body")))).alias("n_chars"))
 
 
-@query()
+@query(f"""WITH {_QUOTED.format(hold="coalesce(contains(texts, q1), false) AS h1, coalesce(contains(texts, q2), false) AS h2")},
+    n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1 AS is_last, sum((c1 AND NOT h1)::BIGINT + (c2 AND NOT h2)::BIGINT) OVER (PARTITION BY conv_id) AS bad, sum((c1 AND h1)::BIGINT + (c2 AND h2)::BIGINT) OVER (PARTITION BY conv_id) AS good FROM said)
+    SELECT conv_id, turn, sha256(clean || CASE WHEN is_last AND bad >= 2 THEN '{CLOSING["hy"]}' ELSE '' END) AS shown_sha256,
+           CASE WHEN is_last THEN '{{"coverage": "partial", "accepted": ' || good || ', "rejected": ' || bad || '}}' END AS done FROM n""")
 def stream_quote_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as sessions of deltas, the assistant's turns as quotes, verified against what the user said; the
-    stream twin gives the same."""
-    said = table(spark, sf_dir, "conversations")
-    deltas = said.select(F.col("conv_id").alias("session"), F.col("turn").alias("seq"), F.when(F.col("role") == "assistant", F.concat(F.lit("«"), "text", F.lit("»"))).otherwise(F.col("text")).alias("delta"))
-    sources = said.where("role = 'user'").groupBy(F.col("conv_id").alias("session")).agg(F.collect_list("text").alias("texts"))
-    return gate_batch(deltas, sources)
+    """Conversations as streams: a header, then the assistant's turns, in deltas of eleven characters, verified against what
+    the user said; the stream twin gives the same."""
+    answers, sources = _quoted(spark, sf_dir)
+    first = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) == 1
+    answers = answers.withColumn("text", F.when(first, F.concat(F.lit("Coverage: Partial\n\n"), "text")).otherwise(F.col("text")))
+    deltas = answers.select("conv_id", "turn", F.posexplode(F.regexp_extract_all("text", F.lit("(?s).{1,11}"), F.lit(0))).alias("n", "delta"))
+    deltas = deltas.select(F.col("conv_id").alias("session"), (F.col("turn") * 10000 + F.col("n")).alias("seq"), "delta")
+    sources = sources.groupBy(F.col("conv_id").alias("session")).agg(F.collect_list("source").alias("texts")).join(deltas.select("session").distinct(), "session", "left_semi")
+    events = gate_batch(deltas, sources, language="hy").groupBy(F.col("session").alias("conv_id"), F.floor(F.col("seq") / 10000).alias("turn")).agg(
+        F.array_sort(F.collect_list(F.when(F.col("type") == "delta", F.struct("seq", "n", "payload")))).alias("shown"), F.max(F.when(F.col("type") == "done", F.col("payload"))).alias("done")
+    )
+    return events.select("conv_id", "turn", F.sha2(F.array_join(F.transform("shown", lambda x: x["payload"]), ""), 256).alias("shown_sha256"), "done")
+
+
+@query("""WITH d AS (SELECT doc_id AS id, text, substring(text, 11, 40) AS q FROM documents WHERE text IS NOT NULL),
+    p AS (SELECT id, q, unnest(range(len(x))) AS i, unnest(x) AS part, len(x) AS n FROM (SELECT id, q, CASE WHEN length(q) > 20 THEN string_split(text, q) ELSE [text] END AS x FROM d)),
+    u AS (SELECT id, i * 2 AS o, part, false AS marked FROM p WHERE part <> '' UNION ALL SELECT id, i * 2 + 1, q, true FROM p WHERE i < n - 1)
+    SELECT id, row_number() OVER (PARTITION BY id ORDER BY o) - 1 AS pos, sha256(part) AS part_sha256, marked FROM u""")
+def quote_highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where forty characters of a text stand in it."""
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    parts = verify.highlight_segments(docs.select(F.col("doc_id").alias("id"), "text", F.array(F.substring("text", 11, 40)).alias("quotes")))
+    return parts.select("id", "pos", F.sha2("part", 256).alias("part_sha256"), "marked")
 
 
 # --- evaluation and audits ---------------------------------------------------------------------------------------
@@ -535,6 +818,21 @@ def fair_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.fair_universe(table(spark, sf_dir, "events"), "event_type", "user_id")
 
 
+@query(f"""{_RANKED}, u AS (SELECT vec_id // 4 AS id FROM embeddings GROUP BY 1 HAVING count(DISTINCT vec_id % 4) = 4 AND max(vec_id) % 3 > 0),
+    t AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM top WHERE id IN (SELECT id FROM u)),
+    g AS (SELECT * FROM gold WHERE id IN (SELECT id FROM u)),
+    h AS (SELECT query_id, min(rank) AS first, count(*) FILTER (WHERE rank <= 5) AS f5, count(*) FILTER (WHERE rank <= 8) AS f8 FROM t JOIN g USING (query_id, id) GROUP BY 1),
+    m AS (SELECT query_id, n_gold, coalesce(f5, 0) AS f5, coalesce(f8, 0) AS f8, coalesce(1.0::DOUBLE / first, 0) AS rr FROM (SELECT query_id, count(*) AS n_gold FROM g GROUP BY 1) LEFT JOIN h USING (query_id))
+    SELECT count(*) AS n_questions, round(avg((f5 > 0)::INT), 9) AS hit_5, round(avg(f5 / n_gold), 9) AS recall_5, round(avg((f8 > 0)::INT), 9) AS hit_8, round(avg(f8 / n_gold), 9) AS recall_8, round(avg(rr), 9) AS reciprocal_rank FROM m""")
+def fair_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics over parents that all four places of slices have and that a second condition admits, for lists and gold alike."""
+    slices, _ = _vectors(spark, sf_dir)
+    whole = evaluate.fair_universe(slices, "slice_index", "parent_id").select(F.col("parent_id").alias("id"))
+    last = slices.groupBy(F.col("parent_id").alias("id")).agg(F.max(F.col("parent_id") * 4 + F.col("slice_index")).alias("last")).where("last % 3 > 0")
+    ranked, gold = evaluate.restricted(*_evaluated(spark, sf_dir), whole.join(last, "id", "left_semi"))
+    return evaluate.macro_average(evaluate.question_metrics(ranked, gold))
+
+
 _CALIBRATED = """rows AS (SELECT query_id, max(CASE WHEN rank = 1 THEN score END) AS top1, round(avg(CASE WHEN rank <= 3 THEN score END), 9) AS top3,
     count(*) FILTER (WHERE rank <= 5 AND g.id IS NOT NULL) > 0 AS covered FROM top LEFT JOIN gold g USING (query_id, id) GROUP BY 1)"""
 

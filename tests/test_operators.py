@@ -172,6 +172,26 @@ def test_fusion_ties_and_expansion(spark):
 # --- graph
 
 
+def test_cell_index_against_numpy(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(vector, "TILE", 40)
+    rng = np.random.default_rng(1)
+    v = (rng.normal(size=(12, 16))[rng.integers(0, 12, 900)] + 0.7 * rng.normal(size=(900, 16))).round(3)
+    rows = spark.createDataFrame([(i // 3, i % 3, v[i].tolist()) for i in range(900)], "parent_id long, slice_index long, vec array<double>")
+    asked = rows.where("slice_index = 0 and parent_id % 10 = 0").select(F.col("parent_id").alias("query_id"), "vec")
+    cells = vector.CellIndex(vector.sampled_centres(rows, 30))
+    index = cells.build(rows).cache()
+    assert index.count() == 900 and index.select("cell").distinct().count() <= 30
+    as_rows = lambda df: sorted((r.query_id, r.parent_id, r.slice_index, r.score, r.rank) for r in df.collect())
+    exact = as_rows(vector.knn(rows, asked, 5))
+    assert as_rows(cells.search(index, asked, 5, 30)) == exact  # all cells are all vectors
+    some = as_rows(cells.search(index, asked, 5, 8))
+    assert len(some) == len(exact) and len({r[:2] for r in some} & {r[:2] for r in exact}) >= 0.9 * len(exact)
+    few = as_rows(cells.search(index, asked, 250, 1))  # more than a cell holds: searched exactly
+    assert few == as_rows(vector.knn(rows, asked, 250))
+
+
 def test_citations(spark):
     rows = [(1, "see 12, 15.1 և 20-22 հոդվածների 1-ին"), (2, "Հարկային օրենսգրքի 5-րդ հոդվածով"), (3, "407–410 հոդվածներ, 1-99 հոդված"), (4, None)]
     refs = graph.references(graph.citations(spark.createDataFrame(rows, "id long, text string"), "id", "text"))
@@ -334,42 +354,53 @@ def held(quote, source):
     return bool(ends)
 
 
-@pytest.fixture
-def talks(spark, tmp_path):
-    spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
-    return str(tmp_path)
-
-
-def test_quote_sanitise_checks_quotes_of_any_script(spark, talks):
+def test_sanitised_checks_quotes_of_any_script(spark):
     before = {(c, t + 1): x or "" for c, t, _, x in TURNS}
-    want = {}
+    want, rows = {}, []
     for c, t, role, x in TURNS:
         if role == "assistant":
             checked = len(x) >= verify.LEAST_QUOTE
             bad = checked and not held(x, before[c, t])
-            want[c * 1000 + t] = (hashlib.sha256(f"«{verify.NOTICES['ru'] if bad else x}»".encode()).hexdigest(), int(checked), int(bad))
-    got = catalogue.quote_sanitise(spark, talks).collect()
-    assert {r.id: (r.clean_sha256, r.n_quotes, r.n_rejected) for r in got} == want
+            want[c * 1000 + t] = (verify.NOTICES["ru"] if bad else f"«{x}»", int(checked), int(bad))
+            rows.append((c * 1000 + t, f"«{x}»", [before[c, t]]))
+    df = spark.createDataFrame(rows, "id long, text string, texts array<string>")
+    got = verify.sanitised(df.select("id", "text"), df.select("id", "texts"), letters=None).collect()
+    assert {r.id: (r.clean, r.n_quotes, r.n_rejected) for r in got} == want
     assert sorted(w[1:] for w in want.values()) == [(0, 0), (1, 0), (1, 0), (1, 1), (1, 1)]
 
 
-def test_stream_quote_gate_opens_and_checks(spark, talks):
-    rows = catalogue.stream_quote_gate(spark, talks).collect()
-    for c in (1, 2):
-        sources = [x or "" for conv, _, role, x in TURNS if conv == c and role == "user"]
+def test_gate_opens_and_checks(spark):
+    deltas = [(c, t, f"«{x}»" if role == "assistant" else x) for c, t, role, x in TURNS]
+    sources = [(c, [x for conv, _, role, x in TURNS if conv == c and role == "user"]) for c in (1, 2)]
+    rows = G.gate_batch(spark.createDataFrame(deltas, "session long, seq long, delta string"), spark.createDataFrame(sources, "session long, texts array<string>"), letters=None).collect()
+    for c, texts in sources:
         quotes = [x for conv, _, role, x in TURNS if conv == c and role == "assistant" and len(x) >= verify.LEAST_QUOTE]
-        good = [q for q in quotes if any(held(q, s) for s in sources)]
+        good = [q for q in quotes if any(held(q, s or "") for s in texts)]
         done = json.loads(next(r.payload for r in rows if r.session == c and r.type == "done"))
         assert (done["accepted"], done["rejected"]) == (len(good), len(quotes) - len(good))
-        shown = "".join(r.payload for r in sorted((r for r in rows if r.session == c and r.type == "delta"), key=lambda r: r.seq))
+        shown = "".join(r.payload for r in sorted((r for r in rows if r.session == c and r.type == "delta"), key=lambda r: (r.seq, r.n)))
         assert all((f"«{q}»" in shown) == (q in good) for q in quotes) and good
 
 
+def test_batch_and_stream_ask_the_same_of_quotes():
+    fake, law = "Հոդված երեք, որ ոչ մի տեղ չկա այս օրենքում", "Հարկի դրույքաչափը քսան տոկոս է շրջանառությունից"
+    foreign = "Это собственные слова отвечающего, а не цитата из закона"
+    for text, rejected in [(f"«{foreign}»", 0), (f'"{fake}"', 1), (f'a "{law}" b «{fake}» c {fake}', 1), (f"“{fake}” և «կարճ» և «{foreign}»", 1), (f'"{law}', 0), (f"«{law} \"{fake}\"»", 1)]:
+        clean, n, bad, _ = verify.sanitise(text, [law], language="hy")
+        gate = G.Gate([law], language="hy")
+        shown = gate.feed(text) + gate.flush()
+        assert gate.rejected == rejected and (bad >= rejected) and (rejected == 0 or verify.NOTICES["hy"] in shown)
+        if text.count('"') != 1 and not text.startswith("«Հարկի"):
+            assert clean == shown and bad == rejected
+    clean, _, _, _ = verify.sanitise(f'a "{law}" b «{fake}» c {fake}', [law], language="hy")
+    assert clean == f'a "{law}" b {verify.NOTICES["hy"]} c {fake}'  # marks go, words outside marks stay
+
+
 ANSWER = f"COVERAGE: full\n\nSee «{SOURCE[3:52]}», and “{SOURCE[3:30]} 99 {SOURCE[30:50]}”; «an unclosed quote of some length"
 
 
 def run_gate(parts):
-    g = G.Gate([SOURCE])
+    g = G.Gate([SOURCE], letters=None)
     out = "".join(g.feed(p) for p in parts)
     return out + g.flush(), g.coverage, g.accepted, g.rejected
 
@@ -383,7 +414,7 @@ def test_gate_does_not_depend_on_cuts():
     for _ in range(50):
         cuts = sorted(r.sample(range(len(ANSWER)), 6))
         assert run_gate([ANSWER[a:b] for a, b in zip([0, *cuts], [*cuts, len(ANSWER)], strict=True)]) == whole
-    g = G.Gate([SOURCE])
+    g = G.Gate([SOURCE], letters=None)
     assert g.feed("x" * 64 + "«The rate") == "x" * 64  # nothing of a quote before it is closed
 
 
@@ -395,10 +426,10 @@ def test_gate_stream_equals_batch(spark, tmp_path):
     for i in range(0, len(rows), 7):
         spark.createDataFrame(rows[i : i + 7], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = G.gate_stream(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q = G.gate_stream(stream, letters=None).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(300)
-    batch = G.gate_batch(spark.createDataFrame(rows, schema), spark.createDataFrame([(1, [SOURCE]), (2, [])], "session long, texts array<string>"))
-    text = lambda df: {s: "".join(r.payload for r in sorted((r for r in df.collect() if r.session == s and r.type == "delta"), key=lambda r: r.seq)) for s in (1, 2)}
+    batch = G.gate_batch(spark.createDataFrame(rows, schema), spark.createDataFrame([(1, [SOURCE]), (2, [])], "session long, texts array<string>"), letters=None)
+    text = lambda df: {s: "".join(r.payload for r in sorted((r for r in df.collect() if r.session == s and r.type == "delta"), key=lambda r: (r.seq, r.n))) for s in (1, 2)}
     done = lambda df: sorted((r.session, r.payload) for r in df.collect() if r.type == "done")
     out = spark.read.parquet(str(tmp_path / "out"))
     assert text(out)[2] == "plain" and sorted(text(out)[1]) == sorted(text(batch)[1]) and done(out) == done(batch)
