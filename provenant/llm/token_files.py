@@ -17,7 +17,7 @@ from __future__ import annotations
 import json
 import sys
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, shared_dir, text_or_empty
-from .tokens import IdMemo, by_bytes, read_tokenizer, spaced_pieces
+from .tokens import IdMemo, by_bytes, kept_memo, read_tokenizer, spaced_pieces
 
 MANIFEST = "shard int, n_docs long, n_null long, n_ids long, base long, base_docs long, width int, path string"
 
@@ -36,16 +36,16 @@ def _file_system(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
 
 
-def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 0, shards: int | None = None, part_bytes: int = 1 << 18) -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 0, shards: int | None = None, part_bytes: int = 1 << 20) -> DataFrame:
     """Encode `docs` (doc_id, text), append end_id to each, write shards in ascending doc_id order into `folder`,
     which all executors share, and return the manifest."""
     spark = docs.sparkSession
-    bounded_batches(spark, 4)
+    bounded_batches(spark)
     text = read_tokenizer(tokenizer_path)
     vocabulary = json.loads(text)
     largest = max([end_id, *vocabulary["model"]["vocab"].values(), *(t["id"] for t in vocabulary.get("added_tokens") or ())])
     width = 2 if largest < 1 << 16 else 4
-    tokenizer = spark.sparkContext.broadcast(text)
+    tokenizer = spark.sparkContext.broadcast({"tokenizer": text})
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     fs, root = _file_system(folder)
     fs.create_dir(root, recursive=True)
@@ -54,7 +54,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
         shard = TaskContext.get().partitionId()
         fs, root = _file_system(folder)
         kind = np.dtype("<u2" if width == 2 else "<u4")
-        memo = IdMemo(tokenizer.value, kind)
+        memo = kept_memo(tokenizer.value, IdMemo, kind)
         end = np.array([end_id], kind).tobytes()
         mark = f"{TaskContext.get().taskAttemptId()}.part"
         names = [f"{root}/shard-{shard:06d}.{x}" for x in ("ids", "off", "doc")]
@@ -110,12 +110,15 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
     return spark.read.schema(MANIFEST).parquet(f"{folder.rstrip('/')}/manifest")
 
 
-def _mapped(path: str, kind: str) -> np.ndarray:
+def _opened(path: str, kind: str) -> Callable[[int, int], np.ndarray]:
+    """What reads items a to b of a flat file: mapped where the file system is local, else by range."""
     fs, name = _file_system(path)
+    width = np.dtype(kind).itemsize
     if isinstance(fs, pafs.LocalFileSystem):
-        return np.memmap(name, dtype=kind, mode="r") if fs.get_file_info(name).size else np.zeros(0, kind)
-    with fs.open_input_file(name) as f:
-        return np.frombuffer(f.readall(), kind)
+        held = np.memmap(name, dtype=kind, mode="r") if fs.get_file_info(name).size else np.zeros(0, kind)
+        return lambda a, b: held[a:b]
+    f = fs.open_input_file(name)
+    return lambda a, b: np.frombuffer(f.read_at((b - a) * width, a * width), kind)
 
 
 def read_token_files(manifest: DataFrame, rows_per_batch: int = 2000, with_ids: bool = False) -> DataFrame:
@@ -125,15 +128,15 @@ def read_token_files(manifest: DataFrame, rows_per_batch: int = 2000, with_ids:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for m in batch.to_pylist():
-                ids, off, doc = _mapped(m["path"] + ".ids", f"<u{m['width']}"), _mapped(m["path"] + ".off", "<u8"), _mapped(m["path"] + ".doc", "<i8")
+                ids, off, doc = _opened(m["path"] + ".ids", f"<u{m['width']}"), _opened(m["path"] + ".off", "<u8"), _opened(m["path"] + ".doc", "<i8")
                 for at in range(0, m["n_docs"], rows_per_batch):
                     to = min(at + rows_per_batch, m["n_docs"])
-                    edges = off[at : to + 1].astype(np.int64)
-                    block = ids[edges[0] : edges[-1]].astype("<u4")
+                    edges = off(at, to + 1).astype(np.int64)
+                    block = ids(int(edges[0]), int(edges[-1])).astype("<u4")
                     cuts = edges - edges[0]
                     crc = [zlib.crc32(block[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                     columns = {
-                        "doc_id": pa.array(np.array(doc[at:to]), pa.int64(), mask=np.arange(at, to) < m["n_null"]),
+                        "doc_id": pa.array(np.array(doc(at, to)), pa.int64(), mask=np.arange(at, to) < m["n_null"]),
                         "start": pa.array(m["base"] + edges[:-1]),
                         "n_tokens": pa.array(np.diff(edges)),
                         "ids_crc32": pa.array(crc, pa.int64()),
