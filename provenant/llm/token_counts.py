@@ -14,18 +14,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, text_or_empty
-from .tokens import PieceMemo, by_bytes, read_tokenizer, words_of
+from .tokens import PieceMemo, by_bytes, kept_memo, read_tokenizer, words_of
 
 
-def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048, part_bytes: int = 1 << 18) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048, part_bytes: int = 1 << 20) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) for each row of `docs`, by a tokenizer that drops
     white space."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    tokenizer = spark.sparkContext.broadcast(read_tokenizer(tokenizer_path))
+    tokenizer = spark.sparkContext.broadcast({"tokenizer": read_tokenizer(tokenizer_path)})
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = PieceMemo(tokenizer.value)
+        memo = kept_memo(tokenizer.value, PieceMemo)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             counts = [0] * len(texts)
