@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import DOT_LIKE, fold_dots, normalise_space, squash
+from ..functions.text import DOT_LIKE, dotted_date, fold_dots, normalise_space, squash
 
 #: The words that open articles, parts, sections, chapters and annexes.
 ARTICLE, PART, SECTION, CHAPTER, ANNEX = "Հոդված", "ՄԱՍ", "ԲԱԺԻՆ", "ԳԼՈՒԽ", "ՀԱՎԵԼՎԱԾ"
@@ -238,6 +238,15 @@ def tables_with_articles(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("article", at).where("kind = 'table'")
 
 
+def amendments(pairs: DataFrame) -> DataFrame:
+    """pairs (id, pos, left, right) of a page's table of amendments as (id, pos, label, date, acts): the label unless it is
+    nothing but dashes, the first dotted date of either cell, and the ids of all acts that they link to."""
+    both = F.concat_ws(" ", "left", "right")
+    label = normalise_space("left")
+    acts = F.transform(F.regexp_extract_all(both, F.lit("/acts/(\\d+)"), F.lit(1)), lambda x: x.cast("long"))
+    return pairs.select("id", "pos", F.when(~label.rlike("^[-‐-― ]*$"), label).alias("label"), dotted_date(both).alias("date"), acts.alias("acts"))
+
+
 def lost_numbers(source: str, made: str):
     """Digit runs of the source that the made text lacks; none may be."""
     return F.array_except(F.regexp_extract_all(source, F.lit("([0-9]+)"), F.lit(1)), F.regexp_extract_all(made, F.lit("([0-9]+)"), F.lit(1)))

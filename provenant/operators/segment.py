@@ -164,6 +164,23 @@ def size_report(rows: DataFrame, by: Sequence[str], size: str) -> DataFrame:
     return placed.groupBy(*by).agg(F.max("n").alias("n"), F.min(size).alias("min_size"), at(0.5).alias("p50"), at(0.9).alias("p90"), F.max(size).alias("max_size"), F.sum(F.col(size) * F.col("c")).alias("total_size"))
 
 
+def part_pieces(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """(id, piece, size): texts cut before numbered part lines, but not within tables; what comes before the first is piece 0."""
+    rows = lines(docs, id_column, text_column)
+    before = F.lag("line").over(Window.partitionBy("id").orderBy("pos"))
+    in_table = F.col("line").startswith("|") | F.coalesce(before.startswith("|"), F.lit(False))
+    cut = islands(rows.withColumn("starts", F.col("line").rlike(PART_LINE) & ~in_table), F.col("starts"), name="piece")
+    return cut.groupBy("id", "piece").agg((F.sum(F.length("line")) + F.count("*") - 1).alias("size"))
+
+
+def split_sizes(pieces: DataFrame, thresholds: Sequence[int]) -> DataFrame:
+    """(threshold, n_texts, n_cut, n_units, n_still_over): what cutting only texts above each threshold would give."""
+    texts = pieces.groupBy("id").agg(F.count("*").alias("n"), (F.sum("size") + F.count("*") - 1).alias("total"), F.max("size").alias("largest"))
+    each = texts.select("n", "total", "largest", F.explode(F.array(*map(F.lit, thresholds))).alias("threshold"))
+    over = F.col("total") > F.col("threshold")
+    return each.groupBy("threshold").agg(F.count("*").alias("n_texts"), F.count_if(over).alias("n_cut"), F.sum(F.when(over, F.col("n")).otherwise(1)).alias("n_units"), F.count_if(over & (F.col("largest") > F.col("threshold"))).alias("n_still_over"))
+
+
 def is_enumeration(body: Column, least_length: int = 2500, least_lines: int = 4) -> Column:
     marked = F.size(F.filter(F.split(body, "\n"), lambda x: x.rlike(PART_LINE) | x.rlike(POINT_LINE) | x.rlike(ROW_LINE)))
     return (F.length(body) >= least_length) & (marked >= least_lines)
@@ -290,3 +307,16 @@ def enumerated_slices(chunk: DataFrame, id_column: str, header: str, body: str,
     n = F.row_number().over(Window.partitionBy("parent_id").orderBy("item")) - 1
     text = F.concat_ws("\n", F.nullif(F.col("head"), F.lit("")), F.when(F.col("is_row"), F.col("columns")), "lead", "text")
     return rows.select("parent_id", F.concat(F.col("parent_id").cast("string"), F.lit("::e"), n.cast("string")).alias("slice_id"), n.alias("slice_index"), text.alias("text"))
+
+
+def slices_by(policy: str, chunk: DataFrame, id_column: str, header: str, body: str, **sizes: int) -> DataFrame:
+    """(parent_id, slice_id, slice_index, text) by one of two policies: "token" packs all chunks to a size, "enumerated"
+    gives enumerations a slice an item and packs the others."""
+    wanted = ["parent_id", "slice_id", "slice_index", "text"]
+    if policy == "token":
+        return slices(chunk, id_column, header, body, **sizes).select(*wanted)
+    if policy != "enumerated":
+        raise ValueError(f"no policy {policy!r}")
+    listed = is_enumeration(F.coalesce(F.col(body), F.lit("")))
+    packed = slices(chunk.where(~listed), id_column, header, body, **sizes).select(*wanted)
+    return enumerated_slices(chunk.where(listed), id_column, header, body).select(*wanted).unionByName(packed)

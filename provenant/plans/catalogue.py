@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import context, evaluate, graph, html, incremental, postings, rank, relational, segment, vector, verify
-from ..sources.tables import table
+from ..sources.tables import failed_expectations, table
 from ..streaming.gate import CLOSING, gate_batch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -171,8 +171,9 @@ def _concepts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     first = F.col("n") < 3
     root = F.substring("term", F.lit(1), 3 + F.length("term") % 4)
     concepts = asked.select("query_id", F.when(first, 1).otherwise(2).alias("concept"), root.alias("root"), F.when(first, F.col("n")).otherwise(1).alias("n"), F.when(first, F.least("n_terms", F.lit(2))).otherwise(1).alias("n_roots"), first.alias("is_primary"))
-    whole = concepts.groupBy("query_id", "concept").agg(F.count("*").alias("m"), F.count_distinct("root").alias("d"), F.max("n_roots").alias("of")).where("m = of and d = of")
-    concepts = concepts.join(whole.select("query_id", "concept"), ["query_id", "concept"])
+    same = Window.partitionBy("query_id", "concept")
+    concepts = concepts.withColumns({"m": F.count("*").over(same), "d": F.size(F.collect_set("root").over(same)), "of": F.max("n_roots").over(same)})
+    concepts = concepts.where("m = of and d = of").drop("m", "d", "of")
     title = F.substring(F.element_at(F.split("text", "\n"), 1), 1, 80)
     met = postings.prefix_concepts(table(spark, sf_dir, "documents"), "doc_id", title, "text", concepts)
     return concepts, relational.top_per_group(met, ["query_id"], [F.desc("n_concepts"), F.desc("score"), F.asc("id")], 3)
@@ -477,6 +478,35 @@ def title_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("text is not null").groupBy(title.alias("title")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
 
 
+@query("""WITH c AS (SELECT query_id, id, score, rank FROM (SELECT q.doc_id AS query_id, t.first_id AS id, t.n AS score, row_number() OVER (PARTITION BY q.doc_id ORDER BY t.n DESC, t.first_id) AS rank
+        FROM (SELECT doc_id, lower(text) AS x FROM documents WHERE doc_id % 100 = 0) q JOIN (SELECT lower(trim(split_part(text, chr(10), 1), ' ')) AS title, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1) t ON length(title) > 3 AND title = split_part(x, chr(10), 1)) WHERE rank <= 2)
+    SELECT doc_id AS query_id, id, score, coalesce(rank, 0)::INTEGER AS rank FROM documents LEFT JOIN c ON query_id = doc_id WHERE doc_id % 100 = 0""")
+def title_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the title index proposes for each query; queries without a proposal keep a row."""
+    docs = table(spark, sf_dir, "documents")
+    title = F.lower(F.trim(F.element_at(F.split("text", "\n"), 1)))
+    index = docs.groupBy(title.alias("title")).agg(F.count("*").alias("score"), F.min("doc_id").alias("id")).where(F.length("title") > 3)
+    asked = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.element_at(F.split(F.lower("text"), "\n"), 1).alias("title"))
+    best = relational.top_per_group(asked.join(index, "title"), ["query_id"], [F.desc("score"), F.asc("id")], 2)
+    return asked.select("query_id").join(best.select("query_id", "id", "score", "rank"), "query_id", "left").fillna(0, ["rank"])
+
+
+@query("""SELECT o_custkey AS by_id, o_orderkey AS id, o_orderpriority AS language, strftime(o_orderdate, '%Y-%m-%d') AS amended FROM (
+    SELECT *, max(CASE WHEN o_orderpriority LIKE '1%' THEN o_orderdate END) OVER (PARTITION BY o_custkey) AS original FROM orders) WHERE o_orderpriority NOT LIKE '1%' AND o_orderdate < original""")
+def stale_translations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as versions of a customer's act, the first priority as its original: translations amended before it."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("by_id"), F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("language"), F.col("o_orderdate").alias("amended"), F.substring("o_orderpriority", 1, 1).alias("rank"))
+    return context.stale_translations(rows, "by_id", "rank", "amended", "1").select("by_id", "id", "language", F.date_format("amended", "yyyy-MM-dd").alias("amended"))
+
+
+@query("""SELECT unnest(['has_text', 'known_language', 'is_short', 'counts_its_text']) AS rule, unnest([count(*) FILTER (WHERE NOT coalesce(text <> '', false)), count(*) FILTER (WHERE NOT coalesce(lang IN ('en', 'fr', 'de'), false)),
+    count(*) FILTER (WHERE NOT coalesce(length(text) <= 6000, false)), count(*) FILTER (WHERE NOT coalesce(n_chars = length(text), false))]) AS n FROM documents""")
+def anomaly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents break each rule."""
+    rules = {"has_text": "text <> ''", "known_language": "lang in ('en', 'fr', 'de')", "is_short": "length(text) <= 6000", "counts_its_text": "n_chars = length(text)"}
+    return failed_expectations(table(spark, sf_dir, "documents"), rules)
+
+
 # --- segments, slices, headers -----------------------------------------------------------------------------------
 
 _LINES = "l AS (SELECT doc_id AS id, unnest(range(len(x))) AS pos, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents))"
@@ -580,6 +610,33 @@ def greedy_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.slices(_tabled(spark, sf_dir), "doc_id", "head", "body", most=512, cap=1024).select("parent_id", "slice_id", "slice_index", "n_slices", F.sha2("text", 256).alias("text_sha256"))
 
 
+@query("""WITH p AS (SELECT p_partkey AS id, '[Document] ' || p_brand || chr(10) || '---' AS head, trim(repeat(p_name || ' ', 100)) AS a, trim(repeat(p_type || ' ', 80)) AS b, p_brand AS brand FROM part),
+    i AS (SELECT id, head, unnest([0, 1, 2, 3, 4]) AS n, unnest(['1. ' || a, '1) ' || b || chr(10) || 'goes on ' || brand, '2) ' || b, '2. ' || b || a, '3) ' || a]) AS text,
+                 unnest([NULL, left('1. ' || a, 220), left('1. ' || a, 220), NULL, left('2. ' || b || a, 220)]) AS lead FROM p WHERE id % 2 = 0)
+    SELECT id AS parent_id, id || '::e' || n AS slice_id, n::INTEGER AS slice_index, head || chr(10) || coalesce(lead || chr(10), '') || text AS text FROM i
+    UNION ALL SELECT id, id || '::0', 0, head || chr(10) || '1. ' || a || chr(10) || '2. ' || brand FROM p WHERE id % 2 = 1""")
+def policy_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as chunks: every second one an enumeration of parts and points, which has a slice an item, the others packed."""
+    a, b = F.trim(F.repeat(F.concat("p_name", F.lit(" ")), 100)), F.trim(F.repeat(F.concat("p_type", F.lit(" ")), 80))
+    listed = F.concat(F.lit("1. "), a, F.lit("\n1) "), b, F.lit("\ngoes on "), "p_brand", F.lit("\n2) "), b, F.lit("\n2. "), b, a, F.lit("\n3) "), a)
+    body = F.when(F.col("p_partkey") % 2 == 0, listed).otherwise(F.concat(F.lit("1. "), a, F.lit("\n2. "), "p_brand"))
+    chunk = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("[Document] "), "p_brand", F.lit("\n---")).alias("head"), body.alias("body"))
+    return segment.slices_by("enumerated", chunk, "p_partkey", "head", "body")
+
+
+@query("""WITH b AS (SELECT doc_id AS id, list_aggregate(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN i % 4 = 1 THEN i || '. ' || x WHEN i % 7 = 0 THEN '| ' || x ELSE x END), 'string_agg', chr(10)) AS body FROM documents),
+    l AS (SELECT id, unnest(range(len(x))) AS pos, unnest(x) AS line FROM (SELECT id, string_split(body, chr(10)) AS x FROM b)),
+    s AS (SELECT *, regexp_matches(line, '^\\d{1,3}\\.\\s+\\S') AND NOT starts_with(line, '|') AND NOT coalesce(starts_with(lag(line) OVER (PARTITION BY id ORDER BY pos), '|'), false) AS starts FROM l),
+    p AS (SELECT id, piece, sum(length(line)) + count(*) - 1 AS size FROM (SELECT *, sum(starts::INTEGER) OVER (PARTITION BY id ORDER BY pos) AS piece FROM s) GROUP BY ALL),
+    t AS (SELECT id, count(*) AS n, sum(size) + count(*) - 1 AS total, max(size) AS largest FROM p GROUP BY 1), e AS (SELECT *, unnest([1000, 2000, 4000]) AS threshold FROM t)
+    SELECT threshold, count(*) AS n_texts, count(*) FILTER (WHERE total > threshold) AS n_cut, sum(CASE WHEN total > threshold THEN n ELSE 1 END)::BIGINT AS n_units, count(*) FILTER (WHERE total > threshold AND largest > threshold) AS n_still_over FROM e GROUP BY 1""")
+def part_split_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with numbered lines and rows of tables: what cutting at parts would give at some thresholds."""
+    marked = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 4 == 0, F.concat((i + 1).cast("string"), F.lit(". "), x)).when(i % 7 == 6, F.concat(F.lit("| "), x)).otherwise(x))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.array_join(marked, "\n").alias("body"))
+    return segment.split_sizes(segment.part_pieces(docs, "doc_id", "body"), (1000, 2000, 4000))
+
+
 # --- scripts, pages, numbers -------------------------------------------------------------------------------------
 
 
@@ -946,3 +1003,24 @@ def retrieve_expand_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
     rows = found.join(texts, "id").join(asked, "query_id")
     return rank.rerank(rows, rank.term_overlap(T.search_terms("question"), T.search_terms("document")), 8).select("query_id", "id", "came", "relevance", "rank")
+
+
+@query("""SELECT o_orderkey AS id, o_custkey AS pos, CASE WHEN o_orderkey % 3 > 0 THEN 'Փոփոխություն ' || o_orderpriority END AS label, strftime(o_orderdate, '%Y-%m-%d') AS date, o_custkey || ',' || o_orderkey AS acts FROM orders""")
+def amendment_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as rows of tables of amendments."""
+    o = table(spark, sf_dir, "orders")
+    left = F.when(F.col("o_orderkey") % 3 > 0, F.concat(F.lit(" Փոփոխություն  "), "o_orderpriority")).otherwise(F.lit("— --"))
+    right = F.concat(F.date_format("o_orderdate", "dd.MM.yyyy"), F.lit(" https://host/hy/acts/"), F.col("o_custkey").cast("string"), F.lit("/latest, /acts/"), F.col("o_orderkey").cast("string"))
+    out = html.amendments(o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("pos"), left.alias("left"), right.alias("right")))
+    return out.select("id", "pos", "label", F.col("date").cast("string").alias("date"), F.array_join(F.col("acts").cast("array<string>"), ",").alias("acts"))
+
+
+@query(f"""WITH {_ACTS}, b AS (SELECT id, count(*) AS n FROM blocks GROUP BY 1),
+    x AS (SELECT p.id, id % 10 = 0 AS is_control, b.n IS NULL OR id % 7 = 0 AS is_missing, id % 7 > 0 AND id % 3 < 2 AS number_ok, id % 7 > 0 AS script_ok FROM p LEFT JOIN b USING (id))
+    SELECT *, CASE WHEN is_missing THEN 'failed' WHEN number_ok AND script_ok THEN 'ok' ELSE 'partial' END AS verdict FROM x""")
+def audit_acts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Acts' pages against what is expected of them: every seventh page is missing, every third has another number."""
+    meta = html.page_metadata(_act_blocks(spark, sf_dir)).where("id % 7 > 0")
+    pages = meta.withColumns({"number": F.when(F.col("id") % 3 < 2, F.col("id")), "body_script": F.lit("hy")})
+    expected = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("number"), F.lit("hy").alias("script"), (F.col("p_partkey") % 10 == 0).alias("is_control"))
+    return context.audit_rows(pages, expected)
