@@ -29,6 +29,8 @@ from .common import attach_by_key, bounded_batches, text_or_empty, word_count, w
 #: Documents of a source that one block's flight goes through, and those of them that are kept back for landing.
 #: A block must be at least twice what stays of it, LANDING + 2.
 BLOCK, LANDING = 5000, 12
+#: So many sources are broadcast; where there are more, only those with many documents are.
+FEW_SOURCES = 10_000
 
 
 def source_targets(sized: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most_repeats: float = 3.0) -> DataFrame:
@@ -169,10 +171,15 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most_repeats: i
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(text_or_empty()).alias("size"), F.xxhash64(text_or_empty()).alias("tie"), *kept)
     slim = written(rows.select("source", "size"), "sizes")
     targets = source_targets(slim, weights, most_repeats)
-    n_docs, largest = targets.agg(F.sum("n_docs"), F.max("n_docs")).first()
+    n_docs, largest, n_sources = targets.agg(F.sum("n_docs"), F.max("n_docs"), F.count("*")).first()
 
     times = F.when(F.col("source_size") > 0, F.least(F.lit(float(most_repeats)), F.col("target") / F.col("source_size"))).otherwise(0.0)
-    units = attach_by_key(rows, targets, ["source"], "n_docs", n_docs or 0).withColumn("times", times)
+    if n_sources <= FEW_SOURCES:
+        few = F.broadcast(targets.withColumnRenamed("source", "_source"))
+        units = rows.join(few, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    else:
+        units = attach_by_key(rows, targets, ["source"], "n_docs", n_docs or 0)
+    units = units.withColumn("times", times)
     units = units.withColumns({"base": F.floor("times").cast("int"), "p": F.col("times") - F.floor("times"), "blocks": F.ceil(F.col("n_docs") / BLOCK)})
     columns = ["doc_id", "tie", "size", "source_size", "target", "rank", "base", "p", "blocks", "block", *[f"carry_{i}" for i in range(len(carry))]]
 
