@@ -1,11 +1,13 @@
-"""Quality classifier: Naive Bayes support vectors over n-grams of word shapes.
+"""Quality classifier: Naive Bayes support vectors over n-grams of word shapes and words.
 
 A document's features are indicators of the 1- to 3-grams of its words' shapes, where a shape keeps a word's
-classes of letters, its digits and its other signs, and whether the word repeats the one before it. Indicators are
-scaled by the log ratio of their smoothed frequencies in the two classes; a linear hinge-loss model is fitted to
+classes of letters, its digits and its other signs, and whether the word repeats the one before it, and of its words,
+without regard to case. Indicators are scaled by the log ratio of their smoothed frequencies in the two classes, those that fewer than `LEAST_DOCUMENTS` of the rows
+have by nothing; a linear hinge-loss model is fitted to
 them by dual coordinate descent; its margins become scores by a sigmoid fitted to labelled rows that the descent
-didn't see. The model is fitted to a bounded sample of labelled rows, `most_labelled`, those whose ids have the
-smallest hashes; scoring reads every whole text and needs no shuffle.
+didn't see. The model is fitted to a bounded sample of labelled rows: `most_labelled`, those whose ids have the
+smallest hashes, and of these as many in that order as have features of `most_bytes`; scoring reads every whole text and
+needs no shuffle.
 
 Defined results: a null or empty text has no features and gets the score of the bias; labels that are null or of no
 document are left out; of several labels of a document the smallest counts; if labels of only one class are there,
@@ -25,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, text_or_empty
+from .common import bounded_batches, text_or_empty, written
 from .tokens import words_of
 
 BITS = 18
+#: A feature that fewer of the rows have tells nothing.
+LEAST_DOCUMENTS = 5
 _CLASSES = bytes(65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else b for b in range(256))
 _RUNS = re.compile(rb"(.)\1\1+", re.S)
 
@@ -49,28 +53,30 @@ class Features:
         words = words_of(text)
         if not words:
             return np.zeros(0, np.int64)
-        shapes = self.shapes
-        new = [w for w in set(words) if w not in shapes]
+        shapes, distinct = self.shapes, set(words)
+        new = [w for w in distinct if w not in shapes]
         if len(shapes) + len(new) > self.remember:
             shapes.clear()
-            new = list(set(words))
+            new = list(distinct)
         shapes.update((w, shape_code(w)) for w in new)
         same = [False, *(a == b for a, b in zip(words, words[1:], strict=False))]
-        gram = np.array([shapes[w] for w in words], np.uint64) * np.uint64(2) + np.array(same, np.uint64)
-        grams = [gram]
+        shape = np.array([shapes[w] for w in words], np.uint64) * np.uint64(2) + np.array(same, np.uint64)
+        grams = [shape]
         for _ in range(2):
-            gram = grams[-1][:-1] * np.uint64(0x9E3779B97F4A7C15) + grams[0][len(words) - len(grams[-1]) + 1 :] + np.uint64(1)
-            grams.append(gram)
+            grams.append(grams[-1][:-1] * np.uint64(0x9E3779B97F4A7C15) + shape[len(words) - len(grams[-1]) + 1 :] + np.uint64(1))
+        grams.append(np.array([zlib.crc32(w.lower()) for w in distinct], np.uint64) + np.uint64(1 << 40))
         mixed = np.concatenate(grams) * np.uint64(0xD6E8FEB86659FD93)
         return np.unique(mixed >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def log_count_ratios(rows: list[np.ndarray], labels: np.ndarray, smoothing: float = 1.0) -> np.ndarray:
-    """Log of each feature's share among class 1's indicators over its share among class 0's."""
+def log_count_ratios(rows: list[np.ndarray], labels: np.ndarray, smoothing: float = 1.0, least: int = LEAST_DOCUMENTS) -> np.ndarray:
+    """Log of each feature's share among class 1's indicators over its share among class 0's; 0 for features of fewer
+    than `least` rows."""
     counts = [np.full(1 << BITS, smoothing) for _ in range(2)]
     for x, y in zip(rows, labels, strict=True):
         counts[int(y)][x] += 1
-    return np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
+    ratios = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
+    return np.where(counts[0] + counts[1] - 2 * smoothing >= least, ratios, 0.0)
 
 
 def dual_coordinate_descent(rows: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray, cost: float = 1.0, rounds: int = 30, seed: int = 3) -> tuple[np.ndarray, float]:
@@ -150,9 +156,9 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> Model:
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 8000, held_out_fold: int | None = 0, folds: int = 5) -> Model:
-    """A model of labels.quality from at most `most_labelled` labelled documents, none of the held-out fold: those
-    with crc32(doc_id as text) mod folds = held_out_fold."""
+def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 8000, most_bytes: int = 200 << 20, held_out_fold: int | None = 0, folds: int = 5) -> Model:
+    """A model of labels.quality from at most `most_labelled` labelled documents, with features of at most `most_bytes`
+    in all, none of the held-out fold: those with crc32(doc_id as text) mod folds = held_out_fold."""
     label = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     if held_out_fold is not None:
         label = label.where(fold_of(folds) != held_out_fold)
@@ -165,8 +171,19 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 8000, held_ou
             found = [features(t).astype("<u4").tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality").cast(pa.int32()), pa.array(found, pa.binary())], ["doc_id", "quality", "features"])
 
-    rows = sorted({tuple(r) for r in texts.select("doc_id", F.col("quality").cast("int").alias("quality"), "text").mapInArrow(featurise, "doc_id long, quality int, features binary").toLocalIterator()})
-    rows = [r for i, r in enumerate(rows) if not i or r[0] != rows[i - 1][0]]  # of rows that share a doc_id, one
+    found = texts.select("doc_id", F.col("quality").cast("int").alias("quality"), "text").mapInArrow(featurise, "doc_id long, quality int, features binary")
+    # of rows that share a doc_id, one
+    rows = written(found.groupBy("doc_id").agg(F.min(F.struct("quality", "features")).alias("r")).select("doc_id", "r.*"), "quality-features")
+    sizes = rows.select("doc_id", F.length("features").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()  # `most_labelled` pairs of numbers
+    total, chosen = 0, []
+    for doc_id, n in sizes:
+        total += n + 100
+        if total > most_bytes:
+            break
+        chosen.append((doc_id,))
+    if len(chosen) < len(sizes):
+        rows = rows.join(F.broadcast(rows.sparkSession.createDataFrame(chosen, "doc_id long")), "doc_id", "left_semi")
+    rows = sorted(tuple(r) for r in rows.toLocalIterator())
     return fit([np.frombuffer(r[2], "<u4").astype(np.int64) for r in rows], np.array([float(r[1]) for r in rows]))
 
 
