@@ -3,11 +3,12 @@
 An item of n words may differ by k = floor(budget * n) word edits. Cut into k + 1 pieces, at least one piece stands
 in any such occurrence unchanged. Documents are scanned for exact pieces; each hit proposes a place, which is
 verified with Myers' bit-parallel distance of the whole item to the best-fitting stretch of text there. Items are a
-stated query set: they are broadcast in blocks of bounded bytes, one pass over the documents each, without shuffles.
+stated query set: they are read by the driver and broadcast in blocks of `block_bytes`, one pass over the documents
+each, without shuffles; a pass more for each 4 MB of items is the price of holding one block at a time.
 
 Words are runs of letters and digits, case-folded; in scripts that don't part words by spaces (Chinese, Japanese,
-Thai, Lao, Burmese, Khmer) each character is a word. Items with fewer than `least_words` words match nothing (a
-parameter; the queries set it to 1). At the budget of 0.2 an item of fewer than five words has no errors to spend: it is one piece,
+Thai, Lao, Burmese, Khmer) each character is a word. Items with fewer than `least_words` words match nothing (1
+unless asked otherwise). At the budget of 0.2 an item of fewer than five words has no errors to spend: it is one piece,
 found where it stands unchanged. Null texts are empty. Repeated items and items with null ids match like
 others; ids are listed once, null ids not at all. Repeated rows are judged each; other columns are ignored or
 carried. Empty tables give empty or all-clean results.
@@ -130,7 +131,7 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int |
         yield block
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, budget: float = 0.2, least_words: int = 5, block_bytes: int = 4 << 20, carry: tuple[str, ...] = ()) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, budget: float = 0.2, least_words: int = 1, block_bytes: int = 4 << 20, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of `docs`: doc_id, n_items (benchmark items found), item_ids (ascending, comma-joined),
     min_distance (least word edits of any, null if none), contaminated, kept; and the columns in `carry`."""
     spark = docs.sparkSession
