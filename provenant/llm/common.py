@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,6 +85,20 @@ def likely_among(rows: DataFrame, keys: DataFrame, columns: list[str], n: int) -
     return placed.withColumn("likely", F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))).drop("_slot", "_part", "_bits")
 
 
-def bounded_batches(spark: SparkSession, mb: int = 8) -> None:
-    """Batches that Python workers get are held to a size in bytes, however long single texts are."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches that Python workers get are held to a size in bytes, the same for all operators, however long single texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session's setting for as long as the block runs."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)

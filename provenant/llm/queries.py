@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.tables import table
 from . import pii, quality, secrets
 from .decontamination import find_contamination
 from .exact_dedup import DigestIndex
@@ -17,7 +18,7 @@ from .token_files import encode_and_read_back
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return table(spark, sf_dir, "documents")
 
 
 def _tokenizer(name: str) -> str:
@@ -35,7 +36,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_contamination(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), least_words=1)
+    return find_contamination(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +67,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(_documents(spark, sf_dir), window=35).drop("kept_text")
+    return remove_repeats(_documents(spark, sf_dir), window=35, with_text=False)
 
 
 QUERIES = {

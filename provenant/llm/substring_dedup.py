@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, text_or_empty, written
+from .common import bounded_batches, setting, text_or_empty, written
 from .tokens import words_of
 
 #: Perfect difference sets: each difference modulo the period but 0 occurs once.
@@ -135,7 +135,7 @@ def window_rows(window: int):
     return run
 
 
-def removal(window: int):
+def removal(window: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, removed, digests, texts = [], [], [], []
@@ -152,28 +152,29 @@ def removal(window: int):
                 counts.append(len(words))
                 removed.append(len(words) - len(kept))
                 digests.append(hashlib.sha256(joined).hexdigest())
-                texts.append(joined.decode())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+                if with_text:
+                    texts.append(joined.decode())
+            columns = {"doc_id": batch.column("doc_id"), "n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string())}
+            yield pa.RecordBatch.from_pydict(columns | ({"kept_text": pa.array(texts, pa.string())} if with_text else {}))
 
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
-    """One row per row of `docs`: doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space) and
-    kept_text, those words."""
+def remove_repeats(docs: DataFrame, window: int = 35, with_text: bool = True) -> DataFrame:
+    """One row per row of `docs`: doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space) and,
+    with_text, kept_text, those words."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    # each pass is an action of its own; its shuffle files can go when it has ended
-    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"substring_dedup_{uuid.uuid4().hex}"
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    rows.repartition(buckets, "uid").write.format("parquet").option("compression", "zstd").bucketBy(buckets, "uid").saveAsTable(table)
-    texts = spark.table(table)
-
     hashed = "h long, gp long, uid long"
-    anchors = written(repeated_places(texts.select("uid", "text").mapInArrow(anchor_rows(window), hashed)), "repeated-anchors")
-    candidates = texts.select("uid", "text").join(anchors.hint("shuffle_hash"), "uid")
-    windows = written(repeated_places(candidates.mapInArrow(window_rows(window), hashed)), "repeated-windows")
+    # each pass is an action of its own; its shuffle files can go when it has ended
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+        rows.repartition(buckets, "uid").write.format("parquet").option("compression", "zstd").bucketBy(buckets, "uid").saveAsTable(table)
+        texts = spark.table(table)
+        anchors = written(repeated_places(texts.select("uid", "text").mapInArrow(anchor_rows(window), hashed)), "repeated-anchors")
+        candidates = texts.select("uid", "text").join(anchors.hint("shuffle_hash"), "uid")
+        windows = written(repeated_places(candidates.mapInArrow(window_rows(window), hashed)), "repeated-windows")
     kept = texts.join(windows.hint("shuffle_hash"), "uid", "left").select("doc_id", "text", "places")
-    return kept.mapInArrow(removal(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return kept.mapInArrow(removal(window, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
