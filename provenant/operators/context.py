@@ -83,7 +83,3 @@ def stale_translations(pages: DataFrame, by: str, language: str, amended: str, o
     """Translations whose amendment date is before the original's, of each document."""
     of_original = F.max(F.when(F.col(language) == original, F.col(amended))).over(Window.partitionBy(by))
     return pages.withColumn("original_amended", of_original).where((F.col(language) != original) & (F.col(amended) < F.col("original_amended")))
-
-
-def numbered(rows: DataFrame, by: Sequence[str], order: Sequence[Column], name: str = "n") -> DataFrame:
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))

@@ -64,8 +64,3 @@ def expand_one_hop(candidates: DataFrame, edges: DataFrame, eligible: DataFrame,
     n = candidates.groupBy("query_id").agg(F.max("rank").alias("n"))
     added = added.join(n, "query_id").select("query_id", "id", (F.col("n") + F.col("place")).cast("int").alias("rank"), F.lit(0.0).alias("score"))
     return candidates.select("query_id", "id", F.col("rank").cast("int").alias("rank"), F.col("score").cast("double").alias("score")).unionByName(added)
-
-
-def with_previous(ranked: DataFrame) -> DataFrame:
-    """Each row with the score of the one ranked before it."""
-    return ranked.withColumn("previous", F.lag("score").over(Window.partitionBy("query_id").orderBy("rank")))

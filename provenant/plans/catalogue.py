@@ -435,7 +435,7 @@ def carried_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH k AS (SELECT lang, source, min(doc_id) AS article_id FROM documents WHERE doc_id % 4 > 0 GROUP BY ALL),
     v AS (SELECT vec_id, ['en', 'fr', 'de', 'xx'][(label % 4 + 1)::INTEGER] AS lang, (SELECT min(source) FROM documents) AS source FROM embeddings)
-    SELECT vec_id, lang, article_id FROM v LEFT JOIN k USING (lang, source)""")
+    SELECT vec_id, lang, coalesce(article_id, -1) AS article_id FROM v LEFT JOIN k USING (lang, source)""")
 def embedding_key_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors under natural keys get the ids of what has the keys; orphans get none."""
     docs = table(spark, sf_dir, "documents")
@@ -443,7 +443,7 @@ def embedding_key_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     lang = F.element_at(F.array(*map(F.lit, ("en", "fr", "de", "xx"))), (F.col("label") % 4 + 1).cast("int"))
     rows = table(spark, sf_dir, "embeddings").select("vec_id", lang.alias("lang")).crossJoin(source)
     targets = docs.where("doc_id % 4 > 0").withColumnRenamed("doc_id", "article_id")
-    return relational.key_map(rows, targets, ["lang", "source"], "article_id").select("vec_id", "lang", "article_id")
+    return relational.key_map(rows, targets, ["lang", "source"], "article_id").select("vec_id", "lang", F.coalesce("article_id", F.lit(-1)).alias("article_id"))
 
 
 @query("""WITH e AS (SELECT vec_id // 4 AS parent, label FROM embeddings WHERE label IS DISTINCT FROM 2)
@@ -480,7 +480,7 @@ def title_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH c AS (SELECT query_id, id, score, rank FROM (SELECT q.doc_id AS query_id, t.first_id AS id, t.n AS score, row_number() OVER (PARTITION BY q.doc_id ORDER BY t.n DESC, t.first_id) AS rank
         FROM (SELECT doc_id, lower(text) AS x FROM documents WHERE doc_id % 100 = 0) q JOIN (SELECT lower(trim(split_part(text, chr(10), 1), ' ')) AS title, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1) t ON length(title) > 3 AND title = split_part(x, chr(10), 1)) WHERE rank <= 2)
-    SELECT doc_id AS query_id, id, score, coalesce(rank, 0)::INTEGER AS rank FROM documents LEFT JOIN c ON query_id = doc_id WHERE doc_id % 100 = 0""")
+    SELECT doc_id AS query_id, coalesce(id, -1) AS id, coalesce(score, 0) AS score, coalesce(rank, 0)::INTEGER AS rank FROM documents LEFT JOIN c ON query_id = doc_id WHERE doc_id % 100 = 0""")
 def title_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the title index proposes for each query; queries without a proposal keep a row."""
     docs = table(spark, sf_dir, "documents")
@@ -488,7 +488,7 @@ def title_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = docs.groupBy(title.alias("title")).agg(F.count("*").alias("score"), F.min("doc_id").alias("id")).where(F.length("title") > 3)
     asked = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.element_at(F.split(F.lower("text"), "\n"), 1).alias("title"))
     best = relational.top_per_group(asked.join(index, "title"), ["query_id"], [F.desc("score"), F.asc("id")], 2)
-    return asked.select("query_id").join(best.select("query_id", "id", "score", "rank"), "query_id", "left").fillna(0, ["rank"])
+    return asked.select("query_id").join(best.select("query_id", "id", "score", "rank"), "query_id", "left").fillna({"rank": 0, "score": 0, "id": -1})
 
 
 @query("""SELECT o_custkey AS by_id, o_orderkey AS id, o_orderpriority AS language, strftime(o_orderdate, '%Y-%m-%d') AS amended FROM (
@@ -1024,3 +1024,60 @@ def audit_acts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = meta.withColumns({"number": F.when(F.col("id") % 3 < 2, F.col("id")), "body_script": F.lit("hy")})
     expected = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("number"), F.lit("hy").alias("script"), (F.col("p_partkey") % 10 == 0).alias("is_control"))
     return context.audit_rows(pages, expected)
+
+
+@query(f"""WITH {_PROBED}, {_GOLD}, runs AS (SELECT 'exact' AS retriever, query_id, parent_id AS id, rank FROM ranked WHERE rank <= 8 UNION ALL SELECT 'indexed', query_id, parent_id, rank FROM indexed),
+    f AS (SELECT retriever, query_id, min(rank) AS first FROM runs JOIN gold USING (query_id, id) GROUP BY ALL)
+    SELECT retriever, query_id, coalesce('rank ' || first, 'MISS') AS outcome FROM (SELECT DISTINCT query_id FROM gold) CROSS JOIN (SELECT DISTINCT retriever FROM runs) LEFT JOIN f USING (retriever, query_id)""")
+def compare_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the first right item stands in the lists of two retrievers."""
+    slices, queries = _vectors(spark, sf_dir)
+    exact = vector.knn(slices, queries, 8).select(F.lit("exact").alias("retriever"), "query_id", F.col("parent_id").alias("id"), "rank")
+    indexed = _indexed(spark, sf_dir).select(F.lit("indexed").alias("retriever"), "query_id", F.col("parent_id").alias("id"), "rank")
+    gold = queries.select("query_id", "label").join(slices.select("parent_id", "label"), "label").select("query_id", F.col("parent_id").alias("id"))
+    return evaluate.compare_lists(exact.unionByName(indexed), gold)
+
+
+@query("SELECT user_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value, max(event_id) AS event_id FROM events GROUP BY 1")
+def journal_last_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each key's lines in a journal the last."""
+    journal = table(spark, sf_dir, "events").select("user_id", "event_type", "value", "event_id")
+    return incremental.last_line_wins(journal, "user_id", "event_id")
+
+
+@query("""SELECT conv_id, sha256('Answer in: ' || CASE WHEN conv_id % 2 = 0 THEN 'hy' ELSE 'ru' END || CASE WHEN conv_id % 3 = 0 THEN '' ELSE chr(10) || chr(10) || 'Known: fact ' || conv_id END || chr(10) || chr(10)
+    || string_agg('<' || CASE WHEN turn < 2 THEN 'carried' ELSE 'fresh' END || ' ref="' || role || '">' || chr(10) || coalesce(text, '') || chr(10) || '</fragment>', chr(10) || chr(10) ORDER BY turn)) AS prompt_sha256 FROM conversations GROUP BY conv_id""")
+def prompt_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as fragments of prompts."""
+    said = table(spark, sf_dir, "conversations")
+    fragments = said.select("conv_id", F.col("turn").alias("place"), (F.col("turn") < 2).alias("is_carried"), F.col("role").alias("ref"), F.coalesce("text", F.lit("")).alias("text"))
+    language = F.when(F.col("conv_id") % 2 == 0, "hy").otherwise("ru")
+    facts = F.when(F.col("conv_id") % 3 > 0, F.concat(F.lit("fact "), F.col("conv_id").cast("string")))
+    return context.prompts(fragments, ["conv_id"], language, facts).select("conv_id", F.sha2("prompt", 256).alias("prompt_sha256"))
+
+
+@query("""WITH n AS (SELECT doc_id, list_distinct(regexp_extract_all(text, '[0-9]+')) AS named, regexp_extract_all(substring(text, 1, 400), '[0-9]+') AS got FROM documents)
+    SELECT doc_id, coalesce(list_aggregate(list_sort(list_filter(named, lambda x: NOT list_contains(got, x))), 'string_agg', ','), '') AS absent FROM n""")
+def named_not_retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers that a text names and its first 400 characters, as what was retrieved, lack."""
+    numbers = lambda c: F.regexp_extract_all(c, F.lit("[0-9]+"), F.lit(0))
+    absent = verify.named_but_absent(numbers(F.col("text")), numbers(F.substring("text", 1, 400)))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_sort(absent), ",").alias("absent"))
+
+
+@query("""SELECT CASE WHEN p_partkey % 3 = 0 THEN 'Հոդված ' || p_size ELSE 'annex 1 part ' || p_size END AS key, count(*) AS n FROM part GROUP BY 1""")
+def article_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Refs of articles without their parts; other refs as they are."""
+    size = F.col("p_size").cast("string")
+    ref = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("Հոդված "), size, F.when(F.col("p_partkey") % 2 == 0, F.lit(", մաս 3")).otherwise(""))).otherwise(F.concat(F.lit("annex 1 part "), size))
+    return table(spark, sf_dir, "part").groupBy(evaluate.article_key(ref).alias("key")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, count(*) AS n, -1::BIGINT AS orphan FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1
+    UNION ALL SELECT l_orderkey, l_linenumber, 0, l_partkey FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 1)""")
+def key_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a unique key and a foreign key would have refused."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    twice = relational.duplicate_keys(lines, ["l_orderkey", "l_linenumber"]).withColumn("orphan", F.lit(-1).cast("long"))
+    gone = relational.orphans(lines, table(spark, sf_dir, "part").where("p_size > 1"), "l_partkey", "p_partkey")
+    return twice.unionByName(gone.select("l_orderkey", "l_linenumber", F.lit(0).cast("long").alias("n"), F.col("l_partkey").alias("orphan")))

@@ -8,7 +8,13 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A table of the folder. Texts that lie in a single file are dealt out to all cores, as a file may be one row group,
+    which is read by one task whatever there is to do with its rows; tables of more files are left where they lie."""
+    rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if {"text", "html"} & set(rows.columns) and cores > 1 and len(rows.inputFiles()) == 1:
+        return rows.repartition(cores)
+    return rows
 
 
 def read_snapshots(spark: SparkSession, pattern: str) -> DataFrame:
