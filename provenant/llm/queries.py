@@ -7,14 +7,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import pii, quality, secrets
+from . import pii, quality, secrets, sql
 from .decontamination import find_contamination
 from .exact_dedup import DigestIndex
+from .licenses import scan_licenses
 from .mixing import mix
 from .simhash import near_duplicates
+from .spelling import variants
 from .substring_dedup import remove_repeats
 from .token_counts import count_tokens
 from .token_files import encode_and_read_back
+from .vector_codes import compress
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +73,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_documents(spark, sf_dir), window=35, with_text=False)
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_documents(spark, sf_dir)).drop("spans")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants(_documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_mixing": op2_mixing,
@@ -81,6 +96,9 @@ QUERIES = {
     "op8_personal_data": op8_personal_data,
     "op9_simhash": op9_simhash,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_license_scan": op11_license_scan,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 
@@ -110,6 +128,9 @@ def _op1_sql() -> str:
 
 
 ORACLE_SQL = {
+    "op11_license_scan": sql.license_scan(),
+    "op12_vector_codes": sql.vector_codes(),
+    "op13_spelling_variants": sql.spelling_variants(),
     "op1_secret_scan": _op1_sql(),
     "op10_substring_dedup": r"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
