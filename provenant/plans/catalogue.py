@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import context, evaluate, graph, html, incremental, postings, rank, relational, segment, vector, verify
+from ..operators import context, evaluate, graph, html, incremental, postings, rank, relational, segment, textindex, vector, verify
 from ..sources.tables import failed_expectations, table
 from ..streaming.gate import CLOSING, gate_batch
 
@@ -111,24 +112,46 @@ def _query_terms_sql(k: int) -> str:
         SELECT id, term, row_number() OVER (PARTITION BY id ORDER BY length(term) DESC, term) AS n FROM (SELECT DISTINCT id, term FROM {_terms_sql('benchmark', 'item_id')})) WHERE n <= {k})"""
 
 
-_HITS = """hits AS (SELECT query_id, id, n_terms, count(*) AS matched, sum(tf)::BIGINT AS tf FROM (
-        SELECT query_id, id, n_terms, term, count(*) AS tf FROM posted JOIN asked USING (term) GROUP BY ALL) GROUP BY ALL)"""
-_LEXICAL = f"""{_POSTED}, {_LENGTHS}, {_query_terms_sql(4)}, {_HITS},
+_ASKED = f"""asked AS (SELECT query_id, term, count(*) OVER (PARTITION BY query_id) AS n_terms FROM (SELECT DISTINCT id AS query_id, term FROM {_terms_sql('benchmark', 'item_id')}))"""
+# Covers of all terms: from each place to the last of all terms' first places from there on, of those that end together the latest.
+_RANKED_TERMS = """met AS (SELECT query_id, id, n_terms, term, pos FROM posted JOIN asked USING (term)),
+    hits AS (SELECT query_id, id, n_terms, count(DISTINCT term) AS matched, count(*) AS tf FROM met GROUP BY ALL),
+    events AS (SELECT query_id, id, term, pos, row_number() OVER (PARTITION BY query_id, id ORDER BY pos) AS n FROM met WHERE (query_id, id) IN (SELECT query_id, id FROM hits WHERE matched = n_terms)),
+    firsts AS (SELECT b.query_id, b.id, b.pos AS a, b.n AS i, e.term, min(e.pos) AS p, min(e.n) AS j FROM events b JOIN events e ON e.query_id = b.query_id AND e.id = b.id AND e.pos >= b.pos GROUP BY ALL),
+    ends AS (SELECT query_id, id, a, i, max(p) AS z, max(j) AS j, count(*) AS n FROM firsts GROUP BY ALL),
+    covers AS (SELECT query_id, id, max(a) AS a, max(i) AS i, z, j FROM ends JOIN hits USING (query_id, id) WHERE n = n_terms GROUP BY query_id, id, z, j),
+    ranks AS (SELECT query_id, id, sum(0.1::DOUBLE / (1 + (z - a) - (j - i))) AS raw FROM covers GROUP BY ALL
+        UNION ALL SELECT query_id, id, 0.1::DOUBLE * tf FROM hits WHERE query_id NOT IN (SELECT query_id FROM hits WHERE matched = n_terms)),
     lexical AS (SELECT query_id, id, matched, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
-        SELECT query_id, id, matched, round(tf / length, 9) AS score FROM (SELECT *, max(matched) OVER (PARTITION BY query_id) AS most FROM hits) JOIN lengths USING (id)
-        WHERE matched = n_terms OR most < n_terms))"""
+        SELECT query_id, id, matched, round(raw / length, 9) AS score FROM ranks JOIN hits USING (query_id, id) JOIN lengths USING (id)))"""
+_LEXICAL = f"{_POSTED}, {_LENGTHS}, {_ASKED}, {_RANKED_TERMS}"
 
 
 def _posted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return postings.postings(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+_indexes: dict[tuple[str, ...], textindex.TextIndex] = {}
+
+
+def _text_index(spark: SparkSession, sf_dir: str) -> textindex.TextIndex:
+    """The index of all documents: built when first asked for, and again if the table's files have changed."""
+    files = spark.read.parquet(f"{sf_dir}/documents.parquet").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    state = files.agg(F.sum(F.xxhash64("file_path", "file_size", "file_modification_time") % 2**40)).first()[0]
+    key = (spark.sparkContext.applicationId, sf_dir, str(state))
+    if key not in _indexes or not spark.catalog.tableExists(f"{_indexes[key].name}_commits"):
+        index = textindex.TextIndex(spark, f"text_index_{uuid.uuid4().hex}")
+        index.add(table(spark, sf_dir, "documents"), "doc_id", "text")
+        _indexes[key] = index
+    return _indexes[key]
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return textindex.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text")
+
+
 def _lexical(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    posted = _posted(spark, sf_dir)
-    asked = postings.longest_terms(table(spark, sf_dir, "benchmark"), "item_id", "text", 4)
-    hits = postings.and_then_or(postings.term_hits(posted, asked)).join(postings.lengths(posted), "id")
-    scored = hits.select("query_id", "id", "matched", F.round(F.col("tf") / F.col("length"), 9).alias("score"))
-    return relational.top_per_group(scored, ["query_id"], [F.desc("score"), F.asc("id")], k)
+    return textindex.search(_text_index(spark, sf_dir), _asked(spark, sf_dir), k)
 
 
 @query(f"WITH {_POSTED} SELECT term, count(DISTINCT id) AS df, count(*) AS cf FROM posted GROUP BY term")
@@ -141,14 +164,27 @@ def fts_and_then_or(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lexical(spark, sf_dir, 8)
 
 
-@query(f"""WITH {_POSTED}, {_LENGTHS}, {_query_terms_sql(2)},
-    latest AS (SELECT query_id, id, pos, max(CASE WHEN n = 1 THEN pos END) OVER w AS p1, max(CASE WHEN n = 2 THEN pos END) OVER w AS p2
-               FROM posted JOIN asked USING (term) WHERE n_terms = 2 WINDOW w AS (PARTITION BY query_id, id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
-    covers AS (SELECT query_id, id, least(p1, p2) AS a, min(pos) AS b FROM latest WHERE p1 IS NOT NULL AND p2 IS NOT NULL GROUP BY ALL)
-    SELECT query_id, id, round(sum(0.1::DOUBLE / (b - a)) / any_value(length), 9) AS score FROM covers JOIN lengths USING (id) GROUP BY ALL""")
+@query(f"""WITH {_POSTED}, {_LENGTHS}, {_ASKED}, {_RANKED_TERMS}
+    SELECT query_id, id, round(sum(0.1::DOUBLE / (1 + (z - a) - (j - i))) / any_value(length), 9) AS score, count(*) AS n_covers, min(z - a) AS shortest FROM covers JOIN lengths USING (id) GROUP BY ALL""")
 def fts_cover_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = postings.longest_terms(table(spark, sf_dir, "benchmark"), "item_id", "text", 2).where("n_terms = 2")
-    return postings.cover_density(_posted(spark, sf_dir), asked, 2).withColumn("score", F.round("score", 9))
+    """All documents that hold all terms of an item, by the covers of these."""
+    return textindex.all_covers(_text_index(spark, sf_dir), _asked(spark, sf_dir))
+
+
+_AMENDED = f"""amended AS (SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN text || ' ' || b.t ELSE text END AS text FROM documents, (SELECT text AS t FROM benchmark ORDER BY item_id LIMIT 1) b WHERE doc_id % 10 <> 7),
+    posted AS {_terms_sql('amended', 'doc_id')}, {_LENGTHS}, {_ASKED}, {_RANKED_TERMS}"""
+
+
+@query(f"WITH {_AMENDED} SELECT query_id, id, matched, score, rank::INTEGER AS rank FROM lexical WHERE rank <= 8")
+def fts_index_amended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search after a tenth of the documents has been replaced in the stored index, by themselves and an item's text, and a tenth removed."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    index = textindex.TextIndex(spark, f"text_index_{uuid.uuid4().hex}")
+    index.add(docs, "doc_id", "text")
+    item = table(spark, sf_dir, "benchmark").orderBy("item_id").limit(1).select(F.col("text").alias("t"))
+    index.add(docs.where("doc_id % 10 = 3").crossJoin(F.broadcast(item)).select("doc_id", F.concat_ws(" ", "text", "t").alias("text")), "doc_id", "text")
+    index.remove(docs.where("doc_id % 10 = 7").select(F.col("doc_id").alias("id")))
+    return textindex.search(index, _asked(spark, sf_dir), 8)
 
 
 # A query's two concepts: the beginnings of its longest two terms together, and of the third alone; roots have 3 to 6 letters.
