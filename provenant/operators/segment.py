@@ -6,13 +6,21 @@ their lines put them together. Where a step depends on all steps before it, a fo
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Markers of numbered parts and points, and of table rows that begin with a numbered cell.
-PART_LINE, POINT_LINE, ROW_LINE = "^\\d{1,3}\\.\\s+\\S", "^\\d{1,3}(\\.\\d{1,2})?\\s*[.)]\\s*\\S", "^\\|\\s*\\d{1,3}\\s*\\)"
+from .counters import Counter, Estimate
+
+#: The lines at which oversized chunks are cut; and the markers of an enumeration's parts (1. or 2.1.), of its points (1) or a letter),
+#: each with white space after it, and of table rows that begin with a numbered cell.
+PART_LINE = "^\\d{1,3}\\.\\s+\\S"
+ENUM_PART = "^\\s*\\d+(?:\\.\\d+)*\\.\\s"
+ENUM_POINT = "^\\s*(?:\\d+\\)|[ա-ֆ][.)])\\s"
+ENUM_ROW = "^\\|\\s*\\d+\\)"
 
 
 def lines(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -182,13 +190,12 @@ def split_sizes(pieces: DataFrame, thresholds: Sequence[int]) -> DataFrame:
 
 
 def is_enumeration(body: Column, least_length: int = 2500, least_lines: int = 4) -> Column:
-    marked = F.size(F.filter(F.split(body, "\n"), lambda x: x.rlike(PART_LINE) | x.rlike(POINT_LINE) | x.rlike(ROW_LINE)))
+    marked = F.size(F.filter(F.split(body, "\n"), lambda x: x.rlike(ENUM_PART) | x.rlike(ENUM_POINT) | x.rlike(ENUM_ROW)))
     return (F.length(body) >= least_length) & (marked >= least_lines)
 
 
 def estimated_tokens(c: Column) -> Column:
-    """A counter without a vocabulary: a token for each four bytes begun of each word, one for each other sign run.
-    Exact counters can take its place wherever one is asked for."""
+    """What counters.Estimate counts, as a column."""
     return F.ceil(F.octet_length(c) / 4).cast("int")
 
 
@@ -208,21 +215,8 @@ def table_header(body: Column) -> Column:
     return F.nullif(F.regexp_extract(body, "(?m)^(\\|[^\\n]*\\n\\|\\s*-{3}[^\\n]*)$", 1), F.lit(""))
 
 
-def cut_oversize(units: Column, budget: int, size=estimated_tokens) -> Column:
-    """Units of the budget or more are cut after sentence ends, and what is still too large every `budget` characters,
-    which no counter that has a token for each four bytes puts above it."""
-    hard = max(1, budget)
-
-    def pieces(x: Column) -> Column:
-        sentences = F.split(x, "(?<=[։.;])\\s+")
-        cut = F.flatten(F.transform(sentences, lambda s: F.when(size(s) < budget, F.array(s)).otherwise(F.regexp_extract_all(s, F.lit(f"(?s)(.{{1,{hard}}})"), F.lit(1)))))
-        return F.when(size(x) < budget, F.array(x)).otherwise(cut)
-
-    return F.flatten(F.transform(units, pieces))
-
-
-def greedy_pack(units: Column, budget: Column | int, size=estimated_tokens) -> Column:
-    """array<array<string>>: units in order, each group as long as its sizes stay within the budget. The fold goes over
+def greedy_pack(units: Column, budget: Column | int, sizes: Column) -> Column:
+    """array<array<string>>: units in order, each group as long as its `sizes` stay within the budget. The fold goes over
     sizes and keeps where groups begin; texts are only cut up after it."""
     limit = F.lit(budget) if isinstance(budget, int) else budget
     start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("used"), F.expr("cast(array() as array<int>)").alias("begins"))
@@ -231,40 +225,116 @@ def greedy_pack(units: Column, budget: Column | int, size=estimated_tokens) -> C
         opens = (s["i"] == 0) | (s["used"] + t > limit)
         return F.struct((s["i"] + 1).alias("i"), F.when(opens, t).otherwise(s["used"] + t).alias("used"), F.when(opens, F.concat(s["begins"], F.array(s["i"]))).otherwise(s["begins"]).alias("begins"))
 
-    begins = F.aggregate(F.transform(units, size), start, add, lambda s: s["begins"])
+    begins = F.aggregate(sizes, start, add, lambda s: s["begins"])
     ends = F.concat(F.slice(begins, F.lit(2), F.greatest(F.size(begins) - 1, F.lit(0))), F.array(F.size(units)))
     return F.filter(F.zip_with(begins, ends, lambda a, b: F.slice(units, a + 1, b - a)), lambda g: g.isNotNull())
 
 
-def slices(chunk: DataFrame, id_column: str, header: str, body: str, most: int = 7000, cap: int = 8000, size=estimated_tokens) -> DataFrame:
-    """(parent_id, slice_id, slice_index, n_slices, text): one slice if the chunk is within `most`, else packed units, each
-    under the header, and the table's header again on slices after the first that hold a row. None is over cap: headers
-    that leave no room for a unit are dropped."""
-    text = F.coalesce(F.col(body), F.lit(""))
-    heads = F.coalesce(F.col(header), F.lit(""))
-    fits = size(heads) + F.coalesce(size(table_header(text)), F.lit(0)) <= cap - 320
-    rows = chunk.select(F.col(id_column).alias("parent_id"), F.when(fits, heads).otherwise("").alias("head"), text.alias("body"), F.when(fits, table_header(text)).alias("columns"))
-    room = F.greatest(F.lit(256), F.lit(most) - size(F.col("head")) - F.coalesce(size(F.col("columns")), F.lit(0)) - 16)
-    # each step a column of its own, or the plan would work it out again wherever the next one names it
-    rows = rows.withColumn("atoms", atomic_units(F.col("body"))).withColumn("pieces", cut_oversize(F.col("atoms"), 256, size)).withColumn("packed", greedy_pack(F.col("pieces"), room, size))
-    whole = size(F.concat_ws("\n", "head", "body")) <= most
-    groups = F.when(whole, F.array(F.array("body"))).otherwise(F.col("packed"))
-    cut = rows.select("parent_id", "head", "columns", F.posexplode(groups).alias("slice_index", "units"), F.size(groups).alias("n_slices"))
-    again = (F.col("slice_index") > 0) & F.exists("units", lambda u: u.startswith("|")) & F.col("columns").isNotNull()
-    text = F.concat_ws("\n", F.nullif(F.col("head"), F.lit("")), F.when(again, F.col("columns")), F.array_join("units", "\n"))
-    out = cut.select("parent_id", F.concat_ws("::", "parent_id", "slice_index").alias("slice_id"), "slice_index", "n_slices", text.alias("text"))
-    return out.where(F.assert_true(size(F.col("text")) <= cap, F.lit("a slice is over its cap")).isNull())
+def sentence_pieces(unit: str, budget: int, counter: Counter) -> list[str]:
+    """A unit of the budget or more: its sentences, as many together as stay below the budget; a sentence that doesn't is cut
+    between tokens. Sentences with blanks between them have at most a token more for each than by themselves, so they are only counted
+    together where that reaches the budget."""
+    sentences = [x for x in re.split(r"(?<=[։.;])\s+", unit) if x]
+    groups: list[list[str]] = [[]]
+    bound = 0
+    for sentence, n in zip(sentences, counter.count(sentences)):
+        if n >= budget:
+            groups += [[part] for part in counter.cut(sentence, budget)] + [[]]
+            bound = 0
+            continue
+        bound += n + 1
+        if groups[-1] and bound >= budget and counter.count([" ".join([*groups[-1], sentence])])[0] >= budget:
+            groups.append([])
+            bound = n
+        groups[-1].append(sentence)
+    return [piece for g in groups if (piece := " ".join(g).strip())]
+
+
+def _sized(make: Callable[[], Counter], most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def size(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = make()
+        for batch in batches:
+            out: list[tuple] = []
+            for head, body, columns, atoms in zip(*(batch.column(c).to_pylist() for c in ("head", "body", "columns", "atoms"))):
+                total, head_size, columns_size = counter.count(["\n".join(filter(None, [head, body])), head and head + "\n", columns or ""])
+                room = max(256, most - head_size - columns_size - 16)
+                pieces: list[str] = []
+                if total > most:
+                    for unit, n in zip(atoms, counter.count(atoms)):
+                        pieces += [unit] if n < room else sentence_pieces(unit, room, counter)
+                out.append((total <= most, room, pieces, counter.count(pieces)))
+            kinds = (pa.bool_(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32()))
+            new = [pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 4, kinds)]
+            kept = ["parent_id", "head", "body", "columns"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *new], [*kept, "whole", "room", "pieces", "sizes"])
+
+    return size
+
+
+def within_cap(text: str, head: str, cap: int, counter: Counter, depth: int = 0) -> list[tuple[str, int]]:
+    """A slice and its size, or its parts, each under the head, or without it if that leaves no room."""
+    (n,) = counter.count([text])
+    if n <= cap or depth == 8:
+        return [(text, n)]
+    room = cap - counter.count([head])[0] - 8
+    if head and text.startswith(head) and room >= 64:
+        parts = [head + p for p in counter.cut(text[len(head) :], room)]
+    else:
+        parts, head = counter.cut(text, max(1, cap - 8)), ""
+    return [x for p in parts for x in within_cap(p, head, cap - 8 * depth if len(parts) == 1 else cap, counter, depth + 1)]
+
+
+def capped(rows: DataFrame, cap: int, make: Callable[[], Counter]) -> DataFrame:
+    """(parent_id, slice_id, slice_index, n_slices, text, tokens) for rows (parent_id, head, ids, texts) of a parent's slices in order: none is over `cap`."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = make()
+        for batch in batches:
+            out: list[list[dict]] = []
+            for head, ids, texts in zip(*(batch.column(c).to_pylist() for c in ("head", "ids", "texts"))):
+                found = []
+                for id_, text in zip(ids, texts):
+                    parts = within_cap(text, head and head + "\n", cap, counter)
+                    found += [{"slice_id": id_ if len(parts) == 1 else f"{id_}~{i}", "text": t, "tokens": n} for i, (t, n) in enumerate(parts)]
+                out.append(found)
+            kind = pa.list_(pa.struct([("slice_id", pa.string()), ("text", pa.string()), ("tokens", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([batch.column("parent_id"), pa.array(out, kind)], ["parent_id", "slices"])
+
+    id_type = rows.schema["parent_id"].dataType.simpleString()
+    done = rows.select("parent_id", "head", "ids", "texts").mapInArrow(cut, f"parent_id {id_type}, slices array<struct<slice_id string, text string, tokens int>>")
+    each = done.select("parent_id", F.size("slices").alias("n_slices"), F.posexplode("slices").alias("slice_index", "x"))
+    return each.select("parent_id", "x.slice_id", "slice_index", "n_slices", "x.text", "x.tokens")
+
+
+def slices(chunk: DataFrame, id_column: str, header: str, body: str, most: int = 7000, cap: int = 8000, counter: Callable[[], Counter] = Estimate) -> DataFrame:
+    """(parent_id, slice_id, slice_index, n_slices, text, tokens): the chunk itself if it is within `most` tokens, else packed units, each group
+    under the header, and the table's header again on slices after the first that hold a row. Nulls count as empty. Units are
+    paragraphs and table rows; what the budget can't hold is cut as `sentence_pieces` says, and no slice is over `cap`."""
+    text, head = F.coalesce(F.col(body), F.lit("")), F.coalesce(F.col(header), F.lit(""))
+    rows = chunk.select(F.col(id_column).alias("parent_id"), head.alias("head"), text.alias("body"), table_header(text).alias("columns"), atomic_units(text).alias("atoms"))
+    id_type = rows.schema["parent_id"].dataType.simpleString()
+    sized = rows.mapInArrow(_sized(counter, most), f"parent_id {id_type}, head string, body string, columns string, whole boolean, room int, pieces array<string>, sizes array<int>")
+    packed = sized.withColumn("groups", F.when(F.col("whole"), F.array(F.array("body"))).otherwise(greedy_pack(F.col("pieces"), F.col("room"), F.col("sizes"))))
+
+    def composed(units: Column, i: Column) -> Column:
+        again = (i > 0) & F.exists(units, lambda u: u.startswith("|")) & F.col("columns").isNotNull()
+        return F.concat_ws("\n", F.nullif(F.col("head"), F.lit("")), F.when(again, F.col("columns")), F.array_join(units, "\n"))
+
+    key = F.col("parent_id").cast("string")
+    ids = F.when(F.col("whole"), F.array(key)).otherwise(F.transform("groups", lambda _, i: F.concat_ws("::", key, i.cast("string"))))
+    return capped(packed.select("parent_id", "head", ids.alias("ids"), F.transform("groups", composed).alias("texts")), cap, counter)
 
 
 def enumerated_items(chunk: DataFrame, id_column: str, body: str, lead_length: int = 220) -> DataFrame:
     """(parent_id, item, lead, text, is_row): items of an enumeration. A part line opens an item and gives the lead of
     those that follow; a point line opens one under that lead; a table row is one by itself; other lines go on."""
     rows = lines(chunk, id_column, body).where(F.trim("line") != "")
-    part, row = F.col("line").rlike(PART_LINE), F.col("line").startswith("|")
-    point = F.col("line").rlike(POINT_LINE) & ~part
+    row = F.col("line").startswith("|")
+    part = F.col("line").rlike(ENUM_PART) & ~row
+    point = F.col("line").rlike(ENUM_POINT) & ~part & ~row
     before_row = F.lag(row, 1, False).over(Window.partitionBy("id").orderBy("pos"))
     cut = islands(rows.withColumns({"part": part, "row": row, "point": point}), part | point | row | before_row, name="item")
-    cut = carry_forward(cut, F.when(F.col("part"), F.substring("line", 1, lead_length)), "lead")
+    cut = carry_forward(cut, F.when(F.col("part"), F.substring(F.trim("line"), 1, lead_length)), "lead")
     head = cut.groupBy("id", "item").agg(F.min_by("lead", "pos").alias("lead"), F.max("row").alias("is_row"), F.min_by("part", "pos").alias("is_part"))
     out = joined(cut, ["id", "item"]).join(head, ["id", "item"])
     return out.select(F.col("id").alias("parent_id"), "item", F.when(~F.col("is_part"), F.col("lead")).alias("lead"), "text", "is_row")
@@ -295,28 +365,28 @@ def merge_tiny(items: DataFrame, least: int = 120) -> DataFrame:
     return merged.select("parent_id", "item", "x.text", "x.lead", "x.is_row")
 
 
-def enumerated_slices(chunk: DataFrame, id_column: str, header: str, body: str, keep_header_rows: bool = False) -> DataFrame:
-    """(parent_id, slice_id, slice_index, text): header, the table's header for data rows, lead and text of each item.
+def enumerated_slices(chunk: DataFrame, id_column: str, header: str, body: str, keep_header_rows: bool = False, cap: int = 8000, counter: Callable[[], Counter] = Estimate) -> DataFrame:
+    """(parent_id, slice_id, slice_index, n_slices, text, tokens): header, the table's header for data rows, lead and text of each item; none over `cap`.
     Rows that are the table's header or separator make no slice, unless keep_header_rows."""
     items = merge_tiny(enumerated_items(chunk, id_column, body))
-    heads = chunk.select(F.col(id_column).alias("parent_id"), F.col(header).alias("head"), table_header(F.col(body)).alias("columns"))
+    heads = chunk.select(F.col(id_column).alias("parent_id"), F.coalesce(F.col(header), F.lit("")).alias("head"), table_header(F.col(body)).alias("columns"))
     rows = items.join(heads, "parent_id")
     is_head = F.array_contains(F.split("columns", "\n"), F.col("text")) | F.col("text").rlike("^\\|[\\s|:-]*$")
     if not keep_header_rows:
         rows = rows.where(~(F.col("is_row") & F.coalesce(is_head, F.lit(False))))
-    n = F.row_number().over(Window.partitionBy("parent_id").orderBy("item")) - 1
     text = F.concat_ws("\n", F.nullif(F.col("head"), F.lit("")), F.when(F.col("is_row"), F.col("columns")), "lead", "text")
-    return rows.select("parent_id", F.concat(F.col("parent_id").cast("string"), F.lit("::e"), n.cast("string")).alias("slice_id"), n.alias("slice_index"), text.alias("text"))
+    whole = rows.groupBy("parent_id").agg(F.first("head").alias("head"), F.sort_array(F.collect_list(F.struct("item", text.alias("text")))).alias("all"))
+    ids = F.transform("all", lambda _, i: F.concat(F.col("parent_id").cast("string"), F.lit("::e"), i.cast("string")))
+    return capped(whole.select("parent_id", "head", ids.alias("ids"), F.col("all.text").alias("texts")), cap, counter)
 
 
-def slices_by(policy: str, chunk: DataFrame, id_column: str, header: str, body: str, **sizes: int) -> DataFrame:
-    """(parent_id, slice_id, slice_index, text) by one of two policies: "token" packs all chunks to a size, "enumerated"
-    gives enumerations a slice an item and packs the others."""
-    wanted = ["parent_id", "slice_id", "slice_index", "text"]
+def slices_by(policy: str, chunk: DataFrame, id_column: str, header: str, body: str, most: int = 7000, cap: int = 8000, counter: Callable[[], Counter] = Estimate) -> DataFrame:
+    """Slices by one of two policies: "token" packs all chunks to a size, "enumerated" gives enumerations a slice an item and
+    packs the others."""
     if policy == "token":
-        return slices(chunk, id_column, header, body, **sizes).select(*wanted)
+        return slices(chunk, id_column, header, body, most, cap, counter)
     if policy != "enumerated":
         raise ValueError(f"no policy {policy!r}")
     listed = is_enumeration(F.coalesce(F.col(body), F.lit("")))
-    packed = slices(chunk.where(~listed), id_column, header, body, **sizes).select(*wanted)
-    return enumerated_slices(chunk.where(listed), id_column, header, body).select(*wanted).unionByName(packed)
+    packed = slices(chunk.where(~listed), id_column, header, body, most, cap, counter)
+    return enumerated_slices(chunk.where(listed), id_column, header, body, cap=cap, counter=counter).unionByName(packed)

@@ -11,9 +11,9 @@ hold any of them; both are ranked by cover density over the document's length. A
 that holds them; it counts 0.1 over one more than the places in it that hold none of them. Where any term will do, each place of a
 term is a cover, so that the score is 0.1 a place.
 
-Not all postings of a query's terms are read for it. Documents with all terms are looked for among those of its rarest. For the others, the k-th
-best score by any one term is a bound that the k best documents reach, and a document reaches it only if one of its terms has its
-share of the bound, in proportion to the terms' greatest scores; only documents with such a posting are scored.
+Not all postings of a query's terms are scored for it. Documents with all terms are looked for among those of its rarest. For the others, the best
+documents of each term are scored first, and the k-th best of these is a bound that the k best of all reach. A document reaches it only if one of its terms has its
+share of the bound, in proportion to the terms' greatest scores; where that leaves few, only documents with such a posting are scored.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import search_terms
+from ..sources.shared import written
 from .relational import top_per_group
 
 #: What a place of a term counts, and how many of a score's digits do.
@@ -166,39 +167,50 @@ def _with_all_terms(index: TextIndex, asked: DataFrame, rarest: DataFrame) -> Da
     return full.mapInArrow(_add_covers, f"query_id {_type(full, 'query_id')}, id {_type(full, 'id')}, matched long, length long, raw double, n_covers long, shortest long")
 
 
-def _per_query(stats: DataFrame) -> DataFrame:
-    """A query's rarest term, if all of its terms are in some document; what its k best documents reach; its terms' greatest scores."""
-    rarest = F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("rarest")
-    return stats.groupBy("query_id").agg(rarest, F.max("kth").alias("bound"), F.sum("most").alias("sum_most"))
+def _rarest(stats: DataFrame) -> DataFrame:
+    """(query_id, term): each query's rarest term, if all of its terms are in some document."""
+    rarest = stats.groupBy("query_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("rarest"))
+    return rarest.where("rarest.df > 0").select("query_id", "rarest.term")
 
 
 def all_covers(index: TextIndex, asked: DataFrame) -> DataFrame:
     """All documents that hold all terms of a query of `asked`: query_id, id, score, n_covers, shortest (last place less the first)."""
     known = index.met(asked.select("term").distinct()).groupBy("term").agg(F.count("*").alias("df"))
-    rarest = _per_query(asked.join(known, "term", "left").withColumns({"kth": F.lit(0.0), "most": F.lit(0.0)})).where("rarest.df > 0")
-    found = _with_all_terms(index, asked, rarest.select("query_id", "rarest.term"))
+    found = _with_all_terms(index, asked, _rarest(asked.join(known, "term", "left")))
     return found.select("query_id", "id", F.round(F.col("raw") / F.col("length"), DIGITS).alias("score"), "n_covers", "shortest")
 
 
-def search(index: TextIndex, asked: DataFrame, k: int) -> DataFrame:
+def search(index: TextIndex, asked: DataFrame, k: int, prune: bool | None = None) -> DataFrame:
     """The k best documents of each query of `asked` (query_id, term, n_terms; its terms differ): query_id, id, matched (terms it
-    holds), score, rank. Ties by id. Queries that no document meets have no rows."""
+    holds), score, rank. Ties by id. Queries that no document meets have no rows. Whether a query that any term will do for is answered from the
+    postings that reach their share, or from all, is decided by what is to be read, or by `prune`."""
     met = index.met(asked.select("term").distinct())
     impact = F.col("tf") / F.col("length")
-    best = top_per_group(met.select("term", impact.alias("impact")), ["term"], [F.desc("impact")], k, "n").groupBy("term").agg(F.max("impact").alias("most"), F.min("impact").alias("kth"), F.count("*").alias("n"))
-    known = met.groupBy("term").agg(F.count("*").alias("df")).join(best, "term")
-    # a term that fewer than k documents hold gives no bound
-    stats = asked.join(known.select("term", "df", "most", F.when(F.col("n") == k, F.col("kth")).otherwise(0).alias("kth")), "term", "left")
-    per_query = _per_query(stats)
-    strict = _with_all_terms(index, asked, per_query.where("rarest.df > 0").select("query_id", "rarest.term"))
-
-    # the others: documents with a posting that has its share of the bound; what rounding could make equal is let in
-    loose = stats.join(strict.select("query_id").distinct(), "query_id", "left_anti").join(per_query, "query_id").where("df > 0")
-    least = F.greatest(F.col("bound") - 10 ** -(DIGITS - 1), F.lit(0)) * F.col("most") / F.col("sum_most") * (1 - 1e-9)
-    enough = index.met(loose.select("query_id", "term", least.alias("least"))).where(impact >= F.col("least")).select("query_id", "id").distinct()
-    any_term = _all_terms(index, asked, enough, [(PLACE_WEIGHT * F.sum("tf")).alias("raw")])
+    known = met.groupBy("term").agg(F.count("*").alias("df"), F.max(impact).alias("most"), F.sum(impact).alias("mass"))
+    stats = written(asked.join(known, "term", "left"), "query-terms")
+    strict = written(_with_all_terms(index, asked, _rarest(stats)), "with-all-terms")
+    loose = stats.join(strict.select("query_id").distinct(), "query_id", "left_anti").where("df > 0")
+
+    # k documents reach what the k-th best of the terms' best does; what rounding could make equal is let in
+    best = top_per_group(met.join(loose.select("term").distinct(), "term", "left_semi").select("term", "id", impact.alias("impact")), ["term"], [F.desc("impact"), F.asc("id")], k, "n")
+    tried = _all_terms(index, asked, loose.join(best, "term").select("query_id", "id").distinct(), [(F.sum("tf") / F.max("length")).alias("reached")])
+    kth = top_per_group(tried.select("query_id", "reached"), ["query_id"], [F.desc("reached")], k, "n").where(F.col("n") == k).select("query_id", "reached")
+    sums = loose.groupBy("query_id").agg(F.sum("most").alias("sum_most"))
+    bound = F.greatest(F.coalesce("reached", F.lit(0)) - 10 ** -(DIGITS - 1), F.lit(0))
+    least = bound * F.col("most") / F.col("sum_most") * (1 - 1e-9)
+    shared = loose.join(sums, "query_id").join(kth, "query_id", "left").withColumn("least", least)
+
+    # at most mass / least postings have their share, and each makes a look-up for every term; otherwise all are read
+    looked_up = F.sum(F.when(F.col("least") > 0, F.least("df", F.col("mass") / F.col("least"))).otherwise(F.col("df")) * F.col("n_terms"))
+    choice = shared.groupBy("query_id").agg((looked_up < F.sum("df")).alias("prunes"))
+    shared = written(shared.join(choice, "query_id").withColumn("prunes", F.col("prunes") if prune is None else F.lit(prune)), "query-shares")
+    enough = index.met(shared.where("prunes").select("query_id", "term", "least")).where(impact >= F.col("least")).select("query_id", "id").distinct()
+    raw = (PLACE_WEIGHT * F.sum("tf")).alias("raw")
+    some = _all_terms(index, asked, enough, [raw])
+    all_ = index.met(shared.where("not prunes").select("query_id", "term")).groupBy("query_id", "id").agg(F.count("*").alias("matched"), F.max("length").alias("length"), raw)
+
     columns = ["query_id", "id", "matched", "length", "raw"]
-    scored = strict.select(*columns).unionByName(any_term.select(*columns))
+    scored = strict.select(*columns).unionByName(some.select(*columns)).unionByName(all_.select(*columns))
     scored = scored.select("query_id", "id", "matched", F.round(F.col("raw") / F.col("length"), DIGITS).alias("score"))
     return top_per_group(scored, ["query_id"], [F.desc("score"), F.asc("id")], k)
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import context, evaluate, graph, html, incremental, postings, rank, relational, segment, textindex, vector, verify
+from ..operators import context, counters, evaluate, graph, html, incremental, postings, rank, relational, segment, textindex, vector, verify
 from ..sources.tables import failed_expectations, table
 from ..streaming.gate import CLOSING, gate_batch
 
@@ -608,12 +608,14 @@ def header_build_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""WITH b AS (SELECT doc_id AS id, list_aggregate(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN i % 2 = 1 THEN i || CASE WHEN i % 3 = 0 THEN '. ' ELSE ') ' END || x ELSE x END), 'string_agg', chr(10)) AS body FROM documents),
+@query("""WITH b AS (SELECT doc_id AS id, list_aggregate(list_transform(string_split(text, chr(10)), lambda x, i: CASE i % 6 WHEN 1 THEN i || '. ' WHEN 2 THEN '12.5 ' WHEN 3 THEN i || ') ' WHEN 4 THEN i || ')' WHEN 5 THEN 'ա) ' ELSE '' END || x), 'string_agg', chr(10)) AS body FROM documents),
     l AS (SELECT id, body, unnest(string_split(body, chr(10))) AS line FROM b)
-    SELECT id, length(any_value(body))::INTEGER AS n_chars, count(*) FILTER (WHERE regexp_matches(line, '^\\d{1,3}\\.\\s+\\S') OR regexp_matches(line, '^\\d{1,3}(\\.\\d{1,2})?\\s*[.)]\\s*\\S')) >= 4 AND length(any_value(body)) >= 2500 AS is_enumeration FROM l GROUP BY id""")
+    SELECT id, length(any_value(body))::INTEGER AS n_chars, count(*) FILTER (WHERE regexp_matches(line, '^\\s*\\d+(\\.\\d+)*\\.\\s') OR regexp_matches(line, '^\\s*(\\d+\\)|[ա-ֆ][.)])\\s') OR regexp_matches(line, '^\\|\\s*\\d+\\)')) >= 4 AND length(any_value(body)) >= 2500 AS is_enumeration FROM l GROUP BY id""")
 def enumeration_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents whose every second line is numbered."""
-    marked = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 2 == 0, F.concat((i + 1).cast("string"), F.when(i % 3 == 2, ". ").otherwise(") "), x)).otherwise(x))
+    """Documents whose lines are marked: three in six as parts or points, two with numbers that mark none."""
+    n = lambda i: (i + 1).cast("string")
+    mark = lambda i: F.when(i % 6 == 0, F.concat(n(i), F.lit(". "))).when(i % 6 == 1, "12.5 ").when(i % 6 == 2, F.concat(n(i), F.lit(") "))).when(i % 6 == 3, F.concat(n(i), F.lit(")"))).when(i % 6 == 4, "ա) ").otherwise("")
+    marked = F.transform(F.split("text", "\n"), lambda x, i: F.concat(mark(i), x))
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.array_join(marked, "\n").alias("body"))
     return rows.select("id", F.length("body").alias("n_chars"), segment.is_enumeration(F.col("body")).alias("is_enumeration"))
 
@@ -632,25 +634,42 @@ def _tabled(spark: SparkSession, sf_dir: str) -> DataFrame:
     k AS (SELECT *, CASE WHEN trim(line, ' ') = '' THEN 0 WHEN starts_with(line, '|') THEN 2 ELSE 1 END AS kind FROM l),
     o AS (SELECT *, CASE WHEN kind = 2 OR (kind = 1 AND coalesce(lag(kind) OVER (PARTITION BY id ORDER BY pos), 0) <> 1) THEN 1 ELSE 0 END AS opens FROM k),
     u AS (SELECT id, unit, string_agg(line, chr(10) ORDER BY pos) AS text FROM (SELECT *, sum(opens) OVER (PARTITION BY id ORDER BY pos) AS unit FROM o) WHERE kind > 0 GROUP BY ALL),
-    s AS (SELECT id, unit, unnest(range(len(x))) AS n, unnest(x) AS text FROM (SELECT id, unit, CASE WHEN ceil(strlen(text) / 4) < 256 THEN [text] ELSE string_split(regexp_replace(text, '([։.;])\\s+', '\\1' || chr(1), 'g'), chr(1)) END AS x FROM u)),
-    p AS (SELECT id, unit, n, unnest(range(len(x))) AS m, unnest(x) AS text FROM (SELECT id, unit, n, CASE WHEN ceil(strlen(text) / 4) < 256 THEN [text] ELSE regexp_extract_all(text, '(?s).{{1,256}}') END AS x FROM s)),
-    a AS (SELECT id, list(text ORDER BY unit, n, m) AS texts, list(ceil(strlen(text) / 4)::INTEGER ORDER BY unit, n, m) AS sizes FROM p GROUP BY 1),
-    g AS (SELECT b.id, head, body, texts, list_reduce(list_transform(sizes, lambda t: {{'i': 1, 'used': t, 'begins': [0]}}), lambda x, y: {{'i': x.i + 1, 'used': CASE WHEN x.used + y.used > greatest(256, 512 - ceil(strlen(head) / 4) - 6 - 16) THEN y.used ELSE x.used + y.used END,
-        'begins': CASE WHEN x.used + y.used > greatest(256, 512 - ceil(strlen(head) / 4) - 6 - 16) THEN list_append(x.begins, x.i) ELSE x.begins END}}).begins AS begins FROM b JOIN a USING (id)),
-    c AS (SELECT id, head, CASE WHEN ceil(strlen(head || chr(10) || body) / 4) <= 512 THEN [[body]] ELSE list_transform(begins, lambda x, i: texts[x + 1:coalesce(begins[i + 1], len(texts))]) END AS groups FROM g),
-    e AS (SELECT id, head, len(groups) AS n_slices, unnest(range(len(groups))) AS i, unnest(groups) AS units FROM c)
-    SELECT id AS parent_id, id || '::' || i AS slice_id, i::INTEGER AS slice_index, n_slices::INTEGER AS n_slices,
+    r AS (SELECT id, greatest(256, 512 - ceil((strlen(head) + 1) / 4) - 6 - 16)::BIGINT AS room FROM b),
+    s AS (SELECT id, unit, room, list_filter(string_split(regexp_replace(text, '([։.;])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS x FROM u JOIN r USING (id) WHERE ceil(strlen(text) / 4) >= room),
+    f AS (SELECT id, unit, list_reduce(list_prepend({{'out': []::VARCHAR[], 'held': ''}}, list_transform(x, lambda t: {{'out': []::VARCHAR[], 'held': t}})), lambda a, t:
+        CASE WHEN ceil(strlen(t.held) / 4) >= room THEN {{'out': list_concat(list_append(a.out, a.held), regexp_extract_all(t.held, '(?s).{{1,' || room || '}}')), 'held': ''}}
+             WHEN a.held <> '' AND ceil(strlen(a.held || ' ' || t.held) / 4) >= room THEN {{'out': list_append(a.out, a.held), 'held': t.held}}
+             WHEN a.held = '' THEN {{'out': a.out, 'held': t.held}} ELSE {{'out': a.out, 'held': a.held || ' ' || t.held}} END) AS z FROM s),
+    p AS (SELECT id, unit, 0 AS n, text FROM u JOIN r USING (id) WHERE ceil(strlen(text) / 4) < room
+        UNION ALL SELECT id, unit, unnest(range(len(z.out) + 1)), regexp_replace(unnest(list_append(z.out, z.held)), '^\\s+|\\s+$', '', 'g') FROM f),
+    a AS (SELECT id, list(text ORDER BY unit, n) AS texts, list(ceil(strlen(text) / 4)::INTEGER ORDER BY unit, n) AS sizes FROM p WHERE text <> '' GROUP BY 1),
+    g AS (SELECT b.id, head, body, texts, list_reduce(list_transform(sizes, lambda t: {{'i': 1, 'used': t, 'begins': [0]}}), lambda x, y: {{'i': x.i + 1, 'used': CASE WHEN x.used + y.used > room THEN y.used ELSE x.used + y.used END,
+        'begins': CASE WHEN x.used + y.used > room THEN list_append(x.begins, x.i) ELSE x.begins END}}).begins AS begins FROM b JOIN r USING (id) JOIN a USING (id)),
+    c AS (SELECT id, head, ceil(strlen(head || chr(10) || body) / 4) <= 512 AS whole, CASE WHEN whole THEN [[body]] ELSE list_transform(begins, lambda x, i: texts[x + 1:coalesce(begins[i + 1], len(texts))]) END AS groups FROM g),
+    e AS (SELECT id, head, whole, len(groups) AS n_slices, unnest(range(len(groups))) AS i, unnest(groups) AS units FROM c)
+    SELECT id AS parent_id, id || CASE WHEN whole THEN '' ELSE '::' || i END AS slice_id, i::INTEGER AS slice_index, n_slices::INTEGER AS n_slices,
            sha256(head || chr(10) || CASE WHEN i > 0 AND len(list_filter(units, lambda x: starts_with(x, '|'))) > 0 THEN '| a | b |' || chr(10) || '| --- | --- |' || chr(10) ELSE '' END || list_aggregate(units, 'string_agg', chr(10))) AS text_sha256 FROM e""")
 def greedy_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slices of documents at 512 estimated tokens."""
     return segment.slices(_tabled(spark, sf_dir), "doc_id", "head", "body", most=512, cap=1024).select("parent_id", "slice_id", "slice_index", "n_slices", F.sha2("text", 256).alias("text_sha256"))
 
 
+@query()
+def slices_exact_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slices of documents at 512 tokens, none over 600, by a byte-level vocabulary."""
+    import public_tokenizers
+
+    counter = counters.vocabulary_file(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    cut = segment.slices(_tabled(spark, sf_dir), "doc_id", "head", "body", most=512, cap=600, counter=counter)
+    return cut.select("parent_id", "slice_id", "slice_index", "n_slices", "tokens", F.sha2("text", 256).alias("text_sha256"))
+
+
 @query("""WITH p AS (SELECT p_partkey AS id, '[Document] ' || p_brand || chr(10) || '---' AS head, trim(repeat(p_name || ' ', 100)) AS a, trim(repeat(p_type || ' ', 80)) AS b, p_brand AS brand FROM part),
     i AS (SELECT id, head, unnest([0, 1, 2, 3, 4]) AS n, unnest(['1. ' || a, '1) ' || b || chr(10) || 'goes on ' || brand, '2) ' || b, '2. ' || b || a, '3) ' || a]) AS text,
-                 unnest([NULL, left('1. ' || a, 220), left('1. ' || a, 220), NULL, left('2. ' || b || a, 220)]) AS lead FROM p WHERE id % 2 = 0)
-    SELECT id AS parent_id, id || '::e' || n AS slice_id, n::INTEGER AS slice_index, head || chr(10) || coalesce(lead || chr(10), '') || text AS text FROM i
-    UNION ALL SELECT id, id || '::0', 0, head || chr(10) || '1. ' || a || chr(10) || '2. ' || brand FROM p WHERE id % 2 = 1""")
+                 unnest([NULL, left('1. ' || a, 220), left('1. ' || a, 220), NULL, left('2. ' || b || a, 220)]) AS lead FROM p WHERE id % 2 = 0),
+    x AS (SELECT id AS parent_id, id || '::e' || n AS slice_id, n::INTEGER AS slice_index, 5 AS n_slices, head || chr(10) || coalesce(lead || chr(10), '') || text AS text FROM i
+        UNION ALL SELECT id, id::VARCHAR, 0, 1, head || chr(10) || '1. ' || a || chr(10) || '2. ' || brand FROM p WHERE id % 2 = 1)
+    SELECT *, ceil(strlen(text) / 4)::INTEGER AS tokens FROM x""")
 def policy_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as chunks: every second one an enumeration of parts and points, which has a slice an item, the others packed."""
     a, b = F.trim(F.repeat(F.concat("p_name", F.lit(" ")), 100)), F.trim(F.repeat(F.concat("p_type", F.lit(" ")), 80))

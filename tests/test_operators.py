@@ -264,7 +264,7 @@ def test_greedy_pack_against_a_loop(spark):
             used = 0
         want[-1].append(u)
         used += t
-    assert spark.createDataFrame([(units,)], "u array<string>").select(segment.greedy_pack(F.col("u"), 20)).first()[0] == want
+    assert spark.createDataFrame([(units,)], "u array<string>").select(segment.greedy_pack(F.col("u"), 20, F.transform("u", segment.estimated_tokens))).first()[0] == want
 
 
 def test_enumerated_slices(spark):
