@@ -8,6 +8,9 @@ grows with a source; of each block two documents and a few that are kept back st
 moved again, until one block per source is left. The landing phase decides what is undecided there, so that the
 totals come out as near as a choice among them can make them.
 
+Documents that hold a large part of their source, of which a source has LARGE at most, would leave more open at the end than others can make up for.
+They are decided first, each after the first so that words stay near what is expected, and the others' probabilities are moved by what that leaves.
+
 Defined results: a null text has size 0; the null source comes last in order of code points; repeated rows are
 units of their own; a source without words has target 0 and its documents are taken 0 times; other columns are
 ignored or carried along. All randomness comes from the seed, the source's rank and the block: reruns agree.
@@ -26,9 +29,14 @@ from pyspark.sql import functions as F
 
 from .common import attach_by_key, bounded_batches, text_or_empty, word_count, written
 
-#: Documents of a source that one block's flight goes through, and those of them that are kept back for landing.
+#: Documents of a source that one block's flight goes through, and those of them that are kept back for landing: half of them the
+#: block's largest, half those in the middle of its sizes, so that what a large one leaves open others can make up for.
 #: A block must be at least twice what stays of it, LANDING + 2.
 BLOCK, LANDING = 5000, 12
+#: Numbers of words that differ by so little of what is landed are as near as one another.
+WORDS_OFF = 0.0005
+#: A document is large if it holds one in so many of its source's words.
+LARGE = 200
 #: So many sources are broadcast; where there are more, only those with many documents are.
 FEW_SOURCES = 10_000
 
@@ -93,12 +101,13 @@ def _step(units: list[_Unit], rng: random.Random) -> None:
 
 
 def _land(units: list[_Unit]) -> None:
-    """Decide the last units: of the choices that keep the number of documents to within one, that with the nearest
-    number of words."""
+    """Decide the last units: of the choices whose number of words is nearest, or about as near, that with the nearest number of
+    documents."""
     sizes, p = np.array([u.size for u in units]), np.array([u.p for u in units])
     choices = (np.arange(1 << len(units))[:, None] >> np.arange(len(units))) & 1
     words_off, docs_off = np.abs(choices @ sizes - sizes @ p), np.abs(choices.sum(1) - p.sum())
-    best = np.lexsort((docs_off, words_off, docs_off >= 1))[0]
+    near_best = words_off <= words_off.min() + WORDS_OFF * (sizes @ p)
+    best = np.lexsort((words_off, docs_off, ~near_best))[0]
     for u, x in zip(units, choices[best], strict=True):
         u.p = float(x)
 
@@ -162,6 +171,23 @@ def _fly(seed: int, level: int):
     return flight
 
 
+def _settle_large(seed: int):
+    """Over rows sorted by (rank, size descending): replaces p by 0 or 1, the first by chance, others by what has been taken so far."""
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank, ahead = None, 0.0
+        for batch in batches:
+            decided = []
+            for r, size, p in zip(*(batch.column(c).to_pylist() for c in ("rank", "size", "p")), strict=True):
+                owed = p * size + (ahead if r == rank else 0.0)
+                take = owed * 2 >= size if r == rank else random.Random(f"{seed}:large:{r}").random() < p
+                rank, ahead = r, owed - size * take
+                decided.append(float(take))
+            yield batch.set_column(batch.schema.get_field_index("p"), "p", pa.array(decided, pa.float64()))
+
+    return settle
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most_repeats: int = 3, seed: int = 7, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of `docs` (doc_id, text, source): doc_id, size, source_size, target, copies, taken, and what
     is named in `carry`. copies is how often the mix takes the document, taken its words times that."""
@@ -184,11 +210,31 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most_repeats: i
     columns = ["doc_id", "tie", "size", "source_size", "target", "rank", "base", "p", "blocks", "block", *[f"carry_{i}" for i in range(len(carry))]]
 
     def level_of(rows: DataFrame, level: int) -> DataFrame:
-        order = ["rank", "block", F.xxhash64("doc_id", "tie", F.lit(seed)), "doc_id", "tie"]
+        mixed = [F.xxhash64("doc_id", "tie", F.lit(seed)), F.col("doc_id"), F.col("tie")]
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        ready = rows.repartition(n, "rank", "block").sortWithinPartitions(*order).select(*columns)
+        block = Window.partitionBy("rank", "block")
+        # the flight keeps back a block's last ones
+        nth = F.row_number().over(block.orderBy(F.desc("size"), *mixed))
+        dealt = rows.repartition(n, "rank", "block").withColumns({"nth": nth, "of": F.count("*").over(block)})
+        half = LANDING // 2
+        last = (F.col("nth") <= half) | F.col("nth").between(F.ceil(F.col("of") / 2) - half // 2 + 1, F.ceil(F.col("of") / 2) + half - half // 2)
+        ready = dealt.withColumn("last", last).sortWithinPartitions("rank", "block", "last", *mixed).select(*columns)
         return ready.mapInArrow(_fly(seed, level), ready.schema)
 
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    is_large = (F.col("size") * LARGE >= F.col("source_size")) & (F.col("p") > 0) & (F.col("p") < 1)
+    large = units.where(is_large).withColumn("block", F.lit(-1).cast("long")).select(*columns)
+    large = large.repartition(n_parts, "rank").sortWithinPartitions("rank", F.desc("size"), F.xxhash64("doc_id", "tie", F.lit(seed)), "doc_id", "tie")
+    large = written(large.mapInArrow(_settle_large(seed), large.schema), "large-documents")
+    left = large.groupBy("rank").agg(F.sum("size").alias("large_size"), F.sum(F.col("size") * F.col("p")).alias("large_taken"))
+    if n_sources <= FEW_SOURCES:
+        rest = units.where(~is_large).join(F.broadcast(left), "rank", "left")
+    else:
+        rest = attach_by_key(units.where(~is_large), left.join(targets.select("rank", F.col("n_docs").alias("of_rank")), "rank"), ["rank"], "of_rank", n_docs or 0).drop("of_rank")
+    moved = F.col("p") + (F.col("p") * F.col("large_size") - F.col("large_taken")) / (F.col("source_size") - F.col("large_size"))
+    moves = F.col("large_size").isNotNull() & (F.col("p") > 0) & (F.col("p") < 1) & (F.col("source_size") > F.col("large_size"))
+    units = rest.withColumn("p", F.when(moves, F.least(F.greatest(moved, F.lit(0.0)), F.lit(1.0))).otherwise(F.col("p")))
+
     # Blocks and the order in them follow from the rows alone, so that reruns agree; rows that can't be told apart
     # come out alike whichever of them is taken.
     flown = level_of(units.withColumn("block", F.pmod(F.xxhash64("doc_id", "tie", F.lit(seed)), F.col("blocks"))), 0)
@@ -200,7 +246,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most_repeats: i
         blocks = -(-(LANDING + 2) * blocks // BLOCK)
         again = flown.where("p > 0 and p < 1").withColumn("blocks", F.ceil(F.col("blocks") * (LANDING + 2) / BLOCK))
         flown = level_of(again.withColumn("block", F.pmod(F.xxhash64("doc_id", "tie", F.lit(seed + level)), F.col("blocks"))), level)
-    for part in done:
-        flown = flown.unionByName(part)
+    for part in (*done, large):
+        flown = flown.unionByName(part.select(*columns))
     copies = (F.col("base") + F.col("p")).cast("int")
     return flown.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"), *[F.col(f"carry_{i}").alias(c) for i, c in enumerate(carry)])
