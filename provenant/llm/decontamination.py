@@ -4,7 +4,8 @@ An item of n words may differ by k = floor(budget * n) word edits. Cut into k +
 in any such occurrence unchanged. Documents are scanned for exact pieces; each hit proposes a place, which is
 verified with Myers' bit-parallel distance of the whole item to the best-fitting stretch of text there. Items are a
 stated query set: they are read by the driver and broadcast in blocks of `block_bytes`, one pass over the documents
-each, without shuffles; a pass more for each 4 MB of items is the price of holding one block at a time.
+each; a pass more for each 4 MB of items is the price of holding one block at a time. If there is more than one, what each
+finds is written before the next is sent out, and joined to the documents by id and hash of text at the end.
 
 Words are runs of letters and digits, case-folded; in scripts that don't part words by spaces (Chinese, Japanese,
 Thai, Lao, Burmese, Khmer) each character is a word. Items with fewer than `least_words` words match nothing (1
@@ -19,12 +20,15 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import bounded_batches, text_or_empty
+from .common import bounded_batches, text_or_empty, written
 
 _WORDS = re.compile(r"\w+")
 #: Thai and Lao, Burmese, Khmer, Japanese, Chinese: letters, marks and digits.
@@ -137,26 +141,38 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, budget: float = 0.
     spark = docs.sparkSession
     bounded_batches(spark)
     kept = [F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), *kept)
-    rows = rows.withColumns({"items": F.expr("cast(array() as array<bigint>)"), "n_items": F.lit(0).cast("long"), "min_distance": F.lit(None).cast("long")})
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("tie"), text_or_empty().alias("text"), *kept)
+    hits = {"items": pa.list_(pa.int64()), "n_items": pa.int64(), "min_distance": pa.int64()}
+    none = {"items": F.expr("cast(array() as array<bigint>)"), "n_items": F.lit(0).cast("long"), "min_distance": F.lit(None).cast("long")}
 
-    for block in _blocks(benchmark, block_bytes):
+    def searched(block: list[tuple[int | None, str]], rows: DataFrame, all_rows: bool) -> DataFrame:
+        """`rows` with what of the block stands in them; those in which nothing does are left out, unless all_rows."""
         shared = spark.sparkContext.broadcast((block, budget, least_words))
+        columns = [c for c in rows.columns if all_rows or c != "text"]
 
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(*shared.value)
             for batch in batches:
-                items, counts, least = (batch.column(c).to_pylist() for c in ("items", "n_items", "min_distance"))
-                for i, text in enumerate(batch.column("text").to_pylist()):
-                    if found := matcher.find(text):
-                        items[i] = items[i] + [x for n in found if (x := matcher.items[n][0]) is not None]
-                        counts[i] += len(found)
-                        least[i] = min(d for d in (least[i], *found.values()) if d is not None)
-                for name, values, kind in (("items", items, pa.list_(pa.int64())), ("n_items", counts, pa.int64()), ("min_distance", least, pa.int64())):
-                    batch = batch.set_column(batch.schema.get_field_index(name), name, pa.array(values, kind))
-                yield batch
-
-        rows = rows.mapInArrow(scan, rows.schema)
+                found = [matcher.find(text) for text in batch.column("text").to_pylist()]
+                kept = batch.select(columns) if all_rows else batch.select(columns).take(pa.array([i for i, f in enumerate(found) if f], pa.int64()))
+                found = [f for f in found if f or all_rows]
+                values = ([[x for n in f if (x := matcher.items[n][0]) is not None] for f in found], [len(f) for f in found], [min(f.values(), default=None) for f in found])
+                yield pa.RecordBatch.from_arrays([*kept.columns, *map(pa.array, values, hits.values())], [*columns, *hits])
+
+        return rows.mapInArrow(scan, StructType([*rows.select(*columns).schema, *spark.createDataFrame([], "items array<long>, n_items long, min_distance long").schema]))
+
+    blocks = _blocks(benchmark, block_bytes)
+    first, second = next(blocks, None), next(blocks, None)
+    if first is None:
+        rows = rows.withColumns(none)
+    elif second is None:
+        rows = searched(first, rows, True)
+    else:  # one block at a time: what is found is written before the next one is sent out
+        parts = [written(searched(block, rows.select("doc_id", "tie", "text"), False).distinct(), "items-found") for block in chain((first, second), blocks)]
+        found = reduce(DataFrame.unionByName, parts).groupBy(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"))
+        found = found.agg(F.flatten(F.collect_list("items")).alias("items"), F.sum("n_items").alias("n_items"), F.min("min_distance").alias("min_distance"))
+        known = rows.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie")), "left")
+        rows = known.withColumns({c: F.coalesce(c, x) for c, x in none.items()})
     return rows.select(
         "doc_id",
         "n_items",
