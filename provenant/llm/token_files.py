@@ -121,17 +121,22 @@ def _opened(path: str, kind: str) -> Callable[[int, int], np.ndarray]:
     return lambda a, b: np.frombuffer(f.read_at((b - a) * width, a * width), kind)
 
 
-def read_token_files(manifest: DataFrame, rows_per_batch: int = 2000, with_ids: bool = False) -> DataFrame:
-    """One row per document from the files: doc_id, start, n_tokens, ids_crc32, with_ids also ids (unsigned, as long)."""
+def read_token_files(manifest: DataFrame, rows_per_batch: int = 2000, ids_per_batch: int = 1 << 20, with_ids: bool = False) -> DataFrame:
+    """One row per document from the files: doc_id, start, n_tokens, ids_crc32, with_ids also ids (unsigned, as long). A batch is of at
+    most so many documents and ids, or of a single longer document."""
     n = max(1, manifest.count())
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for m in batch.to_pylist():
                 ids, off, doc = _opened(m["path"] + ".ids", f"<u{m['width']}"), _opened(m["path"] + ".off", "<u8"), _opened(m["path"] + ".doc", "<i8")
-                for at in range(0, m["n_docs"], rows_per_batch):
-                    to = min(at + rows_per_batch, m["n_docs"])
+                at = to = 0
+                while to < m["n_docs"]:
+                    at, to = to, min(to + rows_per_batch, m["n_docs"])
                     edges = off(at, to + 1).astype(np.int64)
+                    fits = int(np.searchsorted(edges, edges[0] + ids_per_batch, "right")) - 1
+                    to = min(to, at + max(1, fits))
+                    edges = edges[: to - at + 1]
                     block = ids(int(edges[0]), int(edges[-1])).astype("<u4")
                     cuts = edges - edges[0]
                     crc = [zlib.crc32(block[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
