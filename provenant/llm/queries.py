@@ -70,7 +70,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(_documents(spark, sf_dir), window=35, with_text=False)
+    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), window=35, with_text=False)
 
 
 def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -162,7 +162,8 @@ def removal(window: int, with_text: bool):
 
 def remove_repeats(docs: DataFrame, window: int = 35, with_text: bool = True) -> DataFrame:
     """One row per row of `docs`: doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space) and,
-    with_text, kept_text, those words."""
+    with_text, kept_text, those words. Rows are numbered where they are read, so `docs` is to be a stored table, or what a projection or a
+    filter makes of one: after a shuffle, a task that is run again could number them in another order."""
     spark = docs.sparkSession
     bounded_batches(spark)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
