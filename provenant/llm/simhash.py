@@ -11,15 +11,14 @@ bits decide on those. How the table is used depends on the distance:
   in some block of equal bits in b - k bands. Within a block rows are sorted by a pivot distance, only those within k
   of each other there are paired, the largest difference of the other coordinates discards pairs and the bits decide on
   the rest. No link is lost, and b follows from the number of fingerprints so that blocks stay small at any size.
-* `keep_one_of_each` links texts by similarity: a cosine of 0.8 or more of their counts of five-word shingles, the
-  similarity that shares of equal bits estimate. (Two texts of equal length have it if they share two thirds of all their shingles, or 0.8 of
-  each one's.) Some 0.2 of bits differ then. There the largest
-  coordinate difference rules out nothing, as distances to references that are far from everything all lie close to
-  half the bits; what tells texts apart is which reference is nearest. Distances are weighted, a bit by how clear its
+* `keep_one_of_each` links texts that share 0.8 or more of their distinct five-word shingles (those in both, of those in either). The
+  cosine of such sets is at least 0.889, so that at most some 0.152 of bits differ. Distances to references that are far from
+  everything all lie close to half the bits; what tells texts apart is which reference is nearest. Distances are weighted, a bit by how clear its
   majority is, and the nearest of 512 references (256 fingerprints and their complements), or of several sets of
-  them, makes a cell. Texts of that similarity share the nearest of 512 with probability 0.24, unrelated ones 1 in
-  512; so cells of a few dozen tables with others' references hold a pair with probability `RECALL`, and tables grow
-  slower than the fourth root of the documents. 2048 bits of both decide, with a margin that takes nine in ten of the pairs at 0.8.
+  them, makes a cell. Texts of that similarity share the nearest of 512 with probability 0.38, unrelated ones 1 in
+  512; so cells of a dozen tables with others' references hold a pair with probability `RECALL`, and tables grow
+  slower than the fourth root of the documents. Within a cell, a table of distances to fingerprints of the cell itself discards pairs whose
+  coordinates differ by more than bits may, and 2048 bits leave candidates. What candidates connect is compared by its shingles, exactly.
 
 Blocks and cells that are large all the same, such as groups of thousands of near copies, are cut into tiles and each
 pair of tiles is one unit of work. A unit emits a link from each fingerprint to the first that it is connected with,
@@ -43,22 +42,29 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import attach_by_key, bounded_batches, text_or_empty, written
+from .common import attach_by_key, bounded_batches, likely_among, text_or_empty, written
 from .components import components
 
 #: References of `near_duplicates`, and fingerprints in a tile.
 N_PIVOTS, TILE = 32, 8192
 #: Words of 64 bits that decide on similarity, bits that one set of references looks at, references in a set.
 WORDS, SET_BITS, SET_SIZE = 32, 256, 256
-#: Of 256 bits and of all, how many may differ: at a cosine of 0.8 some 52 and 419 do, give or take 6 and 18; at 0.7 64 and
-#: 519, of unrelated texts half.
-FIRST_APART, ALL_APART = 79, 443
-#: Words that are compared first, and of their 128 bits how many may differ: 26 do at 0.8, give or take 5, and 64 of unrelated texts.
-HEAD_WORDS, HEAD_APART = 2, 45
-#: Probability that two texts of cosine 0.8 have the same nearest of 2 ** bits references, as measured; and the
+#: The similarity of texts: the share of their distinct shingles that both have. At 0.8 or more the cosine of their sets is at least 0.889, and
+#: at most 0.152 of bits are expected to differ.
+SHARE = 0.8
+#: Of 256 bits and of all, how many may differ for a pair to be compared: at a share of 0.8 at most 39 and 310 do, give or take 6 and 16; at
+#: 0.7 49 and 393, of unrelated texts half.
+FIRST_APART, ALL_APART = 60, 355
+#: Words that are compared first, and of their 128 bits how many may differ: at most 19 do at 0.8, give or take 4, and 64 of unrelated texts.
+HEAD_WORDS, HEAD_APART = 2, 34
+#: Probability that two texts of cosine 0.889 have the same nearest of 2 ** bits references, as measured; and the
 #: probability that such a pair shall share a cell of some table.
-SAME_NEAREST = {4: 0.464, 5: 0.398, 6: 0.349, 7: 0.306, 8: 0.267, 9: 0.241}
-RECALL = 0.95
+SAME_NEAREST = {4: 0.581, 5: 0.527, 6: 0.481, 7: 0.435, 8: 0.411, 9: 0.380}
+RECALL = 0.98
+#: Fingerprints of a cell, to which the distances of all of them make its table.
+OWN_PIVOTS = 8
+#: Texts and their bytes in a tile of those that are compared by their shingles.
+SHARED_TILE, SHARED_BYTES = 4096, 16 << 20
 #: Hashes of a text that are widened to WORDS words at a time.
 PART = 1 << 14
 #: Handling a row takes as long as comparing so many pairs.
@@ -203,7 +209,7 @@ def signatures(docs: DataFrame, bits: int, tables: int, shingle: int = 5) -> Dat
                 part = texts.slice(at, 512).to_pylist()
                 balance, signs = np.zeros((len(part), 64 * WORDS), np.float32), []
                 for i, text in enumerate(part):
-                    hashes = shingle_hashes(text, shingle)
+                    hashes = np.unique(shingle_hashes(text, shingle))
                     counts = sum((bit_counts(_more_hashes(hashes[j : j + PART])) for j in range(0, len(hashes), PART)), np.zeros(64 * WORDS))
                     difference = 2 * counts - len(hashes)
                     signs.append(np.packbits(difference > 0, bitorder="little").tobytes())
@@ -254,7 +260,9 @@ class Similar:
     most: int
 
     def table(self, words: np.ndarray) -> np.ndarray:
-        return np.zeros((len(words), 0), np.int8)  # the references have made the cells
+        """Distances to some of the fingerprints themselves, evenly chosen."""
+        chosen = words[:: max(1, len(words) // OWN_PIVOTS)][:OWN_PIVOTS]
+        return np.stack([np.bitwise_count(words ^ p).sum(1, dtype=np.int16) for p in chosen], axis=1) if len(chosen) else np.zeros((0, 0), np.int16)
 
     def close(self, words: np.ndarray, table: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.bitwise_count(words[a] ^ words[b]).sum(1, dtype=np.int64) <= self.most
@@ -263,11 +271,13 @@ class Similar:
         return np.arange(len(words))
 
     def candidates(self, words: np.ndarray, table: np.ndarray, at: int, to: int) -> tuple[np.ndarray, np.ndarray]:
-        apart = np.zeros((to - at, len(words)), np.int16)
-        for w in words.T[: SET_BITS // 64]:
-            apart += np.bitwise_count(w[at:to, None] ^ w[None, :])
-        a, b = np.nonzero(apart <= self.first)
-        return a + at, b
+        near = np.ones((to - at, len(words)), bool)
+        for c in table.T:
+            near &= np.abs(c[at:to, None] - c[None, :]) <= self.most
+        a, b = np.nonzero(near)
+        a += at
+        kept = np.bitwise_count(words[a, : SET_BITS // 64] ^ words[b, : SET_BITS // 64]).sum(1, dtype=np.int64) <= self.first
+        return a[kept], b[kept]
 
 
 def linked_to(words: np.ndarray, near: WithinBits | Similar) -> np.ndarray:
@@ -412,6 +422,83 @@ def links_by_similarity(classes: DataFrame, n: int, tables: int) -> DataFrame:
     return units.mapInArrow(link_units(Similar(FIRST_APART, ALL_APART)), "a long, b long").distinct()
 
 
+def shared_links(shingle: int):
+    """Over rows (comp, lo, hi, own, node, bits, text) sorted by (comp, lo, hi): links (a, b) of nodes whose texts share SHARE of their distinct
+    shingles, as many as connect all that are so linked within a unit. Bits tell which pairs are compared, and pairs that
+    links connect already aren't."""
+
+    def of_unit(own: list[int], hi: int, lo: int, node: list[int], bits: list[bytes], texts: list[str]) -> Iterator[tuple[int, int]]:
+        words = np.frombuffer(b"".join(bits), "<u8").reshape(len(node), -1)
+        near_bits = Similar(FIRST_APART, ALL_APART)
+        table = near_bits.table(words)
+        sets: dict[int, np.ndarray] = {}
+        label = np.arange(len(node))
+        side = np.array(own)
+
+        def shingles(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = np.unique(shingle_hashes(texts[i], shingle))
+            return sets[i]
+
+        for at in range(0, len(node), 256):
+            first, second = near_bits.candidates(words, table, at, min(at + 256, len(node)))
+            wanted = (first < second) & ((lo == hi) | (side[first] != side[second]))
+            first, second = first[wanted], second[wanted]
+            for i in range(0, len(first), 1 << 14):
+                x, y = first[i : i + (1 << 14)], second[i : i + (1 << 14)]
+                apart = label[x] != label[y]
+                x, y = x[apart], y[apart]
+                near = near_bits.close(words, table, x, y)
+                for j, k in zip(x[near].tolist(), y[near].tolist(), strict=True):
+                    if label[j] == label[k]:
+                        continue
+                    a, b = shingles(j), shingles(k)
+                    both = len(np.intersect1d(a, b, assume_unique=True))
+                    if both >= SHARE * (len(a) + len(b) - both):
+                        label[label == max(label[j], label[k])] = min(label[j], label[k])
+                        yield node[j], node[k]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+
+        def links() -> pa.RecordBatch:
+            found = list(of_unit([r[0] for r in rows], key[2], key[1], *map(list, list(zip(*rows))[1:]))) if len(rows) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(2)], ["a", "b"])
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("comp", "lo", "hi", "own", "node", "bits", "text")]
+            for comp, lo, hi, *row in zip(*columns, strict=True):
+                if (comp, lo, hi) != key:
+                    if rows:
+                        yield links()
+                    key, rows = (comp, lo, hi), []
+                rows.append(row)
+        if rows:
+            yield links()
+
+    return run
+
+
+def links_by_share(docs: DataFrame, classes: DataFrame, candidates: DataFrame, shingle: int) -> DataFrame:
+    """Links (a, b) of classes (node, bits, first) whose texts share SHARE of their shingles, among those that candidates (a, b) connect.
+    Only these are joined to their texts, once each whatever the number of tables that they met in."""
+    roots = components(candidates)
+    ends = roots.select("root").distinct().select(F.col("root").alias("node"), F.col("root").alias("comp"))
+    met = written(classes.join(roots.withColumnRenamed("root", "comp").unionByName(ends), "node").select("comp", "node", "bits", F.col("first.doc_id").alias("doc_id"), F.col("first.tie").alias("tie")), "near-classes")
+    asked = likely_among(_texts(docs), met, ["doc_id", "tie"], max(1, met.count())).where("likely").drop("likely")
+    asked = asked.groupBy("doc_id", "tie").agg(F.min("text").alias("text")).withColumnsRenamed({"doc_id": "_id", "tie": "_tie"})
+    texts = met.join(asked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie"))).select("comp", "node", "bits", "text")
+    texts = written(texts, "near-texts")
+    tiles = F.ceil(F.greatest(F.sum(F.octet_length("text")) / SHARED_BYTES, F.count("*") / SHARED_TILE))
+    sized = texts.groupBy("comp").agg(F.count("*").alias("n"), tiles.alias("tiles"))
+    dealt = attach_by_key(texts, sized, ["comp"], "n", texts.count()).withColumn("own", F.pmod(F.xxhash64("node"), "tiles"))
+    dealt = dealt.select("comp", "own", "node", "bits", "text", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other"))
+    dealt = dealt.select("comp", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "bits", "text")
+    n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    units = dealt.repartition(n_parts, "comp", "lo", "hi").sortWithinPartitions("comp", "lo", "hi", "node")
+    return units.mapInArrow(shared_links(shingle), "a long, b long")
+
+
 def _rooted(classes: DataFrame, links: DataFrame, n: int) -> DataFrame:
     """(node, n_docs, first) of classes (node, first, n_docs): the first row of all classes that links lead to."""
     roots = components(links).withColumnRenamed("node", "linked")
@@ -441,14 +528,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> Dat
 
 def similar_classes(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """(node, n_docs, first) of classes of equal bits: first is the first row (no_id, doc_id, tie) of all that are
-    linked. Two texts are linked if at most ALL_APART of their 2048 bits differ: a cosine of about 0.8 or more."""
+    linked. Two texts are linked if they share SHARE of their distinct shingles."""
     bits, tables = cell_bits_for(max(docs.count(), 1))
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tie", "cells")
     classes = signatures(docs, bits, tables, shingle).groupBy("bits").agg(F.min(row).alias("first"), F.count("*").alias("n_docs"))
     # numbered as they are written, so that different bits never share a node
     classes = written(classes.select(F.monotonically_increasing_id().alias("node"), "bits", "first.cells", F.struct(*[f"first.{c}" for c in _ROW]).alias("first"), "n_docs"), "signature-classes")
     n = classes.count()
-    return _rooted(classes.select("node", "first", "n_docs"), links_by_similarity(classes.select("node", "bits", "cells"), n, tables), n)
+    candidates = links_by_similarity(classes.select("node", "bits", "cells"), n, tables)
+    links = links_by_share(docs, classes.select("node", "bits", "first"), candidates, shingle)
+    return _rooted(classes.select("node", "first", "n_docs"), links, n)
 
 
 def keep_one_of_each(docs: DataFrame, shingle: int = 5) -> DataFrame:
