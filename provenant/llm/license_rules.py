@@ -49,7 +49,7 @@ apache | apache software | apache software license
 cc-by-nc-nd-4.0 | cc by nc nd | cc by nc nd 4(?: 0)?
 cc-by-nc-nd-3.0 | cc by nc nd | cc by nc nd 3(?: 0)?
 cc-by-nc-nd | cc by nc nd | cc by nc nd
-cc-by-nc-nd | creative commons noderivatives | creative commons attribution non ?commercial no ?derivatives
+cc-by-nc-nd | creative commons attribution | creative commons attribution non ?commercial no ?derivatives
 cc-by-nc-sa-4.0 | cc by nc sa | cc by nc sa 4(?: 0)?
 cc-by-nc-sa-3.0 | cc by nc sa | cc by nc sa 3(?: 0)?
 cc-by-nc-sa | cc by nc sa | cc by nc sa
@@ -146,7 +146,7 @@ ufl-1.0 | ubuntu font | ubuntu font licen[cs]e(?: (?:version|v))?(?: v?1 0)?
 odbl-1.0 | open database license | open database license(?: (?:version|v))?(?: v?1 0)?
 odbl-1.0 | odbl | odbl
 odc-by-1.0 | open data commons attribution | open data commons attribution license
-pddl-1.0 | public domain dedication pddl | public domain dedication and license(?: pddl)?
+pddl-1.0 | public domain dedication license | public domain dedication and license(?: pddl)?
 cdla-permissive-2.0 | community data license permissive | community data license agreement permissive(?: (?:version|v))? v?2(?: 0)?
 cdla-sharing-1.0 | community data license sharing | community data license agreement sharing
 ogl-uk-3.0 | open government licence | open government licence(?: (?:version|v))? v?3(?: 0)?
@@ -167,26 +167,27 @@ ncsa | ncsa | (?:university of illinois )?ncsa open source license
 vim | vim | vim licen[cs]e
 w3c | w3c | w3c software(?: notice and)?(?: document)? licen[cs]e
 zpl-2.1 | zope | zope public license(?: (?:version|v))?(?: v?2 1)?
-qpl-1.0 | qpl | q public license(?: (?:version|v))?(?: v?1 0)?
+qpl-1.0 | license public | q public license(?: (?:version|v))?(?: v?1 0)?
 lppl-1.3c | latex project public | latex project public license(?: (?:version|v))?(?: v?1 3c?)?
 beerware | beer ware | beer ware license
 jsond | json | json licen[cs]e
 mulanpsl-2.0 | mulan | mulan permissive software license(?: (?:version|v))?(?: v?2)?
-openrail | openrail | (?:creativeml |bigscience |bigcode )?open ?rail(?: m)?(?: licen[cs]e)?
+openrail | openrail | openrail(?: m)?(?: licen[cs]e)?
+openrail | open rail | open rail(?: m)?(?: licen[cs]e)?
 polyform-noncommercial-1.0.0 | polyform | polyform noncommercial licen[cs]e(?: 1 0 0)?
 commons-clause | commons clause | commons clause licen[cs]e condition(?: v1 0)?
 """
 
 SENTENCES = r"""
 mit | permission charge software associated | permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files
-mit | merchantability infringement software | the software is provided as is without warranty of any kind express or implied
+mit | software provided warranty | the software is provided as is without warranty of any kind express or implied
 isc | permission modify distribute purpose | permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted
 apache-2.0 | apache compliance licensed | licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license
 apache-2.0 | apache january | apache license version 2 0 january 2004
 apache-2.0 | unless law agreed | unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis
 gpl | redistribute foundation gnu | you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation
-gpl-3.0-or-later | gnu later redistribute | gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version
-gpl-2.0-or-later | gnu later redistribute | gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version
+gpl-3.0-or-later | gnu later foundation | gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version
+gpl-2.0-or-later | gnu later foundation | gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version
 gpl | received gnu along | you should have received a copy of the gnu general public license along with
 lgpl | received gnu lesser | you should have received a copy of the gnu lesser general public license along with
 agpl | received gnu affero | you should have received a copy of the gnu affero general public license along with
@@ -200,12 +201,12 @@ bsl-1.0 | boost distributed | distributed under the boost software license versi
 unlicense | unencumbered public domain | this is free and unencumbered software released into the public domain
 zlib | altered misrepresented plainly | altered source versions must be plainly marked as such and must not be misrepresented as being the original software
 ofl-1.1 | font software sil | this font software is licensed under the sil open font license
-cc0-1.0 | dedicated worldwide copyright | to the extent possible under law(?: [^ ]+){1,20} waived all copyright and related or neighboring rights
+cc0-1.0 | copyright neighboring possible | to the extent possible under law(?: [^ ]+){1,20} waived all copyright and related or neighboring rights
 cc | creative commons licensed | this work is licensed under a creative commons
-artistic | artistic perl redistribute | you can redistribute it and or modify it under the same terms as perl itself
-psf-2.0 | python psf licensee | between the python software foundation psf and the individual or organization
+artistic | perl redistribute itself | you can redistribute it and or modify it under the same terms as perl itself
+psf-2.0 | python psf organization | between the python software foundation psf and the individual or organization
 openssl | openssl toolkit developed | this product includes software developed by the openssl project for use in the openssl toolkit
-beerware | beer buy think | you can buy me a beer in return
+beerware | beer buy return | you can buy me a beer in return
 jsond | shall evil good | the software shall be used for good not evil
 proprietary | proprietary confidential | proprietary and confidential
 proprietary | unauthorized copying prohibited | unauthorized copying of this file via any medium is strictly prohibited
