@@ -2,45 +2,43 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import body_of
 from .relational import top_per_group
 
-#: A cited article, "number(s) + article", its inflections, and the stem that names the code.
-_NUMBER = r"\d+(?:\.\d+)?(?:\s*[-‐-―]\s*\d+(?:\.\d+)?)?(?:-?(?:րդ|ին))?"
-CITATION = rf"({_NUMBER}(?:\s*(?:,|և|եւ|կամ)\s*{_NUMBER})*)\s+հոդված\w*"
-CODE_STEM = "օրենսգր"
+#: An article's number, the ordinal endings of a cited number or range, what parts them in a list, the inflected
+#: noun after it, and the stem that names the code.
+_NUMBER = r"\d{1,4}(?:\.\d{1,3})?"
+_CITED = rf"{_NUMBER}(?:\s*-\s*{_NUMBER})?-(?:րդ|ին)"
+CITATION = rf"((?:{_CITED}(?:\s*,\s*|\s+(?:և|եւ)\s+))*{_CITED})\s+հոդված\p{{L}}*"
+CODE_STEM = "օրենսգրք"
 
 
 def citations(chunks: DataFrame, id_column: str, text_column: str, pattern: str = CITATION, scope_stem: str = CODE_STEM, look_back: int = 60) -> DataFrame:
-    """(id, position, group, in_code): each list of cited numbers and whether the stem that names another act stands
-    within look_back characters before it. Offsets of matches need a small Python step; its rows are few."""
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import re
-
-        cited = re.compile(pattern, re.IGNORECASE)
-        for batch in batches:
-            out = []
-            for key, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                for m in cited.finditer(text or ""):
-                    before = text[max(0, m.start() - look_back) : m.start()].casefold()
-                    out.append((key, m.start(), m[1], scope_stem in before))
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((batch.schema.field("id").type, pa.int64(), pa.string(), pa.bool_()))], ["id", "position", "group", "in_code"])
-
-    body = F.trim(F.regexp_replace(F.col(text_column), "[\\s ]+", " "))
+    """(id, position, group, in_code): each list of cited numbers in the bodies of chunks, each number or range with its ordinal ending, and
+    whether the stem that names another act stands within look_back characters before it. White space is collapsed first; positions are those
+    of what is left, and follow from the lengths of matches and of what lies between them."""
+    body = F.regexp_replace(body_of(text_column), "[\\s\u00a0]+", " ")
     rows = chunks.select(F.col(id_column).alias("id"), body.alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(find, f"id {kind}, position long, `group` string, in_code boolean")
+    found = rows.withColumns({"whole": F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), "groups": F.regexp_extract_all("text", F.lit(pattern), F.lit(1))}).where(F.size("whole") > 0)
+    between = found.withColumn("between", F.split("text", pattern, -1))
+    steps = F.transform("whole", lambda m, i: F.struct((F.length(F.get("between", i)) + F.when(i > 0, F.length(F.get("whole", i - 1))).otherwise(0)).alias("step"), F.get("groups", i).alias("group")))
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<position: int, group: string>>)").alias("out"))
+
+    def add(s: Column, x: Column) -> Column:
+        at = s["at"] + x["step"]
+        return F.struct(at.alias("at"), F.concat(s["out"], F.array(F.struct(at.alias("position"), x["group"].alias("group")))).alias("out"))
+
+    placed = between.select("id", "text", F.inline(F.aggregate(steps, start, add, lambda s: s["out"])))
+    before = F.substring("text", F.greatest(F.col("position") - look_back, F.lit(0)) + 1, F.least(F.col("position"), F.lit(look_back)))
+    return placed.select("id", F.col("position").cast("long").alias("position"), "group", F.regexp_like(before, F.lit(f"(?iu){scope_stem}")).alias("in_code"))
 
 
 def number_tokens(group: Column) -> Column:
     """Numbers and ranges within a cited list."""
-    return F.regexp_extract_all(group, F.lit("(\\d+(?:\\.\\d+)?(?:\\s*[-‐-―]\\s*\\d+(?:\\.\\d+)?)?)"), F.lit(1))
+    return F.regexp_extract_all(group, F.lit(f"({_NUMBER}(?:\\s*-\\s*{_NUMBER})?)-(?:րդ|ին)"), F.lit(1))
 
 
 def expand_range(first: Column, last: Column, widest: int = 30) -> Column:
@@ -93,6 +91,36 @@ def diagnostics(resolved: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
+def dangling(resolved: DataFrame, targets: DataFrame) -> DataFrame:
+    """(act, number, from_id): citations of articles that an act should hold, as it holds others, but doesn't."""
+    acts = targets.select(F.col("act").alias("target_act")).distinct()
+    lost = resolved.where("to_id is null").join(acts, "target_act", "left_semi")
+    return lost.select(F.col("target_act").alias("act"), "number", "from_id").distinct()
+
+
+def gaps(resolved: DataFrame, targets: DataFrame) -> DataFrame:
+    """One row for each run of cited but missing articles of an act between two that it holds: act, after and before (the held ones, null at the
+    ends), first and last (missing), n_missing, n_citing (chunks that cite any), first_citing. Numbers are ordered by their whole part, then by
+    what follows the dot. Citing chunks themselves are in `dangling`."""
+
+    def place(number: Column | str) -> Column:
+        parts = F.split(number, "\\.")
+        return F.struct(F.get(parts, F.lit(0)).cast("int").alias("whole"), F.coalesce(F.get(parts, F.lit(1)).cast("int"), F.lit(-1)).alias("part"), F.col("number").alias("text"))
+
+    lost = dangling(resolved, targets)
+    cited = lost.groupBy("act", "number").agg(F.count("*").alias("n"), F.min("from_id").alias("first_citing"))
+    held = targets.select("act", "number").distinct().withColumns({"n": F.lit(0).cast("long"), "first_citing": F.lit(None).cast(cited.schema["first_citing"].dataType)})
+    rows = held.unionByName(cited).withColumns({"place": place("number"), "held": F.col("n") == 0})
+    in_act = Window.partitionBy("act").orderBy("place")
+    up_to, from_here = in_act.rowsBetween(Window.unboundedPreceding, 0), in_act.rowsBetween(0, Window.unboundedFollowing)
+    rows = rows.withColumns({"after": F.last(F.when(F.col("held"), F.col("number")), True).over(up_to), "before": F.first(F.when(F.col("held"), F.col("number")), True).over(from_here)})
+    runs = rows.where("not held").groupBy("act", "after", "before").agg(F.min("place").alias("a"), F.max("place").alias("z"), F.count("*").alias("n_missing"), F.min("first_citing").alias("first_citing"))
+    # a chunk that cites several articles of a run counts once
+    citing = rows.where("not held").select("act", "number", "after", "before").join(lost, ["act", "number"]).groupBy("act", "after", "before").agg(F.count_distinct("from_id").alias("n_citing"))
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"c.{c}")) for c in ("act", "after", "before")]
+    return runs.alias("r").join(citing.alias("c"), same).select("r.act", "r.after", "r.before", F.col("a.text").alias("first"), F.col("z.text").alias("last"), "n_missing", "n_citing", "first_citing")
+
+
 def related(edge: DataFrame, targets: DataFrame, order: str, k: int = 12) -> DataFrame:
     """(from_id, to_id, place, ...): what each node cites, of targets (to_id, `order`, ...) that are in force, the
     first k in their order."""

@@ -14,9 +14,17 @@ from ..functions.text import DOT_LIKE, dotted_date, fold_dots, normalise_space,
 #: The words that open articles, parts, sections, chapters and annexes.
 ARTICLE, PART, SECTION, CHAPTER, ANNEX = "Հոդված", "ՄԱՍ", "ԲԱԺԻՆ", "ԳԼՈՒԽ", "ՀԱՎԵԼՎԱԾ"
 _VOID = {"br", "img", "hr", "meta", "link", "input", "col", "area", "base", "embed", "source", "track", "wbr"}
+#: The widest and highest that a cell may be, as browsers have it.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
 _BLOCKS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li"}
 
 
+def _span(value: str | None, most: int) -> int:
+    """What a cell spans: 1 unless the attribute is a number of ASCII digits, and never more than `most`."""
+    digits = (value or "").strip(" \t\n\f\r")
+    return max(1, min(int(digits[:9]), most)) if digits.isascii() and digits.isdigit() else 1
+
+
 class _Page(HTMLParser):
     """Collects paragraphs and outermost tables in order, links, and the title."""
 
@@ -54,7 +62,7 @@ class _Page(HTMLParser):
             self.rows.append([])
         elif self.depth == 1 and tag in ("td", "th"):
             self.end_cell()
-            self.cell, self.span = [], tuple(max(1, int(x)) if (x := a.get(k) or "").isdigit() else 1 for k in ("colspan", "rowspan"))
+            self.cell, self.span = [], (_span(a.get("colspan"), MOST_COLUMNS), _span(a.get("rowspan"), MOST_ROWS))
         elif self.depth == 0 and tag in _BLOCKS:
             self.end_text()
             self.text = []
@@ -131,10 +139,10 @@ def grid(rows: list[list[tuple[str, int, int]]]) -> list[list[str]]:
 
 
 def markdown(rows: list[list[tuple[str, int, int]]]) -> str:
-    table = ["| " + " | ".join(c.replace("|", "\\|") for c in row) + " |" for row in grid(rows)]
+    cells = grid(rows)
+    table = ["| " + " | ".join(c.replace("|", "\\|") for c in row) + " |" for row in cells]
     if table:
-        width = len(grid(rows)[0])
-        table.insert(1, "|" + " --- |" * width)
+        table.insert(1, "|" + " --- |" * len(cells[0]))
     return "\n".join(table)
 
 

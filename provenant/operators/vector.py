@@ -23,8 +23,12 @@ from pyspark.sql import functions as F
 from .relational import top_per_group
 
 FOUND = "query_id long, parent_id long, slice_index long, score double"
-#: Vectors in a tile.
-TILE = 50_000
+#: Vectors in a tile at most, bytes of a tile's vectors or queries as doubles, and scores that are held at a time.
+TILE, TILE_BYTES, SCORES = 50_000, 32 << 20, 1 << 22
+
+
+def _rows_in_tile(dim: int, most: int) -> int:
+    return max(1, min(most, TILE_BYTES // (8 * max(1, dim))))
 
 
 def check_dimensions(vectors: DataFrame, column: str, dim: int) -> DataFrame:
@@ -56,8 +60,12 @@ def _tiled_search(vectors: DataFrame, queries: DataFrame, by: list[str], k: int,
     def search(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(v) or not len(q):
             return pd.DataFrame(columns=["query_id", "parent_id", "slice_index", "score"])
-        scores = np.round(np.stack(v["vec"]).astype(np.float64) @ np.stack(q["vec"]).astype(np.float64).T, decimals)
-        found = _best(v["parent_id"].to_numpy(), v["slice_index"].to_numpy(), scores, q["query_id"].tolist(), k, v[within].to_numpy() if within else None, q[within].tolist() if within else None)
+        matrix, found = np.stack(v["vec"]).astype(np.float64), []
+        step = max(1, SCORES // len(v))
+        for at in range(0, len(q), step):  # a matrix of bounded size at a time
+            some = q.iloc[at : at + step]
+            scores = np.round(matrix @ np.stack(some["vec"]).astype(np.float64).T, decimals)
+            found += _best(v["parent_id"].to_numpy(), v["slice_index"].to_numpy(), scores, some["query_id"].tolist(), k, v[within].to_numpy() if within else None, some[within].tolist() if within else None)
         return pd.DataFrame(found, columns=["query_id", "parent_id", "slice_index", "score"])
 
     return vectors.groupBy(*by).cogroup(queries.groupBy(*by)).applyInPandas(search, FOUND)
@@ -80,8 +88,8 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, within: str | None = Non
     queries = queries.select("query_id", "vec", *([within] if within else []))
     few = queries.limit(block + 1).collect()
     if len(few) > block:
-        n, n_queries = vectors.count(), queries.count()
-        tiles, query_tiles = -(-n // TILE), -(-n_queries // tile)
+        n, n_queries, dim = vectors.count(), queries.count(), len(few[0]["vec"])
+        tiles, query_tiles = max(1, -(-n // _rows_in_tile(dim, TILE))), -(-n_queries // _rows_in_tile(dim, tile))
         v = vectors.select(*columns, F.pmod(F.xxhash64("parent_id", "slice_index"), F.lit(tiles)).alias("_v"), F.explode(F.sequence(F.lit(0), F.lit(query_tiles - 1))).alias("_q"))
         q = queries.withColumns({"_q": F.pmod(F.xxhash64("query_id"), F.lit(query_tiles)).cast("int"), "_v": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long")))})
         return _ranked(_tiled_search(v, q, ["_v", "_q"], k, within, decimals), k)
@@ -138,18 +146,124 @@ class CellIndex:
     def build(self, vectors: DataFrame) -> DataFrame:
         return self.cells(vectors, 1).withColumn("cell", F.element_at("cells", 1)).drop("cells")
 
+    def in_cells(self, index: DataFrame, queries: DataFrame, probes: int) -> tuple[DataFrame, DataFrame]:
+        """Vectors and queries with (cell, tile, query_tile): each tile of a cell meets each tile of the queries that look there."""
+        rows = _rows_in_tile(self.matrix.shape[1], TILE)
+        q = self.cells(queries.select("query_id", "vec"), probes).select("query_id", "vec", F.explode("cells").alias("cell"))
+        sizes = index.groupBy("cell").agg(F.ceil(F.count("*") / rows).alias("tiles"))  # as many rows as centres
+        sizes = sizes.join(q.groupBy("cell").agg(F.ceil(F.count("*") / rows).alias("query_tiles")), "cell")
+        each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        v = index.join(F.broadcast(sizes), "cell").withColumn("tile", F.pmod(F.xxhash64("parent_id", "slice_index"), F.col("tiles")))
+        q = q.join(F.broadcast(sizes), "cell").withColumn("query_tile", F.pmod(F.xxhash64("query_id"), F.col("query_tiles")))
+        return v.withColumn("query_tile", each("query_tiles")), q.withColumn("tile", each("tiles"))
+
     def search(self, index: DataFrame, queries: DataFrame, k: int, probes: int) -> DataFrame:
         """As `knn`, from the `probes` nearest cells of each query; exactly for queries that find fewer than k parents there."""
-        sizes = index.groupBy("cell").agg(F.ceil(F.count("*") / TILE).alias("tiles"))  # as many rows as centres
-        v = index.join(sizes, "cell").withColumn("tile", F.pmod(F.xxhash64("parent_id", "slice_index"), F.col("tiles")))
-        q = self.cells(queries.select("query_id", "vec"), probes).select("query_id", "vec", F.explode("cells").alias("cell"))
-        q = q.join(sizes, "cell").withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-        found = _ranked(_tiled_search(v.select("cell", "tile", "parent_id", "slice_index", "vec"), q.select("cell", "tile", "query_id", "vec"), ["cell", "tile"], k, None, self.decimals), k)
+        v, q = self.in_cells(index, queries, probes)
+        by = ["cell", "tile", "query_tile"]
+        found = _ranked(_tiled_search(v.select(*by, "parent_id", "slice_index", "vec"), q.select(*by, "query_id", "vec"), by, k, None, self.decimals), k)
         full = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("query_id")
         rest = knn(index, queries.join(full, "query_id", "left_anti"), k, decimals=self.decimals)
         return found.join(full, "query_id", "left_semi").unionByName(rest)
 
 
+def trained_centres(vectors: DataFrame, n: int, rounds: int = 5) -> DataFrame:
+    """(centre_id, vec): the centres of `n` cells after Lloyd rounds over all vectors, each a job that gives a sum for each cell. They begin
+    as a sample of the vectors; cells are by the greatest dot product with centres of unit length; one without vectors keeps its centre."""
+    spark = vectors.sparkSession
+    rows = sampled_centres(vectors, n).collect()
+    matrix = np.array([r["vec"] for r in rows], np.float64).reshape(len(rows), -1)
+
+    for _ in range(rounds if len(rows) else 0):
+        matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
+        shared = spark.sparkContext.broadcast(matrix)
+
+        def add_up(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            centres = shared.value
+            sums, counts = np.zeros_like(centres), np.zeros(len(centres), np.int64)
+            for batch in batches:
+                if batch.num_rows:
+                    flat = batch.column("vec").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+                    for at in range(0, len(flat), max(1, SCORES // len(centres))):
+                        some = flat[at : at + max(1, SCORES // len(centres))]
+                        cell = (some @ centres.T).argmax(1)
+                        np.add.at(sums, cell, some)
+                        counts += np.bincount(cell, minlength=len(centres))
+            met = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(counts[met]), pa.array(list(sums[met]), pa.list_(pa.float64()))], ["cell", "n", "sums"])
+
+        parts = vectors.select("vec").mapInArrow(add_up, "cell long, n long, sums array<double>")
+        width = matrix.shape[1]
+        for cell, n_vectors, *total in parts.groupBy("cell").agg(F.sum("n"), *[F.sum(F.col("sums")[d]) for d in range(width)]).collect():  # a row a cell
+            matrix[cell] = np.array(total) / n_vectors
+    return spark.createDataFrame([(i, [float(x) for x in m]) for i, m in enumerate(matrix)], "centre_id long, vec array<double>")
+
+
+class TrainedIndex(CellIndex):
+    """Cells around trained centres, and in each a code for each vector: what it is beyond its centre, a signed byte a component. A search
+    compares codes first, and only the vectors of each query's best codes themselves."""
+
+    STEPS = 127
+
+    def build(self, vectors: DataFrame) -> DataFrame:
+        """(parent_id, slice_index, cell, scale, code): a row for each vector; the vectors stay where they are."""
+        shared = vectors.sparkSession.sparkContext.broadcast(dict(zip(self.ids.tolist(), self.matrix)))
+        steps = self.STEPS
+
+        def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            centres = shared.value
+            for batch in batches:
+                codes, scales = [], []
+                for vec, cell in zip(batch.column("vec").to_pylist(), batch.column("cell").to_pylist()):
+                    beyond = np.array(vec, np.float64) - centres[cell]
+                    scale = float(np.abs(beyond).max(initial=0.0)) / steps or 1.0
+                    codes.append(np.round(beyond / scale).astype(np.int8).tobytes())
+                    scales.append(scale)
+                kept = [batch.column(c) for c in ("parent_id", "slice_index", "cell")]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(scales, pa.float64()), pa.array(codes, pa.binary())], ["parent_id", "slice_index", "cell", "scale", "code"])
+
+        placed = super().build(vectors.select("parent_id", "slice_index", "vec")).select("parent_id", "slice_index", "cell", "vec")
+        return placed.mapInArrow(encode, "parent_id long, slice_index long, cell long, scale double, code binary")
+
+    def candidates(self, index: DataFrame, queries: DataFrame, probes: int, most: int) -> DataFrame:
+        """(query_id, parent_id, slice_index): the `most` vectors with the best codes in the cells that a query looks in."""
+        centres = index.sparkSession.sparkContext.broadcast(dict(zip(self.ids.tolist(), self.matrix)))
+
+        def compare(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+            columns = ["query_id", "parent_id", "slice_index", "score"]
+            if not len(v) or not len(q):
+                return pd.DataFrame(columns=columns)
+            codes = np.frombuffer(b"".join(v["code"]), np.int8).reshape(len(v), -1).astype(np.float32)
+            asked = np.stack(q["vec"]).astype(np.float32)
+            at_centre = asked @ centres.value[v["cell"].iloc[0]].astype(np.float32)
+            parent, piece, scale, found = v["parent_id"].to_numpy(), v["slice_index"].to_numpy(), v["scale"].to_numpy(np.float32), []
+            for at in range(0, len(q), step := max(1, SCORES // len(v))):
+                scores = (codes @ asked[at : at + step].T) * scale[:, None] + at_centre[at : at + step]
+                for j in range(scores.shape[1]):
+                    best = np.argpartition(-scores[:, j], most)[:most] if len(v) > most else np.arange(len(v))
+                    found.append(pd.DataFrame({"query_id": q["query_id"].iloc[at + j], "parent_id": parent[best], "slice_index": piece[best], "score": scores[best, j].astype(np.float64)}))
+            return pd.concat(found) if found else pd.DataFrame(columns=columns)
+
+        v, q = self.in_cells(index, queries, probes)
+        by = ["cell", "tile", "query_tile"]
+        v, q = v.select(*by, "parent_id", "slice_index", "scale", "code"), q.select(*by, "query_id", "vec")
+        scored = v.groupBy(*by).cogroup(q.groupBy(*by)).applyInPandas(compare, FOUND)
+        return top_per_group(scored, ["query_id"], [F.desc("score"), F.asc("parent_id"), F.asc("slice_index")], most, "place").select("query_id", "parent_id", "slice_index")
+
+    def search(self, index: DataFrame, queries: DataFrame, k: int, probes: int, vectors: DataFrame | None = None, most: int = 0) -> DataFrame:
+        """As `knn`, with the slice of each best vector: of `vectors` (parent_id, slice_index, vec), those with the `most` best codes (16 k unless
+        given) are compared themselves; all are for queries that find fewer than k parents among these."""
+        if vectors is None:
+            raise ValueError("codes lead to vectors, which have to be given")
+        near = self.candidates(index, queries, probes, most or 16 * k)
+        met = near.join(vectors.select("parent_id", "slice_index", "vec"), ["parent_id", "slice_index"]).join(queries.select("query_id", F.col("vec").alias("asked")), "query_id")
+        dot = F.aggregate(F.zip_with("vec", "asked", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
+        found = _ranked(met.select("query_id", "parent_id", "slice_index", F.round(dot, self.decimals).alias("score")), k)
+        full = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("query_id")
+        rest = knn(vectors, queries.join(full, "query_id", "left_anti"), k, decimals=self.decimals)
+        return found.join(full, "query_id", "left_semi").unionByName(rest.select(*found.columns))
+
+
 def _enough(rows: np.ndarray, s: np.ndarray, parent: np.ndarray, k: int) -> np.ndarray:
     """A part of the rows that surely holds the best vectors of the best k parents: the best n, for an n at which
     they have k parents, and all that tie with the last."""

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import context, counters, evaluate, graph, html, incremental, postings, rank, relational, segment, textindex, vector, verify
+from ..sources.shared import written
 from ..sources.tables import failed_expectations, table
 from ..streaming.gate import CLOSING, gate_batch
 
@@ -95,6 +96,32 @@ def index_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("n_queries", F.round("same_first", 9).alias("same_first"), F.round("overlap", 9).alias("overlap"))
 
 
+def _trained(spark: SparkSession, sf_dir: str) -> tuple[vector.TrainedIndex, DataFrame, DataFrame, DataFrame]:
+    """An index of some square root of the vectors in cells, written; the vectors, and the queries."""
+    slices, queries = _vectors(spark, sf_dir)
+    rows = slices.select("parent_id", "slice_index", "vec")
+    cells = vector.TrainedIndex(vector.trained_centres(rows, max(8, math.isqrt(rows.count()))))
+    return cells, written(cells.build(rows), "trained-index"), rows, queries
+
+
+@query()
+def knn_trained_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search by trained cells: nine in ten of them by codes, as the given vectors are hardly clustered, and the vectors of the best 64 codes; how near
+    that is to the exact search is in trained_index_agreement."""
+    cells, index, rows, queries = _trained(spark, sf_dir)
+    return cells.search(index, queries, 8, math.ceil(0.9 * len(cells.ids)), rows, 64).select("query_id", "parent_id", "slice_index", "score", "rank")
+
+
+@query()
+def trained_index_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far search by trained cells gives what the exact one does, and what share of vectors it compares."""
+    cells, index, rows, queries = _trained(spark, sf_dir)
+    exact = vector.knn(rows, queries, 8)
+    out = vector.agreement(exact, cells.search(index, queries, 8, math.ceil(0.9 * len(cells.ids)), rows, 64))
+    n = rows.agg(F.least(F.count("*"), F.lit(64)).alias("compared"), F.count("*").alias("n"))
+    return out.crossJoin(n).select(F.round("same_first", 9).alias("same_first"), F.round("overlap", 9).alias("overlap"), F.round(F.col("compared") / F.col("n"), 9).alias("compared_share"))  # a row each
+
+
 # --- lexical search ----------------------------------------------------------------------------------------------
 
 
@@ -284,6 +311,24 @@ def reference_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.diagnostics(graph.resolve(refs, targets, 0), targets)
 
 
+@query("""WITH r AS (SELECT o_orderkey AS from_id, o_custkey % 50 AS act, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey || '.' || o_orderkey % 4 ELSE o_custkey::VARCHAR END AS number FROM orders),
+    t AS (SELECT c_custkey % 50 AS act, CASE WHEN c_nationkey % 3 = 0 THEN c_custkey || '.' || c_nationkey % 4 ELSE c_custkey::VARCHAR END AS number FROM customer WHERE c_acctbal > 0 AND c_custkey % 50 <> 7),
+    lost AS (SELECT DISTINCT act, number, from_id FROM r WHERE (act, number) NOT IN (SELECT act, number FROM t) AND act IN (SELECT act FROM t)),
+    rows AS (SELECT act, number, true AS held FROM t UNION SELECT DISTINCT act, number, false FROM lost),
+    placed AS (SELECT *, split_part(number, '.', 1)::INTEGER AS w, CASE WHEN contains(number, '.') THEN split_part(number, '.', 2)::INTEGER ELSE -1 END AS d FROM rows),
+    near AS (SELECT *, last_value(CASE WHEN held THEN number END IGNORE NULLS) OVER (PARTITION BY act ORDER BY w, d ROWS UNBOUNDED PRECEDING) AS after,
+                    first_value(CASE WHEN held THEN number END IGNORE NULLS) OVER (PARTITION BY act ORDER BY w, d ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS before FROM placed)
+    SELECT near.act, after, before, arg_min(near.number, (w, d)) AS first, arg_max(near.number, (w, d)) AS last, count(DISTINCT near.number) AS n_missing, count(DISTINCT from_id) AS n_citing, min(from_id) AS first_citing
+    FROM near JOIN lost ON lost.act = near.act AND lost.number = near.number WHERE NOT held GROUP BY near.act, after, before""")
+def reference_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as citations of customers, which are articles of fifty acts."""
+    number = lambda key, n: F.when(n % 3 == 0, F.concat(key.cast("string"), F.lit("."), (n % 4).cast("string"))).otherwise(key.cast("string"))
+    refs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("from_id"), (F.col("o_custkey") % 50).alias("act"), number(F.col("o_custkey"), F.col("o_orderkey")).alias("number"), F.lit(False).alias("in_code"))
+    customer = table(spark, sf_dir, "customer").where("c_acctbal > 0 and c_custkey % 50 <> 7")
+    targets = customer.select((F.col("c_custkey") % 50).alias("act"), number(F.col("c_custkey"), F.col("c_nationkey")).alias("number"), F.col("c_custkey").alias("to_id"))
+    return graph.gaps(graph.resolve(refs, targets, 0), targets)
+
+
 @query("""WITH r AS (SELECT l_linenumber AS a, l_linenumber + floor(l_quantity)::INTEGER - 3 AS b FROM lineitem),
     x AS (SELECT unnest(CASE WHEN b >= a AND b - a <= 30 THEN range(a, b + 1) ELSE [a, b]::BIGINT[] END) AS number FROM r)
     SELECT number::INTEGER AS number, count(*) AS n FROM x GROUP BY 1""")
@@ -797,7 +842,7 @@ def act_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles that a text cites: a number and a range of them in its own act, and one of the code."""
     a, n = F.col("p_size"), F.col("p_partkey") % 5
-    text = F.concat(F.lit("Ըստ "), a.cast("string"), F.lit(" և "), (a + 2).cast("string"), F.lit("-"), (a + 2 + n).cast("string"), F.lit("-րդ հոդվածների կարգով սահմանված պայմանների դեպքում կիրառվում է նաև հարկային օրենսգրքի "), (F.col("p_partkey") % 90 + 1).cast("string"), F.lit(" հոդվածը։"))
+    text = F.concat(F.lit("[Location] › 9-րդ հոդված\n---\n5 հոդվածներ կան, և սույն հոդվածի 3-րդ մասը. Ըստ "), a.cast("string"), F.lit("-րդ եւ "), (a + 2).cast("string"), F.lit("-"), (a + 2 + n).cast("string"), F.lit("-րդ հոդվածների կարգով սահմանված պայմանների դեպքում կիրառվում է նաև հարկային օրենսգրքի "), (F.col("p_partkey") % 90 + 1).cast("string"), F.lit("-ին  հոդվածը։"))
     found = graph.citations(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), text.alias("text")), "id", "text")
     return graph.references(found)
 

@@ -192,16 +192,85 @@ def test_cell_index_against_numpy(spark, monkeypatch):
     assert few == as_rows(vector.knn(rows, asked, 250))
 
 
+HEADER = "[Document] ՀՀ ՀԱՐԿԱՅԻՆ ՕՐԵՆՍԳԻՐՔ\n[Type] code | [Status] in_force\n[Location] ԲԱԺԻՆ 8 › ԳԼՈՒԽ 3 › 9-րդ հոդված 267\n---\n"
+CITED = {
+    "Տեքստ առանց հղումների:": [],
+    "բացառությամբ սույն հոդվածի 3-րդ մասով սահմանված դեպքերի:": [],
+    "Օրենսգրքի 254-րդ հոդվածով սահմանված կարգով:": ["254"],
+    "Օրենսգրքի 52-րդ և 53-րդ հոդվածներով նախատեսված:": ["52", "53"],
+    "402.1-ին, 402.2-րդ և 422-րդ հոդվածներով սահմանված:": ["402.1", "402.2", "422"],
+    "Օրենսգրքի 407-410-րդ հոդվածներով:": ["407", "408", "409", "410"],
+    "Օրենսգրքի 100-400-րդ հոդվածներով:": ["100", "400"],
+    "402.1-402.9-րդ հոդվածներով:": ["402.1", "402.9"],
+    "5 հոդվածներ, և 12, 13 հոդվածներով": [],
+    "24 միլիոն դրամը գերազանցող 3-րդ մասով:": [],
+    "Օրենսգրքի 254-րդ\n  հոդվածում, եւ Օրենսգրքի 254-րդ հոդված": ["254"],
+    "Օրենսգրքի 254-րդ հոդվածով շեմը, Օրենսգրքի 106-րդ հոդվածի դրույթները, սույն հոդվածի 3-րդ մասի, և Օրենսգրքի 267-րդ հոդվածով:": ["106", "254", "267"],
+}
+
+
 def test_citations(spark):
-    rows = [(1, "see 12, 15.1 և 20-22 հոդվածների 1-ին"), (2, "Հարկային օրենսգրքի 5-րդ հոդվածով"), (3, "407–410 հոդվածներ, 1-99 հոդված"), (4, None)]
-    refs = graph.references(graph.citations(spark.createDataFrame(rows, "id long, text string"), "id", "text"))
+    rows = [(i, HEADER + text) for i, text in enumerate(CITED)] + [(90, None), (91, "սահմանված է 15-րդ հոդվածով:"), (92, "օրենսգիրք " + "x" * 70 + " 15-րդ հոդվածով, օրենսգրքի 15-րդ հոդվածով")]
+    found = graph.citations(spark.createDataFrame(rows, "id long, text string"), "id", "text")
     got = {}
-    for r in refs.collect():
+    for r in graph.references(found).collect():
         got.setdefault(r.id, set()).add((r.number, r.in_code))
-    assert got[1] == {(x, False) for x in ("12", "15.1", "20", "21", "22")}
-    assert got[2] == {("5", True)}
-    assert got[3] == {(x, False) for x in ("407", "408", "409", "410", "1", "99")}
-    assert 4 not in got
+    for i, (text, want) in enumerate(CITED.items()):
+        assert got.get(i, set()) == {(n, "Օրենսգրքի" in text) for n in want}, text
+    assert 90 not in got and got[91] == {("15", False)} and got[92] == {("15", False), ("15", True)}
+    body = " ".join(list(CITED)[-1].split())
+    assert [body[r.position :].startswith(r.group) for r in found.where(F.col("id") == len(CITED) - 1).collect()] == [True] * 3
+
+
+def test_gaps_of_acts(spark):
+    held = [(1, n) for n in ("1", "2", "5", "5.1", "9")] + [(2, "1")]
+    refs = [(10, 1, "3"), (11, 1, "3"), (11, 1, "4"), (12, 1, "5.2"), (12, 1, "10"), (13, 1, "12"), (13, 1, "2"), (14, 3, "1"), (15, 2, "0")]
+    targets = spark.createDataFrame([(a, n, i) for i, (a, n) in enumerate(held)], "act int, number string, to_id int")
+    resolved = graph.resolve(spark.createDataFrame([(*r, False) for r in refs], "from_id int, act int, number string, in_code boolean"), targets, 0)
+    got = sorted(map(tuple, graph.gaps(resolved, targets).collect()), key=str)
+    assert got == [(1, "2", "5", "3", "4", 2, 2, 10), (1, "5.1", "9", "5.2", "5.2", 1, 1, 12), (1, "9", None, "10", "12", 2, 2, 12), (2, None, "1", "0", "0", 1, 1, 15)]
+    assert graph.dangling(resolved, targets).count() == 7
+
+
+@pytest.mark.parametrize("span, columns", [("²", 1), ("3000000", 1000), ("9" * 30, 1000), ("0", 1), ("-2", 1), ("2.5", 1), (" 2 ", 2), ("٣", 1), ("", 1)])
+def test_odd_spans_of_cells(span, columns):
+    page = html.parsed(f'<table><tr><td colspan="{span}">a</td></tr><tr><td rowspan="{span}">b</td><td>c</td></tr><tr><td>d</td></tr></table>')
+    assert len(html.grid(page.blocks[0][1])[0]) == max(columns, 2)
+
+
+def test_trained_cells_against_numpy(spark):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    means = r.normal(0, 1, (12, 16))
+    data = [(i // 4, i % 4, [float(x) for x in means[i % 12] + r.normal(0, 0.25, 16)]) for i in range(1200)]
+    rows = spark.createDataFrame(data, "parent_id long, slice_index long, vec array<float>").repartition(3)
+    asked = spark.createDataFrame([(i, data[i * 40][2]) for i in range(30)], "query_id long, vec array<float>")
+    cells = vector.TrainedIndex(vector.trained_centres(rows, 24))
+    index = cells.build(rows)
+    exact = vector.knn(rows, asked, 8)
+    found = cells.search(index, asked, 8, 6, rows, 120)
+    near = vector.agreement(exact, found).first()
+    assert near.overlap >= 0.95 and near.same_first >= 0.95  # a quarter of the cells, a tenth of the vectors
+    best = {(x.query_id, x.parent_id): x.slice_index for x in exact.collect()}
+    got = {(x.query_id, x.parent_id): x.slice_index for x in found.collect()}
+    assert all(best[key] == got[key] for key in best.keys() & got.keys())
+    first, last = (vector.CellIndex(vector.trained_centres(rows, 24, rounds)) for rounds in (0, 6))
+    fit = lambda c: np.mean([np.max(c.matrix @ np.array(v) / np.linalg.norm(c.matrix, axis=1)) for *_, v in data])
+    assert fit(last) > fit(first)
+    few = cells.search(index, asked, 250, 1, rows, 8)
+    assert few.count() == vector.knn(rows, asked, 250).count()
+
+
+def test_many_queries_in_small_tiles(spark, monkeypatch):
+    monkeypatch.setattr(vector, "TILE_BYTES", 8 * 2 * 50)
+    monkeypatch.setattr(vector, "SCORES", 64)
+    rows = spark.createDataFrame([(i // 2, i % 2, [float(i % 17), float(i % 5)]) for i in range(160)], "parent_id long, slice_index long, vec array<float>")
+    asked = spark.createDataFrame([(i, [float(i % 7), float(i % 3)]) for i in range(140)], "query_id long, vec array<float>")
+    want = sorted(map(tuple, vector.knn(rows, asked, 3).select("query_id", "parent_id", "score").collect()))
+    assert sorted(map(tuple, vector.knn(rows, asked, 3, block=1).select("query_id", "parent_id", "score").collect())) == want
+    cells = vector.CellIndex(vector.sampled_centres(rows, 4))
+    assert sorted(map(tuple, cells.search(cells.build(rows), asked, 3, 4).select("query_id", "parent_id", "score").collect())) == want
 
 
 # --- pages and segments
