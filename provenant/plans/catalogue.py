@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import context, counters, evaluate, graph, html, incremental, postings, rank, relational, segment, textindex, vector, verify
-from ..sources.shared import written
+from ..sources.shared import shared_dir, written
 from ..sources.tables import failed_expectations, table
+from ..streaming import sessions
 from ..streaming.gate import CLOSING, gate_batch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -921,23 +922,55 @@ def coverage_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("role", "coverage").agg(F.count("*").alias("n"), F.sum(F.length(F.when(F.col("coverage").isNotNull(), F.col("trimmed")).otherwise(F.col("body")))).alias("n_chars"))
 
 
-@query(f"""WITH {_QUOTED.format(hold="coalesce(contains(texts, q1), false) AS h1, coalesce(contains(texts, q2), false) AS h2")},
+_GATED = f"""WITH {_QUOTED.format(hold="coalesce(contains(texts, q1), false) AS h1, coalesce(contains(texts, q2), false) AS h2")},
     n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1 AS is_last, sum((c1 AND NOT h1)::BIGINT + (c2 AND NOT h2)::BIGINT) OVER (PARTITION BY conv_id) AS bad, sum((c1 AND h1)::BIGINT + (c2 AND h2)::BIGINT) OVER (PARTITION BY conv_id) AS good FROM said)
     SELECT conv_id, turn, sha256(clean || CASE WHEN is_last AND bad >= 2 THEN '{CLOSING["hy"]}' ELSE '' END) AS shown_sha256,
-           CASE WHEN is_last THEN '{{"coverage": "partial", "accepted": ' || good || ', "rejected": ' || bad || '}}' END AS done FROM n""")
-def stream_quote_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as streams: a header, then the assistant's turns, in deltas of eleven characters, verified against what
-    the user said; the stream twin gives the same."""
+           CASE WHEN is_last THEN '{{"coverage": "partial", "accepted": ' || good || ', "rejected": ' || bad || '}}' END AS done FROM n"""
+
+
+def _deltas(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Conversations as streams (session, seq, delta): a header, then the assistant's turns, in deltas of eleven characters; and what the user said."""
     answers, sources = _quoted(spark, sf_dir)
     first = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) == 1
     answers = answers.withColumn("text", F.when(first, F.concat(F.lit("Coverage: Partial\n\n"), "text")).otherwise(F.col("text")))
     deltas = answers.select("conv_id", "turn", F.posexplode(F.regexp_extract_all("text", F.lit("(?s).{1,11}"), F.lit(0))).alias("n", "delta"))
     deltas = deltas.select(F.col("conv_id").alias("session"), (F.col("turn") * 10000 + F.col("n")).alias("seq"), "delta")
     sources = sources.groupBy(F.col("conv_id").alias("session")).agg(F.collect_list("source").alias("texts")).join(deltas.select("session").distinct(), "session", "left_semi")
-    events = gate_batch(deltas, sources, language="hy").groupBy(F.col("session").alias("conv_id"), F.floor(F.col("seq") / 10000).alias("turn")).agg(
+    return deltas, sources
+
+
+def _by_turn(events: DataFrame) -> DataFrame:
+    shown = events.groupBy(F.col("session").alias("conv_id"), F.floor(F.col("seq") / 10000).alias("turn")).agg(
         F.array_sort(F.collect_list(F.when(F.col("type") == "delta", F.struct("seq", "n", "payload")))).alias("shown"), F.max(F.when(F.col("type") == "done", F.col("payload"))).alias("done")
     )
-    return events.select("conv_id", "turn", F.sha2(F.array_join(F.transform("shown", lambda x: x["payload"]), ""), 256).alias("shown_sha256"), "done")
+    return shown.select("conv_id", "turn", F.sha2(F.array_join(F.transform("shown", lambda x: x["payload"]), ""), 256).alias("shown_sha256"), "done")
+
+
+@query(_GATED)
+def stream_quote_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deltas verified against what the user said; the streams below give the same."""
+    deltas, sources = _deltas(spark, sf_dir)
+    return _by_turn(gate_batch(deltas, sources, language="hy"))
+
+
+@query(_GATED)
+def stream_gate_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same deltas as a stream over files, in which no session is in order: they are dealt out by a hash, and come file by file."""
+    deltas, sources = _deltas(spark, sf_dir)
+    in_session = Window.partitionBy("session").orderBy("seq")
+    numbered = deltas.withColumns({"at": F.timestamp_seconds(F.floor(F.col("seq") / 10000)), "place": F.row_number().over(in_session) - 1, "next": F.lead("seq").over(in_session)})
+    numbered = written(numbered.join(sources, "session", "left"), "numbered-deltas")
+    texts = F.when(F.col("place") == 0, F.coalesce("texts", F.expr("cast(array() as array<string>)")))
+    rows = numbered.select("session", F.col("place").cast("long").alias("seq"), "delta", F.col("next").isNull().alias("is_last"), texts.alias("texts"), "at")
+    # the first deltas, with the texts, are in the first of eight parts
+    part = F.when(F.col("seq") < 2, 0).otherwise(F.pmod(F.xxhash64("session", "seq"), F.lit(8)))
+    schema = "session long, seq long, delta string, is_last boolean, texts array<string>, at timestamp"
+    folder = shared_dir(spark, "deltas")
+    rows.repartition(8, part).write.parquet(folder)
+    events = sessions.run_gate_over_files(spark, folder, schema, files_at_once=2, delay="365 days", language="hy")
+    places = numbered.select("session", F.col("place").cast("long").alias("place"), F.col("seq").alias("own"))
+    back = events.withColumnRenamed("seq", "place").join(places, ["session", "place"]).select("session", F.col("own").alias("seq"), "n", "type", "payload")
+    return _by_turn(back)
 
 
 @query("""WITH d AS (SELECT doc_id AS id, text, substring(text, 11, 40) AS q FROM documents WHERE text IS NOT NULL),
