@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import context, counters, evaluate, graph, html, incremental, postings, rank, relational, segment, textindex, vector, verify
+from ..operators import context, counters, evaluate, graph, html, incremental, postings, rank, relational, seam, segment, textindex, vector, verify
 from ..sources.shared import shared_dir, written
 from ..sources.tables import failed_expectations, table
 from ..streaming import sessions
@@ -361,6 +361,51 @@ def rerank_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id", "id", "came", "relevance", "rank")
 
 
+def _stub_reranker(requests: list[dict]) -> list[dict]:
+    """A model that is down for questions of an odd length, alone or together with others."""
+    if any(len(r["question"]) % 2 for r in requests):
+        raise ConnectionError("no answer")
+    return [{"relevance": [float(len(d) % 97) for d in r["documents"]]} for r in requests]
+
+
+@query(f"""WITH {_LEXICAL}, c AS (SELECT query_id, id, rank AS came FROM lexical WHERE rank <= 20),
+    x AS (SELECT query_id, c.id, came, CASE WHEN length(b.text) % 2 = 0 THEN (length(substring(d.text, 1, 1800)) % 97)::DOUBLE END AS relevance FROM c JOIN documents d ON doc_id = c.id JOIN benchmark b ON item_id = query_id)
+    SELECT query_id, id, came::INTEGER AS came, relevance, rank::INTEGER AS rank, CASE WHEN relevance IS NULL THEN 'failed after 2: ConnectionError: no answer' ELSE 'ok' END AS status
+    FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC NULLS LAST, came) AS rank FROM x) WHERE rank <= 8""")
+def rerank_by_failing_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pool of 20, by a model that answers for some questions; the others keep their order and say why."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 1800).alias("document"))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    rows = _lexical(spark, sf_dir, 20).select("query_id", "id", "rank").join(docs, "id").join(asked, "query_id")
+    return seam.rerank_by_model(rows, 8, _stub_reranker, batch=1, attempts=2, first_wait=0.0).select("query_id", "id", "came", "relevance", "rank", "status")
+
+
+def _stub_rewriter(requests: list[dict]) -> list[dict]:
+    """Three kinds of answers by the message's length: none, an empty one, a whole one."""
+    out = []
+    for r in requests:
+        n = len(r["message"])
+        if n % 3 == 0:
+            raise ValueError("unparseable")
+        full = {"standalone_query": f" about {r['message']} ", "search_terms": "a b", "needs_retrieval": n % 2 == 0, "is_topic_shift": r["history"] == "", "fact_summary": f"{r['known']}; {len(r['history'])}"}
+        out.append(full if n % 3 == 1 else {"standalone_query": " ", "fact_summary": None})
+    return out
+
+
+@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations),
+    u AS (SELECT conv_id, arg_max(text, turn) AS message, max(turn) AS last FROM r WHERE back <= 8 AND role = 'user' GROUP BY 1),
+    h AS (SELECT u.conv_id, message, coalesce(string_agg(role || ': ' || coalesce(r.text, ''), chr(10) || chr(10) ORDER BY turn) FILTER (WHERE turn < last), '') AS history FROM u JOIN r USING (conv_id) WHERE back <= 8 AND message IS NOT NULL GROUP BY ALL),
+    x AS (SELECT conv_id, message, history, length(message) % 3 AS kind, CASE WHEN conv_id % 2 = 0 THEN 'known ' || conv_id ELSE '' END AS known FROM h)
+    SELECT conv_id, trim(CASE WHEN kind = 1 THEN trim('about ' || message, ' ') ELSE message END || CASE WHEN kind = 1 THEN ' a b' ELSE '' END, ' ') AS query, CASE WHEN kind = 1 THEN 'a b' ELSE '' END AS search_terms,
+           kind <> 1 OR length(message) % 2 = 0 AS needs_retrieval, kind = 1 AND history = '' AS is_topic_shift, CASE WHEN kind = 1 THEN known || '; ' || length(history) ELSE known END AS facts,
+           CASE WHEN kind = 0 THEN 'failed after 1: ValueError: unparseable' ELSE 'ok' END AS status FROM x""")
+def contextualise_by_failing_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = table(spark, sf_dir, "conversations")
+    facts = said.where("conv_id % 2 = 0").select("conv_id", F.concat(F.lit("known "), F.col("conv_id").cast("string")).alias("facts")).distinct()
+    out = seam.contextualised_by_model(said, "conv_id", "turn", "role", "text", _stub_rewriter, facts, batch=1, attempts=1)
+    return out.drop("standalone_query")
+
+
 # --- sessions and tables -----------------------------------------------------------------------------------------
 
 
