@@ -56,3 +56,18 @@ def test_entry_points_without_the_training_data_package(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 50 and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "HOME": "/root"} | {k: v for k, v in __import__("os").environ.items() if k != "PYTHONPATH"})
+
+
+def test_entry_points_without_a_library_that_only_training_data_needs(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(entry_points.__file__).parent
+    shutil.copytree(root / "provenant", tmp_path / "provenant", ignore=shutil.ignore_patterns("__pycache__"))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if (root / name).exists():
+            shutil.copy(root / name, tmp_path)
+    code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; q = e.queries(); assert len(q) > 50 and 'pipeline' not in q and not any(x.startswith('op') for x in q)"
+    subprocess.run([sys.executable, "-W", "ignore", "-c", code], cwd=tmp_path, check=True)
