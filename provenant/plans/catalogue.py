@@ -19,7 +19,7 @@ from ..functions import text as T
 from ..operators import context, counters, evaluate, graph, html, incremental, postings, rank, relational, seam, segment, textindex, vector, verify
 from ..sources.shared import shared_dir, written
 from ..sources.tables import failed_expectations, table
-from ..streaming import sessions
+from ..streaming import events, sessions
 from ..streaming.gate import CLOSING, gate_batch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -406,6 +406,42 @@ def contextualise_by_failing_model(spark: SparkSession, sf_dir: str) -> DataFram
     return out.drop("standalone_query")
 
 
+_EVENTS = """s AS (SELECT conv_id * 1000 + turn AS session, text, turn % 5 = 0 AS failed, turn % 10 <> 0 AS found FROM conversations WHERE role = 'assistant'),
+    d AS (SELECT session, unnest(range(len(x))) AS seq, unnest(x) AS text FROM (SELECT session, regexp_extract_all(text, '(?s).{1,40}') AS x FROM s WHERE NOT failed)),
+    e AS (SELECT session, unnest([0, 1]) AS pl, 0 AS seq, 'stage' AS type, unnest(['{"stage":"understanding"}', '{"stage":"searching"}']) AS payload FROM s
+        UNION ALL SELECT session, unnest([2, 3, 4]), 0, unnest(['chunks', 'stage', 'stage']), unnest(['{"n":' || length(text) || '}', '{"stage":"reading"}', '{"stage":"writing"}']) FROM s WHERE found
+        UNION ALL SELECT session, 5, seq, 'delta', '{"text":' || to_json(text) || '}' FROM d
+        UNION ALL SELECT session, 6, 0, CASE WHEN failed THEN 'error' ELSE 'done' END, CASE WHEN failed THEN '{"error":"chat failed"}' ELSE '{"n":' || length(text) || '}' END FROM s)"""
+
+
+def _answer_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = table(spark, sf_dir, "conversations").where("role = 'assistant'").withColumn("session", F.col("conv_id") * 1000 + F.col("turn"))
+    failed, size = F.col("turn") % 5 == 0, F.format_string('{"n":%d}', F.length("text"))
+    answers = said.select("session", F.when(F.col("turn") % 10 != 0, size).alias("chunks"), size.alias("result"), F.when(failed, "chat failed").alias("error"))
+    deltas = said.where(~failed).select("session", F.posexplode(F.regexp_extract_all("text", F.lit("(?s).{1,40}"), F.lit(0))).alias("seq", "text"))
+    return events.protocol(answers, deltas.withColumn("seq", F.col("seq").cast("long")))
+
+
+@query(f"""WITH {_EVENTS} SELECT session, row_number() OVER (PARTITION BY session ORDER BY pl, seq) - 1 AS n, type, payload FROM e""")
+def answer_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assistants' turns as answers: their events put in frames, these cut into pieces of 13 bytes, and read back."""
+    rows = _answer_events(spark, sf_dir)
+    wire = rows.groupBy("session").agg(F.array_sort(F.collect_list(F.struct("n", events.frame_of(F.col("type"), F.col("payload")).alias("frame")))).alias("all"))
+    sent = wire.select("session", F.hex(F.encode(F.array_join(F.transform("all", lambda x: x["frame"]), ""), "UTF-8")).alias("h"))
+    pieces = sent.select("session", F.posexplode(F.regexp_extract_all("h", F.lit(".{1,26}"), F.lit(0))).alias("seq", "h")).select("session", "seq", F.unhex("h").alias("piece"))
+    return events.read_frames(pieces)
+
+
+@query("""WITH m AS (SELECT user_id AS session, event_type AS stage, epoch_us(ts) // 1000 AS ms FROM events),
+    f AS (SELECT session, min(ms) FILTER (WHERE stage = 'view') AS a, min(ms) FILTER (WHERE stage = 'click') AS b, min(ms) FILTER (WHERE stage = 'purchase') AS c, min(ms) AS s, max(ms) AS z FROM m GROUP BY 1)
+    SELECT session, coalesce(list_min(list_filter([a, b, c, z], lambda t: t > a)), a) - a AS view, coalesce(list_min(list_filter([a, b, c, z], lambda t: t > b)), b) - b AS click,
+           coalesce(list_min(list_filter([a, b, c, z], lambda t: t > c)), c) - c AS purchase, c - s AS first, z - s AS total FROM f""")
+def stage_timings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' events as the marks of stages."""
+    marks = table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.col("event_type").alias("stage"), F.col("ts").alias("at"))
+    return events.stage_timings(marks, ["view", "click", "purchase"], "purchase")
+
+
 # --- sessions and tables -----------------------------------------------------------------------------------------
 
 
@@ -984,8 +1020,8 @@ def _deltas(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return deltas, sources
 
 
-def _by_turn(events: DataFrame) -> DataFrame:
-    shown = events.groupBy(F.col("session").alias("conv_id"), F.floor(F.col("seq") / 10000).alias("turn")).agg(
+def _by_turn(found: DataFrame) -> DataFrame:
+    shown = found.groupBy(F.col("session").alias("conv_id"), F.floor(F.col("seq") / 10000).alias("turn")).agg(
         F.array_sort(F.collect_list(F.when(F.col("type") == "delta", F.struct("seq", "n", "payload")))).alias("shown"), F.max(F.when(F.col("type") == "done", F.col("payload"))).alias("done")
     )
     return shown.select("conv_id", "turn", F.sha2(F.array_join(F.transform("shown", lambda x: x["payload"]), ""), 256).alias("shown_sha256"), "done")
@@ -1012,9 +1048,9 @@ def stream_gate_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = "session long, seq long, delta string, is_last boolean, texts array<string>, at timestamp"
     folder = shared_dir(spark, "deltas")
     rows.repartition(8, part).write.parquet(folder)
-    events = sessions.run_gate_over_files(spark, folder, schema, files_at_once=2, delay="365 days", language="hy")
+    found = sessions.run_gate_over_files(spark, folder, schema, files_at_once=2, delay="365 days", language="hy")
     places = numbered.select("session", F.col("place").cast("long").alias("place"), F.col("seq").alias("own"))
-    back = events.withColumnRenamed("seq", "place").join(places, ["session", "place"]).select("session", F.col("own").alias("seq"), "n", "type", "payload")
+    back = found.withColumnRenamed("seq", "place").join(places, ["session", "place"]).select("session", F.col("own").alias("seq"), "n", "type", "payload")
     return _by_turn(back)
 
 
