@@ -7,6 +7,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import body_of
 from .relational import top_per_group
 
 
@@ -30,13 +31,13 @@ def reciprocal_rank_fusion(legs: list[DataFrame], k: int, constant: int = 60, po
 
 
 def rerank_document(text: Column, piece: Column, mode: str = "both", prefix: int = 1800, most: int = 3600) -> Column:
-    """What a reranker reads: a prefix, the matched piece, or both; the prefix where there is no piece."""
+    """What a reranker reads: a prefix, the matched piece, or the prefix and the piece without its header; the prefix where there is no piece."""
     head = F.substring(text, 1, prefix)
     if mode == "prefix":
         return head
     if mode == "slice":
         return F.coalesce(F.substring(piece, 1, most), head)
-    return F.coalesce(F.substring(F.concat(head, F.lit("\n…\n"), piece), 1, most), head)
+    return F.coalesce(F.substring(F.concat(head, F.lit("\n…\n"), body_of(piece)), 1, most), head)
 
 
 def rerank(candidates: DataFrame, relevance: Column | None, k: int) -> DataFrame:

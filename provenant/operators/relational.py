@@ -130,3 +130,29 @@ def round_robin(rows: DataFrame, session: str, turn: str, item: str, score: str,
         rows = top_per_group(rows, [session], [F.desc(score), F.desc(turn), F.asc(item)], most, "_cut").drop("_cut")
     depth = F.row_number().over(Window.partitionBy(session, turn).orderBy(F.desc(score), F.asc(item)))
     return top_per_group(rows.withColumn("depth", depth), [session], [F.asc("depth"), F.asc(turn)], k)
+
+
+def append_turns(messages: DataFrame, new: DataFrame, session: str, seq: str) -> DataFrame:
+    """The two rows that a turn adds to each session of `new` (session, user, assistant), which are unique there: the user's message and the answer, after the
+    session's last row in `messages`, from 0 if it has none."""
+    last = messages.groupBy(session).agg(F.max(seq).alias("_last"))
+    begins = new.join(last, session, "left").withColumn("_next", F.coalesce(F.col("_last") + 1, F.lit(0)))
+    row = lambda i, role: F.struct((F.col("_next") + i).alias(seq), F.lit(role).alias("role"), F.col(role).alias("text"))
+    return begins.select(session, F.inline(F.array(row(0, "user"), row(1, "assistant"))))
+
+
+def worklist(known: DataFrame, key: str, checked: str, before: Column) -> DataFrame:
+    """What is to be fetched: keys never checked, or not since `before`, in the order of keys."""
+    return known.where(F.col(checked).isNull() | (F.col(checked) < before)).select(key).orderBy(key)
+
+
+def crawl_round(known: DataFrame, fetched: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """known (key, hash, checked) after a round of fetched (key, hash, checked, error), and the rows to append to the log. A page that failed keeps its hash but
+    has been checked; one that is new is added; the log has a row for each change and each failure."""
+    found = fetched.select(key, F.col("hash").alias("_hash"), F.col("checked").alias("_checked"), "error")
+    met = known.join(found, key, "full")
+    got = F.col("_checked").isNotNull() & F.col("error").isNull()
+    after = met.select(key, F.when(got, F.col("_hash")).otherwise(F.col("hash")).alias("hash"), F.coalesce("_checked", "checked").alias("checked"))
+    kind = F.when(F.col("error").isNotNull(), "failed").when(F.col("hash").isNull(), "added").when(F.col("hash") != F.col("_hash"), "changed")
+    log = met.where(F.col("_checked").isNotNull()).select(key, F.col("_checked").alias("checked"), kind.alias("kind"), "error").where("kind IS NOT NULL")
+    return after, log

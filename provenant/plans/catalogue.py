@@ -442,6 +442,17 @@ def stage_timings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.stage_timings(marks, ["view", "click", "purchase"], "purchase")
 
 
+@query("""WITH x AS (SELECT doc_id, '[Source] ' || source || chr(10) || '---' || chr(10) || text AS t, source, string_split(text, chr(10)) AS l FROM documents),
+    y AS (SELECT doc_id, substring(t, 1, 1800) AS head, CASE WHEN len(l) > 1 THEN l[doc_id % len(l) + 1] END AS piece, '[Source] ' || source || chr(10) || '---' || chr(10) AS h FROM x)
+    SELECT doc_id, sha256(head) AS prefix_sha256, sha256(coalesce(substring(h || piece, 1, 3600), head)) AS slice_sha256, sha256(coalesce(substring(head || chr(10) || '…' || chr(10) || piece, 1, 3600), head)) AS both_sha256 FROM y""")
+def rerank_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a reranker would read of each document in each mode, a line of it being the matched slice."""
+    head = F.concat(F.lit("[Source] "), "source", F.lit("\n---\n"))
+    rows = table(spark, sf_dir, "documents").withColumns({"lines": F.split("text", "\n"), "full": F.concat(head, "text")})
+    piece = F.when(F.size("lines") > 1, F.concat(head, F.get("lines", (F.col("doc_id") % F.size("lines")).cast("int"))))
+    return rows.select("doc_id", *[F.sha2(rank.rerank_document(F.col("full"), piece, mode), 256).alias(f"{mode}_sha256") for mode in ("prefix", "slice", "both")])
+
+
 # --- sessions and tables -----------------------------------------------------------------------------------------
 
 
@@ -452,6 +463,41 @@ def carry_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.round_robin(table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value"), "user_id", "event_type", "event_id", "value")
 
 
+@query("""WITH n AS (SELECT c_custkey % 200 AS conv_id, min(c_name) AS u, min(c_address) AS a FROM customer GROUP BY 1),
+    m AS (SELECT n.*, coalesce(max(turn) + 1, 0) AS next FROM n LEFT JOIN conversations USING (conv_id) GROUP BY ALL)
+    SELECT conv_id, next AS turn, 'user' AS role, u AS text FROM m UNION ALL SELECT conv_id, next + 1, 'assistant', a FROM m""".replace("c_address", "c_mktsegment"))
+def append_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A turn more for two hundred sessions, some of them new."""
+    new = table(spark, sf_dir, "customer").groupBy((F.col("c_custkey") % 200).alias("conv_id")).agg(F.min("c_name").alias("user"), F.min("c_mktsegment").alias("assistant"))
+    return relational.append_turns(table(spark, sf_dir, "conversations"), new, "conv_id", "turn")
+
+
+_CRAWL = """k AS (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'old' ELSE md5(html) END AS hash, CASE WHEN page_id % 4 > 0 THEN page_id % 7 END AS checked FROM pages WHERE page_id % 3 > 0),
+    w AS (SELECT page_id FROM k WHERE checked IS NULL OR checked < 4 UNION ALL SELECT page_id FROM pages WHERE page_id % 3 = 0),
+    f AS (SELECT page_id, CASE WHEN page_id % 11 > 0 THEN md5(html) END AS hash, 9 AS checked, CASE WHEN page_id % 11 = 0 THEN 'timed out' END AS error FROM pages WHERE page_id IN (SELECT page_id FROM w)),
+    m AS (SELECT page_id, k.hash AS h0, k.checked AS c0, f.hash AS h1, f.checked AS c1, error FROM k FULL JOIN f USING (page_id))"""
+
+
+def _crawled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two in three pages known, some with another hash; those not checked lately and the new ones are fetched, of which some fail."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.md5("html").alias("hash"))
+    known = pages.where("page_id % 3 > 0").select("page_id", F.when(F.col("page_id") % 5 == 0, "old").otherwise(F.col("hash")).alias("hash"), F.when(F.col("page_id") % 4 > 0, F.col("page_id") % 7).alias("checked"))
+    wanted = relational.worklist(known, "page_id", "checked", F.lit(4)).unionByName(pages.where("page_id % 3 = 0").select("page_id"))
+    fails = F.col("page_id") % 11 == 0
+    fetched = pages.join(wanted, "page_id", "left_semi").select("page_id", F.when(~fails, F.col("hash")).alias("hash"), F.lit(9).cast("long").alias("checked"), F.when(fails, "timed out").alias("error"))
+    return relational.crawl_round(known, fetched, "page_id")
+
+
+@query(f"WITH {_CRAWL} SELECT page_id, CASE WHEN c1 IS NOT NULL AND error IS NULL THEN h1 ELSE h0 END AS hash, coalesce(c1, c0) AS checked FROM m")
+def crawl_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _crawled(spark, sf_dir)[0]
+
+
+@query(f"""WITH {_CRAWL} SELECT * FROM (SELECT page_id, c1 AS checked, CASE WHEN error IS NOT NULL THEN 'failed' WHEN h0 IS NULL THEN 'added' WHEN h0 <> h1 THEN 'changed' END AS kind, error FROM m WHERE c1 IS NOT NULL) WHERE kind IS NOT NULL""")
+def crawl_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _crawled(spark, sf_dir)[1]
+
+
 @query("""SELECT conv_id, count(*) AS n_turns, count(*) FILTER (WHERE role = 'user') AS n_user, arg_min(text, turn) FILTER (WHERE role = 'user') AS first_message, max(turn) AS last_turn
     FROM conversations GROUP BY 1 HAVING count(*) FILTER (WHERE role = 'user') > 0 ORDER BY n_user DESC, conv_id LIMIT 40""")
 def session_list(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -1121,6 +1167,17 @@ def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.threshold_sweep(evaluate.calibration_rows(*_evaluated(spark, sf_dir)), "top3", "covered")
 
 
+@query(f"""{_RANKED}, {_CALIBRATED}, g AS (SELECT unnest(range(20, 181)) AS step),
+    sweep AS (SELECT step / 200 AS t, count(*) AS n, count(*) FILTER (WHERE covered = (least(greatest(floor(round(top1 * 200, 6)), 19), 180) >= step)) AS n_correct,
+           count(*) FILTER (WHERE NOT covered AND least(greatest(floor(round(top1 * 200, 6)), 19), 180) >= step) AS false_confident,
+           count(*) FILTER (WHERE covered AND least(greatest(floor(round(top1 * 200, 6)), 19), 180) < step) AS false_cautious FROM rows CROSS JOIN g GROUP BY step)
+    SELECT * FROM sweep ORDER BY n_correct DESC, t LIMIT 1""")
+def confidence_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the thresholds from 0.1 to 0.9 in steps of 0.005 for the first score, the one that is most often right."""
+    rows = evaluate.calibration_rows(*_evaluated(spark, sf_dir))
+    return evaluate.best_threshold(evaluate.threshold_sweep(rows, "top1", "covered", 20, 180, 200))
+
+
 _CUTOFF = """k AS (SELECT step, query_id, count(*) FILTER (WHERE floor(round(score * 40, 6)) >= step) AS n, count(*) FILTER (WHERE floor(round(score * 40, 6)) >= step AND g.id IS NOT NULL) AS f
     FROM top LEFT JOIN gold g USING (query_id, id) CROSS JOIN (SELECT unnest(range(41)) AS step) WHERE rank <= 4 GROUP BY ALL),
     c AS (SELECT step / 40 AS t, count(*) FILTER (WHERE f > 0) AS hits, sum(f)::BIGINT AS found, sum(n)::BIGINT AS kept, count(*) FILTER (WHERE n = 0) AS empty FROM k GROUP BY step)"""
