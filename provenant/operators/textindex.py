@@ -76,9 +76,8 @@ class TextIndex:
         batch = uuid.uuid4().hex
         terms = docs.select(F.col(id_column).alias("id"), F.coalesce(search_terms(text_column), F.expr("cast(array() as array<string>)")).alias("terms"))
         sized = terms.select("id", F.size("terms").cast("long").alias("length"), "terms")
-        places = sized.select("id", "length", F.posexplode("terms").alias("position", "term"))
-        grouped = places.groupBy("id", "term").agg(F.first("length").alias("length"), F.array_sort(F.collect_list("position")).alias("positions"))
-        rows = grouped.select("term", self.slice_of(F.col("id")).alias("slice"), "id", "length", F.size("positions").alias("tf"), "positions", F.lit(batch).alias("batch"))
+        placed = sized.mapInArrow(_placed, f"id {sized.schema['id'].dataType.simpleString()}, length long, term string, positions array<int>")
+        rows = placed.select("term", self.slice_of(F.col("id")).alias("slice"), "id", "length", F.size("positions").alias("tf"), "positions", F.lit(batch).alias("batch"))
         self._append(rows, "postings", ("term", "slice"), ("term", "slice", "id"))
         self._append(sized.select("id", "length", F.lit(batch).alias("batch")), "documents", ("id",), ("id",))
         self._commit(batch, self.spark.table(f"{self.name}_documents").where(F.col("batch") == batch).select("id"))
@@ -117,6 +116,23 @@ class TextIndex:
         return rows.join(wanted.hint("shuffle_merge"), on).join(gone, ["id", "batch"], "left_anti").drop("batch")
 
 
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each document and term, with the places in order; a few documents at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 64):
+            some = batch.slice(at, 64)
+            which, terms, places = [], [], []
+            for i, words in enumerate(some.column("terms").to_pylist()):
+                of: dict[str, list[int]] = {}
+                for n, word in enumerate(words):
+                    of.setdefault(word, []).append(n)
+                which += [i] * len(of)
+                terms += of.keys()
+                places += of.values()
+            rows = pa.array(which, pa.int64())
+            yield pa.RecordBatch.from_arrays([some.column("id").take(rows), some.column("length").take(rows), pa.array(terms, pa.string()), pa.array(places, pa.list_(pa.int32()))], ["id", "length", "term", "positions"])
+
+
 def query_terms(queries: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """(query_id, term, n_terms): all different search terms of each query."""
     terms = queries.select(F.col(id_column).alias("query_id"), F.array_distinct(search_terms(text_column)).alias("terms"))
