@@ -11,6 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .html import page_metadata
 from .relational import last_turns
 
 #: Embedding models with their providers, dimensions, input limits in tokens, and whether vectors are unit length.
@@ -70,7 +71,7 @@ def compare_generators(answers: DataFrame, by: str, seconds: Column, text: Colum
 def audit_rows(pages: DataFrame, expected: DataFrame) -> DataFrame:
     """pages (id, n_article, n_table, n_annex, n_chars, structure, number, body_script) against expected (id, number,
     script, is_control): what each page's verdict is. failed without any structure or text; partial if its number or
-    script isn't as expected, or a control page is eligible; else ok."""
+    script isn't as expected; else ok. Control pages are judged like others and marked."""
     rows = expected.select("id", F.col("number").alias("want_number"), F.col("script").alias("want_script"), "is_control").join(pages, "id", "left")
     is_missing = F.col("n_chars").isNull() | (F.col("n_chars") == 0)
     number_ok = F.col("number").eqNullSafe(F.col("want_number"))
@@ -79,6 +80,50 @@ def audit_rows(pages: DataFrame, expected: DataFrame) -> DataFrame:
     return rows.select("id", "is_control", is_missing.alias("is_missing"), number_ok.alias("number_ok"), script_ok.alias("script_ok"), verdict.alias("verdict"))
 
 
+#: What may be wrong with an act's page, in the order in which it is said.
+PROBLEMS = ("no body", "no structure", "no chapters", "repeated article numbers", "no act number", "another act number", "no translation")
+
+
+def act_audit(blocks: DataFrame, latest: DataFrame, bare: DataFrame, found: DataFrame, expected: DataFrame, many: int = 5) -> DataFrame:
+    """One row for each act of `expected` (id, number, null if unknown): structure, n_article, n_table, n_annex, n_point, latest_bytes, bare_bytes, latest_differs (the two pages'
+    bytes; not if the bare one is empty), is_eligible, problems (of PROBLEMS), verdict. From classified blocks, pages (id, html) of both addresses, and
+    `found` (id, number, eligible, translated) on them. Chapters are missed where there are more than `many` articles and none comes after one. failed without a body or a
+    structure, partial with a problem, else ok."""
+    article = F.col("kind") == "article"
+    more = blocks.groupBy("id").agg(F.count_distinct(F.when(article, F.col("label"))).alias("_labels"), F.min(F.when(F.col("kind") == "chapter", F.col("pos"))).alias("_chapter"), F.max(F.when(article, F.col("pos"))).alias("_article"))
+    sizes = latest.select("id", F.md5("html").alias("_latest"), F.octet_length("html").alias("latest_bytes")).join(bare.select("id", F.md5("html").alias("_bare"), F.octet_length("html").alias("bare_bytes")), "id", "full")
+    rows = expected.select("id", F.col("number").alias("_expected")).join(page_metadata(blocks), "id", "left").join(more, "id", "left").join(sizes, "id", "left").join(found, "id", "left")
+    squeezed = lambda c: F.regexp_replace(F.col(c).cast("string"), "\\s", "")
+    body, n = F.coalesce(F.col("n_chars"), F.lit(0)) > 0, F.coalesce(F.col("n_article"), F.lit(0))
+    structure = F.coalesce("structure", F.lit("unknown"))
+    is_wrong = (
+        ~body,
+        structure == "unknown",
+        (structure == "articles") & (n > many) & ~F.coalesce(F.col("_chapter") < F.col("_article"), F.lit(False)),
+        n != F.coalesce("_labels", F.lit(0)),
+        F.col("number").isNull(),
+        F.coalesce(squeezed("number") != squeezed("_expected"), F.lit(False)),
+        ~F.coalesce("translated", F.lit(False)),
+    )
+    problems = F.filter(F.array(*[F.when(wrong, F.lit(name)) for name, wrong in zip(PROBLEMS, is_wrong, strict=True)]), lambda x: x.isNotNull())
+    verdict = F.when(~body | (structure == "unknown"), "failed").when(F.size(problems) > 0, "partial").otherwise("ok")
+    count = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return rows.select(
+        "id",
+        structure.alias("structure"),
+        count("n_article"),
+        count("n_table"),
+        count("n_annex"),
+        F.coalesce("n_points", F.lit(0)).alias("n_point"),
+        "latest_bytes",
+        "bare_bytes",
+        ((F.coalesce("bare_bytes", F.lit(0)) > 0) & ~F.col("_latest").eqNullSafe(F.col("_bare"))).alias("latest_differs"),
+        F.coalesce("eligible", F.lit(False)).alias("is_eligible"),
+        problems.alias("problems"),
+        verdict.alias("verdict"),
+    )
+
+
 def stale_translations(pages: DataFrame, by: str, language: str, amended: str, original: str) -> DataFrame:
     """Translations whose amendment date is before the original's, of each document."""
     of_original = F.max(F.when(F.col(language) == original, F.col(amended))).over(Window.partitionBy(by))

@@ -1297,6 +1297,28 @@ def audit_acts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.audit_rows(pages, expected)
 
 
+@query(f"""WITH {_ACTS}, b AS (SELECT id, pos, kind, CASE WHEN kind = 'article' AND id % 2 = 0 THEN '1' ELSE label END AS label FROM blocks WHERE id % 7 > 0 AND NOT (id % 5 = 0 AND kind = 'chapter')),
+    m AS (SELECT id, count(*) FILTER (WHERE kind = 'article') AS n, count(DISTINCT label) FILTER (WHERE kind = 'article') AS d, min(pos) FILTER (WHERE kind = 'chapter') AS c, max(pos) FILTER (WHERE kind = 'article') AS a,
+                 count(*) FILTER (WHERE kind = 'table') AS n_table, count(*) FILTER (WHERE kind = 'annex') AS n_annex FROM b GROUP BY 1),
+    x AS (SELECT p.id, m.id IS NOT NULL AS body, CASE WHEN m.id IS NULL THEN 'unknown' ELSE ['articles', 'points', 'tabular'][(p.id % 3 + 1)::INTEGER] END AS structure, coalesce(n, 0) AS n_article, coalesce(n_table, 0) AS n_table, coalesce(n_annex, 0) AS n_annex,
+                 CASE WHEN m.id IS NOT NULL AND p.id % 3 = 1 THEN 2 ELSE 0 END AS n_point, p.id % 4 = 0 AS latest_differs, p.id % 6 > 0 AS is_eligible,
+                 list_filter([CASE WHEN m.id IS NULL THEN 'no body' END, CASE WHEN m.id IS NULL THEN 'no structure' END, CASE WHEN n > 1 AND NOT coalesce(c < a, false) THEN 'no chapters' END, CASE WHEN n <> d THEN 'repeated article numbers' END,
+                    CASE WHEN p.id % 9 = 0 THEN 'no act number' END, CASE WHEN p.id % 9 > 0 AND p.id % 8 = 1 THEN 'another act number' END, CASE WHEN p.id % 10 = 3 THEN 'no translation' END], lambda t: t IS NOT NULL) AS problems FROM p LEFT JOIN m USING (id))
+    SELECT id, structure, n_article, n_table, n_annex, n_point::BIGINT AS n_point, latest_differs, is_eligible, array_to_string(problems, '; ') AS problems, CASE WHEN NOT body THEN 'failed' WHEN len(problems) > 0 THEN 'partial' ELSE 'ok' END AS verdict FROM x""")
+def audit_whole_acts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Acts' pages at two addresses, some without a body, without chapters, with repeated numbers, or not as expected."""
+    acts = _acts(spark, sf_dir)
+    blocks = _act_blocks(spark, sf_dir).where("id % 7 > 0 and not (id % 5 = 0 and kind = 'chapter')")
+    blocks = blocks.withColumn("label", F.when((F.col("kind") == "article") & (F.col("id") % 2 == 0), "1").otherwise(F.col("label")))
+    bare = acts.select("id", F.when(F.col("id") % 4 == 0, F.concat("html", F.lit(" "))).otherwise(F.col("html")).alias("html"))
+    key = F.col("p_partkey").alias("id")
+    part = table(spark, sf_dir, "part")
+    found = part.select(key, F.when(F.col("p_partkey") % 9 > 0, F.concat(F.lit(" "), F.col("p_partkey").cast("string"))).alias("number"), (F.col("p_partkey") % 6 > 0).alias("eligible"), (F.col("p_partkey") % 10 != 3).alias("translated"))
+    expected = part.select(key, (F.col("p_partkey") + (F.col("p_partkey") % 8 == 1).cast("int")).alias("number"))
+    out = context.act_audit(blocks, acts.select("id", "html"), bare, found, expected, many=1)
+    return out.drop("latest_bytes", "bare_bytes").withColumn("problems", F.array_join("problems", "; "))
+
+
 @query(f"""WITH {_PROBED}, {_GOLD}, runs AS (SELECT 'exact' AS retriever, query_id, parent_id AS id, rank FROM ranked WHERE rank <= 8 UNION ALL SELECT 'indexed', query_id, parent_id, rank FROM indexed),
     f AS (SELECT retriever, query_id, min(rank) AS first FROM runs JOIN gold USING (query_id, id) GROUP BY ALL)
     SELECT retriever, query_id, coalesce('rank ' || first, 'MISS') AS outcome FROM (SELECT DISTINCT query_id FROM gold) CROSS JOIN (SELECT DISTINCT retriever FROM runs) LEFT JOIN f USING (retriever, query_id)""")
