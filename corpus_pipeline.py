@@ -3,6 +3,11 @@
 Documents go in; token-ID files and a row for each document in them come out. Each stage's result is written and
 read again, so that a lost executor costs one stage at most. Stage 4 takes documents up to three times, so what it
 returns may hold a document more than once.
+
+Defined results, for every stage: other columns than those of documents are dropped, whatever their names; null ids, languages and sources stay as they are; no rows give
+no rows. A null text counts as empty. The classifier keeps what it has no labels to judge by; of empty texts near-dedup keeps one, as of any that
+are alike, and of repeated rows one; no item stands in an empty text; mixing takes no document without words, and treats the null source as one; token files hold repeated rows
+each, null ids first.
 """
 
 from __future__ import annotations

@@ -760,3 +760,20 @@ def test_pipeline_stages(spark):
         else:
             assert out.count() == before.count()
     assert len(kinds) == 5
+
+
+def test_pipeline_stages_of_odd_and_empty_tables(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    schema = "doc_id long, text string, lang string, source string, n_chars long, size long, row string"
+    odd = spark.createDataFrame([(None, None, None, None, None, 1, "x"), (1, "", "en", "s", 0, 1, "x"), (1, "", "en", "s", 0, 1, "x"), (2, "a b c", "en", None, 5, 1, "x")], schema)
+    kept = {"quality classifier": [None, 1, 1, 2], "SimHash near-dedup": [1, 2], "benchmark decontamination": [1, 2], "mixing sources to target weights": [2], "token-ID / binary output": [2]}
+    before = odd
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, odd.where("false"), sf).count() == 0
+        rows = stage(spark, before, sf)
+        assert sorted((r.doc_id for r in rows.collect()), key=str) == sorted(kept[name], key=str)
+        if name != "token-ID / binary output":
+            assert rows.columns == list(corpus_pipeline.COLUMNS)
+            before = corpus_pipeline.written(rows, "odd-stage").withColumns({"size": F.lit(1), "row": F.lit("x")})
