@@ -129,7 +129,8 @@ def gate_batch(deltas: DataFrame, sources: DataFrame, letters: re.Pattern | None
     first = sources.select("session", F.lit(0).alias("part"), F.lit(None).cast("long").alias("seq"), F.lit(None).cast("string").alias("delta"), "texts")
     rows = deltas.select("session", F.lit(1).alias("part"), F.col("seq").cast("long").alias("seq"), "delta", F.lit(None).cast("array<string>").alias("texts"))
     n_parts = int(deltas.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = first.unionByName(rows).repartition(n_parts, "session").sortWithinPartitions("session", "part", "seq")
+    # dealt out by a hash: by the session itself, as both sides may be already, Spark leaves the shuffle out, and then the sides' partitions may be cut differently
+    ordered = first.unionByName(rows).repartition(n_parts, F.xxhash64("session")).sortWithinPartitions("session", "part", "seq")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         session, seq, gate, texts = None, None, None, []

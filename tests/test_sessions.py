@@ -4,6 +4,9 @@ import datetime
 import json
 import random
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
 from provenant.streaming import gate as G
 from provenant.streaming import events, sessions
 
@@ -140,3 +143,23 @@ def test_timings_of_stages(spark):
     df = spark.createDataFrame([(s, k, at(m)) for s, k, m in marks], "session long, stage string, at timestamp")
     got = {r.session: tuple(None if x is None else x // 60_000 for x in r[1:]) for r in events.stage_timings(df, ["load", "search", "write"], "write").collect()}
     assert got == {1: (1, 4, 4, 5, 9), 2: (3, None, 0, 3, 3), 3: (None, None, 0, 0, 0)}
+
+
+def test_batch_whose_sides_are_already_dealt_out_by_session(spark, tmp_path):
+    """The sides' partitions are merged to different extents; each session's sources still come before its deltas."""
+    n, settings = 1500, {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "24k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    spark.range(n).selectExpr("id as session", "explode(sequence(0, 9)) as seq").write.parquet(str(tmp_path / "messages"))
+    spark.range(n).selectExpr("id as session", f"'{SOURCE}' as source").write.parquet(str(tmp_path / "sources"))
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        messages = spark.read.parquet(str(tmp_path / "messages")).withColumn("place", F.row_number().over(Window.partitionBy("session").orderBy("seq")) - 1)
+        deltas = messages.selectExpr("session", "cast(seq as bigint) as seq", f"substring('{ANSWER}', place * 20 + 1, 20) as delta")
+        sources = spark.read.parquet(str(tmp_path / "sources")).groupBy("session").agg(F.collect_list("source").alias("texts"))
+        done = [json.loads(r.payload) for r in G.gate_batch(deltas, sources, letters=None).collect() if r.type == "done"]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    gate = whole()[1]
+    assert gate.accepted and done == [{"coverage": gate.coverage, "accepted": gate.accepted, "rejected": gate.rejected}] * n
