@@ -112,8 +112,10 @@ def gaps(resolved: DataFrame, targets: DataFrame) -> DataFrame:
     held = targets.select("act", "number").distinct().withColumns({"n": F.lit(0).cast("long"), "first_citing": F.lit(None).cast(cited.schema["first_citing"].dataType)})
     rows = held.unionByName(cited).withColumns({"place": place("number"), "held": F.col("n") == 0})
     in_act = Window.partitionBy("act").orderBy("place")
-    up_to, from_here = in_act.rowsBetween(Window.unboundedPreceding, 0), in_act.rowsBetween(0, Window.unboundedFollowing)
-    rows = rows.withColumns({"after": F.last(F.when(F.col("held"), F.col("number")), True).over(up_to), "before": F.first(F.when(F.col("held"), F.col("number")), True).over(from_here)})
+    # both frames grow row by row, the second from the end: one that shrinks is gone through anew for each row
+    up_to, from_here = (w.rowsBetween(Window.unboundedPreceding, 0) for w in (in_act, Window.partitionBy("act").orderBy(F.desc("place"))))
+    nearest = F.last(F.when(F.col("held"), F.col("number")), True)
+    rows = rows.withColumns({"after": nearest.over(up_to), "before": nearest.over(from_here)})
     runs = rows.where("not held").groupBy("act", "after", "before").agg(F.min("place").alias("a"), F.max("place").alias("z"), F.count("*").alias("n_missing"), F.min("first_citing").alias("first_citing"))
     # a chunk that cites several articles of a run counts once
     citing = rows.where("not held").select("act", "number", "after", "before").join(lost, ["act", "number"]).groupBy("act", "after", "before").agg(F.count_distinct("from_id").alias("n_citing"))

@@ -232,6 +232,16 @@ def test_gaps_of_acts(spark):
     assert graph.dangling(resolved, targets).count() == 7
 
 
+def test_gaps_of_a_long_act(spark):
+    """No frame shrinks from row to row, which takes time with the square of an act's articles."""
+    targets = spark.range(0, 3000, 3).selectExpr("1 as act", "cast(id as string) as number", "id as to_id")
+    refs = spark.range(3000).selectExpr("id as from_id", "1 as act", "cast(id as string) as number", "false as in_code")
+    found = graph.gaps(graph.resolve(refs, targets, 0), targets)
+    assert "unboundedfollowing" not in found._jdf.queryExecution().toString().lower()
+    got = sorted((int(r.after), int(r.before or 3000), int(r["first"]), int(r["last"]), r.n_missing, r.n_citing, r.first_citing) for r in found.collect())
+    assert got == [(i, i + 3, i + 1, i + 2, 2, 2, i + 1) for i in range(0, 3000, 3)]
+
+
 @pytest.mark.parametrize("span, columns", [("²", 1), ("3000000", 1000), ("9" * 30, 1000), ("0", 1), ("-2", 1), ("2.5", 1), (" 2 ", 2), ("٣", 1), ("", 1)])
 def test_odd_spans_of_cells(span, columns):
     page = html.parsed(f'<table><tr><td colspan="{span}">a</td></tr><tr><td rowspan="{span}">b</td><td>c</td></tr><tr><td>d</td></tr></table>')
