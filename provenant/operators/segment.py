@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 from .counters import Counter, Estimate
 
 #: The lines at which oversized chunks are cut; and the markers of an enumeration's parts (1. or 2.1.), of its points (1) or a letter),
@@ -59,9 +60,13 @@ def article_chunks(blocks: DataFrame) -> DataFrame:
         resets = F.col("kind").isin(list(levels[: i + 1]))
         at = F.last(F.when(resets, F.struct("kind", "label")), ignorenulls=True).over(by)
         numbered = numbered.withColumn(f"_{level}", F.when(at["kind"] == level, at["label"]))
-    heads = numbered.where("kind = 'article'").select("id", "segment", F.col("label").alias("ref"), "title", F.array_compact(F.array(*[f"_{x}" for x in levels])).alias("path"))
-    body = numbered.where("segment > 0 and kind in ('text', 'table')").withColumn("line", F.coalesce("markdown", "text"))
-    return heads.join(joined(body, ["id", "segment"], separator="\n\n"), ["id", "segment"], "left").withColumn("text", F.coalesce("text", F.lit("")))
+    path = F.array_compact(F.array(*[f"_{x}" for x in levels]))
+    head = F.first(F.when(F.col("kind") == "article", F.struct(F.col("label").alias("ref"), "title", path.alias("path"))), ignorenulls=True)
+    body = F.when(F.col("kind").isin("text", "table"), F.struct("pos", F.coalesce("markdown", "text").alias("line")))
+    # an article and its body are one group; an article may be without one
+    rows = numbered.where("segment > 0").groupBy("id", "segment").agg(head.alias("_head"), F.sort_array(F.collect_list(body)).alias("_rows"))
+    text = F.trim(F.array_join(F.transform("_rows", lambda r: r["line"]), "\n\n"))
+    return rows.select("id", "segment", "_head.*", F.get("_rows", F.lit(0))["pos"].alias("first_pos"), F.nullif(F.size("_rows").cast("long"), F.lit(0).cast("long")).alias("n_blocks"), text.alias("text"))
 
 
 def point_chunks(blocks: DataFrame) -> DataFrame:
@@ -80,10 +85,10 @@ def annex_chunks(blocks: DataFrame) -> DataFrame:
     point = (F.col("kind") == "text") & F.col("text").rlike("^\\d{1,3}(\\.\\d{1,2})?\\s*\\.\\s+")
     before = F.lag("kind").over(Window.partitionBy("id", "annex").orderBy("pos"))
     cut = islands(inside, table | point | (before == "table") | before.isNull(), ["id", "annex"]).withColumn("line", F.coalesce("markdown", "text"))
-    out = joined(cut, ["id", "annex", "segment"], separator="\n\n").join(cut.groupBy("id", "annex", "segment").agg(F.max("kind").alias("most")), ["id", "annex", "segment"])
+    out = joined(cut, ["id", "annex", "segment"], separator="\n\n")
     kind = F.when(F.col("text").startswith("|"), "table").when(F.col("text").rlike("^\\d{1,3}(\\.\\d{1,2})?\\s*\\.\\s+"), "point").otherwise("part")
     n = F.row_number().over(Window.partitionBy("id", "annex", "kind").orderBy("first_pos"))
-    out = out.where("text <> ''").withColumn("kind", kind).withColumn("n", n).drop("most")
+    out = out.where("text <> ''").withColumn("kind", kind).withColumn("n", n)
     number = F.when(F.col("kind") == "point", F.regexp_extract("text", "^(\\d{1,3}(?:\\.\\d{1,2})?)", 1)).otherwise(F.col("n").cast("string"))
     return out.withColumn("ref", F.concat_ws(" ", F.lit("annex"), "annex", "kind", number))
 
@@ -104,13 +109,10 @@ def structure(n_articles: Column, n_points: Column, n_tables: Column) -> Column:
 
 def chunks(blocks: DataFrame) -> DataFrame:
     """(id, ref, first_pos, text) by each document's structure."""
-    counts = blocks.groupBy("id").agg(
-        F.count_if(F.col("kind") == "article").alias("a"),
-        F.count_if((F.col("kind") == "text") & F.col("text").rlike("^\\d{1,3}(\\.\\d{1,2})?\\s*\\.\\s+")).alias("p"),
-        F.count_if(F.col("kind") == "table").alias("t"),
-    )
-    kinds = counts.select("id", structure(F.col("a"), F.col("p"), F.col("t")).alias("structure"))
-    known = blocks.join(kinds, "id")
+    point = (F.col("kind") == "text") & F.col("text").rlike("^\\d{1,3}(\\.\\d{1,2})?\\s*\\.\\s+")
+    n_articles, n_points, n_tables = (F.count_if(c).over(Window.partitionBy("id")) for c in (F.col("kind") == "article", point, F.col("kind") == "table"))
+    # pages are parsed once, and no document's structure goes through the driver
+    known = written(blocks.withColumn("structure", structure(n_articles, n_points, n_tables)), "structured-blocks")
     wanted = ["id", "ref", "first_pos", "text"]
     points = known.where("structure = 'points'")
     parts = [article_chunks(known.where("structure = 'articles'")), point_chunks(points), annex_chunks(points), tabular_chunks(known.where("structure = 'tabular'"))]

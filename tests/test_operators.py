@@ -291,6 +291,17 @@ PAGE = """<html><head><title>T</title><style>p{}</style></head><body><p>Գ Լ Ո
 <table><tr><td>ՀԱՎԵԼՎԱԾ N 1</td></tr></table><p>   </p><p>1. point<a href="/acts/77">link</a></p></body></html>"""
 
 
+def test_pages_are_parsed_once_for_chunks_and_no_join_is_left(spark):
+    page = "<p>ԲԱԺԻՆ 1</p><table><tr><td>Հոդված 1.</td><td>a</td></tr></table><p>x</p><p>y</p><table><tr><td>Հոդված 2.</td></tr></table><p>ԳԼՈՒԽ 1</p><table><tr><td>Հոդված 3.</td></tr></table><p>z</p>"
+    blocks = html.classified(html.raw_blocks(spark.createDataFrame([(1, page)], "id long, html string"), "id", "html"))
+    found = segment.chunks(blocks)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "MapInArrow" not in plan
+    assert sorted((r.ref, r.first_pos, r.text) for r in found.collect()) == [("1", 2, "x\n\ny"), ("2", None, ""), ("3", 7, "z")]
+    heads = sorted((r.ref, r.title, r.path, r.n_blocks) for r in segment.article_chunks(blocks).collect())
+    assert heads == [("1", "a", ["ԲԱԺԻՆ 1"], 2), ("2", "", ["ԲԱԺԻՆ 1"], None), ("3", "", ["ԲԱԺԻՆ 1", "ԳԼՈՒԽ 1"], 1)]
+
+
 def test_page_to_chunks(spark):
     pages = spark.createDataFrame([(1, PAGE), (2, None)], "id long, html string")
     blocks = html.classified(html.raw_blocks(pages, "id", "html")).orderBy("pos").collect()
