@@ -302,6 +302,13 @@ def test_pages_are_parsed_once_for_chunks_and_no_join_is_left(spark):
     assert heads == [("1", "a", ["ԲԱԺԻՆ 1"], 2), ("2", "", ["ԲԱԺԻՆ 1"], None), ("3", "", ["ԲԱԺԻՆ 1", "ԳԼՈՒԽ 1"], 1)]
 
 
+def test_small_rows_of_one_file_are_parsed_by_all_cores(spark):
+    from provenant.plans import catalogue
+
+    acts = catalogue._acts(spark, "/root/testdata/sf0.01")
+    assert acts.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism > 1
+
+
 def test_page_to_chunks(spark):
     pages = spark.createDataFrame([(1, PAGE), (2, None)], "id long, html string")
     blocks = html.classified(html.raw_blocks(pages, "id", "html")).orderBy("pos").collect()
