@@ -118,6 +118,22 @@ def sampled_centres(vectors: DataFrame, most: int = 4096) -> DataFrame:
     return sample.selectExpr("row_number() over (order by h, parent_id, slice_index) as centre_id", "vec")  # `most` rows
 
 
+def nearest_centres(batches: Iterator[pa.RecordBatch], ids: np.ndarray, matrix: np.ndarray, n: int, decimals: int) -> Iterator[pa.RecordBatch]:
+    """The batches with the column cells, in pieces of at most SCORES scores: centres may be as many as a batch's rows, or more."""
+    step = max(1, SCORES // max(1, len(ids)))
+    for whole in batches:
+        for at in range(0, max(1, whole.num_rows), step):
+            batch = whole.slice(at, step)
+            flat = batch.column("vec").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            scores = np.round(flat.reshape(batch.num_rows, -1) @ matrix.T, decimals) if batch.num_rows else np.zeros((0, len(ids)))
+            if n == 1 and len(ids):
+                order = scores.argmax(axis=1)[:, None]
+            else:
+                order = np.argsort(-scores, axis=1, kind="stable")[:, :n]
+            edges = np.arange(batch.num_rows + 1, dtype=np.int32) * order.shape[1]
+            yield batch.append_column("cells", pa.ListArray.from_arrays(pa.array(edges), pa.array(ids[order].ravel())))
+
+
 class CellIndex:
     """Vectors by the cell of their nearest centre. `centres` (centre_id, vec) are collected, so they are to be few; the
     index itself is a table, (parent_id, slice_index, vec, ..., cell), to be kept where the caller wants it."""
@@ -132,13 +148,7 @@ class CellIndex:
         decimals = self.decimals
 
         def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, matrix = shared.value
-            for batch in batches:
-                flat = batch.column("vec").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                scores = np.round(flat.reshape(batch.num_rows, -1) @ matrix.T, decimals) if batch.num_rows else np.zeros((0, len(ids)))
-                order = np.argsort(-scores, axis=1, kind="stable")[:, :n]
-                edges = np.arange(batch.num_rows + 1, dtype=np.int32) * order.shape[1]
-                yield batch.append_column("cells", pa.ListArray.from_arrays(pa.array(edges), pa.array(ids[order].ravel())))
+            return nearest_centres(batches, *shared.value, n, decimals)
 
         kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
         return rows.mapInArrow(nearest, kinds + ", cells array<long>")

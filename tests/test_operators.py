@@ -248,6 +248,21 @@ def test_odd_spans_of_cells(span, columns):
     assert len(html.grid(page.blocks[0][1])[0]) == max(columns, 2)
 
 
+@pytest.mark.parametrize("n", [1, 3])
+def test_scores_of_centres_are_held_in_bounded_pieces(n, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(vector, "SCORES", 1000)
+    r = np.random.default_rng(1)
+    vecs, centres, ids = r.integers(-2, 3, (97, 4)).astype(float), r.integers(-2, 3, (90, 4)).astype(float), np.arange(90) * 7
+    batch = pa.RecordBatch.from_arrays([pa.array(range(97)), pa.array(list(vecs), pa.list_(pa.float64()))], ["key", "vec"])
+    pieces = list(vector.nearest_centres(iter([batch, batch.slice(0, 0)]), ids, centres, n, 6))
+    assert max(p.num_rows for p in pieces) == 1000 // 90
+    got = [(k, c) for p in pieces for k, c in zip(p.column("key").to_pylist(), p.column("cells").to_pylist())]
+    assert got == [(k, sorted(ids.tolist(), key=lambda i: (-float(vecs[k] @ centres[i // 7]), i))[:n]) for k in range(97)]
+
+
 def test_trained_cells_against_numpy(spark):
     import numpy as np
 
