@@ -22,10 +22,21 @@ def first_occurrences(ranked: DataFrame, key: str = "id") -> DataFrame:
     return first.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("_at"))).drop("_at")
 
 
-def question_metrics(ranked: DataFrame, gold: DataFrame, ks: Sequence[int] = (5, 8), depth: int = 20) -> DataFrame:
-    """Per question with gold: n_gold, hit_k and recall_k, and reciprocal rank of the first gold item within depth."""
+def gold_by_class(ranked: DataFrame, queries: DataFrame, items: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
+    """Gold where an item is right that shares a query's class `by`: (query_id, id) of those in the lists, and (query_id, n_gold) of all, for
+    queries that have any. Pairs of all queries and right items grow with the square of both, and are not made.
+    queries (query_id, by), one row each; items (id, by), where an item may have several classes."""
+    classes = items.select("id", by).distinct()
+    listed = ranked.select("query_id", "id").distinct().join(queries.select("query_id", by), "query_id")
+    sizes = queries.select("query_id", by).join(classes.groupBy(by).agg(F.count("*").alias("n_gold")), by)
+    return listed.join(classes, ["id", by]).select("query_id", "id"), sizes.select("query_id", "n_gold")
+
+
+def question_metrics(ranked: DataFrame, gold: DataFrame, ks: Sequence[int] = (5, 8), depth: int = 20, n_gold: DataFrame | None = None) -> DataFrame:
+    """Per question with gold: n_gold, hit_k and recall_k, and reciprocal rank of the first gold item within depth. With n_gold (query_id,
+    n_gold), gold need only hold items of the lists."""
     g = gold.select("query_id", "id").distinct()
-    n = g.groupBy("query_id").agg(F.count("*").alias("n_gold"))
+    n = n_gold if n_gold is not None else g.groupBy("query_id").agg(F.count("*").alias("n_gold"))
     hits = ranked.where(F.col("rank") <= depth).join(g, ["query_id", "id"], "left_semi").groupBy("query_id").agg(F.min("rank").alias("first"), *[F.count_if(F.col("rank") <= k).alias(f"found_{k}") for k in ks])
     rows = n.join(hits, "query_id", "left")
     at = [c for k in ks for c in ((F.coalesce(f"found_{k}", F.lit(0)) > 0).cast("int").alias(f"hit_{k}"), (F.coalesce(f"found_{k}", F.lit(0)) / F.col("n_gold")).alias(f"recall_{k}"))]
@@ -103,10 +114,11 @@ def knee(sweep: DataFrame) -> DataFrame:
     return sweep.crossJoin(all_found).where("found = all_found").agg(F.max("t").alias("knee"), F.max("found").alias("found"))
 
 
-def compare_lists(runs: DataFrame, gold: DataFrame) -> DataFrame:
-    """(retriever, query_id, outcome): the rank of the first gold item, or MISS. runs (retriever, query_id, id, rank)."""
+def compare_lists(runs: DataFrame, gold: DataFrame, questions: DataFrame | None = None) -> DataFrame:
+    """(retriever, query_id, outcome): the rank of the first gold item, or MISS. runs (retriever, query_id, id, rank). With questions
+    (query_id), those that have gold, gold need only hold items of the runs."""
     g = gold.select("query_id", "id").distinct()
-    asked = g.select("query_id").distinct().crossJoin(runs.select("retriever").distinct())
+    asked = (questions if questions is not None else g).select("query_id").distinct().crossJoin(runs.select("retriever").distinct())
     first = runs.join(g, ["query_id", "id"], "left_semi").groupBy("retriever", "query_id").agg(F.min("rank").alias("first"))
     return asked.join(first, ["retriever", "query_id"], "left").withColumn("outcome", F.coalesce(F.concat(F.lit("rank "), F.col("first").cast("string")), F.lit("MISS"))).drop("first")
 

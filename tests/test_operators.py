@@ -248,6 +248,22 @@ def test_odd_spans_of_cells(span, columns):
     assert len(html.grid(page.blocks[0][1])[0]) == max(columns, 2)
 
 
+def test_gold_by_class_without_pairs_of_all(spark):
+    items = [(i, i % 3 if i % 5 else None) for i in range(60)] + [(i, (i + 1) % 3) for i in range(0, 60, 4)]
+    queries = [(0, 0), (1, 1), (2, 2), (3, None), (4, 9)]
+    lists = [(q, (q * 7 + r * 5) % 60, 1.0 - r / 20, r + 1) for q in range(5) for r in range(20)]
+    e = evaluate
+    ranked, asked, of = spark.createDataFrame(lists, "query_id long, id long, score double, rank int"), spark.createDataFrame(queries, "query_id long, label int"), spark.createDataFrame(items, "id long, label int")
+    near, sizes = e.gold_by_class(ranked, asked, of, "label")
+    gold = {(q, i) for q, a in queries for i, b in items if a is not None and a == b}
+    assert sorted(map(tuple, near.collect())) == sorted({(q, i) for q, i, *_ in lists} & gold)
+    assert dict(map(tuple, sizes.collect())) == {q: sum(x == q for x, _ in gold) for q in (0, 1, 2)}
+    whole = spark.createDataFrame(sorted(gold), "query_id long, id long")
+    assert sorted(map(tuple, e.question_metrics(ranked, near, n_gold=sizes).collect())) == sorted(map(tuple, e.question_metrics(ranked, whole).collect()))
+    runs = ranked.selectExpr("'r' as retriever", "query_id", "id", "rank")
+    assert sorted(map(tuple, e.compare_lists(runs, near, sizes).collect())) == sorted(map(tuple, e.compare_lists(runs, whole).collect()))
+
+
 @pytest.mark.parametrize("n", [1, 3])
 def test_scores_of_centres_are_held_in_bounded_pieces(n, monkeypatch):
     import numpy as np
