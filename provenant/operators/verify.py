@@ -20,6 +20,8 @@ ELISION = r"\s*(?:\[\s*(?:\.{3}|…)\s*\]|\(\s*(?:\.{3}|…)\s*\)|\.{3,}|…)\s*
 COVERAGE = r"^\s*COVERAGE\s*:\s*(full|partial|none)\s*$"
 NOTICES = {"hy": "[չհաստատված մեջբերում]", "ru": "[цитата не подтверждена]"}
 LEAST_QUOTE, LEAST_SEGMENT = 25, 15
+#: Characters of parts, with what each takes besides, that are held at a time.
+PARTS_BYTES = 4 << 20
 _ENUMERATOR = re.compile(r"^\s*(?:\d{1,3}(?:\.\d{1,2})?\s*[.)]|[^\W\d_]\s*\))\s*")
 LETTERS, _CYRILLIC = re.compile("[Ա-Ֆա-և]"), re.compile("[Ѐ-ԯ]")
 
@@ -176,17 +178,27 @@ def highlight(text: str, quotes: list[str], least: int = 20) -> list[tuple[str,
     return out
 
 
-def highlight_segments(rows: DataFrame) -> DataFrame:
-    """rows (id, text, quotes) as (id, pos, part, marked)."""
+def highlighted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches (id, text, quotes) as (id, pos, part, marked), text by text: put out whenever PARTS_BYTES are reached."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for key, text, quotes in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "quotes")), strict=True):
-                out += [(key, n, part, marked) for n, (part, marked) in enumerate(highlight(text or "", quotes or []))]
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.string(), pa.bool_()))], ["id", "pos", "part", "marked"])
+    def put(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.string(), pa.bool_()))], ["id", "pos", "part", "marked"])
 
-    return rows.select(F.col("id").cast("long").alias("id"), "text", "quotes").mapInArrow(run, "id long, pos long, part string, marked boolean")
+    for batch in batches:
+        out, size = [], 0
+        for key, text, quotes in zip(*(batch.column(c) for c in ("id", "text", "quotes")), strict=True):
+            parts = highlight(text.as_py() or "", quotes.as_py() or [])
+            out += [(key.as_py(), n, part, marked) for n, (part, marked) in enumerate(parts)]
+            size += 100 * len(parts) + sum(len(part) for part, _ in parts)
+            if size >= PARTS_BYTES:
+                yield put(out)
+                out, size = [], 0
+        yield put(out)
+
+
+def highlight_segments(rows: DataFrame) -> DataFrame:
+    """rows (id, text, quotes) as (id, pos, part, marked)."""
+    return rows.select(F.col("id").cast("long").alias("id"), "text", "quotes").mapInArrow(highlighted, "id long, pos long, part string, marked boolean")
 
 
 def coverage(text: Column) -> Column:

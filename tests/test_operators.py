@@ -248,6 +248,18 @@ def test_odd_spans_of_cells(span, columns):
     assert len(html.grid(page.blocks[0][1])[0]) == max(columns, 2)
 
 
+def test_highlighted_parts_are_put_out_in_bounded_pieces(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(verify, "PARTS_BYTES", 2000)
+    texts = [f"{i} and " + "a quote of forty letters or thereabouts" + " then" for i in range(200)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(201)), pa.array(texts), pa.array([["a quote of forty letters or thereabouts"]] * 200 + [None])], ["id", "text", "quotes"])
+    pieces = list(verify.highlighted(iter([batch])))
+    assert len(pieces) > 20 and max(p.num_rows for p in pieces) <= 21
+    got = [tuple(r.values()) for p in pieces for r in p.to_pylist()]
+    assert got == [(i, n, *x) for i, t in enumerate(texts) for n, x in enumerate(verify.highlight(t or "", ["a quote of forty letters or thereabouts"]))]
+
+
 def test_gold_by_class_without_pairs_of_all(spark):
     items = [(i, i % 3 if i % 5 else None) for i in range(60)] + [(i, (i + 1) % 3) for i in range(0, 60, 4)]
     queries = [(0, 0), (1, 1), (2, 2), (3, None), (4, 9)]
