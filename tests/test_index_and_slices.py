@@ -103,6 +103,28 @@ def test_all_covers(spark):
     assert got == want
 
 
+def test_postings_are_read_once_and_scored_in_small_groups(spark, monkeypatch):
+    for name, value in {"CHUNK_DOCUMENTS": 7, "CHUNK_TERMS": 90, "GROUP_DOCUMENTS": 9, "QUERY_TILE": 3}.items():
+        monkeypatch.setattr(textindex, name, value)
+    docs = [*texts(50, 6), (900, "t3 t4"), (901, "t3 t4"), (902, "t4 t3")]
+    index = textindex.TextIndex(spark, "index_t6", slices=2, buckets=3)
+    named = [(f"d{i:04}", t) for i, t in docs]
+    index.add(spark.createDataFrame(named, "id string, text string"), "id", "text")
+    index.remove(spark.createDataFrame([("d0900",)], "id string"))
+    left = [x for x in named if x[0] != "d0900"]
+    assert found(index, spark, QUERIES, 3) == ranked(left, [(q, t or "") for q, t in QUERIES], 3)
+    asked = textindex.query_terms(spark.createDataFrame(QUERIES, "q long, text string"), "q", "text")
+    plan = textindex.search(index, asked, 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet spark_catalog.default.index_t6_postings") == 1 and "SortMergeJoin" not in plan
+
+
+def test_rounding_is_sparks(spark):
+    r = random.Random(3)
+    values = [*(r.random() / 10 ** r.randint(0, 7) for _ in range(300)), 0.0000000005, 0.0000000015, 1.0000000025, 0.1 / 3, 0.0]
+    want = [x.y for x in spark.createDataFrame([(v,) for v in values], "x double").select(F.round("x", textindex.DIGITS).alias("y")).collect()]
+    assert [textindex.rounded(v) for v in values] == want
+
+
 # --- slices
 
 
