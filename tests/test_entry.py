@@ -71,3 +71,12 @@ def test_entry_points_without_a_library_that_only_training_data_needs(tmp_path):
             shutil.copy(root / name, tmp_path)
     code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; q = e.queries(); assert len(q) > 50 and 'pipeline' not in q and not any(x.startswith('op') for x in q)"
     subprocess.run([sys.executable, "-W", "ignore", "-c", code], cwd=tmp_path, check=True)
+
+
+def test_a_pool_is_searched_for_once(spark):
+    """What reads a pool several times reads a table of it, not the index."""
+    from provenant.plans import catalogue
+
+    for name in ("retrieve_expand_rerank", "rerank_overlap"):
+        plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "_postings" not in plan and "positions" not in plan
