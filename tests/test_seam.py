@@ -100,3 +100,16 @@ def test_lost_legs_are_named(spark):
 def test_few_rows(spark, n):
     rows = spark.createDataFrame([(i, "x") for i in range(n)], "id long, text string")
     assert seam.call_model(rows, ["text"], "y long", lambda r: [{"y": 7}] * len(r), "m").count() == n
+
+
+def test_what_models_are_asked_is_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for frame in frames:
+            made.add(len(frame))
+            yield frame
+
+    rows = spark.range(6).mapInPandas(counted, "id long")
+    called = seam.call_model(rows, ["id"], "twice long", lambda requests: [{"twice": 2 * x["id"]} for x in requests], "double", workers=1)
+    assert sorted((r.id, r.twice) for r in called.collect()) == [(i, 2 * i) for i in range(6)] and made.value == 6
